@@ -43,12 +43,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
 
 def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
     """At most `each` rows for every value of `by` (few values), chosen by a hash of doc_id, so that the choice does not
-    depend on partitioning. The bound of a classifier's training sample."""
-    values = sorted(r[0] for r in rows.select(by).distinct().limit(256).collect() if r[0] is not None)
-    out = []
+    depend on partitioning. The bound of a classifier's training sample. Only ids are ranked; the other columns are then
+    fetched for the chosen ids alone."""
+    ids = rows.select(by, "doc_id").where(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
+    values = sorted(r[0] for r in ids.select(by).distinct().limit(256).collect())
+    chosen = []
     for v in values:
-        part = rows.where(F.col(by) == F.lit(v)).select("doc_id", *cols)
-        out += part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()
+        chosen += [r[0] for r in ids.where(F.col(by) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id").collect()]
+    if not chosen:
+        return []
+    rank, count, out = {d: i for i, d in enumerate(chosen)}, dict.fromkeys(values, 0), []
+    got = rows.where(F.col("doc_id").isin(chosen) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols).collect()
+    for r in sorted(got, key=lambda r: (rank[r["doc_id"]], *map(repr, r))):  # repeated ids stay within the bound
+        count[r["__by"]] += 1
+        if count[r["__by"]] <= each:
+            out.append(r)
     return out
 
 
