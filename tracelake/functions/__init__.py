@@ -1,0 +1 @@
+"""Scalar expressions: pure Column functions, JVM-side."""

@@ -2,5 +2,298 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracelake.functions import metrics as m
+from tracelake.functions import text as t
+from tracelake.operators import costs, detectors, folds, scorecard, sessions
+from tracelake.plans import adapters as a
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "", *tables: str):
+    """Registers the function under its name, with SQL over the adapters' tables."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (a.duck(*tables) + (", " if sql.lstrip().startswith("&") else "\n") + sql.lstrip().lstrip("&") if tables else sql)
+        return f
+
+    return put
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    """Of two of the three models; the third is unknown."""
+    return spark.sql("select * from values ('A', 3D, 15D), ('N', 1D, 5D) as r(model, input_rate, output_rate)")
+
+
+_R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
+KEY = "coalesce('p' || phase_doc_path, 'i' || phase_id || '/' || coalesce(project_id, ''))"
+FOLDED = f"""& rv as (select *, {KEY} as k from reviews), lr as (select k, arg_min(r, seq) as r from (select k, seq, rv as r, ts, max(ts) over (partition by k) as top from rv) where ts = top group by k),
+ru as (select *, {KEY} as k, ts = max(ts) over (partition by {KEY}) as latest from runs),
+f as (select ru.*, lr.r as r, case when latest and lr.k is not null then lr.r.verdict end as verdict, case when latest and lr.k is not null then lr.r.bounces end as bounces,
+ case when latest and lr.k is not null then lr.r.bugs end as bugs, case when latest and lr.k is not null then lr.r.warnings end as warn from ru left join lr on ru.k = lr.k)
+"""
+SCORE = """select model, {key} as key, count(*) as n_runs, round(avg(case when coalesce(fmt, false) and coalesce(build, false) and coalesce(lint, false) and coalesce(test, false) then 1.0 else 0.0 end), 6) as gates_pass_rate,
+ round(avg(parse_failure_rate), 6) as parse_failure_rate_mean, round(avg(length_finish_rate), 6) as length_finish_rate_mean, round(avg(repairs_per_call), 6) as repairs_per_call_mean, round(avg(tool_success_rate), 6) as tool_success_rate_mean,
+ round(avg(verifier_retries), 6) as verifier_retries_mean, round(avg(turns), 6) as turns_mean, round(avg(wall_clock_s), 6) as wall_clock_s_mean, round(avg(case when escalated then 1.0 else 0.0 end), 6) as escalation_rate,
+ count(verdict) as n_with_verdict, round(avg(case when verdict is null then null when verdict = 'approved_first_try' then 1.0 else 0.0 end), 6) as approved_first_try_rate, round(avg(bounces), 6) as bounces_to_approval_mean,
+ round(avg(case when peak_context_pct > 0 then peak_context_pct end), 6) as peak_context_pct_mean, round(avg(case when peak_context_pct > 0 then reclaimed end), 6) as tokens_reclaimed_mean
+ from {source} {where} group by 1, 2 {having}"""
+LABEL = "coalesce(nullif(concat_ws(',', 'temp=' || regexp_replace(cast(temperature as varchar), '\\.0$', ''), 'seed=' || seed), ''), 'default')"
+
+
+def _folded(spark, d) -> DataFrame:
+    return folds.fold_reviews(a.runs(spark, d), a.reviews(spark, d))
+
+
+def _score(df: DataFrame) -> DataFrame:
+    return _R6(df, *[c for c in df.columns if c.endswith(("_rate", "_mean"))])
+
+
+@query(FOLDED + SCORE.format(key="''", source="f", where="", having=""), "runs", "reviews")
+def scorecard_by_model(spark, d):
+    return _score(scorecard.scorecard(_folded(spark, d), "model"))
+
+
+@query(FOLDED + SCORE.format(key="unnest([tag1, tag2])", source="f", where="", having=""), "runs", "reviews")
+def scorecard_by_tag(spark, d):
+    return _score(scorecard.scorecard(_folded(spark, d), "tag"))
+
+
+@query(FOLDED + SCORE.format(key=LABEL, source="f", where="", having=""), "runs", "reviews")
+def scorecard_by_settings(spark, d):
+    return _score(scorecard.scorecard(_folded(spark, d), "settings"))
+
+
+@query(FOLDED + SCORE.format(key=LABEL, source="f", where="where tag1 = 'O' and tag2 = 'BUILDING'", having="having count(*) >= 12"), "runs", "reviews")
+def scorecard_filtered(spark, d):
+    return _score(scorecard.scorecard(_folded(spark, d), "settings", tags=["O", "BUILDING"], min_runs=12))
+
+
+@query(FOLDED + "select seq, verdict as architect_verdict, bounces as bounces_to_approval, bugs as bugs_filed, warn as warnings from f", "runs", "reviews")
+def fold_reviews(spark, d):
+    return _folded(spark, d).select("seq", *folds.SUPERVISION)
+
+
+@query(FOLDED + ", h as (select model, unnest([tag1, tag2]) as tag, r from f where latest and r is not null), g as (select model, tag, unnest([r.class1, r.class2]) as failure_class from h) select model, tag, failure_class, count(*) as n, row_number() over (partition by model, tag order by count(*) desc, failure_class) as rank from g where failure_class <> 'none' group by 1, 2, 3", "runs", "reviews")
+def failure_ranking(spark, d):
+    return scorecard.failure_ranking(a.runs(spark, d), a.reviews(spark, d))
+
+
+@query(FOLDED + """, g as (select k, count(*) as attempts, cast(least(sum(input_tokens), 4294967295) as bigint) as input_tokens, cast(least(sum(output_tokens), 4294967295) as bigint) as output_tokens, cast(least(sum(cache_read_tokens), 4294967295) as bigint) as cache_read_tokens, cast(least(sum(cache_write_tokens), 4294967295) as bigint) as cache_write_tokens from ru group by k),
+ l as (select distinct on (k) k, phase_id, milestone_id, project_id from ru order by k, ts desc, seq) select phase_id, milestone_id, project_id, attempts, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, coalesce(starts_with(lr.r.verdict, 'approved') or lr.r.verdict = 'escalated', false) as shipped from g join l on g.k = l.k join lr on g.k = lr.k""", "runs", "reviews")
+def cost_to_ship(spark, d):
+    return scorecard.cost_to_ship(a.runs(spark, d), a.reviews(spark, d))
+
+
+FOLD_L = "& fl as (select *, min(seq) over w as first_seq, max(seq) over w as last from ledger window w as (partition by project_id, session_id, model, skill)), lg as (select * from fl where seq = last), rt as (select * from (values ('A', 3.0::double, 15.0::double), ('N', 1.0::double, 5.0::double)) v(m, i, o)), pc as (select lg.*, coalesce(input / 1e6 * i + output / 1e6 * o + cache_read / 1e6 * i * 0.1 + c5m / 1e6 * i * 1.25 + c1h / 1e6 * i * 2, 0) as cost from lg left join rt on model = m)\n"
+
+
+@query(FOLD_L + "select project_id, session_id, model, skill, input, output, last_ts, first_seq from lg", "ledger")
+def fold_ledger(spark, d):
+    f = folds.last_write_wins(a.ledger(spark, d), costs.LEDGER_KEY)
+    return f.select("project_id", "session_id", "model", "skill", "tokens.input", "tokens.output", "last_ts", "first_seq")
+
+
+@query(FOLD_L + "select project_id, session_id, model, skill, round(cost, 6) as cost from pc", "ledger")
+def ledger_pricing(spark, d):
+    return _R6(costs.priced(a.ledger(spark, d), rates(spark)).select("project_id", "session_id", "model", "skill", "cost"), "cost")
+
+
+@query(FOLD_L + "select skill, count(*) as messages, cast(sum(input + c5m + c1h + cache_read + output) as bigint) as tokens, round(sum(cost), 6) as cost, round(sum(cost) / sum(sum(cost)) over () * 100, 4) as percent from pc where project_id = 'p1' group by skill", "ledger")
+def skill_costs(spark, d):
+    s = costs.skill_costs(a.ledger(spark, d), rates(spark), "p1")
+    return _R6(s, "cost").withColumn("percent", F.round("percent", 4))
+
+
+@query(FOLD_L + """, s as (select 'project' as scope, sum(input_tokens) as i, sum(output_tokens) as o from runs where project_id = 'p1' union all select 'milestone:' || milestone_id, sum(input_tokens), sum(output_tokens) from runs where project_id = 'p1' and milestone_id is not null group by 1)
+select scope, cast(i as bigint) as input_tokens, cast(o as bigint) as output_tokens, round(i / 1e6 * 3 + o / 1e6 * 15, 4) as saved, round(i / 1e6 * 0.1 + o / 1e6 * 0.2, 4) as executor, case when scope = 'project' then round((select sum(cost) from pc where project_id = 'p1'), 4) end as architect,
+ case when scope = 'project' then round(i / 1e6 * 3 + o / 1e6 * 15 - (i / 1e6 * 0.1 + o / 1e6 * 0.2) - (select sum(cost) from pc where project_id = 'p1'), 4) end as net from s""", "ledger", "runs")
+def scope_costs(spark, d):
+    s = costs.scope_costs(a.runs(spark, d), a.ledger(spark, d), rates(spark), "p1", (3.0, 15.0), (0.1, 0.2))
+    return s.withColumns({c: F.round(c, 4) for c in ("saved", "executor", "architect", "net")})
+
+
+@query("select session, seq, ts, tool from (select *, row_number() over (partition by arguments order by session, seq) as k from session) where k = 1", "session")
+def harvest_dedup(spark, d):
+    return folds.first_wins(a.session(spark, d), "arguments", ["session", "seq"]).select("session", "seq", "ts", "tool")
+
+
+@query(FOLD_L + "select project_id, session_id, model, skill, input from lg where not (session_id in ('s1', 's2', 's3'))", "ledger")
+def unchanged_anti(spark, d):
+    fresh = folds.last_write_wins(a.ledger(spark, d), costs.LEDGER_KEY).select("project_id", "session_id", "model", "skill", "tokens.input")
+    return folds.changed_only(fresh, fresh.where(F.col("session_id").isin("s1", "s2", "s3")))
+
+
+@query("select seq, ts, model from runs order by ts desc, seq limit 25", "runs")
+def runs_newest(spark, d):
+    return sessions.newest(a.runs(spark, d), 25).select("seq", "ts", "model")
+
+
+@query("select seq, lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(ts || '|' || model || '|' || phase_id, ''), lambda c: ascii(c)::ubigint)), lambda h, x: ((xor(h, x) * 16777619) & 4294967295)::ubigint)), 8, '0')) as run_id from runs", "runs")
+def run_id(spark, d):
+    return a.runs(spark, d).select("seq", m.run_id(F.col("ts"), F.col("model"), F.col("phase_id")).alias("run_id"))
+
+
+@query(f"select seq, coalesce(fmt and build and lint and test, false) as gates_pass, reclaimed, round(case when gen_time_s > 0 then output_tokens / gen_time_s end, 6) as tps, {LABEL} as settings from runs", "runs")
+def run_derived(spark, d):
+    r = a.runs(spark, d).select("seq", m.gates_all_pass().alias("gates_pass"), m.reclaimed_total().alias("reclaimed"), m.tokens_per_second(F.col("tokens.output_tokens"), F.col("gen_time_s")).alias("tps"), m.settings_label().alias("settings"))
+    return _R6(r, "tps")
+
+
+@query("& g as (select *, ts - lag(ts) over (partition by session order by seq) as gap from session) select session, min(ts) as started_at, max(ts) as last_ts, max(turn0) as latest_turn, count(*) as events, arg_max(tool, seq) as last_tool, count(case when gap > 0 then 1 end) as gaps, case when count(case when gap > 0 then 1 end) >= 2 then min(case when gap > 0 then gap end) end as gap_min, case when count(case when gap > 0 then 1 end) >= 2 then cast(floor(sum(case when gap > 0 then gap end) / count(case when gap > 0 then 1 end)) as bigint) end as gap_avg, case when count(case when gap > 0 then 1 end) >= 2 then max(case when gap > 0 then gap end) end as gap_max from g group by session", "session")
+def status_fold(spark, d):
+    return sessions.status(a.session(spark, d))
+
+
+@query("select session, seq, tool from session where contains(tool, 'c') and contains(arguments, '7') order by session, seq limit 20", "session")
+def log_search(spark, d):
+    return sessions.search(a.session(spark, d), tool="c", text="7").select("session", "seq", "tool")
+
+
+@query("select session, seq, tool from (select *, row_number() over (partition by session order by seq desc) as k from session) where k <= 10", "session")
+def log_tail(spark, d):
+    return sessions.tail(a.session(spark, d)).select("session", "seq", "tool")
+
+
+@query("select session, seq, tool from session where turn0 = 3", "session")
+def get_turn(spark, d):
+    return sessions.turn(a.session(spark, d), 3).select("session", "seq", "tool")
+
+
+@query("select tool, count(*) as calls, round((count(case when errors = 0 then 1 end) + 1) / (count(*) + 2), 6) as score from session group by tool", "session")
+def tool_scores(spark, d):
+    return _R6(sessions.tool_scores(a.session(spark, d), "errors = 0"), "score")
+
+
+SIG = {
+    "identical_run": "select session, max(n) as value from (select session, i, count(*) as n from (select session, sum(case when same then 0 else 1 end) over (partition by session order by seq) as i from (select *, coalesce(tool = lag(tool) over w and arguments = lag(arguments) over w, false) as same from session window w as (partition by session order by seq))) group by 1, 2) group by 1",
+    "read_only_run": "select session, max(n) as value from (select session, i, count(case when not mutating then 1 end) as n from (select *, sum(case when mutating then 1 else 0 end) over (partition by session order by seq) as i from session) group by 1, 2) group by 1",
+    "empty_run": "select session, max(n) as value from (select session, i, count(case when blank then 1 end) as n from (select *, sum(case when blank then 0 else 1 end) over (partition by session order by seq) as i from session) group by 1, 2) group by 1",
+    "persistence": "select session, max(n) as value from (select session, i, count(*) as n from (select session, errors, sum(case when errors = 0 or p is null or p = 0 or errors < p then 1 else 0 end) over (partition by session order by seq) as i from (select *, lag(errors) over (partition by session order by seq) as p from session)) where errors > 0 group by 1, 2) group by 1",
+    "oscillation": "select session, min(dd) as value from (select session, count(distinct tool) over w as dd, count(*) over w as k from session window w as (partition by session order by seq rows between 7 preceding and current row)) where k = 8 group by 1",
+    "flood": "select session, cast(max(dd) as bigint) as value from (select session, sum(output_bytes) over w as dd, count(*) over w as k from session window w as (partition by session order by seq rows between 5 preceding and current row)) where k = 6 group by 1",
+    "novelty": "select session, dd as value from (select session, count(distinct tool) over w as dd, count(*) over w as k from (select * from (select *, sum(case when mutating then 1 else 0 end) over (partition by session order by seq) as i from session) where not mutating) window w as (partition by session, i order by seq rows between 5 preceding and current row)) where k = 6",
+}
+
+
+def _detector(name: str) -> None:
+    def run(spark, d, f=detectors.SIGNALS[name]):
+        return f(a.session(spark, d)).select("session", "value")
+
+    QUERIES[f"detect_{name}"] = run
+    ORACLE_SQL[f"detect_{name}"] = a.duck("session") + "\n" + SIG[name]
+
+
+for _name in SIG:
+    _detector(_name)
+
+_RANK = "list_sort(list(value))[cast(round({p} * (count(*) - 1)) as int) + 1]"
+
+
+@query("& s as (" + " union all ".join(f"select '{k}' as signal, session, value from ({v})" for k, v in SIG.items()) + """), o as (select signal, session, value, 'm' || (cast(session as bigint) % 3) as model, case when cast(session as bigint) % 2 = 0 then 'complete' else 'hard_fail' end as outcome from s), b as (select * from o union all select signal, session, value, '(all)', outcome from o)
+select signal, model, outcome, count(distinct session) as runs, count(*) as n, """ + f"{_RANK.format(p=0.5)} as p50, case when signal = 'oscillation' then {_RANK.format(p=0.1)} else {_RANK.format(p=0.9)} end as near_tail, case when signal = 'oscillation' then {_RANK.format(p=0.01)} else {_RANK.format(p=0.99)} end as far_tail from b group by 1, 2, 3 having model = '(all)' or count(distinct session) >= 3", "session")
+def calibrate(spark, d):
+    log = a.session(spark, d)
+    who = F.col("session").cast("bigint")
+    outcomes = log.select("session").distinct().select("session", F.concat(F.lit("m"), who % 3).alias("model"), F.when(who % 2 == 0, "complete").otherwise("hard_fail").alias("outcome"))
+    return detectors.calibrate(log, outcomes, min_runs=3)
+
+
+@query("""& w as (select *, count(*) over w3 as c3, count(distinct tool || '|' || arguments) over w3 as d3, bool_or(mutating) over w3 as m3, count(*) over w8 as c8, count(distinct tool) over w8 as d8, bool_or(mutating) over w8 as m8, count(*) over w6 as c6, sum(output_bytes) over w6 as s6, seq - coalesce(max(case when mutating then seq end) over (partition by session order by seq), 0) as since from session
+ window w3 as (partition by session order by seq rows between 2 preceding and current row), w8 as (partition by session order by seq rows between 7 preceding and current row), w6 as (partition by session order by seq rows between 5 preceding and current row)),
+ h as (select session, seq, case when c3 = 3 and d3 = 1 and m3 then 'identical' when output_bytes > 45000 then 'runaway' when c8 = 8 and m8 and d8 between 2 and 2 then 'oscillation' when c6 = 6 and s6 > 200000 then 'flood' when since >= 20 then 'stall' end as detector from w)
+select session, min(seq) as seq, arg_min(detector, seq) as detector from h where detector is not null group by session""", "session")
+def first_hit(spark, d):
+    return detectors.first_hit(a.session(spark, d))
+
+
+def _docs(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _pii(kind: str) -> str:
+    return t.PERSONAL[kind].replace("'", "''")
+
+
+@query("select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{_pii(k)}')) as bigint) as {k}" for k in ("email", "ssn", "ipv4", "mac")) + " from documents")
+def pii_counts(spark, d):
+    return _docs(spark, d).select("doc_id", *[F.size(t.found(F.col("text"), k, unicode=False)).cast("long").alias(k) for k in ("email", "ssn", "ipv4", "mac")])
+
+
+@query(f"""with c as (select doc_id, unnest(regexp_extract_all(text, '{_pii("card")}')) as card from documents), n as (select doc_id, regexp_replace(card, '[^0-9]', '', 'g') as n from c),
+v as (select doc_id, n from n where len(n) between 13 and 19 and list_sum(list_transform(range(len(n)), lambda i: case when i % 2 = 0 then cast(n[len(n) - i] as int) else (2 * cast(n[len(n) - i] as int)) // 10 + (2 * cast(n[len(n) - i] as int)) % 10 end)) % 10 = 0) select doc_id, count(*) as cards from v group by doc_id""")
+def luhn_cards(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(t.cards(F.col("text"), unicode=False)).cast("long").alias("cards")).where("cards > 0")
+
+
+def _secret_sql() -> str:
+    out = "text"
+    for pattern, kind in t.SECRETS:
+        out = f"regexp_replace({out}, '{pattern}', '[REDACTED:{kind}]', 'g')"
+    return f"select doc_id, sha256({out}) as redacted_sha256, {out} <> text as changed from documents"
+
+
+@query(_secret_sql())
+def secret_redaction(spark, d):
+    r = _docs(spark, d).select("doc_id", "text", t.redact_secrets(F.col("text"), unicode=False).alias("r"))
+    return r.select("doc_id", F.sha2(F.col("r").cast("binary"), 256).alias("redacted_sha256"), (F.col("r") != F.col("text")).alias("changed"))
+
+
+@query("select doc_id, sha256(text) as sha256 from documents where doc_id % 10 = 0 or not (text in (select text from documents where doc_id % 10 <> 0))")
+def content_changed(spark, d):
+    """Documents whose content the registry (every tenth one's is missing) does not hold."""
+    docs = _docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    registry = docs.where("doc_id % 10 <> 0").select(F.col("sha256").alias("known")).distinct()
+    new = docs.join(registry, docs["sha256"] == registry["known"], "left_anti")
+    return new.unionByName(docs.where("doc_id % 10 = 0").join(registry, docs["sha256"] == registry["known"], "left_semi"))
+
+
+@query(r"select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^\s!-/:-@\[-`{-~]+'), lambda w: ceil(length(w) / 4))), 0) as bigint) + cast(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) as bigint) as tokens from documents")
+def token_estimate(spark, d):
+    return _docs(spark, d).select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as x from documents where text <> '')), s as (select *, case when line = lag(line) over (partition by doc_id order by i) then 0 else 1 end as b from l), g as (select *, sum(b) over (partition by doc_id order by i) as k from s),
+r as (select doc_id, k, any_value(line) as line, count(*) as n from g group by doc_id, k) select doc_id, sha256(string_agg(line || case when n > 1 then ' (x' || n || ')' else '' end || chr(10), '' order by k)) as folded_sha256 from r group by doc_id""")
+def line_rle(spark, d):
+    return _docs(spark, d).where("text <> ''").select("doc_id", F.sha2(t.collapse_lines(F.col("text")).cast("binary"), 256).alias("folded_sha256"))
+
+
+@query("select doc_id, cast(case when len(x) > 12 then 4 + 1 + 6 else len(x) end as bigint) as n_lines, sha256(array_to_string(case when len(x) > 12 then list_concat(x[1:4], ['… ' || (len(x) - 10) || ' lines omitted …'], x[-6:]) else x end, chr(10))) as shown_sha256 from (select doc_id, string_split(text, chr(10)) as x from documents)")
+def head_tail(spark, d):
+    cut = _docs(spark, d).select("doc_id", t.head_tail(F.split("text", "\n"), 4, 6, 12).alias("x"))
+    return cut.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.sha2(F.array_join("x", "\n").cast("binary"), 256).alias("shown_sha256"))
+
+
+@query("select doc_id, i as line, cast(strlen(regexp_extract(l, '^(.*?)Licensed', 1)) as bigint) + 1 as col from (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as l from (select doc_id, string_split(text, chr(10)) as x from documents)) where contains(l, 'Licensed')")
+def regex_search(spark, d):
+    """First hit of each line: 1-based line and byte column."""
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where(F.contains("l", F.lit("Licensed")))
+    return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), (F.octet_length(F.regexp_extract("l", "^(.*?)Licensed", 1)) + 1).cast("long").alias("col"))
+
+
+@query(r"select f as format, count(*) as n from (select case when contains(text, '<tool_call>') then 'hermes' when regexp_matches(text, '<(function|tool|invoke)[ =>]') then 'xml' when regexp_matches(text, '```(json)?\s*\{') then 'fenced' when regexp_matches(text, '\{[\s\S]*\}') then 'loose_json' when regexp_matches(text, '(?m)^(name|tool):\s*\S+') then 'yaml' else 'text' end as f from documents) group by f")
+def format_detect(spark, d):
+    return _docs(spark, d).groupBy(t.detected_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
+
+
+def _store(spark, d) -> DataFrame:
+    """A store of ledger lines, some blank, broken, of another version or kind."""
+    e = a.ledger(spark, d).where("seq % 4 <> 3")
+    body = F.to_json(F.struct(F.lit("architect_ledger").alias("record"), "project_id", "session_id", "model", "skill", "last_ts", F.when(F.col("seq") % 11 == 0, 0).otherwise(1).alias("schema_version")))
+    value = F.when(F.col("seq") % 13 == 0, "").when(F.col("seq") % 17 == 0, F.substring(body, 1, 20)).when(F.col("seq") % 19 == 0, F.lit('{"schema_version":1,"record":"odd"}')).when(F.col("seq") % 23 == 0, F.lit('{"ts":1}')).otherwise(body)
+    return e.select("seq", value.alias("value"))
+
+
+@query("""& s as (select *, case when seq % 13 = 0 then 'blank' when seq % 17 = 0 then 'malformed' when seq % 19 = 0 then 'other' when seq % 23 = 0 then 'legacy_run' when seq % 11 = 0 then 'other' else 'architect_ledger' end as c from ledger where seq % 4 <> 3),
+k as (select *, max(case when c = 'architect_ledger' then seq end) over (partition by project_id, session_id, model, skill) as last from s) select case when c = 'architect_ledger' and seq < last then 'superseded' else c end as class, count(*) as n, cast(sum(seq) as bigint) as seqs from k group by 1""", "ledger")
+def compact_classes(spark, d):
+    from tracelake.sources import store
+
+    return store.classified(_store(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
