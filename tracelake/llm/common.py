@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
         return []
     rank, count, out = {d: i for i, d in enumerate(chosen)}, dict.fromkeys(values, 0), []
     got = rows.where(F.col("doc_id").isin(chosen) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols).collect()
-    for r in sorted(got, key=lambda r: (rank[r["doc_id"]], *map(repr, r))):  # repeated ids stay within the bound
+    for r in sorted(got, key=lambda r: (rank[r["doc_id"]], zlib.crc32(repr(r).encode("utf-8", "replace")))):  # repeated ids stay within the bound
         count[r["__by"]] += 1
         if count[r["__by"]] <= each:
             out.append(r)

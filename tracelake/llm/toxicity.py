@@ -15,6 +15,7 @@ pieces; repeated rows keep a row each; without labelled rows of both labels ever
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -59,7 +60,7 @@ def odds(toxic: np.ndarray, other: np.ndarray, share: float, k: float = 4.0) ->
 class Lexicon:
     """Log-odds of words and prefixes by bucket."""
 
-    def __init__(self, docs: list[list[str]], y: np.ndarray):
+    def __init__(self, docs: Iterable[list[str]], y: np.ndarray):
         self.counts = np.zeros((2, 2, BUCKETS), np.int32)  # label, word or prefix
         for tokens, label in zip(docs, y):
             w, _, p, _ = buckets(list(dict.fromkeys(tokens)))
@@ -198,11 +199,12 @@ class Network:
 
 
 def train(texts: list[str | None], y: np.ndarray, *, steps: int = STEPS, seed: int = 5) -> tuple[Lexicon, Network]:
-    docs = [words(t) for t in texts]
-    lex, net, rng = Lexicon(docs, y), Network(), np.random.default_rng(seed)
+    # words are cut twice rather than kept: the driver then holds no more than the texts and the chosen windows
+    lex, net, rng = Lexicon((words(t) for t in texts), y), Network(), np.random.default_rng(seed)
     without = {1: lex.odds_without(1, 0), 0: lex.odds_without(0, 1)}
     word, edge, stat, mask, label = [], [], [], [], []
-    for tokens, own in zip(docs, y.tolist()):
+    for text, own in zip(texts, y.tolist()):
+        tokens = words(text)
         parts = buckets(tokens)
         f = statistics(parts, without[own])
         first = list(starts_of(len(tokens)))
