@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, labelled, spread_sample, table, with_text_columns
+from tracelake.llm.common import give_back, held_out, labelled, spread_sample, table, with_text_columns
 
 SAMPLE, WIDTH, STRIDE, HIDDEN, BUCKETS, EMBEDDINGS, DIM, STEPS, BATCH = 3000, 32, 24, 8, 1 << 18, 4096, 4, 300, 256
 MOD, REST = 5, 0
@@ -276,7 +276,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int
     y = np.array([r["y"] for r in got], int)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return train([r["text"] for r in got], y)
+    texts = [r["text"] for r in got]
+    del got
+    model = train(texts, y)
+    model[0].counts = None  # only the tables are needed from here on
+    del texts
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
