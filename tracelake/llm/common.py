@@ -62,17 +62,6 @@ def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
     return out
 
 
-def give_back() -> None:
-    """Return what a fit on the driver has freed to the system; glibc keeps it otherwise. Does nothing elsewhere."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, text: str = "text", most_chars: int = 4_000_000) -> DataFrame:
     """docs' columns in keep, untouched, and those in added (DDL), which make() computes from the texts.
 
