@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,24 +44,50 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
     return d.join(y, d["doc_id"] == y["l_id"]).select("doc_id", "text", "y")
 
 
-def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
-    """At most `each` rows for every value of `by` (few values), chosen by a hash of doc_id, so that the choice does not
-    depend on partitioning. The bound of a classifier's training sample. Only ids are ranked; the other columns are then
-    fetched for the chosen ids alone."""
+def _sampled(rows: DataFrame, by: str, each: int, cols: tuple[str, ...]):
+    """The rows of at most `each` ids for every value of `by`, and a function that orders them and holds the bound."""
     ids = rows.select(by, "doc_id").where(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
     values = sorted(r[0] for r in ids.select(by).distinct().limit(256).collect())
     chosen = []
     for v in values:
         chosen += [r[0] for r in ids.where(F.col(by) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id").collect()]
+
+    def ordered(got: list) -> list:
+        rank, count, out = {d: i for i, d in enumerate(chosen)}, dict.fromkeys(values, 0), []
+        for r in sorted(got, key=lambda r: (rank[r["doc_id"]], zlib.crc32(repr(r).encode("utf-8", "replace")))):  # repeated ids stay within the bound
+            count[r["__by"]] += 1
+            if count[r["__by"]] <= each:
+                out.append(r)
+        return out
+
     if not chosen:
-        return []
-    rank, count, out = {d: i for i, d in enumerate(chosen)}, dict.fromkeys(values, 0), []
-    got = rows.where(F.col("doc_id").isin(chosen) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols).collect()
-    for r in sorted(got, key=lambda r: (rank[r["doc_id"]], zlib.crc32(repr(r).encode("utf-8", "replace")))):  # repeated ids stay within the bound
-        count[r["__by"]] += 1
-        if count[r["__by"]] <= each:
-            out.append(r)
-    return out
+        return None, ordered
+    return rows.where(F.col("doc_id").isin(chosen) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols), ordered
+
+
+def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
+    """At most `each` rows for every value of `by` (few values), chosen by a hash of doc_id, so that the choice does not
+    depend on partitioning. The bound of a classifier's training sample. Only ids are ranked; the other columns are then
+    fetched for the chosen ids alone."""
+    got, ordered = _sampled(rows, by, each, cols)
+    return [] if got is None else ordered(got.collect())
+
+
+def fit_on_sample(rows: DataFrame, by: str, each: int, cols: tuple[str, ...], fit: Callable[[list], object]):
+    """fit() of the rows (by column name) that spread_sample() would choose, run in one task of an executor: the driver
+    holds the chosen ids and the model, neither the texts nor what the training needs."""
+    got, ordered = _sampled(rows, by, each, cols)
+    if got is None:
+        return fit([])
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = pickle.dumps(fit(ordered([r for b in batches for r in b.to_pylist()])))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = got.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if made is None else pickle.loads(bytes(made["model"]))
 
 
 def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, text: str = "text", most_chars: int = 4_000_000) -> DataFrame:

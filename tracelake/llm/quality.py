@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, labelled, spread_sample, table
+from tracelake.llm.common import fit_on_sample, held_out, labelled, table
 
 SAMPLE, TREES, DEPTH, L1 = 6000, 24, 3, 2e-3
 THRESHOLD = 0.7
@@ -169,9 +169,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: in
     rows = labelled(docs, labels, label, mod, rest)
     share = rows.agg(F.avg("y")).first()[0]
     stats = statistics(F.col("text"))
-    got = spread_sample(rows.select("doc_id", "y", *[c.alias(k) for k, c in stats.items()]), "y", sample, "y", *stats)
-    data = np.array([[r[k] for k in stats] for r in got], float).reshape(-1, len(stats))
-    return fit(data, np.array([r["y"] for r in got], int), list(stats), 0.5 if share is None else float(share))
+    names, share = list(stats), 0.5 if share is None else float(share)
+
+    def train(got: list) -> Rules:
+        data = np.array([[r[k] for k in names] for r in got], float).reshape(-1, len(names))
+        return fit(data, np.array([r["y"] for r in got], int), names, share)
+
+    return fit_on_sample(rows.select("doc_id", "y", *[c.alias(k) for k, c in stats.items()]), "y", sample, ("y", *names), train)
 
 
 def scored(docs: DataFrame, rules: Rules, *, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

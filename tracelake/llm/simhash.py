@@ -150,18 +150,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that can be reached, for every node of an edge. Alternates large-star and small-star."""
     ensure_shared(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    while not e.isEmpty():
+    digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = digest(e)
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        e0 = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e1 = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
-        if e0 == e1:
+        e = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        after = digest(e)
+        if before == after:
             break
+        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, labelled, spread_sample, table, with_text_columns
+from tracelake.llm.common import fit_on_sample, held_out, labelled, table, with_text_columns
 
 SAMPLE, WIDTH, STRIDE, HIDDEN, BUCKETS, EMBEDDINGS, DIM, STEPS, BATCH = 3000, 32, 24, 8, 1 << 18, 4096, 4, 300, 256
 MOD, REST = 5, 0
@@ -272,11 +272,14 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = MOD, rest: int = REST, sample: int = SAMPLE):
     rows = labelled(docs, labels, label, mod, rest).where("y in (0, 1)")
-    got = spread_sample(rows, "y", sample, "y", "text")
-    y = np.array([r["y"] for r in got], int)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    return train([r["text"] for r in got], y)
+
+    def fit(got: list):
+        y = np.array([r["y"] for r in got], int)
+        if not len(y) or y.min() == y.max():
+            return float(y.mean()) if len(y) else 0.0
+        return train([r["text"] for r in got], y)
+
+    return fit_on_sample(rows, "y", sample, ("y", "text"), fit)
 
 
 def scored(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
