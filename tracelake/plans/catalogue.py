@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import metrics as m
+from tracelake.functions import present as pr
 from tracelake.functions import text as t
 from tracelake.operators import costs, detectors, folds, scorecard, sessions
 from tracelake.plans import adapters as a
@@ -297,3 +298,102 @@ def compact_classes(spark, d):
     from tracelake.sources import store
 
     return store.classified(_store(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+TOOLS = ["read_file", "bash", "patch", "search", "update_task", "symbols", "move_file", "odd_tool"]
+_TOOL_SQL = "list_extract(['read_file', 'bash', 'patch', 'search', 'update_task', 'symbols', 'move_file', 'odd_tool'], cast(seq % 8 + 1 as int))"
+
+
+def _calls(spark, d) -> DataFrame:
+    return a.session(spark, d).withColumn("called", F.element_at(F.array(*map(F.lit, TOOLS)), (F.col("seq") % 8 + 1).cast("int")))
+
+
+@query(f"& c as (select *, {_TOOL_SQL} as t from session) select t as called, case when t in ('read_file', 'symbols') then 'read' when t in ('patch', 'move_file') then 'write' when t = 'search' then 'search' when t = 'bash' then 'run' when t = 'update_task' then 'meta' end as category, t in ('patch', 'move_file') as mutating, count(*) as n from c group by t", "session")
+def tool_categories(spark, d):
+    n = _calls(spark, d).groupBy("called").agg(F.count("*").alias("n"))
+    return n.select("called", pr.tool_category(F.col("called")).alias("category"), pr.mutates(F.col("called")).alias("mutating"), "n")
+
+
+@query(f"& c as (select session, seq, {_TOOL_SQL} as t, arguments from session), l as (select session, t || arguments as path, max(seq) as last from c where t in ('patch', 'move_file') group by 1, 2), r as (select *, row_number() over (partition by session order by last desc) as k from l) select session, path, last, k as rank from r where k <= 5", "session")
+def newest_mutated(spark, d):
+    """Of every session, the five files changed last."""
+    files = _calls(spark, d).where(pr.mutates(F.col("called"))).groupBy("session", F.concat("called", "arguments").alias("path")).agg(F.max("seq").alias("last"))
+    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last"))).cast("long")
+    return files.withColumn("rank", rank).where("rank <= 5")
+
+
+@query("& n as (select seq, (select max(ts) from runs) - ts as age from runs), s as (select seq, age // 1000 as s from n) select seq, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' when s < 86400 then (s // 3600) || 'h' else (s // 86400) || 'd' end as age, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' else (s // 3600) || 'h' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'm' end as span from s", "runs")
+def age_labels(spark, d):
+    r = a.runs(spark, d).select("seq", "ts")
+    old = r.crossJoin(F.broadcast(r.agg(F.max("ts").alias("now")))).withColumn("old", F.col("now") - F.col("ts"))  # one row
+    return old.select("seq", pr.age(F.col("old")).alias("age"), pr.age(F.col("old"), days=False).alias("span"))
+
+
+@query("select p_partkey, case when p_partkey % 4 = 0 then p_name else 'M' || p_size || ' — ' || array_to_string(list_transform(string_split(replace(p_name, ' ', '-'), '-'), lambda w: upper(w[1:1]) || w[2:]), ' ') end as label from part")
+def milestone_labels(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    folder = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat(F.lit("M"), "p_size", F.lit("-"), F.translate("p_name", " ", "-")))
+    return p.select("p_partkey", pr.milestone_label(folder).alias("label"))
+
+
+@query(r"with e as (select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^\s!-/:-@\[-`{-~]+'), lambda w: ceil(length(w) / 4))), 0) as bigint) + cast(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) as bigint) as tokens, n_chars * 27 // 100 as ceiling from documents) select doc_id, ceiling, tokens >= ceiling as overflows, case when ceiling = 0 then 0 else round(tokens / ceiling, 6) end as used from e")
+def budget_use(spark, d):
+    """Estimated tokens against 27 % of the characters as a context; equality overflows."""
+    e = spark.read.parquet(f"{d}/documents.parquet")
+    e = e.select("doc_id", t.token_estimate(F.col("text")).alias("tokens"), pr.budget_ceiling(F.col("n_chars"), 27).alias("ceiling"))
+    return e.select("doc_id", "ceiling", (F.col("tokens") >= F.col("ceiling")).alias("overflows"), F.round(pr.budget_used(F.col("tokens"), F.col("ceiling")), 6).alias("used"))
+
+
+@query("with x as (select doc_id, string_split(text, chr(10)) as x from documents) select doc_id, len(x) < 3 as past_end, case when len(x) >= 3 then sha256(array_to_string(x[3:502], chr(10))) end as range_sha256 from x")
+def range_read(spark, d):
+    """Lines from the third on, 500 at most; a start behind the last line is an error, not an empty range."""
+    x = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("x"))
+    return x.select("doc_id", (F.size("x") < 3).alias("past_end"), F.when(F.size("x") >= 3, F.sha2(F.array_join(F.slice("x", 3, 500), "\n").cast("binary"), 256)).alias("range_sha256"))
+
+
+@query("& g as (select l_suppkey, l_returnflag as severity, case when l_linenumber > 1 then cast(l_linenumber as varchar) end as code, l_linestatus as message, l_orderkey from lineitem), b as (select distinct l_suppkey, severity, code, message from g where l_orderkey % 2 = 0) select severity, n is not null as known, count(*) as diagnostics from (select g.*, (select 1 from b where b.l_suppkey = g.l_suppkey and b.severity = g.severity and b.message = g.message and b.code is not distinct from g.code) as n from g where l_orderkey % 2 = 1) group by 1, 2".replace("& g as", "with g as", 1))
+def diagnostics_partition(spark, d):
+    """Findings against a baseline by path, severity, code (null equals null) and message."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    keys = [F.col("l_suppkey").alias("path"), F.col("l_returnflag").alias("severity"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).alias("code"), F.col("l_linestatus").alias("message")]
+    now, base = li.where("l_orderkey % 2 = 1").select(*keys), li.where("l_orderkey % 2 = 0").select(*keys).distinct().withColumn("known", F.lit(True)).alias("b")
+    n = now.groupBy("path", "severity", "code", "message").agg(F.count("*").alias("n")).alias("a")  # narrow before the join
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("path", "severity", "code", "message")]
+    return n.join(base, on, "left").groupBy("a.severity", F.coalesce("known", F.lit(False)).alias("known")).agg(F.sum("n").alias("diagnostics"))
+
+
+@query("& m as (select max(ts) as now from runs) select project_id, count(*) as kept from runs, m where ts >= greatest(now - 2592000000, 0) group by project_id", "runs")
+def runs_within_ttl(spark, d):
+    """What pruning keeps: thirty days, the boundary included."""
+    r = a.runs(spark, d).select("ts", "project_id")
+    return r.join(F.broadcast(r.agg(F.max("ts").alias("now"))), F.col("ts") >= F.greatest(F.col("now") - 30 * 86_400_000, F.lit(0))).groupBy("project_id").agg(F.count("*").alias("kept"))
+
+
+@query("select c_mktsegment as kind, count(*) as entries, cast(max(c_nationkey) as bigint) as highest from customer group by 1")
+def pseudonym_counters(spark, d):
+    """Of tokens Kind_N: entries and the highest number of each kind."""
+    token = spark.read.parquet(f"{d}/customer.parquet").select(F.concat_ws("_", "c_mktsegment", "c_nationkey").alias("token"))
+    parts = token.select(F.regexp_extract("token", "^(.*)_([0-9]+)$", 1).alias("kind"), F.regexp_extract("token", "^(.*)_([0-9]+)$", 2).cast("long").alias("n"))
+    return parts.groupBy("kind").agg(F.count("*").alias("entries"), F.max("n").alias("highest"))
+
+
+@query("select p_partkey, cast(levenshtein(p_type, 'ECONOMY BRASS') as bigint) as distance from part where levenshtein(p_type, 'ECONOMY BRASS') <= 12")
+def near_names(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_type", F.lit("ECONOMY BRASS"), 12).cast("long").alias("distance"))
+    return p.where("distance >= 0")
+
+
+@query("& n as (select o_orderstatus as s, c_custkey from customer left join (select o_custkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1) on o_custkey = c_custkey) select coalesce(s, 'pending') as state, count(*) as tasks from n group by 1".replace("& n as", "with n as", 1))
+def task_coverage(spark, d):
+    """The last state of every task; one that never had a state is pending."""
+    last = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
+    tasks = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    return tasks.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.coalesce("s", F.lit("pending")).alias("state")).agg(F.count("*").alias("tasks"))
+
+
+@query("& p as (select session, seq, tool, errors, lead(seq) over w as next, lead(errors) over w as next_errors, lead(mutating) over w as m from session window w as (partition by session order by seq)) select session, seq, next as result_seq, next_errors as result_errors from p where not (tool = 'purchase') and m", "session")
+def call_results(spark, d):
+    """A call is paired with the row after it, if that is a result."""
+    w = Window.partitionBy("session").orderBy("seq")
+    p = a.session(spark, d).select("session", "seq", "tool", F.lead("seq").over(w).alias("result_seq"), F.lead("errors").over(w).alias("result_errors"), F.lead("mutating").over(w).alias("m"))
+    return p.where("tool <> 'purchase' and m").select("session", "seq", "result_seq", "result_errors")
