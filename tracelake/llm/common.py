@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import tempfile
 import zlib
@@ -27,6 +28,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def nothing_broadcast(spark: SparkSession):
+    """Joins planned inside are between shuffled sides: for tables that all grow with the documents, so that the driver
+    neither collects nor serves any of them. What the session had is put back."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    had = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, v in had.items():
+            if v is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
