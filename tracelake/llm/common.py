@@ -31,11 +31,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 @contextlib.contextmanager
 def nothing_broadcast(spark: SparkSession):
     """Joins planned inside are between shuffled sides: for tables that all grow with the documents, so that the driver
-    neither collects nor serves any of them. What the session had is put back."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    had = {n: spark.conf.get(n, None) for n in names}
-    for n in names:
-        spark.conf.set(n, "-1")
+    neither collects nor serves any of them. Constraints are not inferred either: a checkpointed table carries them on,
+    and over the rounds of a loop they multiply in the driver. What the session had is put back."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.constraintPropagation.enabled": "false"}
+    had = {n: spark.conf.get(n, None) for n in off}
+    for n, v in off.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:

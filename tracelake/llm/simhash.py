@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm.common import ensure_shared, nothing_broadcast, table, with_text_columns
 
@@ -208,6 +210,92 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return list({xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode("utf-8", "surrogatepass"), 42) - (1 << 63) for i in range(max(1, len(w) - shingle + 1))})
 
 
+def _greedy(similarity: float):
+    """Rows (comp, bucket, mode, key, sh), sorted so that groups (comp, bucket) and modes come together -> the keys that
+    are similar to an earlier one of their group. Mode 0: compares with nothing, others compare with it; 1: is compared
+    only; 2: is compared and, if it is similar to none, others compare with it.
+
+    sh is sorted. Two sets of Jaccard index s share one of the least n - ceil(s n) + 1 hashes of each, which are indexed.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, held, index = None, [], {}
+        for b in batches:
+            comp, bucket, mode = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))
+            values, ends = b.column(4).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(4).value_lengths().to_numpy(zero_copy_only=False))
+            found, start = [], 0
+            for i in range(b.num_rows):
+                if (comp[i], bucket[i]) != at:
+                    at, held, index = (comp[i], bucket[i]), [], {}
+                own, start = values[start : ends[i]], int(ends[i])
+                n = len(own)
+                least = own[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tolist()
+                similar = False
+                if mode[i]:
+                    for j in {j for h in least for j in index.get(h, ())}:
+                        m = len(held[j])
+                        if min(n, m) >= similarity * max(n, m):
+                            common = len(np.intersect1d(own, held[j], assume_unique=True))
+                            if common / (n + m - common) >= similarity:
+                                similar = True
+                                break
+                if similar:
+                    found.append(i)
+                elif mode[i] != 1:
+                    for h in least:
+                        index.setdefault(h, []).append(len(held))
+                    held.append(own.copy())
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(found, pa.int64()))], names=["key"])
+
+    return run
+
+
+def _passed(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: comp, bucket, mode, none, keep, key, sh."""
+    placed = rows.repartition("comp", "bucket").sortWithinPartitions("comp", "bucket", "mode", "none", "keep", "key")
+    return placed.select("comp", "bucket", "mode", "key", "sh").mapInArrow(_greedy(similarity), "key binary")
+
+
+def redundant(rest: DataFrame, similarity: float, *, members: int = 256, weight: int = 2_000_000, first: int = 64) -> DataFrame:
+    """The keys of (comp, key, keep, sh: sorted shingle hashes) that are similar to a row that stays, of less keep, in comp.
+
+    A component of at most `members` rows and `weight` shingles is read in order of keep by one task. From a larger one
+    the `first` rows (at most `weight` shingles, one row at least) are decided so; those that stay are sent to every
+    bucket of some `members` rows of the component, and what is similar to none of them goes on to the next round. No
+    task holds more than `weight` shingles and one text, however large a component is, and no row is left out.
+    """
+    gone = []
+    salt = F.pmod(F.xxhash64("key"), F.lit(1024))
+    while True:
+        narrow = rest.select("comp", "key", "keep", F.col("keep").isNull().alias("none"), F.size("sh").cast("long").alias("w"))
+        sizes = narrow.groupBy("comp").agg(F.count("*").alias("n"), F.sum("w").alias("all")).where("n > 1")
+        of = narrow.join(sizes, "comp").withColumn("big", (F.col("n") > members) | (F.col("all") > weight)).drop("all").checkpoint()
+        texts = rest.select("key", "sh")
+        small = of.where("not big").join(texts, "key").select("*", F.lit(0).cast("long").alias("bucket"), F.lit(2).alias("mode"))
+        gone.append(_passed(small, similarity).checkpoint())
+        big = of.where("big")
+        if big.isEmpty():
+            break
+        order = [F.col("none"), F.col("keep"), F.col("key")]
+        near = big.withColumn("r", F.row_number().over(Window.partitionBy("comp", salt).orderBy(*order))).where(F.col("r") <= first)
+        running = Window.partitionBy("comp").orderBy(*order)
+        near = near.withColumn("r", F.row_number().over(running)).withColumn("before", F.sum("w").over(running.rowsBetween(Window.unboundedPreceding, -1)))
+        near = near.where((F.col("r") <= first) & ((F.col("r") == 1) | (F.col("before") + F.col("w") <= weight))).drop("r", "before")
+        near = near.join(texts, "key").checkpoint()
+        out = _passed(near.select("*", F.lit(0).cast("long").alias("bucket"), F.lit(2).alias("mode")), similarity).checkpoint()
+        gone.append(out)
+        buckets = F.ceil(F.col("n") / members)
+        staying = near.join(out, "key", "left_anti").select("*", F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)).alias("bucket"), F.lit(0).alias("mode"))
+        others = big.join(near.select("key"), "key", "left_anti").join(texts, "key")
+        others = others.select("*", F.pmod(F.xxhash64("key"), buckets).alias("bucket"), F.lit(1).alias("mode"))
+        out = _passed(staying.unionByName(others), similarity).checkpoint()
+        gone.append(out)
+        rest = others.join(out, "key", "left_anti").select("comp", "key", "keep", "sh").checkpoint()
+    return reduce(DataFrame.union, gone)
+
+
 def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, seeds: int = 8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """The rows of docs without near-duplicates: of each group, the row of least doc_id stays. Two texts are near-duplicates
     if the Jaccard index of their word shingles is at least `similarity`.
@@ -215,8 +303,8 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
     1. Texts with the same words (lower-cased) are copies; one of them stands for all.
     2. Candidates: SimHash of the word set under `seeds` mixings, covering LSH within `radius` bits for each. A pair with
        shingle similarity 0.8 differs in some four bits of 64, so one of eight fingerprints is within three almost surely.
-    3. In each component of candidates the least doc_id is a representative; members similar to it by exact comparison
-       go, the others elect the next one, until none is left. Nothing is compared pair by pair.
+    3. In each component of candidates, by ascending doc_id, a text goes if it is similar (by exact comparison) to one
+       that stays; redundant() does so in bounded tasks.
     """
     spark = docs.sparkSession
     ensure_shared(spark)
@@ -240,17 +328,9 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
         near = near.join(near.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp"), "comp").checkpoint()
 
         texts = d.select(F.col("__key").alias("key"), "doc_id", "text").join(near, "key").where(F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["key"])
-        rest = with_text_columns(texts, ["comp", "key", "keep"], lambda: lambda t: [[shingle_hashes(x, shingle) for x in t]], "sh array<long>").checkpoint()
-        gone = None
-        while not rest.isEmpty():
-            first = rest.groupBy("comp").agg(F.min(F.struct(F.col("keep").isNull().alias("none"), "keep", "key")).alias("m")).select("comp", F.col("m.key").alias("rep"))
-            rep = rest.join(first, "comp").where("key = rep").select("comp", "rep", F.col("sh").alias("rsh"))
-            common = F.size(F.array_intersect("sh", "rsh"))
-            with_rep = rest.join(rep, "comp").where("key <> rep").select("comp", "key", "keep", "sh", (common / (F.size("sh") + F.size("rsh") - common) >= similarity).alias("dup")).checkpoint()
-            drop = with_rep.where("dup").select("key")
-            gone = drop if gone is None else gone.union(drop)
-            rest = with_rep.where("not dup").drop("dup")
-    kept = keys.select("key", "keep") if gone is None else keys.select("key", "keep").join(gone, "key", "left_anti")
+        rest = with_text_columns(texts, ["comp", "key", "keep"], lambda: lambda t: [[sorted(shingle_hashes(x, shingle)) for x in t]], "sh array<long>").checkpoint()
+        gone = redundant(rest, similarity)
+        kept = keys.select("key", "keep").join(gone, "key", "left_anti").checkpoint()
     out = d.join(kept, (d["__key"] == kept["key"]) & d["doc_id"].eqNullSafe(kept["keep"])).dropDuplicates(["__key", "doc_id"])
     return out.select(*docs.columns)
 
