@@ -129,20 +129,20 @@ def compared(groups: DataFrame, radius: int) -> DataFrame:
 
 def links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, levels: int = 4) -> DataFrame:
     """Links (a, b) that connect what links at `radius` or fewer bits connect inside each grp. members: (grp, fp), distinct."""
+    ensure_shared(members.sparkSession)
     out = None
     for level in range(levels):
-        groups = dealt(members, radius, level)
+        groups = dealt(members, radius, level).repartition("grp")  # the only shuffle of a level: counts and join keep it
         if level:
             groups = groups.distinct()
         sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+        met = groups.join(sizes, "grp").checkpoint()
         last = level == levels - 1
-        small = groups.join(sizes if last else sizes.where(F.col("n") <= hot), "grp")
-        found = compared(small.repartition("grp").sortWithinPartitions("grp"), radius)
+        found = compared((met if last else met.where(F.col("n") <= hot)).repartition("grp").sortWithinPartitions("grp"), radius)
         out = found if out is None else out.unionByName(found)
         if last:
             break
-        ensure_shared(members.sparkSession)
-        members = groups.join(sizes.where(F.col("n") > hot).select("grp"), "grp").checkpoint()
+        members = met.where(F.col("n") > hot).select("grp", "fp")
         if members.isEmpty():
             break
     return out.distinct()
