@@ -258,7 +258,7 @@ def _passed(rows: DataFrame, similarity: float) -> DataFrame:
     return placed.select("comp", "bucket", "mode", "key", "sh").mapInArrow(_greedy(similarity), "key binary")
 
 
-def redundant(rest: DataFrame, similarity: float, *, members: int = 256, weight: int = 2_000_000, first: int = 64) -> DataFrame:
+def redundant(rest: DataFrame, similarity: float, *, members: int = 2048, weight: int = 2_000_000, first: int = 512) -> DataFrame:
     """The keys of (comp, key, keep, sh: sorted shingle hashes) that are similar to a row that stays, of less keep, in comp.
 
     A component of at most `members` rows and `weight` shingles is read in order of keep by one task. From a larger one
