@@ -137,6 +137,34 @@ def test_deduplicated(spark, edge):
     assert simhash.deduplicated(edge).columns == edge.columns
 
 
+def shingled(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_deduplicated_finds_every_similar_pair(spark, hot):
+    """Appended blocks, truncations and scattered changes, each with its original alone, against brute force."""
+    r, texts, common = random.Random(11), [], [f"c{i}" for i in range(12)]
+    for i in range(72):
+        w = common + [f"w{r.randrange(10**6)}" for _ in range(240)]
+        n = r.randrange(10, 62)
+        if i % 3 == 0:
+            copy = w + [f"v{r.randrange(10**6)}" for _ in range(n)]
+        elif i % 3 == 1:
+            copy = w[: len(w) - n]
+        else:
+            copy = w[:]
+            for at in r.sample(range(len(w)), n // 10):
+                copy[at] = f"v{r.randrange(10**6)}"
+        texts += [" ".join(w), " ".join(copy)]
+    sets = [shingled(t) for t in texts]
+    want = [k for k in range(len(texts)) if not (k % 2 and len(sets[k] & sets[k - 1]) / len(sets[k] | sets[k - 1]) >= 0.8)]
+    assert 72 < len(want) < 120
+    got = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot)
+    assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
 def test_decontamination_edges(spark, edge):
     bench = spark.createDataFrame([(1, " ".join(["word"] * 14)), (2, "ONE"), (3, None), (4, "!!")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.search(edge, bench)).collect()}

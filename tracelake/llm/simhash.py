@@ -149,7 +149,7 @@ def links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, levels: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that can be reached, for every node of an edge. Alternates large-star and small-star."""
+    """(node, root): the least node that can be reached, for every node of an edge but the roots. Alternates large-star and small-star."""
     ensure_shared(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -168,6 +168,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """components() with a row for the roots too."""
+    c = components(edges)
+    return c.union(c.select("root", "root").distinct())
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -185,24 +191,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return fps.join(by_fp, fps["fp"] == by_fp["k"], "left").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: str | None, seeds: int) -> list[int]:
-    """Fingerprints of the set of words, each under another mixing of the words' hashes. A few changed words move few bits."""
-    import xxhash
-
-    h = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in set(_WORD.findall((text or "").translate(_LOWER)))]
-    if not h:
-        return [0] * seeds
-    x, out = np.array(h, np.uint64), []
-    for s in range(seeds):
-        z = x + np.uint64((0x9E3779B97F4A7C15 * (s + 1)) % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones = np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     import xxhash
 
@@ -296,39 +284,163 @@ def redundant(rest: DataFrame, similarity: float, *, members: int = 2048, weight
     return reduce(DataFrame.union, gone)
 
 
-def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, seeds: int = 8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def _least(n: int, similarity: float) -> int:
+    """Of two sets of Jaccard index `similarity` or more, ordered alike, the first so many members of each share one."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, sample: int) -> dict[int, int]:
+    """Shingles that some `sample` documents, chosen by a hash, repeat, and in how many. They only order the shingles: whatever
+    the order, no similar pair is missed."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-docs.count() // sample)))) == 0)
+    each = with_text_columns(some.select("text").distinct(), [], lambda: lambda t: [[shingle_hashes(x, shingle) for x in t]], "sh array<long>")
+    often = each.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    return {r["s"]: r["n"] for r in often.orderBy(F.desc("n"), "s").limit(100_000).collect()}
+
+
+def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(id, least id of its component) of the similar pairs of sets of different sides (side -1: of any two)."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))  # rarest first, so that common shingles give no candidates
+    at = rank[at]
+    order = np.lexsort((at, owner))
+    at = at[order]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    own = [at[starts[i] : starts[i + 1]] for i in range(len(sets))]
+
+    def posting(ranks: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        o = np.argsort(ranks, kind="stable")
+        return who[o], np.searchsorted(ranks[o], np.arange(len(rank) + 1))
+
+    first = [x[: _least(len(x), similarity)] for x in own]
+    few, few_at = posting(np.concatenate(first), np.repeat(np.arange(len(sets)), [len(x) for x in first]))
+    all_, all_at = posting(at, owner)
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        c = np.concatenate([few[few_at[r] : few_at[r + 1]] for r in first[i].tolist()])
+        c = c[(c < i) & (label[c] != label[i])]
+        c = np.unique(c[(sides[c] != sides[i]) | (sides[c] < 0)])
+        c = c[np.minimum(size[c], size[i]) >= similarity * np.maximum(size[c], size[i])]
+        if len(c) > 32:
+            common = np.bincount(np.concatenate([all_[all_at[r] : all_at[r + 1]] for r in own[i].tolist()]), minlength=len(sets))[c]
+        else:
+            common = np.array([len(np.intersect1d(own[i], own[j], assume_unique=True)) for j in c.tolist()], np.int64)
+        for j in c[common / (size[c] + size[i] - common) >= similarity].tolist():
+            if label[i] != label[j]:
+                label[label == label[i]] = label[j]
+    least: dict[int, int] = {}
+    for x, k in zip(ids, label.tolist()):
+        least[k] = min(x, least.get(k, x))
+    return [(x, least[k]) for x, k in zip(ids, label.tolist()) if x != least[k]]
+
+
+def tiled(members: DataFrame, similarity: float, *, most: int = 1024, weight: int = 1_000_000) -> DataFrame:
+    """Links (a, b) that connect what the similar pairs inside each grp connect. members: grp, node, sh.
+
+    A grp is cut into tiles of some `most` rows and `weight` shingles; every two tiles meet in a task of their own.
+    """
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.size("sh")) / weight)).alias("t"))
+    each = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(i == j, -1).otherwise((F.col("own") == i).cast("int"))
+    placed = each.select("grp", i.alias("i"), j.alias("j"), side.alias("side"), "node", "sh").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, ids, sides, sets = None, [], [], []
+
+        def done():
+            found = _spanning(ids, np.array(sides), sets, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(5)]
+            values, ends = b.column(5).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(5).value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            for r in range(b.num_rows):
+                if (group := (cols[0][r], cols[1][r], cols[2][r])) != at:
+                    yield done()
+                    at, ids, sides, sets = group, [], [], []
+                ids.append(cols[4][r])
+                sides.append(cols[3][r])
+                sets.append(values[ends[r - 1] if r else 0 : ends[r]].copy())
+        yield done()
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def similar_links(firsts: DataFrame, hashed, similarity: float, *, hot: int = 256) -> DataFrame:
+    """Links (a, b) of nodes that connect exactly what pairs of Jaccard index `similarity` or more connect.
+
+    firsts: node, n (its shingles), first (the first of them in an order all nodes share, _least() many). hashed(nodes)
+    gives node, sh of some nodes. Two nodes are candidates if they share one of their first shingles and their sizes
+    allow it. A shingle of more than `hot` nodes is not paired: nodes that such shingles connect are compared in tiles.
+    """
+    ensure_shared(firsts.sparkSession)
+    posts = firsts.select(F.explode("first").alias("s"), "node", "n").repartition("s")
+    sizes = posts.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
+    met = posts.join(sizes, "s").checkpoint()
+    common = met.where(F.col("m") > hot)
+    groups = rooted(common.select(F.col("node").alias("a"), F.col("least").alias("b"))).select("node", F.col("root").alias("grp")).checkpoint()
+    many = tiled(hashed(groups.select("node")).join(groups, "node").select("grp", "node", "sh"), similarity).distinct().checkpoint()
+
+    one = F.struct("node", "n")
+    lists = met.where(F.col("m") <= hot).groupBy("s").agg(F.sort_array(F.collect_list(one)).alias("l")).select("l").distinct()
+    each = lists.select("l", F.explode("l").alias("x"))
+    fits = lambda y: (y["node"] > F.col("x.node")) & (F.least(y["n"], F.col("x.n")) >= similarity * F.greatest(y["n"], F.col("x.n")))
+    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.node").alias("b")).distinct()
+    done = components(many).checkpoint()  # pairs that the tiles have connected need no comparison
+    for c in ("a", "b"):
+        pairs = pairs.join(done.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").checkpoint()
+    sh = hashed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()).checkpoint()
+    for c in ("a", "b"):
+        pairs = pairs.join(sh.select(F.col("node").alias(c), F.col("sh").alias(f"s{c}")), c)
+    both = F.size(F.array_intersect("sa", "sb"))
+    few = pairs.where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b").checkpoint()
+    return many.union(few)
+
+
+def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sample: int = 16_384, hot: int = 256) -> DataFrame:
     """The rows of docs without near-duplicates: of each group, the row of least doc_id stays. Two texts are near-duplicates
     if the Jaccard index of their word shingles is at least `similarity`.
 
     1. Texts with the same words (lower-cased) are copies; one of them stands for all.
-    2. Candidates: SimHash of the word set under `seeds` mixings, covering LSH within `radius` bits for each. A pair with
-       shingle similarity 0.8 differs in some four bits of 64, so one of eight fingerprints is within three almost surely.
-    3. In each component of candidates, by ascending doc_id, a text goes if it is similar (by exact comparison) to one
-       that stays; redundant() does so in bounded tasks.
+    2. similar_links() finds what is connected by pairs of that index or more; it misses none.
+    3. In each component, by ascending doc_id, a text goes if it is similar to one that stays; redundant() does so in
+       bounded tasks.
     """
     spark = docs.sparkSession
     ensure_shared(spark)
     words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     d = docs.select("*", F.unhex(F.md5(words.cast("binary"))).alias("__key"))
+    often = spark.sparkContext.broadcast(frequent_shingles(docs, shingle, sample))
 
     def make():
-        return lambda texts: [[word_fingerprints(t, seeds) for t in texts]]
+        count = often.value
+
+        def first(text: str | None) -> list[int]:
+            s = shingle_hashes(text, shingle)
+            return [len(s), *sorted(s, key=lambda x: (count.get(x, 0), x))[: _least(len(s), similarity)]]
+
+        return lambda texts: [[first(t) for t in texts]]
 
     with nothing_broadcast(spark):
-        each = with_text_columns(d, ["doc_id", "__key"], make, "fps array<long>")
-        keys = each.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("keep"), F.min("fps").alias("fps")).checkpoint()
-        node = F.xxhash64("key")
-        by_fp = keys.select(node.alias("h"), F.posexplode("fps").alias("grp", "fp")).withColumn("grp", F.col("grp").cast("long"))
-        found = links(by_fp.select("grp", "fp").distinct(), radius, hot).checkpoint()
-        shared = by_fp.groupBy("fp").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("fp")
-        active = shared.union(found.select("a")).union(found.select("b")).distinct()
-        edges = by_fp.join(active, "fp").select(F.col("h").alias("a"), F.col("fp").alias("b")).union(found)
-        comp = components(edges)
-        near = keys.select("key", "keep", node.alias("h")).join(comp, F.col("h") == F.col("node")).select("key", "keep", F.col("root").alias("comp"))
-        near = near.join(near.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp"), "comp").checkpoint()
-
-        texts = d.select(F.col("__key").alias("key"), "doc_id", "text").join(near, "key").where(F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["key"])
-        rest = with_text_columns(texts, ["comp", "key", "keep"], lambda: lambda t: [[sorted(shingle_hashes(x, shingle)) for x in t]], "sh array<long>").checkpoint()
+        each = with_text_columns(d, ["doc_id", "__key"], make, "first array<long>")
+        keys = each.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("keep"), F.min("first").alias("first")).withColumn("node", F.xxhash64("key")).checkpoint()
+
+        def hashed(nodes: DataFrame) -> DataFrame:
+            wanted = keys.join(nodes, "node").select("node", "key", "keep")
+            texts = d.select(F.col("__key").alias("key"), "doc_id", "text").join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["key"])
+            return with_text_columns(texts, ["node"], lambda: lambda t: [[sorted(shingle_hashes(x, shingle)) for x in t]], "sh array<long>")
+
+        firsts = keys.select("node", F.get("first", F.lit(0)).alias("n"), F.slice("first", 2, F.size("first")).alias("first"))
+        comp = rooted(similar_links(firsts, hashed, similarity, hot=hot)).select("node", F.col("root").alias("comp")).checkpoint()
+        rest = hashed(comp.select("node")).join(comp, "node").join(keys.select("node", "key", "keep"), "node").select("comp", "key", "keep", "sh").checkpoint()
         gone = redundant(rest, similarity)
         kept = keys.select("key", "keep").join(gone, "key", "left_anti").checkpoint()
     out = d.join(kept, (d["__key"] == kept["key"]) & d["doc_id"].eqNullSafe(kept["keep"])).dropDuplicates(["__key", "doc_id"])
