@@ -165,6 +165,30 @@ def test_deduplicated_finds_every_similar_pair(spark, hot):
     assert sorted(x["doc_id"] for x in got.collect()) == want
 
 
+@pytest.mark.parametrize("hot", [256, 4])
+def test_deduplicated_keeps_one_row_of_a_group(spark, hot):
+    """Copies that are similar to their original alone, one of them with the least id, and a chain of edits."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(12):
+        w = base[:]
+        for at in range(5 + 20 * (i % 12), 230 + 5 * i, 60)[:5]:
+            w[at] = f"v{r.randrange(10**6)}"
+        texts.append(w)
+    texts.insert(7, base)
+    chain = [f"u{r.randrange(10**6)}" for _ in range(300)]
+    for i in range(5):
+        texts.append(chain[:])
+        for at in range(20 * i, 20 * i + 20):
+            chain[at] = f"x{r.randrange(10**6)}"
+    sets, n = [shingled(" ".join(w)) for w in texts], len(texts)
+    near = {(i, j) for i in range(n) for j in range(n) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert all((7, i) in near for i in range(13)) and (0, 1) not in near and (13, 15) not in near and all((i, i + 1) in near for i in range(13, 17))
+    got = simhash.deduplicated(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), hot=hot)
+    assert sorted(x["doc_id"] for x in got.collect()) == [0, 13]
+
+
 def test_decontamination_edges(spark, edge):
     bench = spark.createDataFrame([(1, " ".join(["word"] * 14)), (2, "ONE"), (3, None), (4, "!!")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.search(edge, bench)).collect()}

@@ -386,18 +386,17 @@ def similar_links(firsts: DataFrame, hashed, similarity: float, *, hot: int = 25
     met = posts.join(sizes, "s").checkpoint()
     common = met.where(F.col("m") > hot)
     groups = rooted(common.select(F.col("node").alias("a"), F.col("least").alias("b"))).select("node", F.col("root").alias("grp")).checkpoint()
-    many = tiled(hashed(groups.select("node")).join(groups, "node").select("grp", "node", "sh"), similarity).distinct().checkpoint()
-
     one = F.struct("node", "n")
     lists = met.where(F.col("m") <= hot).groupBy("s").agg(F.sort_array(F.collect_list(one)).alias("l")).select("l").distinct()
     each = lists.select("l", F.explode("l").alias("x"))
     fits = lambda y: (y["node"] > F.col("x.node")) & (F.least(y["n"], F.col("x.n")) >= similarity * F.greatest(y["n"], F.col("x.n")))
-    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.node").alias("b")).distinct()
+    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.node").alias("b")).distinct().checkpoint()
+    sh = hashed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()).checkpoint()
+    many = tiled(sh.join(groups, "node").select("grp", "node", "sh"), similarity).distinct().checkpoint()
     done = components(many).checkpoint()  # pairs that the tiles have connected need no comparison
     for c in ("a", "b"):
         pairs = pairs.join(done.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").checkpoint()
-    sh = hashed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()).checkpoint()
     for c in ("a", "b"):
         pairs = pairs.join(sh.select(F.col("node").alias(c), F.col("sh").alias(f"s{c}")), c)
     both = F.size(F.array_intersect("sa", "sb"))
@@ -405,14 +404,13 @@ def similar_links(firsts: DataFrame, hashed, similarity: float, *, hot: int = 25
     return many.union(few)
 
 
-def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sample: int = 16_384, hot: int = 256) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group, the row of least doc_id stays. Two texts are near-duplicates
-    if the Jaccard index of their word shingles is at least `similarity`.
+def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sample: int = 4096, hot: int = 256) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group, the row of least doc_id stays (null ids last). Two texts are
+    near-duplicates if the Jaccard index of their word shingles is at least `similarity`; a group is a connected component.
 
     1. Texts with the same words (lower-cased) are copies; one of them stands for all.
     2. similar_links() finds what is connected by pairs of that index or more; it misses none.
-    3. In each component, by ascending doc_id, a text goes if it is similar to one that stays; redundant() does so in
-       bounded tasks.
+    3. Of each component of these links one row stays, as in op5: a text that goes still links its neighbours.
     """
     spark = docs.sparkSession
     ensure_shared(spark)
@@ -439,10 +437,10 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
             return with_text_columns(texts, ["node"], lambda: lambda t: [[sorted(shingle_hashes(x, shingle)) for x in t]], "sh array<long>")
 
         firsts = keys.select("node", F.get("first", F.lit(0)).alias("n"), F.slice("first", 2, F.size("first")).alias("first"))
-        comp = rooted(similar_links(firsts, hashed, similarity, hot=hot)).select("node", F.col("root").alias("comp")).checkpoint()
-        rest = hashed(comp.select("node")).join(comp, "node").join(keys.select("node", "key", "keep"), "node").select("comp", "key", "keep", "sh").checkpoint()
-        gone = redundant(rest, similarity)
-        kept = keys.select("key", "keep").join(gone, "key", "left_anti").checkpoint()
+        comp = components(similar_links(firsts, hashed, similarity, hot=hot))
+        named = keys.join(comp, "node", "left").select("key", "keep", F.coalesce("root", "node").alias("comp"))
+        first = F.struct(F.col("keep").isNull().alias("none"), "keep", "key")
+        kept = named.groupBy("comp").agg(F.min(first).alias("k")).select("k.key", "k.keep").checkpoint()
     out = d.join(kept, (d["__key"] == kept["key"]) & d["doc_id"].eqNullSafe(kept["keep"])).dropDuplicates(["__key", "doc_id"])
     return out.select(*docs.columns)
 
