@@ -338,6 +338,21 @@ def test_license_scan(spark, edge):
     assert licenses.scan(edge, model).where("size(found) > 0").count() == 0
 
 
+def test_license_notices_wrapped_or_inside_a_long_line(spark):
+    import textwrap
+
+    filler = " ".join(["alpha beta gamma delta"] * 60)
+    notices = [(f, max(licenses.NOTICES[f], key=len)) for f in ("MIT", "BSD", "ISC", "Apache-2.0", "GPL-3.0", "AGPL-3.0")]
+    rows, want = [], {}
+    for k, (f, t) in enumerate(notices):
+        rows += [(2 * k, "intro\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, 60)) + "\n *\nend"), (2 * k + 1, f"{filler} {t} {filler}")]
+        want |= {2 * k: [f], 2 * k + 1: [f]}
+    rows.append((99, "permission is hereby\n\ngranted free of charge"))
+    model = licenses.train(["alpha beta gamma delta", "le mot juste est la", "der und die das"] * 40)
+    found = {r["doc_id"]: [x["family"] for x in r["found"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found == want | {99: []}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 

@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier with template comparison.
 
-A paragraph (a line of a text) is a sparse vector of word n-grams (1 to 3). A softmax regression over the families and an
+A paragraph (a line of a text, or a window of a block of lines) is a sparse vector of word n-grams (1 to 3). A softmax regression over the families and an
 unknown class is trained in numpy on noisy copies of the public notices below and on a bounded sample of the corpus's own
 paragraphs (unknown). Its temperature and the least probability of a family are set on paragraphs kept from the fit.
 A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of one of that family's notices.
@@ -8,6 +8,10 @@ A prediction counts only if the paragraph holds at least CONFIRM of the word pai
 Only paragraphs with a cue word (any longer word of a notice) reach the classifier; the others cannot be confirmed, as
 every notice has over 1 - CONFIRM of its word pairs with a cue word (checked when the model is made).
 
+Blocks: lines up to the next one without a word (comment marks are none) are joined. Where a notice of a family that no
+line of the block shows has CONFIRM of its word pairs in the block, the windows of the notice's length that begin at one of
+these pairs are classified, so that a wrapped notice and one inside a long line count too, once a block and family.
+
 Defined cases: null and empty texts have no paragraphs; repeated rows keep a row each; without documents the unknown class
 is trained on shuffled notices only.
 """
@@ -73,6 +77,7 @@ class Model:
 
     def __post_init__(self):
         self.templates = {f: [pairs(words(t)) for t in NOTICES[f]] for f in self.families}
+        self.lengths = {f: [len(words(t)) for t in NOTICES[f]] for f in self.families}
         self.cues = {w for ts in NOTICES.values() for t in ts for w in words(t) if is_cue(w)}
         for ts in self.templates.values():
             for t in ts:
@@ -90,7 +95,9 @@ class Model:
 
     def paragraph(self, text: str) -> tuple[str, float, float] | None:
         """(family, probability, share of the notice's word pairs), or None for unknown."""
-        w = words(text)
+        return self.classified(words(text))
+
+    def classified(self, w: list[str]) -> tuple[str, float, float] | None:
         if self.cues.isdisjoint(w):
             return None
         p = self.probabilities(w)
@@ -101,6 +108,43 @@ class Model:
         share = max(len(t & own) / len(t) for t in self.templates[self.families[k]])
         return (self.families[k], float(p[k]), share) if share >= CONFIRM else None
 
+    def block(self, w: list[str]) -> list[tuple[int, tuple[str, float, float]]]:
+        """(place of the first word, hit) of notices anywhere in w, one a family; of overlapping ones the most similar."""
+        if self.cues.isdisjoint(w):
+            return []
+        own, every = pairs(w), []
+        for f in self.families:
+            for t, n in zip(self.templates[f], self.lengths[f]):
+                if len(t & own) < CONFIRM * len(t):
+                    continue
+                for at in range(len(w)):
+                    if tuple(w[at : at + 2]) in t and len(t & pairs(w[at : at + n + 2])) >= CONFIRM * len(t):
+                        for end in (n, n + 2):
+                            if (h := self.classified(w[at : at + end])) and h[0] == f:
+                                every.append((at, at + n, h))
+        kept: list[tuple[int, int, tuple[str, float, float]]] = []
+        for x in sorted(every, key=lambda x: (-x[2][2], -x[2][1], x[0])):
+            if all(x[1] <= k[0] or x[0] >= k[1] for k in kept):
+                kept.append(x)
+        first = {x[2][0]: x for x in sorted(kept, key=lambda x: -x[0])}
+        return [(x[0], x[2]) for x in first.values()]
+
+    def found(self, lines: list[str]) -> list[tuple[int, tuple[str, float, float]]]:
+        """(number of the line, hit), in order."""
+        hits, block, owner, seen = [], [], [], set()
+        for i, x in enumerate([*lines, ""]):
+            w = words(x)
+            if w:
+                if h := self.paragraph(x):
+                    hits.append((i, h))
+                    seen.add(h[0])
+                block += w
+                owner += [i] * len(w)
+            elif block:
+                hits += [(owner[at], h) for at, h in self.block(block) if h[0] not in seen]
+                block, owner, seen = [], [], set()
+        return sorted(hits)
+
 
 def train(unknown: list[str], *, seed: int = 3) -> Model:
     r, families = random.Random(seed), sorted(NOTICES)
@@ -189,10 +233,10 @@ def scan(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
         def compute(texts: list[str | None]) -> list[list]:
             n, found = [], []
             for t in texts:
-                lines = [x for x in (t or "").split("\n") if x]
-                n.append(len(lines))
-                hits = ((i, m.paragraph(x)) for i, x in enumerate(lines))
-                found.append([{"paragraph": i, "family": h[0], "probability": h[1], "similarity": h[2]} for i, h in hits if h])
+                lines = (t or "").split("\n")
+                n.append(sum(x != "" for x in lines))
+                number = np.cumsum([x != "" for x in lines]) - 1
+                found.append([{"paragraph": int(number[i]), "family": h[0], "probability": h[1], "similarity": h[2]} for i, h in m.found(lines)])
             return [n, found]
 
         return compute
