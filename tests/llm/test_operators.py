@@ -106,26 +106,6 @@ def test_simhash_edges(edge, spark):
     assert simhash.near_duplicates(edge.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bounds", [{}, {"members": 8, "first": 3}, {"members": 1000, "weight": 60, "first": 5}])
-def test_redundant(spark, bounds):
-    rng, rows = np.random.default_rng(5), []
-    for i in range(90):
-        base = rng.integers(0, 5) * 100
-        rows.append((i % 2, str(i).encode(), None if i == 4 else 1000 - i, sorted({int(base + x) for x in rng.choice(14, rng.integers(0, 14), replace=False)})))
-    want = set()
-    for comp in (0, 1):
-        stay = []
-        for _, key, keep, sh in sorted((r for r in rows if r[0] == comp), key=lambda r: (r[2] is None, r[2] or 0)):
-            s = set(sh)
-            if s and any(len(s & t) / len(s | t) >= 0.8 for t in stay):
-                want.add(key)
-            else:
-                stay.append(s)
-    rest = spark.createDataFrame(rows, "comp long, key binary, keep long, sh array<long>")
-    got = [bytes(r["key"]) for r in simhash.redundant(rest, 0.8, **bounds).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
 def test_deduplicated(spark, edge):
     r = random.Random(5)
     words = [f"w{r.randrange(10**6)}" for _ in range(300)]

@@ -51,6 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like name that docs does not have."""
+    taken, out = {c.lower() for c in docs.columns}, f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """True for the rows no label is learned from: crc32 of doc_id as text, modulo. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(True))

@@ -23,15 +23,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tracelake.llm.common import ensure_shared, nothing_broadcast, table, with_text_columns
+from tracelake.llm.common import ensure_shared, nothing_broadcast, table, unused, with_text_columns
 
 SHINGLE, RADIUS, HOT = 3, 3, 512
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -149,16 +147,17 @@ def links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, levels: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that can be reached, for every node of an edge but the roots. Alternates large-star and small-star."""
+    """(node, root): the least node that can be reached, for every node of an edge but the roots. Alternates large-star and small-star.
+    Both sides of a join are tables of their own, so that the neighbours of a hub, under one key, are split over tasks."""
     ensure_shared(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = digest(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         after = digest(e)
@@ -198,104 +197,156 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return list({xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode("utf-8", "surrogatepass"), 42) - (1 << 63) for i in range(max(1, len(w) - shingle + 1))})
 
 
-def _greedy(similarity: float):
-    """Rows (comp, bucket, mode, key, sh), sorted so that groups (comp, bucket) and modes come together -> the keys that
-    are similar to an earlier one of their group. Mode 0: compares with nothing, others compare with it; 1: is compared
-    only; 2: is compared and, if it is similar to none, others compare with it.
+def _least(n: int, similarity: float) -> int:
+    """Of two sets of Jaccard index `similarity` or more, ordered alike, the first so many members of each share one."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some `sample` documents, chosen by a hash, repeat (ascending), and in how many. They only order the
+    shingles: whatever the order, no similar pair is missed. At most 100,000, so 1.6 MB."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-docs.count() // sample)))) == 0)
+    each = with_text_columns(some.select("text").distinct(), [], lambda: lambda t: [[shingle_hashes(x, shingle) for x in t]], "sh array<long>")
+    often = each.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    got = sorted((r["s"], r["n"]) for r in often.orderBy(F.desc("n"), "s").limit(100_000).collect())
+    return np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64)
 
-    sh is sorted. Two sets of Jaccard index s share one of the least n - ceil(s n) + 1 hashes of each, which are indexed.
-    """
+
+def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1_000_000):
+    """Rows (node, text) -> (s, node, n): the first shingles of every text, n of them in all. A text that the task has
+    posted already is left out. Where more than `hot` texts of a batch have an s, their links to the least of them go out
+    as (node, least, LINK), and only the least is posted, as (s, least, MANY): what meets under a common s is bounded."""
 
     def run(batches):
         import pyarrow as pa
 
-        at, held, index = None, [], {}
+        known, count = often.value
+        seen: set[int] = set()
         for b in batches:
-            comp, bucket, mode = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))
-            values, ends = b.column(4).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(4).value_lengths().to_numpy(zero_copy_only=False))
-            found, start = [], 0
-            for i in range(b.num_rows):
-                if (comp[i], bucket[i]) != at:
-                    at, held, index = (comp[i], bucket[i]), [], {}
-                own, start = values[start : ends[i]], int(ends[i])
-                n = len(own)
-                least = own[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tolist()
-                similar = False
-                if mode[i]:
-                    for j in {j for h in least for j in index.get(h, ())}:
-                        m = len(held[j])
-                        if min(n, m) >= similarity * max(n, m):
-                            common = len(np.intersect1d(own, held[j], assume_unique=True))
-                            if common / (n + m - common) >= similarity:
-                                similar = True
-                                break
-                if similar:
-                    found.append(i)
-                elif mode[i] != 1:
-                    for h in least:
-                        index.setdefault(h, []).append(len(held))
-                    held.append(own.copy())
-            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(found, pa.int64()))], names=["key"])
+            nodes, texts = b.column(0).to_pylist(), b.column(1)
+            firsts, owners, sizes = [], [], []
+            for i, node in enumerate(nodes):
+                if node in seen:
+                    continue
+                if len(seen) >= seen_most:
+                    seen.clear()
+                seen.add(node)
+                h = np.array(shingle_hashes(texts[i].as_py(), shingle), np.int64)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                times = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                firsts.append(h[np.lexsort((h, times))[: _least(len(h), similarity)]])
+                owners.append(node)
+                sizes.append(len(h))
+            if not owners:
+                continue
+            length = [len(f) for f in firsts]
+            s, node, n = np.concatenate(firsts), np.repeat(np.array(owners, np.int64), length), np.repeat(np.array(sizes, np.int64), length)
+            o = np.lexsort((node, s))
+            s, node, n = s[o], node[o], n[o]
+            begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[begin, len(s)])
+            if (size > hot).any():
+                many, first = np.repeat(size > hot, size), np.repeat(node[begin], size)
+                links_ = many & (node != first)
+                least = many & (node == first)
+                n = np.where(least, MANY, n)
+                s, node, n = np.r_[s[~links_], node[links_]], np.r_[node[~links_], first[links_]], np.r_[n[~links_], np.full(int(links_.sum()), LINK)]
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n.astype(np.int32))], names=["s", "node", "n"])
 
     return run
 
 
-def _passed(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows: comp, bucket, mode, none, keep, key, sh."""
-    placed = rows.repartition("comp", "bucket").sortWithinPartitions("comp", "bucket", "mode", "none", "keep", "key")
-    return placed.select("comp", "bucket", "mode", "key", "sh").mapInArrow(_greedy(similarity), "key binary")
+#: Values of n in the rows of _posted() that are no number of shingles.
+LINK, MANY = -1, 0
 
 
-def redundant(rest: DataFrame, similarity: float, *, members: int = 2048, weight: int = 2_000_000, first: int = 512) -> DataFrame:
-    """The keys of (comp, key, keep, sh: sorted shingle hashes) that are similar to a row that stays, of less keep, in comp.
+def _needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of their first shingles two texts of n and m shingles share at least if they are similar."""
+    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    rest = lambda x: np.ceil(similarity * x - 1e-9) - 1  # noqa: E731  shingles behind the first ones
+    return np.maximum(both - np.maximum(rest(n), rest(m)), 1).astype(np.int32)
 
-    A component of at most `members` rows and `weight` shingles is read in order of keep by one task. From a larger one
-    the `first` rows (at most `weight` shingles, one row at least) are decided so; those that stay are sent to every
-    bucket of some `members` rows of the component, and what is similar to none of them goes on to the next round. No
-    task holds more than `weight` shingles and one text, however large a component is, and no row is left out.
-    """
-    gone = []
-    salt = F.pmod(F.xxhash64("key"), F.lit(1024))
-    while True:
-        narrow = rest.select("comp", "key", "keep", F.col("keep").isNull().alias("none"), F.size("sh").cast("long").alias("w"))
-        sizes = narrow.groupBy("comp").agg(F.count("*").alias("n"), F.sum("w").alias("all")).where("n > 1")
-        of = narrow.join(sizes, "comp").withColumn("big", (F.col("n") > members) | (F.col("all") > weight)).drop("all").checkpoint()
-        texts = rest.select("key", "sh")
-        small = of.where("not big").join(texts, "key").select("*", F.lit(0).cast("long").alias("bucket"), F.lit(2).alias("mode"))
-        gone.append(_passed(small, similarity).checkpoint())
-        big = of.where("big")
-        if big.isEmpty():
-            break
-        order = [F.col("none"), F.col("keep"), F.col("key")]
-        near = big.withColumn("r", F.row_number().over(Window.partitionBy("comp", salt).orderBy(*order))).where(F.col("r") <= first)
-        running = Window.partitionBy("comp").orderBy(*order)
-        near = near.withColumn("r", F.row_number().over(running)).withColumn("before", F.sum("w").over(running.rowsBetween(Window.unboundedPreceding, -1)))
-        near = near.where((F.col("r") <= first) & ((F.col("r") == 1) | (F.col("before") + F.col("w") <= weight))).drop("r", "before")
-        near = near.join(texts, "key").checkpoint()
-        out = _passed(near.select("*", F.lit(0).cast("long").alias("bucket"), F.lit(2).alias("mode")), similarity).checkpoint()
-        gone.append(out)
-        buckets = F.ceil(F.col("n") / members)
-        staying = near.join(out, "key", "left_anti").select("*", F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)).alias("bucket"), F.lit(0).alias("mode"))
-        others = big.join(near.select("key"), "key", "left_anti").join(texts, "key")
-        others = others.select("*", F.pmod(F.xxhash64("key"), buckets).alias("bucket"), F.lit(1).alias("mode"))
-        out = _passed(staying.unionByName(others), similarity).checkpoint()
-        gone.append(out)
-        rest = others.join(out, "key", "left_anti").select("comp", "key", "keep", "sh").checkpoint()
-    return reduce(DataFrame.union, gone)
 
+def _met(similarity: float, hot: int):
+    """Rows (s, node, n), sorted by s and node -> candidates (a, b, need): a pair for each s that at most `hot` nodes share
+    and whose sizes allow it, need being _needed(); where more share it, each with the least node, need 0."""
 
-def _least(n: int, similarity: float) -> int:
-    """Of two sets of Jaccard index `similarity` or more, ordered alike, the first so many members of each share one."""
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+    def run(batches):
+        import pyarrow as pa
 
+        def out(a, b, need):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+
+        held = [np.array([], np.int64)] * 3
+        open_s, open_least = None, 0  # an s beyond `hot` that may go on in the next batch
+        for b in _and_end(batches):
+            if b is not None:
+                new = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+                s, node, n = (np.concatenate([x, y]) for x, y in zip(held, new))
+            else:
+                s, node, n = held
+            if not len(s):
+                continue
+            passed = n == LINK
+            if passed.any():
+                yield out(s[passed], node[passed], np.zeros(int(passed.sum())))
+                s, node, n = s[~passed], node[~passed], n[~passed]
+            if open_s is not None:
+                more = s == open_s
+                if more.any():
+                    yield out(node[more], np.full(int(more.sum()), open_least), np.zeros(int(more.sum())))
+                    s, node, n = s[~more], node[~more], n[~more]
+            if not len(s):
+                held = [s, node, n]
+                continue
+            # a node's row MANY goes before its others, as nodes sort; of equal (s, node) one stays, marked if any is
+            begin = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
+            many = np.add.reduceat((n == MANY).astype(np.int64), begin) > 0
+            s, node, n = s[begin], node[begin], np.maximum.reduceat(n, begin)
+            begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[begin, len(s)])
+            star = (size > hot) | (np.add.reduceat(many.astype(np.int64), begin) > 0)
+            if b is not None:  # the last s may go on
+                last = begin[-1]
+                if star[-1]:
+                    open_s, open_least, held = int(s[-1]), int(node[last]), [x[:0] for x in held]
+                else:
+                    held = [s[last:], node[last:], n[last:]]
+                    s, node, n, begin, size, star = s[:last], node[:last], n[:last], begin[:-1], size[:-1], star[:-1]
+                if not len(s):
+                    continue
+            else:
+                held = [x[:0] for x in held]
+            in_star, first = np.repeat(star, size), np.repeat(node[begin], size)
+            to = in_star & (node != first)
+            if to.any():
+                yield out(node[to], first[to], np.zeros(int(to.sum())))
+            keep = np.repeat(~star & (size > 1), size)
+            s, node, n = s[keep], node[keep], n[keep]
+            for k in range(1, min(hot, len(s))):
+                i = np.flatnonzero(s[k:] == s[:-k])
+                if not len(i):
+                    break
+                i = i[np.minimum(n[i], n[i + k]) >= similarity * np.maximum(n[i], n[i + k])]
+                if len(i):
+                    yield out(node[i], node[i + k], _needed(n[i], n[i + k], similarity))
 
-def frequent_shingles(docs: DataFrame, shingle: int, sample: int) -> dict[int, int]:
-    """Shingles that some `sample` documents, chosen by a hash, repeat, and in how many. They only order the shingles: whatever
-    the order, no similar pair is missed."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-docs.count() // sample)))) == 0)
-    each = with_text_columns(some.select("text").distinct(), [], lambda: lambda t: [[shingle_hashes(x, shingle) for x in t]], "sh array<long>")
-    often = each.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    return {r["s"]: r["n"] for r in often.orderBy(F.desc("n"), "s").limit(100_000).collect()}
+    return run
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def candidate_groups(posts: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """(node, grp) of the nodes that are candidates, connected by all pairs of Jaccard index `similarity` or more.
+
+    Two nodes are candidates if they share as many of their first shingles as similar ones of their sizes must, or one
+    that more than `hot` nodes have; pairs of the latter kind are not made, only links to the least of those nodes."""
+    met = posts.repartition("s").sortWithinPartitions("s", "node").mapInArrow(_met(similarity, hot), "a long, b long, need int")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b").checkpoint()
+    return rooted(pairs).select("node", F.col("root").alias("grp"))
 
 
 def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -337,17 +388,20 @@ def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similar
     return [(x, least[k]) for x, k in zip(ids, label.tolist()) if x != least[k]]
 
 
-def tiled(members: DataFrame, similarity: float, *, most: int = 1024, weight: int = 1_000_000) -> DataFrame:
-    """Links (a, b) that connect what the similar pairs inside each grp connect. members: grp, node, sh.
+def tiled(members: DataFrame, texts, similarity: float, shingle: int, *, most: int = 2048, chars: int = 6_000_000) -> DataFrame:
+    """Links (a, b) that connect what the similar pairs inside each grp connect. members: grp, node, size (of the text);
+    texts(members) adds the texts.
 
-    A grp is cut into tiles of some `most` rows and `weight` shingles; every two tiles meet in a task of their own.
+    A grp is cut into tiles of some `most` rows and `chars` characters; every two tiles meet in a task of their own, so
+    no task grows with a grp.
     """
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.size("sh")) / weight)).alias("t"))
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / chars)).alias("t"), F.count("*").alias("n")).where("n > 1").drop("n").checkpoint()
     each = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(i == j, -1).otherwise((F.col("own") == i).cast("int"))
-    placed = each.select("grp", i.alias("i"), j.alias("j"), side.alias("side"), "node", "sh").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+    each = texts(each.withColumns({"i": i, "j": j, "side": side}).drop("own", "other", "t", "size"))
+    placed = each.select("grp", "i", "j", "side", "node", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
 
     def run(batches):
         import pyarrow as pa
@@ -360,89 +414,55 @@ def tiled(members: DataFrame, similarity: float, *, most: int = 1024, weight: in
 
         for b in batches:
             cols = [b.column(k).to_pylist() for k in range(5)]
-            values, ends = b.column(5).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(5).value_lengths().to_numpy(zero_copy_only=False)).tolist()
             for r in range(b.num_rows):
                 if (group := (cols[0][r], cols[1][r], cols[2][r])) != at:
                     yield done()
                     at, ids, sides, sets = group, [], [], []
                 ids.append(cols[4][r])
                 sides.append(cols[3][r])
-                sets.append(values[ends[r - 1] if r else 0 : ends[r]].copy())
+                sets.append(np.array(shingle_hashes(b.column(5)[r].as_py(), shingle), np.int64))
         yield done()
 
     return placed.mapInArrow(run, "a long, b long")
 
 
-def similar_links(firsts: DataFrame, hashed, similarity: float, *, hot: int = 256) -> DataFrame:
-    """Links (a, b) of nodes that connect exactly what pairs of Jaccard index `similarity` or more connect.
-
-    firsts: node, n (its shingles), first (the first of them in an order all nodes share, _least() many). hashed(nodes)
-    gives node, sh of some nodes. Two nodes are candidates if they share one of their first shingles and their sizes
-    allow it. A shingle of more than `hot` nodes is not paired: nodes that such shingles connect are compared in tiles.
-    """
-    ensure_shared(firsts.sparkSession)
-    posts = firsts.select(F.explode("first").alias("s"), "node", "n").repartition("s")
-    sizes = posts.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
-    met = posts.join(sizes, "s").checkpoint()
-    common = met.where(F.col("m") > hot)
-    groups = rooted(common.select(F.col("node").alias("a"), F.col("least").alias("b"))).select("node", F.col("root").alias("grp")).checkpoint()
-    one = F.struct("node", "n")
-    lists = met.where(F.col("m") <= hot).groupBy("s").agg(F.sort_array(F.collect_list(one)).alias("l")).select("l").distinct()
-    each = lists.select("l", F.explode("l").alias("x"))
-    fits = lambda y: (y["node"] > F.col("x.node")) & (F.least(y["n"], F.col("x.n")) >= similarity * F.greatest(y["n"], F.col("x.n")))
-    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.node").alias("b")).distinct().checkpoint()
-    sh = hashed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()).checkpoint()
-    many = tiled(sh.join(groups, "node").select("grp", "node", "sh"), similarity).distinct().checkpoint()
-    done = components(many).checkpoint()  # pairs that the tiles have connected need no comparison
-    for c in ("a", "b"):
-        pairs = pairs.join(done.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").checkpoint()
-    for c in ("a", "b"):
-        pairs = pairs.join(sh.select(F.col("node").alias(c), F.col("sh").alias(f"s{c}")), c)
-    both = F.size(F.array_intersect("sa", "sb"))
-    few = pairs.where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b").checkpoint()
-    return many.union(few)
-
-
-def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sample: int = 4096, hot: int = 256) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group, the row of least doc_id stays (null ids last). Two texts are
+def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sample: int = 4096, hot: int = 64) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group, the row of least doc_id stays (null ids last; of equal ids
+    the one whose text and then whose columns have the least hash; of rows equal in all columns one). Two texts are
     near-duplicates if the Jaccard index of their word shingles is at least `similarity`; a group is a connected component.
 
-    1. Texts with the same words (lower-cased) are copies; one of them stands for all.
-    2. similar_links() finds what is connected by pairs of that index or more; it misses none.
-    3. Of each component of these links one row stays, as in op5: a text that goes still links its neighbours.
+    1. Texts with the same words (A-Z lower-cased) are copies and one node, named by 64 bits of a hash of the words.
+    2. Each node posts its first shingles; candidate_groups() connects all that may be similar and misses no similar pair.
+    3. tiled() compares the texts of each group of candidates exactly.
+    4. Of each component of these links one row stays, as in op5: a text that goes still links its neighbours.
+
+    Fingerprints of 64 bits and covering tables cannot replace step 2: texts of Jaccard index 0.8 differ in some ten bits
+    and often in twenty, so that tables that miss none would be 2^21.
     """
     spark = docs.sparkSession
     ensure_shared(spark)
+    key, node, row = unused(docs, "key"), unused(docs, "node"), unused(docs, "row")
     words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    d = docs.select("*", F.unhex(F.md5(words.cast("binary"))).alias("__key"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    d = docs.select("*", F.unhex(F.md5(words.cast("binary"))).alias(key)).withColumns({node: F.xxhash64(key), row: F.xxhash64(*plain)})
     often = spark.sparkContext.broadcast(frequent_shingles(docs, shingle, sample))
-
-    def make():
-        count = often.value
-
-        def first(text: str | None) -> list[int]:
-            s = shingle_hashes(text, shingle)
-            return [len(s), *sorted(s, key=lambda x: (count.get(x, 0), x))[: _least(len(s), similarity)]]
-
-        return lambda texts: [[first(t) for t in texts]]
-
     with nothing_broadcast(spark):
-        each = with_text_columns(d, ["doc_id", "__key"], make, "first array<long>")
-        keys = each.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("keep"), F.min("first").alias("first")).withColumn("node", F.xxhash64("key")).checkpoint()
-
-        def hashed(nodes: DataFrame) -> DataFrame:
-            wanted = keys.join(nodes, "node").select("node", "key", "keep")
-            texts = d.select(F.col("__key").alias("key"), "doc_id", "text").join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["key"])
-            return with_text_columns(texts, ["node"], lambda: lambda t: [[sorted(shingle_hashes(x, shingle)) for x in t]], "sh array<long>")
-
-        firsts = keys.select("node", F.get("first", F.lit(0)).alias("n"), F.slice("first", 2, F.size("first")).alias("first"))
-        comp = components(similar_links(firsts, hashed, similarity, hot=hot))
-        named = keys.join(comp, "node", "left").select("key", "keep", F.coalesce("root", "node").alias("comp"))
-        first = F.struct(F.col("keep").isNull().alias("none"), "keep", "key")
-        kept = named.groupBy("comp").agg(F.min(first).alias("k")).select("k.key", "k.keep").checkpoint()
-    out = d.join(kept, (d["__key"] == kept["key"]) & d["doc_id"].eqNullSafe(kept["keep"])).dropDuplicates(["__key", "doc_id"])
-    return out.select(*docs.columns)
+        posts = d.select(F.col(node).alias("node"), "text").mapInArrow(_posted(shingle, similarity, hot, often), "s long, node long, n int")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.col(row).alias("r"))
+        nodes = d.groupBy(F.col(key).alias("key"), F.col(node).alias("node")).agg(F.min(order).alias("o"), F.max(F.length("text")).alias("size")).checkpoint()
+        groups = candidate_groups(posts, similarity, hot).join(nodes, "node").select("node", "grp", F.col("o.doc_id").alias("keep"), F.col("o.r").alias("r"), F.coalesce("size", F.lit(0)).alias("size")).checkpoint()
+
+        def texts(members: DataFrame) -> DataFrame:
+            some = d.select(F.col(node).alias("k"), F.col("doc_id").alias("k2"), F.col(row).alias("k3"), "text")
+            return members.join(some, (F.col("node") == F.col("k")) & F.col("keep").eqNullSafe(F.col("k2")) & (F.col("r") == F.col("k3"))).dropDuplicates(["grp", "i", "j", "node"])
+
+        comp = components(tiled(groups, texts, similarity, shingle).distinct())
+        named = nodes.join(comp, "node", "left").select("key", "o", F.coalesce("root", "node").alias("comp"))
+        kept = named.groupBy("comp").agg(F.min(F.struct("o", "key")).alias("k")).select(F.col("k.key").alias("k1"), F.col("k.o.doc_id").alias("k2"), F.col("k.o.r").alias("k3")).checkpoint()
+    kept = kept.toDF(*[unused(docs, f"kept{i}") for i in range(3)])
+    a, b, c = kept.columns
+    out = d.join(kept, (F.col(key) == F.col(a)) & F.col("doc_id").eqNullSafe(F.col(b)) & (F.col(row) == F.col(c))).dropDuplicates([a, b, c])
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
