@@ -301,6 +301,30 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_warc_equals_brute_force(spark, bits):
+    """Few bits: every page is taken for a repeated one, and comes out the same. Payloads full of line ends."""
+    r = random.Random(8)
+    payload = lambda: "".join(r.choice(["\r", "\n", "\r\n", "\r\n\r\n", "ab", "é", "WARC/1.1\r\n"]) for _ in range(r.randrange(60)))
+    some = [payload() for _ in range(25)]
+    rows = [(r.choice([None, *range(150)]), r.choice(["u", None, "v"]), r.choice(some)) for _ in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = warc.shared_path(spark, "test")
+    warc.write(warc.captures(pages, bits=bits), path)
+    got = warc.assemble(warc.read(spark, path)).collect()
+    size = lambda t: len(t.encode())
+    first = {t: min((p is None, p or 0) for p, _, x in rows if x == t) for t in some if any(x == t for _, _, x in rows)}
+    kinds = collections.Counter()
+    for t in first:
+        same = [(p is None, p or 0) for p, _, x in rows if x == t]
+        for i, p in enumerate(sorted(same)):
+            kinds[(None if p[0] else p[1], hashlib.sha256(t.encode()).hexdigest(), "revisit" if i and size(t) >= 100 else "response")] += 1
+    assert collections.Counter((c["page_id"], c["response"]["digest"], c["response"]["type"]) for c in got) == kinds
+    assert all(c["response"]["own_digest"] == c["response"]["digest"] and c["response"]["html"] in some for c in got if c["response"]["type"] == "response")
+    ids = {(c["response"]["record_id"]): c["response"] for c in got}
+    assert len(ids) == len(got) and all(ids[c["response"]["refers_to"]]["digest"] == c["response"]["digest"] and ids[c["response"]["refers_to"]]["type"] == "response" for c in got if c["response"]["type"] == "revisit")
+
+
 def test_preference_pairs(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, None, None), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
     c = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

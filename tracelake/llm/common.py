@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import pickle
+import re
 import tempfile
 import zlib
 from collections.abc import Callable
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_shared(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable: the cluster's spark.checkpoint.dir wins; a local folder only where it is unset."""
+    """Make DataFrame.checkpoint() usable: the cluster's spark.checkpoint.dir wins. Where it is unset, a folder of this
+    machine serves a local master; any other master's executors could not read it, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelake-"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +33,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that shared_path() named, once nothing reads it any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def nothing_broadcast(spark: SparkSession):
     """Joins planned inside are between shuffled sides: for tables that all grow with the documents, so that the driver
