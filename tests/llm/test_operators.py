@@ -182,11 +182,49 @@ def test_decontamination_edges(spark, edge):
 
 
 def test_proximity():
-    q = decontaminate.Queries([(1, "alpha beta gamma")], 13)
-    near = lambda text, slop: decontaminate._hits([text], q, slop)[3][0]
+    q = decontaminate.Queries([("1", "alpha beta gamma")], 13)
+    near = lambda text, slop: decontaminate._hits(decontaminate.Shard([text]), q, slop)[2][0]
     assert near("alpha x beta gamma", 1) == [0] and near("alpha x y beta gamma", 1) == [] and near("beta alpha gamma", 3) == []
 
 
+def test_index_equals_brute_force(spark):
+    """Phrases and proximity of random texts and items: null and repeated ids, items in several rows and blocks, shards."""
+    r = random.Random(21)
+    text = lambda n, most=6: " ".join(r.choice("abcdefgh"[:most]) for _ in range(r.randrange(n)))
+    docs = [(i if i % 7 else None, r.choice([None, "", text(9), text(60), text(60).upper() + " é7"])) for i in range(60)]
+    items = [(r.choice([None, *range(12)]), r.choice([None, "", text(5), text(9)])) for _ in range(30)]
+    window, slop = 4, 2
+    want = []
+    for doc_id, t in docs:
+        w = decontaminate.words(t)
+        hit, exact, close = set(), set(), set()
+        for item_id, x in items:
+            v = decontaminate.words(x)
+            for i in range(max(1, len(v) - window + 1) if v else 0):
+                q = v[i : i + window]
+                found = [a for a in range(len(w) - len(q) + 1) if w[a : a + len(q)] == q]
+                hit |= {a + j for a in found for j in range(len(q))}
+                if found:
+                    exact.add(item_id)
+                for a in range(len(w)):  # in order from a, in as few words as can be
+                    at, ok = a - 1, w[a] == q[0]
+                    for term in q:
+                        at = next((j for j in range(at + 1, len(w)) if w[j] == term), None) if ok else None
+                        ok = at is not None
+                        if not ok:
+                            break
+                    if ok and at - a < len(q) + slop:
+                        close.add(item_id)
+        want.append((str(doc_id), len(w), sorted(hit), *[sorted(str(x) for x in s if x is not None) for s in (exact, close)]))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (1000, 7):
+        got = decontaminate.search(d, bench, window=window, slop=slop, block_words=block_words).collect()
+        mine = [(str(x["doc_id"]), x["n_words"], sorted({p for a, b in x["spans"] for p in range(a, b)}), x["items"], x["near_items"]) for x in got]
+        assert sorted(mine) == sorted(want)
+    assert decontaminate.search(d.limit(0), bench).count() == 0 and decontaminate.search(d, bench.limit(0)).where("size(items) > 0").count() == 0
+
+
 def brute_winnow(text, k, w, spark):
     import re
 
@@ -245,10 +283,10 @@ def test_network_gradient():
     import numpy as np
 
     net, r = toxicity.Network(hidden=3), np.random.default_rng(0)
-    args = (r.integers(0, 99, (4, 5)), r.integers(0, 99, (4, 5, 2)), r.standard_normal((4, 5, 2)).astype(np.float32), np.arange(5) < np.array([[5], [3], [1], [4]]), np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32))
+    args = (r.integers(0, 99, (4, 5)), r.integers(0, 6, (4, 5)), toxicity.letters(["", "a", "word", "ab", "zé", "x" * 16]), r.standard_normal((4, 5, 2)).astype(np.float32), np.arange(5) < np.array([[5], [3], [1], [4]]), np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     grad = net.step(*args)
-    for name in ("uf", "wb", "a", "o", "bf"):
+    for name in ("uf", "wb", "a", "o", "bf", "uc", "wc", "bc"):
         i = tuple(0 for _ in net.p[name].shape)
         keep, loss = net.p[name][i], []
         for d in (1e-2, -1e-2):
@@ -329,7 +367,8 @@ def test_preference_pairs(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, None, None), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
     c = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r["pair_id"]: r for r in preference.paired(preference.echo_pairs(c)).collect()}
-    assert set(got) == {1, 3} and got[1]["prompt"] == "<|user|>\nhi<|end|>\n" and got[1]["chosen"] == "<|assistant|>\nyo<|end|>\n"
+    assert set(got) == {1, 2, 3} and got[1]["prompt"] == "<|user|>\nhi<|end|>\n" and got[1]["chosen"] == "<|assistant|>\nyo<|end|>\n"
+    assert (got[2]["n_common"], got[2]["prompt"], got[2]["chosen"], got[2]["rejected"]) == (1, "<|user|>\n<|end|>\n", "", "")
     s = got[1]["chosen_spans"][0]
     assert got[1]["chosen"][s["start"] : s["end"]] == "yo<|end|>\n" and got[3]["chosen"] == "" and got[3]["n_common"] == 2
 

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is cut into leaves that are encoded independently; neighbours are then joined pairwise up a tree. A join looks
-left and right of the boundary for an anchor: white space (blank or line feed) directly after a letter or digit. No
+Every text is halved recursively down to leaves of LEAF characters that are encoded independently; halves are then joined
+up the tree. A join looks left and right of the boundary for an anchor: white space (blank or line feed) directly after a letter or digit. No
 match of the split pattern crosses such a place, whatever stands around it, so every token outside the two anchors is
 final and only the window between them is encoded again. The window grows until both anchors are found, or to the whole
 node. Decoding concatenates the leaves' bytes up the same kind of tree.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelake.llm.common import table, with_text_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LEAF = 4096
+LEAF = 512
 Encode = Callable[[str], list[int]]
 _codecs: dict[str, object] = {}
 
@@ -60,22 +60,23 @@ def join(text: str, start: int, mid: int, end: int, left: list[int], right: list
 
 
 def encode(text: str, enc: Encode, leaf: int = LEAF) -> list[int]:
-    if len(text) <= leaf:
-        return enc(text)
-    nodes = [(i, min(i + leaf, len(text)), enc(text[i : i + leaf])) for i in range(0, len(text), leaf)]
-    while len(nodes) > 1:
-        up = []
-        for a, b in zip(nodes[::2], nodes[1::2]):
-            up.append((a[0], b[1], join(text, a[0], a[1], b[1], a[2], b[2], enc)))
-        nodes = up + nodes[len(up) * 2 :]
-    return nodes[0][2]
+    def node(start: int, end: int) -> list[int]:
+        if end - start <= leaf:
+            return enc(text[start:end])
+        mid = (start + end) // 2
+        return join(text, start, mid, end, node(start, mid), node(mid, end), enc)
+
+    return node(0, len(text))
 
 
 def decode(ids: list[int], dec: Callable[[list[int]], bytes], leaf: int = LEAF) -> bytes:
-    parts = [dec(ids[i : i + leaf]) for i in range(0, len(ids), leaf)] or [b""]
-    while len(parts) > 1:
-        parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0]
+    def node(start: int, end: int) -> bytes:
+        if end - start <= leaf:
+            return dec(ids[start:end])
+        mid = (start + end) // 2
+        return node(start, mid) + node(mid, end)
+
+    return node(0, len(ids))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), keep_ids: bool = True) -> DataFrame:

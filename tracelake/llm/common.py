@@ -84,50 +84,65 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
     return d.join(y, d["doc_id"] == y["l_id"]).select("doc_id", "text", "y")
 
 
+def least_ids(rows: DataFrame, by: str | None, each: int) -> tuple[dict, dict]:
+    """For every value of `by` (all rows count as one value if None): how many rows it has, and the `each` doc_ids whose
+    hashes are least. The driver gets a count per value and, as a share of the hash range is read, little more ids than
+    are chosen, however many partitions there are."""
+    own = F.lit(0) if by is None else F.col(f"`{by}`")
+    ids = rows.select(own.alias("v"), "doc_id").where("v is not null and doc_id is not null")
+    counts = {r["v"]: r["count"] for r in ids.groupBy("v").count().collect()}
+    if not counts:
+        return {}, {}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    cut = {v: min(1 << 40, -(-(1 << 40) * (3 * each // 2 + 200) // n)) for v, n in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), F.col("v"))
+    chosen: dict = {v: [] for v in counts}
+    for r in ids.where(place < limit).select("v", "doc_id", place.alias("p")).distinct().collect():
+        chosen[r["v"]].append((r["p"], r["doc_id"]))
+    return counts, {v: [d for _, d in sorted(x)[:each]] for v, x in sorted(chosen.items())}
+
+
 def _sampled(rows: DataFrame, by: str, each: int, cols: tuple[str, ...]):
     """The rows of at most `each` ids for every value of `by`, and a function that orders them and holds the bound."""
-    ids = rows.select(by, "doc_id").where(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
-    values = sorted(r[0] for r in ids.select(by).distinct().limit(256).collect())
-    chosen = []
-    for v in values:
-        chosen += [r[0] for r in ids.where(F.col(by) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id").collect()]
+    counts, chosen = least_ids(rows, by, each)
+    rank = {d: i for v in chosen.values() for i, d in enumerate(v)}
 
     def ordered(got: list) -> list:
-        rank, count, out = {d: i for i, d in enumerate(chosen)}, dict.fromkeys(values, 0), []
+        count, out = dict.fromkeys(counts, 0), []
         for r in sorted(got, key=lambda r: (rank[r["doc_id"]], zlib.crc32(repr(r).encode("utf-8", "replace")))):  # repeated ids stay within the bound
             count[r["__by"]] += 1
             if count[r["__by"]] <= each:
                 out.append(r)
         return out
 
-    if not chosen:
-        return None, ordered
-    return rows.where(F.col("doc_id").isin(chosen) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols), ordered
+    if not rank:
+        return None, ordered, counts
+    return rows.where(F.col("doc_id").isin([*rank]) & F.col(by).isNotNull()).select("doc_id", F.col(by).alias("__by"), *cols), ordered, counts
 
 
 def spread_sample(rows: DataFrame, by: str, each: int, *cols: str) -> list:
-    """At most `each` rows for every value of `by` (few values), chosen by a hash of doc_id, so that the choice does not
-    depend on partitioning. The bound of a classifier's training sample. Only ids are ranked; the other columns are then
-    fetched for the chosen ids alone."""
-    got, ordered = _sampled(rows, by, each, cols)
+    """At most `each` rows for every value of `by`, chosen by a hash of doc_id, so that the choice does not depend on
+    partitioning. The bound of a classifier's training sample. Only ids are ranked; the other columns are then fetched for
+    the chosen ids alone."""
+    got, ordered, _ = _sampled(rows, by, each, cols)
     return [] if got is None else ordered(got.collect())
 
 
-def fit_on_sample(rows: DataFrame, by: str, each: int, cols: tuple[str, ...], fit: Callable[[list], object]):
-    """fit() of the rows (by column name) that spread_sample() would choose, run in one task of an executor: the driver
-    holds the chosen ids and the model, neither the texts nor what the training needs."""
-    got, ordered = _sampled(rows, by, each, cols)
+def fit_on_sample(rows: DataFrame, by: str, each: int, cols: tuple[str, ...], fit: Callable[[list, dict], object]):
+    """fit() of the rows (by column name) that spread_sample() would choose and of how many rows each value has in all, run
+    in one task of an executor: the driver holds the chosen ids and the model, neither texts nor what the training needs."""
+    got, ordered, counts = _sampled(rows, by, each, cols)
     if got is None:
-        return fit([])
+        return fit([], counts)
 
     def run(batches):
         import pyarrow as pa
 
-        model = pickle.dumps(fit(ordered([r for b in batches for r in b.to_pylist()])))
+        model = pickle.dumps(fit(ordered([r for b in batches for r in b.to_pylist()]), counts))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     made = got.repartition(1).mapInArrow(run, "model binary").first()
-    return fit([]) if made is None else pickle.loads(bytes(made["model"]))
+    return fit([], counts) if made is None else pickle.loads(bytes(made["model"]))
 
 
 def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, text: str = "text", most_chars: int = 4_000_000) -> DataFrame:
@@ -140,7 +155,7 @@ def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, tex
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(added)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(unused(docs, "text")))
     schema = StructType([*source.schema.fields[:-1], *extra.fields])
     names, n_keep = [f.name for f in schema.fields], len(keep)
 

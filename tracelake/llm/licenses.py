@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, with_text_columns
+from tracelake.llm.common import fit_on_sample, table, with_text_columns
 
 # Public notices by licence family.
 NOTICES = {
@@ -47,7 +47,7 @@ NOTICES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
 
-COPIES, UNKNOWN, CONFIRM, STEPS = 60, 4000, 0.8, 250
+COPIES, UNKNOWN, LONGEST, CONFIRM, STEPS = 60, 4000, 400, 0.8, 250
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 
 
@@ -217,10 +217,12 @@ def train(unknown: list[str], *, seed: int = 3) -> Model:
 
 
 def learn(docs: DataFrame, unknown: int = UNKNOWN) -> Model:
-    """unknown: bound of the corpus's paragraphs that the unknown class is fitted on, one each of documents chosen by a hash."""
-    line = F.get(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), 0)
-    got = docs.select("doc_id", F.left(line, F.lit(2000)).alias("p")).where("p is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unknown).collect()
-    return train([r["p"] for r in got])
+    """unknown: bound of the corpus's paragraphs that the unknown class is fitted on, one each of documents chosen by a hash: the
+    line of the whole text that another hash chooses, up to LONGEST words of it. The fit runs in one task of an executor; the
+    driver has the chosen ids and the model."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
+    rows = docs.select("doc_id", F.lit(0).alias("all"), lines.alias("l")).where("size(l) > 0").select("doc_id", "all", F.get("l", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.size("l")).cast("int")).alias("p"))
+    return fit_on_sample(rows, "all", unknown, ("p",), lambda got, _: train([" ".join(words(r["p"])[:LONGEST]) for r in got]))
 
 
 def scan(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,8 +5,12 @@ it is rendered once as the prompt. What follows it in each conversation is a com
 spans of what is trained on: the texts of assistant turns, with their end marks.
 
 A conversation is one row of the result, so its turns meet in one row; nothing else is gathered.
-Defined cases: null roles are `user`, null texts empty; turns order by (turn, role, text), so repeated turns are kept; a
-conversation that is a prefix of the other has an empty completion; a pair whose conversation has no turns is left out.
+Markers that texts or roles hold themselves are escaped by a bar more (`<|` as `<||`, in roles `|>` as `||>`), so that no text can
+forge a turn.
+
+Defined cases: null roles are `user`, null texts empty; turns order by (turn, role, text), nulls first, so repeated turns
+are kept; a conversation that is a prefix of the other has an empty completion; equal conversations have two; a pair whose
+conversation has no turns is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +31,17 @@ def gathered(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(text, F.lit(OPEN), F.lit(OPEN + "|"))
+
+
+def marked(turns: Column) -> Column:
+    """Turns whose roles and texts hold no marker."""
+    return F.transform(turns, lambda x: F.struct(F.replace(escaped(x["role"]), F.lit("|>"), F.lit("||>")).alias("role"), escaped(x["text"]).alias("text")))
+
+
 def rendered(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(MIDDLE), x["text"], F.lit(END))), "")
+    return F.array_join(F.transform(marked(turns), lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(MIDDLE), x["text"], F.lit(END))), "")
 
 
 def mask(turns: Column) -> Column:
@@ -42,7 +55,7 @@ def mask(turns: Column) -> Column:
         span = F.array(F.struct(begin.cast("long").alias("start"), (acc["at"] + size(x)).cast("long").alias("end")))
         return F.struct((acc["at"] + size(x)).cast("long").alias("at"), F.when(x["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
 
-    return F.aggregate(turns, start, step)["spans"]
+    return F.aggregate(marked(turns), start, step)["spans"]
 
 
 def paired(pairs: DataFrame) -> DataFrame:
@@ -59,14 +72,16 @@ def paired(pairs: DataFrame) -> DataFrame:
 
 
 def echo_pairs(conversations: DataFrame) -> DataFrame:
-    """Preference pairs where none are given: of each conversation, up to its last assistant turn, the rejected form answers with the turn
-    before (or with nothing) in place of that last answer. Conversations without an assistant turn are left out."""
+    """Preference pairs where none are given, one of every conversation: in the rejected form one of the assistant's answers,
+    the (conv_id modulo their number)th, is replaced by the turn before it (or by nothing). So the forms part anywhere, and
+    what follows is in both completions. Without an answer, or where it equals the turn before, both forms are equal."""
     g = gathered(conversations)
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda x: x["role"])), "assistant").cast("int") + 1
-    g = g.where(F.exists("turns", lambda x: x["role"] == "assistant")).withColumn("n", last)
-    said = F.coalesce(F.get("turns", F.col("n") - 2)["text"], F.lit(""))
-    swapped = F.concat(F.slice("turns", 1, F.col("n") - 1), F.array(F.struct(F.lit("assistant").alias("role"), said.alias("text"))))
-    return g.select(F.col("conv_id").alias("pair_id"), F.slice("turns", 1, F.col("n")).cast(TURN).alias("chosen"), swapped.cast(TURN).alias("rejected"))
+    answers = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("turns", i)["role"] == "assistant")
+    g = g.withColumn("answers", answers).withColumn("at", F.when(F.size("answers") > 0, F.get("answers", F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.size("answers")).cast("int"))))
+    said = F.coalesce(F.get("turns", F.col("at") - 1)["text"], F.lit(""))
+    echo = F.struct(F.lit("assistant").alias("role"), said.alias("text"))
+    swapped = F.transform("turns", lambda x, i: F.when(i == F.coalesce("at", F.lit(-1)), echo).otherwise(x))
+    return g.select(F.col("conv_id").alias("pair_id"), F.col("turns").cast(TURN).alias("chosen"), swapped.cast(TURN).alias("rejected"))
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,17 +90,17 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("pair_id").alias("conv_id"), F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", trained("chosen_spans").alias("chosen_trained"), trained("rejected_spans").alias("rejected_trained"))
 
 
-ORACLE = """
+_SHOWN = "coalesce(list_aggregate(list_transform({0}, lambda x: '<|' || replace(replace(x.r, '<|', '<||'), '|>', '||>') || '|>' || chr(10) || replace(x.t, '<|', '<||') || '<|end|>' || chr(10)), 'string_agg', ''), '')"
+_TRAINED = "cast(coalesce(list_sum(list_transform(list_filter({0}, lambda x: x.r = 'assistant'), lambda x: length(replace(x.t, '<|', '<||')) + 8)), 0) as bigint)"
+ORACLE = f"""
 with t as (select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations),
-g as (select conv_id, list({'r': role, 't': text} order by turn, role, text) as u from t group by conv_id),
-l as (select *, len(u) - list_position(list_reverse(list_transform(u, lambda x: x.r)), 'assistant') + 1 as n from g where list_contains(list_transform(u, lambda x: x.r), 'assistant')),
-s as (select *, coalesce(u[n - 1].t, '') as said from l),
-c as (select *, case when u[n].t = said then n else n - 1 end as n_common from s)
-select conv_id, cast(n_common as bigint) as n_common,
- coalesce(list_aggregate(list_transform(u[1:n_common], lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), 'string_agg', ''), '') as prompt,
- case when n_common = n then '' else '<|assistant|>' || chr(10) || u[n].t || '<|end|>' || chr(10) end as chosen,
- case when n_common = n then '' else '<|assistant|>' || chr(10) || said || '<|end|>' || chr(10) end as rejected,
- cast(case when n_common = n then 0 else length(u[n].t) + 8 end as bigint) as chosen_trained,
- cast(case when n_common = n then 0 else length(said) + 8 end as bigint) as rejected_trained
+g as (select conv_id, list({{'r': role, 't': text}} order by turn nulls first, role, text) as u from t group by conv_id),
+a as (select *, list_filter(range(1, len(u) + 1), lambda i: u[i].r = 'assistant') as p from g),
+k as (select *, case when len(p) > 0 then p[(coalesce(conv_id, 0) % len(p) + len(p)) % len(p) + 1] end as spot from a),
+r as (select *, list_transform(u, lambda x, i: case when i = spot then {{'r': 'assistant', 't': coalesce(u[spot - 1].t, '')}} else x end) as v from k),
+c as (select *, coalesce(nullif(list_position(list_transform(range(1, len(u) + 1), lambda i: u[i] = v[i]), false), 0) - 1, len(u)) as n_common from r)
+select conv_id, cast(n_common as bigint) as n_common, {_SHOWN.format("u[1:n_common]")} as prompt,
+ {_SHOWN.format("u[n_common + 1:]")} as chosen, {_SHOWN.format("v[n_common + 1:]")} as rejected,
+ {_TRAINED.format("u[n_common + 1:]")} as chosen_trained, {_TRAINED.format("v[n_common + 1:]")} as rejected_trained
 from c
 """

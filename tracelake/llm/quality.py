@@ -6,7 +6,8 @@
    ones takes the shrinkage out of the probabilities.
 4. The kept rules are compiled to one Spark column: score = sigmoid(bias + sum of weights of the rules that hold).
 
-Bound: at most SAMPLE rows per label are used to fit; only their statistics reach the driver.
+Bound: at most SAMPLE rows per label are used to fit, in one task; the driver sees their ids and the rules. Every path of
+TREES trees of DEPTH levels is a candidate of the lasso, at most TREES * (2^(DEPTH + 1) - 2) of them.
 Defined cases: null text counts as empty and scores like an empty text; repeated rows keep a row each; with no labelled
 rows or one class only, the score is that class's share (0.5 without any) and no rule is used.
 """
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import fit_on_sample, held_out, labelled, table
+from tracelake.llm.common import fit_on_sample, held_out, labelled, table, unused
 
 SAMPLE, TREES, DEPTH, L1 = 6000, 24, 3, 2e-3
 THRESHOLD = 0.7
@@ -157,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], share: float, *, trees:
     if not rules:
         return Rules([], [], prior)
     r = np.array(cols, float).T
-    order = np.argsort(-np.abs(r.T @ (y - y.mean())) / np.sqrt(r.sum(0)))[:160]
+    order = np.argsort(-np.abs(r.T @ (y - y.mean())) / np.sqrt(r.sum(0)))
     w, _ = _logistic(r[:, order], y.astype(float), l1, 400)
     kept = order[np.abs(w) > 1e-6]
     w, b = _logistic(r[:, kept], y.astype(float), 1e-5, 800)
@@ -166,24 +167,25 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], share: float, *, trees:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = MOD, rest: int = REST, sample: int = SAMPLE) -> Rules:
-    rows = labelled(docs, labels, label, mod, rest)
-    share = rows.agg(F.avg("y")).first()[0]
+    rows = labelled(docs, labels, label, mod, rest).where("y in (0, 1)")
     stats = statistics(F.col("text"))
-    names, share = list(stats), 0.5 if share is None else float(share)
+    names = list(stats)
 
-    def train(got: list) -> Rules:
+    def train(got: list, counts: dict) -> Rules:
+        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         data = np.array([[r[k] for k in names] for r in got], float).reshape(-1, len(names))
         return fit(data, np.array([r["y"] for r in got], int), names, share)
 
     return fit_on_sample(rows.select("doc_id", "y", *[c.alias(k) for k, c in stats.items()]), "y", sample, ("y", *names), train)
 
 
-def scored(docs: DataFrame, rules: Rules, *, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The columns in keep, score and predicted, one row per row of docs."""
+def scored(docs: DataFrame, rules: Rules, *, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in keep, score and predicted (under names, which docs' columns in keep must not have), a row per row of docs."""
     stats = statistics(F.col("text"))
-    used = sorted({n for r in rules.rules for n, _, _ in r})
-    x = docs.select(*keep, *[stats[n].alias(f"__stat_{n}") for n in used])
-    return x.select(*keep, rules.column({n: f"__stat_{n}" for n in used}).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    own = {n: unused(docs, f"stat_{n}") for n in sorted({n for r in rules.rules for n, _, _ in r})}
+    x = docs.select(*kept, *[stats[n].alias(c) for n, c in own.items()])
+    return x.select(*kept, rules.column(own).alias(names[0])).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

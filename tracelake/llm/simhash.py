@@ -21,8 +21,8 @@ share their component; repeated doc_ids keep a row each; an empty table gives an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,23 +32,31 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import ensure_shared, nothing_broadcast, table, unused, with_text_columns
 
 SHINGLE, RADIUS, HOT = 3, 3, 512
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def _hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, repeats included, in arrays of bounded length; none if there is no word."""
     import xxhash
 
-    words = _WORD.findall((text or "").translate(_LOWER))
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # at \x20 and \x09-\x0D
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    h64 = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory whatever the length
-        some = [h64(" ".join(words[i : i + shingle]).encode("utf-8", "surrogatepass"), 42) for i in range(at, min(n, at + 65536))]
-        ones += np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        return
+    joined, n, h64 = b" ".join(words), max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    starts = [0, *accumulate(map(len, words), lambda a, b: a + b + 1)]  # starts[i] = the words before i, a blank after each
+    starts[1:] = [x + 1 for x in starts[1:]]
+    for at in range(0, n, 65536):
+        m = min(n, at + 65536)
+        ends = starts[at + shingle : m + shingle] if len(words) >= shingle else starts[-1:]
+        yield np.array([h64(joined[a : b - 1], seed) for a, b in zip(starts[at:m], ends)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for some in _hashes(text, shingle):
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(some)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
@@ -190,11 +198,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return fps.join(by_fp, fps["fp"] == by_fp["k"], "left").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes, as longs; a text without words has the one of the empty text."""
     import xxhash
 
-    w = _WORD.findall((text or "").translate(_LOWER))
-    return list({xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode("utf-8", "surrogatepass"), 42) - (1 << 63) for i in range(max(1, len(w) - shingle + 1))})
+    parts = [*_hashes(text, shingle)] or [np.array([xxhash.xxh64_intdigest(b"", 42)], "<u8")]
+    return np.unique(np.concatenate(parts)).view(np.int64)
 
 
 def _least(n: int, similarity: float) -> int:
@@ -231,7 +240,7 @@ def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1
                 if len(seen) >= seen_most:
                     seen.clear()
                 seen.add(node)
-                h = np.array(shingle_hashes(texts[i].as_py(), shingle), np.int64)
+                h = shingle_hashes(texts[i].as_py(), shingle)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 times = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
                 firsts.append(h[np.lexsort((h, times))[: _least(len(h), similarity)]])
@@ -420,7 +429,7 @@ def tiled(members: DataFrame, texts, similarity: float, shingle: int, *, most: i
                     at, ids, sides, sets = group, [], [], []
                 ids.append(cols[4][r])
                 sides.append(cols[3][r])
-                sets.append(np.array(shingle_hashes(b.column(5)[r].as_py(), shingle), np.int64))
+                sets.append(shingle_hashes(b.column(5)[r].as_py(), shingle))
         yield done()
 
     return placed.mapInArrow(run, "a long, b long")
