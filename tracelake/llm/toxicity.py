@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import fit_on_sample, held_out, labelled, table, with_text_columns
 
 SAMPLE, WIDTH, STRIDE, HIDDEN, BUCKETS, EMBEDDINGS, DIM, STEPS, BATCH = 3000, 32, 16, 8, 1 << 18, 4096, 4, 300, 256
-LETTERS, CODES, READER = 16, 1024, 6  # characters of a word, numbers for them, size of the unit that reads them
+LETTERS, CODES, READER = 16, 1024, 3  # characters of a word, numbers for them, size of the unit that reads them
 MOD, REST = 5, 0
 SHORTEST, LONGEST = 3, 10  # bytes of a prefix
 _WORD = re.compile(rf"[^\W_]{{1,{LETTERS}}}")
