@@ -313,8 +313,7 @@ def longest(text, at, corpus):
 
 
 def test_cross_parsing_equals_brute_force():
-    import numpy as np
-
+    """Phrases of random symbols, and whole texts of several scripts: parsed in segments, compared by entropy."""
     r = random.Random(6)
     corpus = [r.randrange(2, 6) for _ in range(80)]
     trans = language.automaton(corpus, 8)
@@ -326,6 +325,28 @@ def test_cross_parsing_equals_brute_force():
             at += max(1, longest("".join(map(str, text)), at, joined))
             count += 1
         assert language.phrases(np.array([text], np.int32), np.array([n]), trans).tolist() == [count]
+    alphabets = {"el": "αβγδε ", "ja": "日本語文字 ", "ru": "абвгд ", "xx": "abcde "}
+    make = lambda k, n: "".join(r.choice(alphabets[k]) for _ in range(n))
+    samples = {k: [make(k, 300) for _ in range(4)] for k in alphabets}
+    model, lut = language.Model(samples, 900), language.letters()
+    texts = [make(k, n) for k in alphabets for n in (3, 200, 900)] + [make("el", 400) + make("ru", 300).upper(), "12 !", None, "\U00020000 x"]
+    trained = {k: " ".join(bytes(language.symbols(t, lut)).decode()[:225] for t in v)[:900].encode() for k, v in samples.items()}
+    for text, name, score in zip(texts, *language.classify(texts, model, lut)):
+        s = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+        assert bytes(language.symbols(text, lut)).strip() == s
+        s = bytes(language.symbols(text, lut))
+        entropy = {}
+        for k, t in trained.items():
+            count = 0
+            for a in range(0, len(s), language.SEGMENT):
+                part, at = s[a : a + language.SEGMENT], 0
+                while at < len(part):
+                    at += max(1, longest(part, at, t))
+                    count += 1
+            entropy[k] = count * np.log2(max(2, len(t))) / max(1, len(s))
+        best = min(entropy, key=lambda k: (entropy[k], k))
+        rest = min(v for k, v in entropy.items() if k != best)
+        assert (name, round(score, 9)) == ((best, round(1 - entropy[best] / rest, 9)) if s else ("und", 0))
 
 
 def test_warc_round_trip(spark):

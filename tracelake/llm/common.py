@@ -152,11 +152,12 @@ def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, tex
     gets about most_chars characters at a time, but always whole texts.
     """
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     extra = StructType.fromDDL(added)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(unused(docs, "text")))
-    schema = StructType([*source.schema.fields[:-1], *extra.fields])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
+    added_fields = [StructField(f"n{i}", f.dataType) for i, f in enumerate(extra.fields)]  # names of our own: mapInArrow takes none with dots
+    schema = StructType([*source.schema.fields[:-1], *added_fields])
     names, n_keep = [f.name for f in schema.fields], len(keep)
 
     def run(batches):
@@ -175,4 +176,4 @@ def with_text_columns(docs: DataFrame, keep: list[str], make, added: str, *, tex
                     yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *[pa.array(v, t) for v, t in zip(new, types)]], names=names)
                     start, size = at + 1, 0
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *extra.names)

@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 A text is a sequence of tokens: runs of at most 12 characters without ASCII white space, East Asian characters one by one.
-Every k-gram of tokens has the polynomial hash of its tokens' hashes modulo 2^31 - 1; the least hash of every window of w
+Every k-gram of tokens has the rolling polynomial hash of its tokens' hashes modulo 2^31 - 1 (k terms; with k of 3 no longer than
+a rolled update); the least hash of every window of w
 is chosen. Hash and position share one long, (hash, -position), so that the least long is the least hash and, among equal
 ones, the rightmost. Distinct minima, in order, are the fingerprint; their positions (token numbers) are kept. Any two
 texts that share w + k - 1 tokens in a row share a fingerprint member.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
 
-K, W, PRIME, BASE, BUCKETS, ROWS = 3, 3, (1 << 31) - 1, 1_000_003, 4096, 512
+K, W, PRIME, BASE, BUCKETS, ROWS = 3, 3, (1 << 31) - 1, 1_000_003, 16_384, 512
 
 
 _EAST = r"\x{2E80}-\x{D7FF}\x{20000}-\x{3FFFF}"
@@ -46,6 +47,11 @@ def minima(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFr
     return df.withColumn(out, chosen).drop(f"{h}2")
 
 
+def position(v: Column) -> Column:
+    """Of the packed long: the number of the k-gram's first token."""
+    return (F.lit((1 << 32) - 1) - v.bitwiseAND((1 << 32) - 1)).cast("int")
+
+
 def hashes(selected: Column) -> Column:
     return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, 32).cast("int")))
 
@@ -53,7 +59,7 @@ def hashes(selected: Column) -> Column:
 def fingerprints(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
     """doc_id, text, n_chars, selected: array of (hash, position) in order. One row per row of docs."""
     d = minima(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "mins", k, w)
-    pairs = F.transform("mins", lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("hash"), (F.lit((1 << 32) - 1) - v.bitwiseAND((1 << 32) - 1)).cast("int").alias("position")))
+    pairs = F.transform("mins", lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("hash"), position(v).alias("position")))
     return d.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), pairs.alias("selected"))
 
 
@@ -93,19 +99,20 @@ def with_next(rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def edited(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
-    """doc_id, n_chars, edited_text, fp, edited_fp, next_fp: fingerprints of each text, of its edit and of the next text."""
+    """doc_id, n_chars, edited_text, fp, positions, edited_fp, next_fp: fingerprints of each text (with the places of all that
+    was selected, in order), of its edit and of the next text."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = minima(d, "text", "mins", k, w).select("doc_id", "text", hashes(F.col("mins")).alias("fp"))
-    d = with_next(d, "text", "fp")
+    d = with_next(minima(d, "text", "mins", k, w), "text", "mins")
     n = F.length("text")
     gone = F.floor(n / 3).cast("int")
-    d = d.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - gone), F.left("next_text", gone)).alias("edited_text"))
-    return minima(d, "edited_text", "mins", k, w).select("doc_id", "n_chars", "edited_text", "fp", hashes(F.col("mins")).alias("edited_fp"), "next_fp")
+    d = d.select("doc_id", "mins", hashes(F.col("next_mins")).alias("next_fp"), n.cast("long").alias("n_chars"), F.concat(F.left("text", n - gone), F.left("next_text", gone)).alias("edited_text"))
+    d = minima(d, "edited_text", "edited", k, w)
+    return d.select("doc_id", "n_chars", "edited_text", hashes(F.col("mins")).alias("fp"), F.transform("mins", position).alias("positions"), hashes(F.col("edited")).alias("edited_fp"), "next_fp")
 
 
 def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = edited(table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), printed("fp").alias("fingerprint"),
-        printed("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        printed("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "positions",
     )
