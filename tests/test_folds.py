@@ -42,6 +42,7 @@ def test_persistence_falls_start_anew(spark):
     rows = [("s", i, e) for i, e in enumerate([1, 2, 2, 1, 1, 0, 3])]
     log = spark.createDataFrame(rows, "session string, seq long, errors long")
     assert detectors.persistence(log).first()["value"] == 3
+    assert detectors.persistence(spark.createDataFrame([("z", i, 0) for i in range(4)], "session string, seq long, errors long")).first()["value"] == 0
 
 
 def test_store_reads_folds_and_compacts(spark, tmp_path):
@@ -57,6 +58,42 @@ def test_store_reads_folds_and_compacts(spark, tmp_path):
     assert store.records(store.lines(spark, str(tmp_path / "out")), "review").count() == 1
 
 
+def test_store_orders_files_by_batch(spark, tmp_path):
+    """Of several files the newest row wins, in any folder layout; compaction keeps it, its place and the order of lines."""
+    path = str(tmp_path / "store")
+    row = lambda n: spark.createDataFrame([(n, "s", "m", "k", n)], "seq long, session_id string, model string, skill string, messages long").selectExpr("*", "struct(seq as input) as tokens").repartition(3)
+    for n in (3, 1, 2):
+        store.append_ledger(row(n), path)
+    seen = lambda p: folds.last_write_wins(store.records(store.lines(spark, p), "architect_ledger"), ["session_id", "model", "skill"]).first()["messages"]
+    assert seen(path) == 2
+    classes = {r["class"]: r["n"] for r in store.compact(spark, path, str(tmp_path / "small")).collect()}
+    assert classes == {"superseded": 2, "architect_ledger": 1} and seen(str(tmp_path / "small")) == 2
+    store.append_ledger(row(9), str(tmp_path / "small"))
+    assert seen(str(tmp_path / "small")) == 9
+    big = tmp_path / "big.jsonl"
+    big.write_text("".join('{"record":"odd","n":%d}\n' % i for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = store.lines(spark, str(big))
+        assert got.rdd.getNumPartitions() > 3
+        assert [r["value"] for r in got.orderBy("seq").collect()] == big.read_text().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert store.lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_scan_equals_single_reads(spark, tmp_path):
+    led = '{"record":"architect_ledger","session_id":"s","model":"m","skill":"k","tokens":{"input":%d},"schema_version":1}'
+    act = '{"record":"architect_activity","ts":1,"phase_id":"p","activity":"draft","schema_version":1}'
+    (tmp_path / "s.jsonl").write_text("\n".join([led % 1, act, led % 2 + led % 3, "x", act.replace('"schema_version":1', '"schema_version":2'), ""]))
+    s = store.lines(spark, str(tmp_path / "s.jsonl"))
+    for kind, frame in store.multiplexed(s).items():
+        assert sorted(map(str, frame.collect())) == sorted(map(str, store.records(s, kind).collect()))
+    assert store.multiplexed(s)["architect_ledger"].count() == 1
+    unknown = store.append_review(spark.createDataFrame([(1, "p", "v", ["none", "odd"])], "ts long, phase_id string, architect_verdict string, failure_class array<string>"), str(tmp_path / "out"))
+    assert [r[0] for r in unknown.collect()] == ["odd"]
+
+
 def test_sweep_appends_only_what_changed(spark, tmp_path):
     from tracelake.streaming import sweep
 

@@ -1,16 +1,47 @@
-"""Stall and loop detectors over ordered tool calls, as window expressions, and their calibration."""
+"""Stall and loop detectors over ordered tool calls, as window expressions, and their calibration.
+
+A log has a row per step of a session: session, seq, tool, arguments (canonical JSON), mutating, output_bytes, errors, blank and
+feedback. Distance is counted in rows, never in seq, which may begin anywhere and have gaps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.metrics import nearest_rank
+from tracelake.functions import present
+
+#: Thresholds where a caller gives none.
+DEFAULTS = {
+    "identical": 6, "persistence": 6, "output": 102_400, "empty": 3, "feedback": 5, "window": 8, "most": 2, "flood_window": 6, "flood_limit": 262_144, "stall": 60, "novelty_window": 24, "novelty_floor": 6,
+}
+
 
 def ordered():
     return Window.partitionBy("session").orderBy("seq")
 
 
+def _trailing(n: int):
+    return ordered().rowsBetween(1 - n, 0)
+
+
+def call_key() -> Column:
+    return F.to_json(F.struct("tool", "arguments"))
+
+
+def read_target(tool: str = "tool", arguments: str = "arguments") -> Column:
+    """What a call looks at, by the tool's category: a read its path or else name, a search its path or else `.`, a command
+    its text without digits; any other call, and one without these, is itself."""
+    field = lambda name: F.get_json_object(arguments, f"$.{name}")
+    raw = F.concat(F.col(tool), F.lit("("), F.coalesce(F.col(arguments), F.lit("null")), F.lit(")"))
+    kind = present.tool_category(F.col(tool))
+    return (
+        F.when(kind == "read", F.coalesce(field("path"), field("name"), raw))
+        .when(kind == "search", F.coalesce(field("path"), F.lit(".")))
+        .when(kind == "run", F.coalesce(F.translate(field("command"), "0123456789", ""), raw))
+        .otherwise(raw)
+    )
+
+
 def _runs(log: DataFrame, broken) -> DataFrame:
     """Adds island: rows since the last break share a number."""
     return log.withColumn("island", F.sum(F.when(broken, 1).otherwise(0)).over(ordered()))
@@ -29,34 +60,35 @@ def read_only_run(log: DataFrame) -> DataFrame:
 
 
 def persistence(log: DataFrame) -> DataFrame:
-    """Per session the longest run of error counts above zero that never fall; a fall begins a new run of one."""
+    """Per session the longest run of error counts above zero that never fall; a fall begins a new run of one; 0 if no count
+    is above zero. Rows without a count are no sample."""
     e = F.col("errors")
-    i = _runs(log, (e == 0) | F.coalesce(e < F.lag("errors").over(ordered()), F.lit(True)) | (F.lag("errors").over(ordered()) == 0))
-    return i.where("errors > 0").groupBy("session", "island").agg(F.count("*").alias("n")).groupBy("session").agg(F.max("n").alias("value"))
+    before = F.lag("errors").over(ordered())
+    i = _runs(log.where("errors is not null"), (e == 0) | F.coalesce(e < before, F.lit(True)) | (before == 0))
+    return i.groupBy("session", "island").agg(F.count_if(e > 0).alias("n")).groupBy("session").agg(F.max("n").alias("value"))
 
 
 def oscillation(log: DataFrame, window: int = 8) -> DataFrame:
-    """Per session the least number of distinct tools in a full window."""
-    over = ordered().rowsBetween(1 - window, 0)
-    d = log.select("session", F.size(F.collect_set("tool").over(over)).alias("d"), F.count("*").over(over).alias("k")).where(F.col("k") == window)
+    """Per session the least number of distinct calls in a full window."""
+    d = log.select("session", F.size(F.collect_set(call_key()).over(_trailing(window))).alias("d"), F.count("*").over(_trailing(window)).alias("k")).where(F.col("k") == window)
     return d.groupBy("session").agg(F.min("d").cast("long").alias("value"))
 
 
 def flood(log: DataFrame, window: int = 6) -> DataFrame:
     """Per session the greatest output of a full window."""
-    over = ordered().rowsBetween(1 - window, 0)
-    d = log.select("session", F.sum("output_bytes").over(over).alias("d"), F.count("*").over(over).alias("k")).where(F.col("k") == window)
+    d = log.select("session", F.sum("output_bytes").over(_trailing(window)).alias("d"), F.count("*").over(_trailing(window)).alias("k")).where(F.col("k") == window)
     return d.groupBy("session").agg(F.max("d").alias("value"))
 
 
 def novelty(log: DataFrame, window: int = 6) -> DataFrame:
-    """A sample per full window of calls without a mutation between them: its distinct tools."""
+    """A sample per full window of calls without a mutation between them: the distinct things they look at."""
     over = Window.partitionBy("session", "island").orderBy("seq").rowsBetween(1 - window, 0)
-    i = _runs(log, F.col("mutating")).where("not mutating")
-    return i.select("session", F.size(F.collect_set("tool").over(over)).cast("long").alias("value"), F.count("*").over(over).alias("k")).where(F.col("k") == window).select("session", "value")
+    i = _runs(log, F.col("mutating")).where("not mutating").select("session", "island", "seq", read_target().alias("target"))
+    return i.select("session", F.size(F.collect_set("target").over(over)).cast("long").alias("value"), F.count("*").over(over).alias("k")).where(F.col("k") == window).select("session", "value")
 
 
 def empty_run(log: DataFrame) -> DataFrame:
+    """Per session the longest run of blank completions; 0 if none."""
     i = _runs(log, ~F.col("blank")).groupBy("session", "island").agg(F.count_if("blank").alias("n"))
     return i.groupBy("session").agg(F.max("n").alias("value"))
 
@@ -64,41 +96,83 @@ def empty_run(log: DataFrame) -> DataFrame:
 SIGNALS = {"identical_run": identical_run, "read_only_run": read_only_run, "persistence": persistence, "oscillation": oscillation, "flood": flood, "novelty": novelty, "empty_run": empty_run}
 
 
-def samples(log: DataFrame) -> DataFrame:
-    out = None
-    for name, f in SIGNALS.items():
-        part = f(log).select(F.lit(name).alias("signal"), "session", F.col("value").cast("long").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def samples(log: DataFrame, *, window: int = 8, flood_window: int = 6, novelty_window: int = 6) -> DataFrame:
+    """signal, session, value of all seven signals. The log is shuffled and sorted once: every window is over (session, seq), and
+    runs are counted by the distance to the last row that broke them."""
+    w, n = ordered(), F.col("__n")
+    same = F.lag("tool").over(w).eqNullSafe(F.col("tool")) & F.lag("arguments").over(w).eqNullSafe(F.col("arguments")) & (F.row_number().over(w) > 1)
+    d = log.select("session", "seq", "mutating", "output_bytes", "blank", read_target().alias("__target"), call_key().alias("__key"), F.row_number().over(w).alias("__n"), same.alias("__same"))
+    since = lambda broken: n - F.coalesce(F.max(F.when(broken, n)).over(w), F.lit(0))
+    d = d.select(
+        "session", "seq", "__n", "__target", (since(~F.col("__same")) + 1).alias("identical_run"), since(F.col("mutating")).alias("read_only_run"), since(~F.col("blank")).alias("empty_run"),
+        F.when(n >= window, F.size(F.collect_set("__key").over(_trailing(window)))).alias("oscillation"), F.when(n >= flood_window, F.sum("output_bytes").over(_trailing(flood_window))).alias("flood"),
+    )
+    fresh = F.when(F.col("read_only_run") >= novelty_window, F.size(F.collect_set("__target").over(_trailing(novelty_window))))
+    d = d.select("*", fresh.cast("long").alias("novelty"))
+    top = ["identical_run", "read_only_run", "empty_run", "flood"]
+    one = d.groupBy("session").agg(*[F.max(c).cast("long").alias(c) for c in top], F.min("oscillation").cast("long").alias("oscillation"))
+    each = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("value")) for c in [*top, "oscillation"]])
+    wide = one.select("session", F.explode(each).alias("x")).select("x.signal", "session", "x.value").unionByName(d.select(F.lit("novelty").alias("signal"), "session", F.col("novelty").alias("value"))).where("value is not null")
+    return wide.unionByName(persistence(log).select(F.lit("persistence").alias("signal"), "session", F.col("value").cast("long").alias("value")))
 
 
 def calibrate(log: DataFrame, outcomes: DataFrame, min_runs: int = 0) -> DataFrame:
     """Percentiles by nearest rank of every signal by (model, outcome), and over all models as '(all)'. outcomes: session, model, outcome.
-    runs counts sessions, n samples; the least number of runs applies to the rows of one model only."""
+    runs counts sessions, n samples; the least number of runs applies to the rows of one model only.
+
+    Ranks come from how often each value occurs, so no group's samples are gathered in one row."""
     s = samples(log).join(outcomes, "session")
-    both = s.unionByName(s.withColumn("model", F.lit("(all)")))
-    g = both.groupBy("signal", "model", "outcome").agg(F.count_distinct("session").alias("runs"), F.count("*").alias("n"), F.collect_list("value").alias("v"))
+    both = s.withColumn("model", F.explode(F.array("model", F.lit("(all)"))))
+    of = ["signal", "model", "outcome"]
+    runs = both.groupBy(*of, "session").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("*").alias("runs"), F.sum("n").alias("n"))
+    counts = both.groupBy(*of, "value").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*of).orderBy("value"))
     low = F.col("signal") == "oscillation"
-    pick = lambda a, b: F.when(low, nearest_rank(F.col("v"), a)).otherwise(nearest_rank(F.col("v"), b))
-    g = g.select("signal", "model", "outcome", "runs", "n", nearest_rank(F.col("v"), 0.5).alias("p50"), pick(0.1, 0.9).alias("near_tail"), pick(0.01, 0.99).alias("far_tail"))
+    ranked = counts.withColumn("upto", upto).join(runs, of)
+    pick = lambda p: F.min(F.when(F.col("upto") > F.round(p * (F.col("n") - 1)), F.col("value")))
+    two = lambda a, b: F.when(low, F.lit(a)).otherwise(F.lit(b))
+    g = ranked.groupBy(*of).agg(F.first("runs").alias("runs"), F.first("n").alias("n"), pick(F.lit(0.5)).alias("p50"), pick(two(0.1, 0.9)).alias("near_tail"), pick(two(0.01, 0.99)).alias("far_tail"))
     return g.where((F.col("model") == "(all)") | (F.col("runs") >= min_runs))
 
 
-def first_hit(log: DataFrame, *, identical: int = 3, window: int = 8, most: int = 2, output: int = 45_000, flood_window: int = 6, flood_limit: int = 200_000, stall: int = 20) -> DataFrame:
-    """Per session the first call at which a live detector fires, and which (of several the one listed first)."""
-    def over(n):
-        return ordered().rowsBetween(1 - n, 0)
-    row = F.to_json(F.struct("tool", "arguments"))
-    full = lambda n: F.count("*").over(over(n)) == n
-    mutated = lambda n: F.coalesce(F.bool_or("mutating").over(over(n)), F.lit(False))
-    since = F.col("seq") - F.coalesce(F.max(F.when(F.col("mutating"), F.col("seq"))).over(ordered()), F.lit(0))
-    d = F.size(F.collect_set("tool").over(over(window)))
+def live(log: DataFrame, *, terminate_on_novelty: bool = False, **limits: int) -> DataFrame:
+    """session, seq, detector of every step at which a live detector fires; of several the one listed first. limits: as in
+    DEFAULTS. A stall or a novelty window of 0 is off; low novelty fires only if it is to terminate."""
+    x = DEFAULTS | limits
+    if unknown := limits.keys() - DEFAULTS.keys():
+        raise ValueError(f"no such limit: {sorted(unknown)}")
+    w = ordered()
+    n = F.row_number().over(w)
+    since = lambda broken: F.col("__n") - F.coalesce(F.max(F.when(broken, F.col("__n"))).over(w), F.lit(0))
+    full = lambda k: F.col("__n") >= k
+    mutated = lambda k: F.coalesce(F.bool_or("mutating").over(_trailing(k)), F.lit(False))
+    distinct = lambda c, k: F.size(F.collect_set(c).over(_trailing(k)))
+    earlier = F.last("errors", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = log.select("session", "seq", "mutating", "output_bytes", "errors", "blank", "feedback", read_target().alias("__target"), call_key().alias("__key"), n.alias("__n"), F.count("errors").over(w).alias("__c"), earlier.alias("__before"), (~F.lag("feedback").over(w).eqNullSafe(F.col("feedback"))).alias("__new"))
+    e, at = F.col("errors"), lambda when: F.coalesce(F.max(F.when(when, F.col("__c"))).over(w), F.lit(0))  # rows without a count are no break
+    streak = F.col("__c") - F.greatest(at(e == 0), at(e < F.col("__before")) - 1)
+    off = F.lit(False)
+    novel = full(x["novelty_window"]) & (since(F.col("mutating")) >= x["novelty_window"]) & (distinct("__target", x["novelty_window"]) <= x["novelty_floor"]) if x["novelty_window"] and terminate_on_novelty else off
     hit = (
-        F.when(full(identical) & (F.size(F.collect_set(row).over(over(identical))) == 1) & mutated(identical), "identical")
-        .when(F.col("output_bytes") > output, "runaway")
-        .when(full(window) & mutated(window) & d.between(2, most), "oscillation")
-        .when(full(flood_window) & (F.sum("output_bytes").over(over(flood_window)) > flood_limit), "flood")
-        .when(since >= stall, "stall")
+        F.when(full(x["identical"]) & (distinct("__key", x["identical"]) == 1) & mutated(x["identical"]), "identical")
+        .when(e.isNotNull() & (streak >= x["persistence"]), "persistence")
+        .when(F.col("output_bytes") > x["output"], "runaway")
+        .when(full(x["window"]) & mutated(x["window"]) & distinct("__key", x["window"]).between(2, x["most"]) if x["window"] else off, "oscillation")
+        .when(full(x["flood_window"]) & (F.sum("output_bytes").over(_trailing(x["flood_window"])) > x["flood_limit"]) if x["flood_window"] else off, "flood")
+        .when(novel, "novelty")
+        .when(since(F.col("mutating")) >= x["stall"] if x["stall"] else off, "stall")
+        .when(since(~F.col("blank")) >= x["empty"], "empty")
+        .when(F.col("feedback").isNotNull() & (F.col("__n") - F.max(F.when(F.col("__new"), F.col("__n"))).over(w) + 1 >= x["feedback"]), "feedback")
     )
-    h = log.select("session", "seq", hit.alias("detector")).where("detector is not null")
+    return d.select("session", "seq", hit.alias("detector")).where("detector is not null")
+
+
+def first_hit(log: DataFrame, **limits) -> DataFrame:
+    """Per session the first step at which a live detector fires, and which."""
+    h = live(log, **limits)
     return h.groupBy("session").agg(F.min("seq").alias("seq"), F.min_by("detector", "seq").alias("detector"))
+
+
+def backend_errors(log: DataFrame) -> DataFrame:
+    """Per session the first failure of the backend after turn 0. log: session, seq, turn, failed."""
+    return log.where("failed and turn > 0").groupBy("session").agg(F.min("seq").alias("seq"))

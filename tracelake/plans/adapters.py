@@ -49,7 +49,21 @@ select cast(user_id as {string}) as session, cast(row_number() over (partition b
  cast(round(value * 100) as bigint) as output_bytes, event_id % 5 as errors, event_id % 9 = 0 as blank from events
 """
 
-NAMES = {"runs": RUNS, "reviews": REVIEWS, "ledger": LEDGER, "session": SESSION}
+#: Steps of sessions with tools and arguments of the engine's own vocabulary.
+STEPS = """
+select cast(user_id as {string}) as session, cast(row_number() over (partition by user_id order by ts, event_id) * 3 as bigint) as seq, {epoch:ts} as ts, cast(floor((row_number() over (partition by user_id order by ts, event_id) - 1) / 4.0) as bigint) as turn,
+ case event_type when 'purchase' then 'patch' when 'click' then 'read_file' when 'view' then 'search' when 'signup' then 'bash' else 'symbols' end as tool,
+ case event_id % 4 when 0 then concat(chr(123), concat('"path":"p1"', chr(125))) when 1 then concat(chr(123), concat('"name":"n2"', chr(125))) when 2 then concat(concat(chr(123), '"command":"run '), concat(cast(event_id % 10 as {string}), concat('"', chr(125)))) else concat(chr(123), concat('"x":1', chr(125))) end as arguments,
+ event_type = 'purchase' as mutating, cast(round(value * 100) as bigint) as output_bytes, event_id % 5 as errors, event_id % 3 = 0 as blank, concat('gate ', cast(event_id % 2 as {string})) as feedback from events
+"""
+
+#: Activities, some of them written twice for the same phase, kind and time.
+ACTIVITIES = """
+select o_orderkey as seq, {epoch:o_orderdate} as ts, cast(o_custkey % 40 as {string}) as phase_id, case o_orderkey % 3 when 0 then 'draft' when 1 then 'dispatch' else 'assist' end as activity,
+ case when o_orderkey % 4 > 0 then o_orderstatus end as model, cast(floor(o_totalprice) as bigint) as input, concat('p', cast(o_custkey % 3 as {string})) as project_id from orders
+"""
+
+NAMES = {"activities": ACTIVITIES, "runs": RUNS, "reviews": REVIEWS, "ledger": LEDGER, "session": SESSION, "steps": STEPS}
 
 
 def _text(name: str, epoch: str, string: str) -> str:
@@ -100,3 +114,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(spark, sf_dir, "session").withColumnRenamed("turn0", "turn")
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(spark, sf_dir, "steps")
+
+
+def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = flat(spark, sf_dir, "activities")
+    none = F.lit(0).cast("bigint")
+    return r.select("seq", "ts", F.lit(None).cast("string").alias("phase_doc_path"), "phase_id", "project_id", F.lit(None).cast("string").alias("milestone_id"), "activity", F.lit(None).cast("string").alias("outcome"), "model", F.struct("input", none.alias("cache_creation"), none.alias("cache_read"), none.alias("output")).alias("tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,10 +178,10 @@ SIG = {
     "identical_run": "select session, max(n) as value from (select session, i, count(*) as n from (select session, sum(case when same then 0 else 1 end) over (partition by session order by seq) as i from (select *, coalesce(tool = lag(tool) over w and arguments = lag(arguments) over w, false) as same from session window w as (partition by session order by seq))) group by 1, 2) group by 1",
     "read_only_run": "select session, max(n) as value from (select session, i, count(case when not mutating then 1 end) as n from (select *, sum(case when mutating then 1 else 0 end) over (partition by session order by seq) as i from session) group by 1, 2) group by 1",
     "empty_run": "select session, max(n) as value from (select session, i, count(case when blank then 1 end) as n from (select *, sum(case when blank then 0 else 1 end) over (partition by session order by seq) as i from session) group by 1, 2) group by 1",
-    "persistence": "select session, max(n) as value from (select session, i, count(*) as n from (select session, errors, sum(case when errors = 0 or p is null or p = 0 or errors < p then 1 else 0 end) over (partition by session order by seq) as i from (select *, lag(errors) over (partition by session order by seq) as p from session)) where errors > 0 group by 1, 2) group by 1",
-    "oscillation": "select session, min(dd) as value from (select session, count(distinct tool) over w as dd, count(*) over w as k from session window w as (partition by session order by seq rows between 7 preceding and current row)) where k = 8 group by 1",
+    "persistence": "select session, max(n) as value from (select session, i, count(case when errors > 0 then 1 end) as n from (select session, errors, sum(case when errors = 0 or p is null or p = 0 or errors < p then 1 else 0 end) over (partition by session order by seq) as i from (select *, lag(errors) over (partition by session order by seq) as p from session)) group by 1, 2) group by 1",
+    "oscillation": "select session, min(dd) as value from (select session, count(distinct tool || '|' || arguments) over w as dd, count(*) over w as k from session window w as (partition by session order by seq rows between 7 preceding and current row)) where k = 8 group by 1",
     "flood": "select session, cast(max(dd) as bigint) as value from (select session, sum(output_bytes) over w as dd, count(*) over w as k from session window w as (partition by session order by seq rows between 5 preceding and current row)) where k = 6 group by 1",
-    "novelty": "select session, dd as value from (select session, count(distinct tool) over w as dd, count(*) over w as k from (select * from (select *, sum(case when mutating then 1 else 0 end) over (partition by session order by seq) as i from session) where not mutating) window w as (partition by session, i order by seq rows between 5 preceding and current row)) where k = 6",
+    "novelty": "select session, dd as value from (select session, count(distinct tool || '(' || arguments || ')') over w as dd, count(*) over w as k from (select * from (select *, sum(case when mutating then 1 else 0 end) over (partition by session order by seq) as i from session) where not mutating) window w as (partition by session, i order by seq rows between 5 preceding and current row)) where k = 6",
 }
 
 
@@ -206,12 +208,36 @@ def calibrate(spark, d):
     return detectors.calibrate(log, outcomes, min_runs=3)
 
 
-@query("""& w as (select *, count(*) over w3 as c3, count(distinct tool || '|' || arguments) over w3 as d3, bool_or(mutating) over w3 as m3, count(*) over w8 as c8, count(distinct tool) over w8 as d8, bool_or(mutating) over w8 as m8, count(*) over w6 as c6, sum(output_bytes) over w6 as s6, seq - coalesce(max(case when mutating then seq end) over (partition by session order by seq), 0) as since from session
- window w3 as (partition by session order by seq rows between 2 preceding and current row), w8 as (partition by session order by seq rows between 7 preceding and current row), w6 as (partition by session order by seq rows between 5 preceding and current row)),
- h as (select session, seq, case when c3 = 3 and d3 = 1 and m3 then 'identical' when output_bytes > 45000 then 'runaway' when c8 = 8 and m8 and d8 between 2 and 2 then 'oscillation' when c6 = 6 and s6 > 200000 then 'flood' when since >= 20 then 'stall' end as detector from w)
-select session, min(seq) as seq, arg_min(detector, seq) as detector from h where detector is not null group by session""", "session")
+LIVE = """& n as (select *, row_number() over p as n, lag(errors) over p as before, coalesce(feedback <> lag(feedback) over p, true) as fresh from steps window p as (partition by session order by seq)),
+w as (select *, count(distinct tool || '|' || arguments) over w3 as d3, bool_or(mutating) over w3 as m3, count(distinct tool || '|' || arguments) over w8 as d8, bool_or(mutating) over w8 as m8, sum(output_bytes) over w6 as s6,
+ n - coalesce(max(case when mutating then n end) over p, 0) as since, n - coalesce(max(case when not blank then n end) over p, 0) as blanks, n - max(case when fresh then n end) over p + 1 as repeats,
+ n - greatest(coalesce(max(case when errors = 0 then n end) over p, 0), coalesce(max(case when errors < before then n end) over p, 1) - 1) as streak, count(distinct {target}) over w4 as d4 from n
+ window p as (partition by session order by seq), w3 as (partition by session order by seq rows between 1 preceding and current row), w8 as (partition by session order by seq rows between 3 preceding and current row), w6 as (partition by session order by seq rows between 5 preceding and current row), w4 as (partition by session order by seq rows between 3 preceding and current row)),
+h as (select session, seq, case when n >= 2 and d3 = 1 and m3 then 'identical' when streak >= 4 then 'persistence' when output_bytes > 33000 then 'runaway' when n >= 4 and m8 and d8 between 2 and 2 then 'oscillation' when n >= 6 and s6 > 60000 then 'flood' when n >= 4 and since >= 4 and d4 <= 1 then 'novelty' when since >= 20 then 'stall' when blanks >= 2 then 'empty' when repeats >= 3 then 'feedback' end as detector from w)
+"""
+LIVE = LIVE.format(target="case when tool in ('read_file', 'symbols') then coalesce(json_extract_string(arguments, '$.path'), json_extract_string(arguments, '$.name'), tool || '(' || arguments || ')') when tool = 'search' then coalesce(json_extract_string(arguments, '$.path'), '.') when tool = 'bash' then coalesce(regexp_replace(json_extract_string(arguments, '$.command'), '[0-9]', '', 'g'), tool || '(' || arguments || ')') else tool || '(' || arguments || ')' end")
+_LIMITS = {"identical": 2, "persistence": 4, "output": 33_000, "window": 4, "flood_limit": 60_000, "novelty_window": 4, "novelty_floor": 1, "stall": 20, "empty": 2, "feedback": 3}
+
+
+@query(LIVE + "select session, min(seq) as seq, arg_min(detector, seq) as detector from h where detector is not null group by session", "steps")
 def first_hit(spark, d):
-    return detectors.first_hit(a.session(spark, d))
+    return detectors.first_hit(a.steps(spark, d), terminate_on_novelty=True, **_LIMITS)
+
+
+@query(LIVE + "select detector, count(*) as steps, count(distinct session) as sessions from h where detector is not null group by 1", "steps")
+def live_hits(spark, d):
+    """All nine detectors fire somewhere."""
+    return detectors.live(a.steps(spark, d), terminate_on_novelty=True, **_LIMITS).groupBy("detector").agg(F.count("*").alias("steps"), F.count_distinct("session").alias("sessions"))
+
+
+@query("select session, min(seq) as seq from steps where turn > 0 and errors = 4 group by session", "steps")
+def backend_errors(spark, d):
+    return detectors.backend_errors(a.steps(spark, d).withColumn("failed", F.col("errors") == 4))
+
+
+@query("select tool, case when tool in ('read_file', 'symbols') then coalesce(json_extract_string(arguments, '$.path'), json_extract_string(arguments, '$.name'), tool || '(' || arguments || ')') when tool = 'search' then coalesce(json_extract_string(arguments, '$.path'), '.') when tool = 'bash' then coalesce(regexp_replace(json_extract_string(arguments, '$.command'), '[0-9]', '', 'g'), tool || '(' || arguments || ')') else tool || '(' || arguments || ')' end as target, count(*) as n from steps group by 1, 2", "steps")
+def read_targets(spark, d):
+    return a.steps(spark, d).groupBy("tool", detectors.read_target().alias("target")).agg(F.count("*").alias("n"))
 
 
 def _docs(spark, d) -> DataFrame:
@@ -261,9 +287,9 @@ def token_estimate(spark, d):
 
 
 @query("""with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as x from documents where text <> '')), s as (select *, case when line = lag(line) over (partition by doc_id order by i) then 0 else 1 end as b from l), g as (select *, sum(b) over (partition by doc_id order by i) as k from s),
-r as (select doc_id, k, any_value(line) as line, count(*) as n from g group by doc_id, k) select doc_id, sha256(string_agg(line || case when n > 1 then ' (x' || n || ')' else '' end || chr(10), '' order by k)) as folded_sha256 from r group by doc_id""")
+r as (select doc_id, k, any_value(line) as line, count(*) as n from g group by doc_id, k) select doc_id, sha256(string_agg(line || case when n > 1 then ' (x' || n || ')' else '' end || chr(10), '' order by k)) as folded_sha256 from r group by doc_id union all select doc_id, sha256('') from documents where text = ''""")
 def line_rle(spark, d):
-    return _docs(spark, d).where("text <> ''").select("doc_id", F.sha2(t.collapse_lines(F.col("text")).cast("binary"), 256).alias("folded_sha256"))
+    return _docs(spark, d).select("doc_id", F.sha2(t.collapse_lines(F.col("text")).cast("binary"), 256).alias("folded_sha256"))
 
 
 @query("select doc_id, cast(case when len(x) > 12 then 4 + 1 + 6 else len(x) end as bigint) as n_lines, sha256(array_to_string(case when len(x) > 12 then list_concat(x[1:4], ['… ' || (len(x) - 10) || ' lines omitted …'], x[-6:]) else x end, chr(10))) as shown_sha256 from (select doc_id, string_split(text, chr(10)) as x from documents)")
@@ -286,13 +312,13 @@ def format_detect(spark, d):
 
 def _store(spark, d) -> DataFrame:
     """A store of ledger lines, some blank, broken, of another version or kind."""
-    e = a.ledger(spark, d).where("seq % 4 <> 3")
+    e = a.ledger(spark, d)
     body = F.to_json(F.struct(F.lit("architect_ledger").alias("record"), "project_id", "session_id", "model", "skill", "last_ts", F.when(F.col("seq") % 11 == 0, 0).otherwise(1).alias("schema_version")))
     value = F.when(F.col("seq") % 13 == 0, "").when(F.col("seq") % 17 == 0, F.substring(body, 1, 20)).when(F.col("seq") % 19 == 0, F.lit('{"schema_version":1,"record":"odd"}')).when(F.col("seq") % 23 == 0, F.lit('{"ts":1}')).otherwise(body)
     return e.select("seq", value.alias("value"))
 
 
-@query("""& s as (select *, case when seq % 13 = 0 then 'blank' when seq % 17 = 0 then 'malformed' when seq % 19 = 0 then 'other' when seq % 23 = 0 then 'legacy_run' when seq % 11 = 0 then 'other' else 'architect_ledger' end as c from ledger where seq % 4 <> 3),
+@query("""& s as (select *, case when seq % 13 = 0 then 'blank' when seq % 17 = 0 then 'malformed' when seq % 19 = 0 then 'other' when seq % 23 = 0 then 'legacy_run' when seq % 11 = 0 then 'other' else 'architect_ledger' end as c from ledger),
 k as (select *, max(case when c = 'architect_ledger' then seq end) over (partition by project_id, session_id, model, skill) as last from s) select case when c = 'architect_ledger' and seq < last then 'superseded' else c end as class, count(*) as n, cast(sum(seq) as bigint) as seqs from k group by 1""", "ledger")
 def compact_classes(spark, d):
     from tracelake.sources import store
@@ -300,6 +326,51 @@ def compact_classes(spark, d):
     return store.classified(_store(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
+def _written(spark, d, kind: str) -> DataFrame:
+    """Records of one kind, read back from a store to which runs, reviews and, in two batches, ledger lines were appended."""
+    import tempfile
+
+    from tracelake.sources import store
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    ledger = a.ledger(spark, d)
+    if kind == "architect_ledger":
+        store.append_ledger(ledger.where("seq % 2 = 0"), path)
+        store.append_ledger(ledger.where("seq % 2 = 1"), path)
+    elif kind == "review":
+        store.append_review(a.reviews(spark, d), path)
+    elif kind == "architect_activity":
+        store.append_activity(a.activities(spark, d), path)
+    store.append_run(a.runs(spark, d), path)
+    return store.records(store.lines(spark, path), kind)
+
+
+@query("select model, count(*) as n, sum(ts)::bigint as ts, round(sum(wall_clock_s), 3) as wall, count(case when test then 1 end) as tested, count(temperature) as with_temperature, cast(sum(output_tokens) as bigint) as output_tokens from runs group by 1", "runs")
+def read_runs(spark, d):
+    r = _written(spark, d, "run")
+    return r.groupBy("model").agg(F.count("*").alias("n"), F.sum("ts").alias("ts"), F.round(F.sum("wall_clock_s"), 3).alias("wall"), F.count_if("gates.test").alias("tested"), F.count("generation_params.temperature").alias("with_temperature"), F.sum("tokens.output_tokens").alias("output_tokens"))
+
+
+@query("select verdict as architect_verdict, count(*) as n, count(warnings) as warned, cast(sum(bounces) as bigint) as bounces, cast(sum(case when class1 = 'none' then 1 else 0 end) as bigint) as clean from reviews group by 1", "reviews")
+def read_reviews(spark, d):
+    r = _written(spark, d, "review")
+    return r.groupBy("architect_verdict").agg(F.count("*").alias("n"), F.count("warnings").alias("warned"), F.sum("bounces_to_approval").alias("bounces"), F.count_if(F.get("failure_class", F.lit(0)) == "none").alias("clean"))
+
+
+@query("& f as (select *, row_number() over (partition by phase_id, activity, ts order by seq desc) as k from activities) select activity, model, count(*) as n, cast(sum(input) as bigint) as input from f where k = 1 group by 1, 2", "activities")
+def read_activities(spark, d):
+    """The last record of each (phase, activity, ts)."""
+    r = folds.last_write_wins(_written(spark, d, "architect_activity"), ["phase_id", "activity", "ts"])
+    return r.groupBy("activity", "model").agg(F.count("*").alias("n"), F.sum("tokens.input").alias("input"))
+
+
+@query("& o as (select *, row_number() over (partition by project_id, session_id, model, skill order by seq % 2 desc, seq desc) as k from ledger) select project_id, session_id, model, skill, input, last_ts from o where k = 1", "ledger")
+def read_ledger(spark, d):
+    """Two appends: the last line of a key is one of the second batch, if that has any."""
+    return folds.last_write_wins(_written(spark, d, "architect_ledger"), costs.LEDGER_KEY).select("project_id", "session_id", "model", "skill", "tokens.input", "last_ts")
+
+
 TOOLS = ["read_file", "bash", "patch", "search", "update_task", "symbols", "move_file", "odd_tool"]
 _TOOL_SQL = "list_extract(['read_file', 'bash', 'patch', 'search', 'update_task', 'symbols', 'move_file', 'odd_tool'], cast(seq % 8 + 1 as int))"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +19,61 @@ REQUIRED = {
     "run": ["ts", "model", "phase_id", "tags", "status", "escalated", "gates", "parse_failure_rate", "repairs_per_call", "verifier_retries", "tool_success_rate", "turns", "wall_clock_s", "tokens"],
     "review": ["ts", "phase_id", "architect_verdict"], "architect_activity": ["ts", "phase_id", "activity"], "architect_ledger": ["session_id", "model", "skill", "tokens"],
 }
+# The vocabularies of reviews and activities.
+FAILURES = ["none", "false_completion", "prod_unwrap", "multi_site_break", "parse_format", "masked_diagnostic", "scope_deviation", "spec_bug", "infra_blip", "oscillation_stall", "missing_spec_test"]
+ACTIVITIES = ["draft", "dispatch", "review", "assist", "takeover", "boundary"]
 FOLD_KEYS = {"architect_activity": ["phase_id", "activity", "ts"], "architect_ledger": ["project_id", "session_id", "model", "skill"]}
 
 
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """The files at path (a file, a folder, a pattern), in the order in which they were appended: by the number of their batch
+    (none counts as 0), then by name. Only names are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = root.getFileSystem(conf), []
+    todo = [s.getPath() for s in fs.globStatus(root) or []]
+    while todo:
+        at = todo.pop()
+        if fs.getFileStatus(at).isDirectory():
+            todo += [s.getPath() for s in fs.listStatus(at) if not s.getPath().getName().startswith(("_", "."))]
+        else:
+            found.append(at.toString())
+    return sorted(found, key=lambda f: (int((re.findall(r"/batch=(\d+)/", f) or [0])[-1]), f))
+
+
+FILES, BLOCKS, LINES = 1 << 15, 1 << 16, 1 << 32
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """seq, value of every line of the files at path. A file is cut by its own line feeds, in order, so seq is its line ordinal."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("seq", "value")).select("file", F.col("seq").cast("bigint").alias("seq"), "value")
+    """file, seq, value of every line. seq orders the lines of the whole store: by file as _batches() has them, then by the
+    place in the file. Files are read in blocks; a missing path is an empty store."""
+    files = _batches(spark, path)
+    if not files:
+        return spark.createDataFrame([], "file string, seq bigint, value string")
+    if len(files) > FILES:
+        raise ValueError(f"more than {FILES} files: compact the store first")
+    rows = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size"), "value")
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (_plain(f), i)]), F.regexp_replace("file", "^[a-z0-9]+:/+", "/"))
+    # blocks begin at equal distances, so a block's number in its file is in proportion to where it begins
+    block = F.floor(F.col("at") / F.greatest(F.ceil(F.col("size") / (BLOCKS - 1)), F.lit(1)))
+    seq = rank * (1 << 48) + block * (1 << 32) + F.pmod(F.monotonically_increasing_id(), F.lit(LINES))
+    return rows.select("file", seq.cast("bigint").alias("seq"), "value")
+
+
+def _plain(file: str) -> str:
+    return re.sub("^[a-z0-9]+:/+", "/", file)
+
+
+def _whole():
+    """Whether the line is JSON from end to end: two records spliced into one line are none."""
+    return F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull()
 
 
 def records(store: DataFrame, kind: str) -> DataFrame:
     """Typed records of one kind from (seq, value). Lines that are malformed, of another version, ill-typed or without a required field are left out."""
-    schema = f"{SCHEMAS[kind]}, schema_version bigint, _bad string" + ("" if "record string" in SCHEMAS[kind] else "")
+    schema = f"{SCHEMAS[kind]}, schema_version bigint, _bad string"
     r = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
-    out = store.select("seq", r).where(F.col("r._bad").isNull() & (F.col("r.schema_version") == VERSION))
+    out = store.select("seq", "value", r).where(_whole() & F.col("r._bad").isNull() & (F.col("r.schema_version") == VERSION))
     for c in REQUIRED[kind]:
         out = out.where(F.col(f"r.{c}").isNotNull())
     if kind != "run":
@@ -39,40 +82,83 @@ def records(store: DataFrame, kind: str) -> DataFrame:
     return out.fillna(0.0, ["gen_time_s"]) if kind == "run" else out
 
 
+def multiplexed(store: DataFrame) -> dict[str, DataFrame]:
+    """Runs, activities and ledgers of one scan: the kind of each line is found once and kept, each table then parses its own
+    lines only. Unlike records(), a run here is a line without a kind."""
+    head = F.from_json("value", "record string, schema_version bigint")
+    kept = store.select("seq", "value", F.coalesce(head["record"], F.lit("")).alias("kind"), head["schema_version"].alias("version")).where(F.col("version") == VERSION).persist()
+    return {name: records(kept.where(F.col("kind") == kind).select("seq", "value"), name) for name, kind in (("run", ""), ("architect_activity", "architect_activity"), ("architect_ledger", "architect_ledger"))}
+
+
 def append(rows: DataFrame, path: str, kind: str) -> None:
-    """One JSON line per row, stamped with the version; a task's file appears whole or not at all."""
-    body = rows.drop("seq")
+    """One JSON line per row, stamped with the version, in a batch of its own that comes after all there are. A batch appears
+    whole or not at all; its rows are in the order of seq, if they have one. One writer at a time."""
+    body = rows.sortWithinPartitions("seq").drop("seq") if "seq" in rows.columns else rows
     if kind != "run":
         body = body.drop("record").withColumn("record", F.lit(kind))
-    body.withColumn("schema_version", F.lit(VERSION)).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    spark = rows.sparkSession
+    last = max((int(x) for f in _batches(spark, path) for x in re.findall(r"/batch=(\d+)/", f)), default=0)
+    body.withColumn("schema_version", F.lit(VERSION)).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path.rstrip('/')}/batch={last + 1:09d}")
+
+
+def append_run(rows: DataFrame, path: str) -> None:
+    append(rows, path, "run")
+
+
+def append_review(rows: DataFrame, path: str) -> DataFrame:
+    """Appends reviews and returns the failure classes that no vocabulary has; they are accepted all the same."""
+    append(rows, path, "review")
+    return rows.select(F.explode("failure_class").alias("failure_class")).where(~F.col("failure_class").isin(FAILURES)).distinct()
+
+
+def append_activity(rows: DataFrame, path: str) -> DataFrame:
+    """Appends activities and returns the unknown ones, which are accepted all the same."""
+    append(rows, path, "architect_activity")
+    return rows.select("activity").where(~F.col("activity").isin(ACTIVITIES)).distinct()
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    append(rows, path, "architect_ledger")
 
 
 def classified(store: DataFrame) -> DataFrame:
-    """seq, value and class of each line: blank, malformed, legacy_run, other, superseded, or kept as run, review, architect_activity, architect_ledger."""
-    j = lambda p: F.get_json_object("value", p)
-    ok = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
-    record, version = F.coalesce(j("$.record"), F.lit("")), j("$.schema_version").try_cast("bigint")
+    """seq, value and class of each line: blank, malformed, legacy_run, other, superseded, or kept as run, review, architect_activity, architect_ledger.
+
+    Each line is read for the few fields that decide, and once to see whether it is JSON; which line of a key is the last is found from the keys alone."""
+    fields = ["record", "schema_version", "phase_id", "activity", "ts", "project_id", "session_id", "model", "skill"]
+    d = store.select("seq", "value", F.from_json("value", ", ".join(f"{f} string" for f in fields)).alias("j"))
+    ok = _whole() & F.ltrim("value").startswith("{")
+    record, version = F.coalesce("j.record", F.lit("")), F.coalesce(F.col("j.schema_version").try_cast("bigint"), F.lit(0))
     kind = F.when(record == "", "run").otherwise(record)
-    keyed = {k: F.lit(True) for k in ("run", "review")} | {k: F.lit(True) for k in FOLD_KEYS}
-    for k, cols in FOLD_KEYS.items():
-        for c in cols:
-            if c != "project_id":
-                keyed[k] = keyed[k] & j(f"$.{c}").isNotNull()
     known = F.lit(False)
-    for k, has in keyed.items():
+    for k in ("run", "review", *FOLD_KEYS):
+        has = F.lit(True)
+        for c in FOLD_KEYS.get(k, []):
+            has = has & (F.col(f"j.{c}").isNotNull() if c != "project_id" else F.lit(True))
         known = known | ((kind == k) & has)
     cls = (
         F.when(F.trim("value") == "", "blank").when(~ok, "malformed")
-        .when(F.coalesce(version, F.lit(0)) != VERSION, F.when((record == "") & (F.coalesce(version, F.lit(0)) == 0), "legacy_run").otherwise("other"))
+        .when(version != VERSION, F.when((record == "") & (version == 0), "legacy_run").otherwise("other"))
         .when(known, kind).otherwise("other")
     )
-    key = F.struct(*[F.when(F.col("class").isin(*FOLD_KEYS), F.concat_ws("\x1f", "class", *[F.coalesce(F.concat(F.lit("="), j(f"$.{c}")), F.lit("")) for c in cols])).alias(k) for k, cols in FOLD_KEYS.items()])
-    d = store.select("seq", "value", cls.alias("class")).withColumn("key", F.when(F.col("class").isin(*FOLD_KEYS), F.to_json(key)).otherwise(F.col("seq").cast("string")))
-    last = F.max("seq").over(Window.partitionBy("class", "key"))
-    fold = F.col("class").isin(*FOLD_KEYS) & (F.col("seq") < last)
-    return d.select("seq", "value", F.when(fold, "superseded").otherwise(F.col("class")).alias("class"))
+    of = lambda k: F.struct(F.lit(k).alias("k"), *[F.col(f"j.{c}").alias(f"c{i}") for i, c in enumerate((FOLD_KEYS[k] + [FOLD_KEYS[k][0]])[:4])])
+    keys = [*FOLD_KEYS]
+    d = d.select("seq", "value", cls.alias("class"), F.when(cls == keys[0], of(keys[0])).when(cls == keys[1], of(keys[1])).alias("key"))
+    folds = d.where("key is not null")
+    last = F.max("seq").over(Window.partitionBy("key"))
+    folded = folds.select("seq", "value", F.when(F.col("seq") < last, "superseded").otherwise(F.col("class")).alias("class"))
+    return d.where("key is null").select("seq", "value", "class").unionByName(folded)
 
 
 def compacted(store: DataFrame) -> DataFrame:
     """The kept lines, unchanged, in their order: the last of each ledger and activity key, every review and run."""
     return classified(store).where(F.col("class").isin("run", "review", *FOLD_KEYS)).select("seq", "value").orderBy("seq")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Writes the compacted store to target, as its first batch, and returns how many lines of each class there were. Files keep
+    the order of lines, as each holds a range of it; the caller puts target in the place of path."""
+    store = lines(spark, path)
+    kept = classified(store).where(F.col("class").isin("run", "review", *FOLD_KEYS))
+    kept.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(f"{target.rstrip('/')}/batch={1:09d}")
+    return classified(store).groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
