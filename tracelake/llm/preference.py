@@ -15,8 +15,9 @@ conversation has no turns is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.llm.common import table
 
@@ -27,48 +28,49 @@ TURN = "array<struct<role:string,text:string>>"
 def gathered(turns: DataFrame) -> DataFrame:
     """conv_id, turns: array of (role, text) in order."""
     t = F.struct(F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(t)).alias("t"))
+    g = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("t"))
     return g.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def escaped(text: Column) -> Column:
-    return F.replace(text, F.lit(OPEN), F.lit(OPEN + "|"))
+def marked(turn: dict) -> tuple[str, str]:
+    """Role and text of a turn, without markers in them."""
+    return turn["role"].replace(OPEN, OPEN + "|").replace("|>", "||>"), turn["text"].replace(OPEN, OPEN + "|")
 
 
-def marked(turns: Column) -> Column:
-    """Turns whose roles and texts hold no marker."""
-    return F.transform(turns, lambda x: F.struct(F.replace(escaped(x["role"]), F.lit("|>"), F.lit("||>")).alias("role"), escaped(x["text"]).alias("text")))
+def rendered(turns: list[dict]) -> tuple[str, list[dict]]:
+    """The text of the turns, and the character spans [start, end) of the assistant's words and end marks in it."""
+    parts, spans, at = [], [], 0
+    for turn in turns:
+        role, text = marked(turn)
+        parts.append(f"{OPEN}{role}{MIDDLE}{text}{END}")
+        begin, at = at + len(OPEN) + len(role) + len(MIDDLE), at + len(parts[-1])
+        if turn["role"] == "assistant":
+            spans.append({"start": begin, "end": at})
+    return "".join(parts), spans
 
 
-def rendered(turns: Column) -> Column:
-    return F.array_join(F.transform(marked(turns), lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(MIDDLE), x["text"], F.lit(END))), "")
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def mask(turns: Column) -> Column:
-    """Character spans [start, end) of the assistant's words and end marks in the rendered turns."""
-    size = lambda x: F.length(x["role"]) + F.length(x["text"]) + len(OPEN + MIDDLE + END)
-    kind = "struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["role"]) + len(OPEN + MIDDLE)
-        span = F.array(F.struct(begin.cast("long").alias("start"), (acc["at"] + size(x)).cast("long").alias("end")))
-        return F.struct((acc["at"] + size(x)).cast("long").alias("at"), F.when(x["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
+def paired(pairs: DataFrame) -> DataFrame:
+    """pairs: pair_id, chosen, rejected (arrays of turns). Result: pair_id, n_common, prompt, and each completion with its spans.
+    Linear in the turns, however long a conversation is."""
+    p = pairs.where("size(chosen) > 0 and size(rejected) > 0").select("pair_id", F.col("chosen").cast(TURN).alias("chosen"), F.col("rejected").cast(TURN).alias("rejected"))
+    schema = StructType([p.schema["pair_id"], *StructType.fromDDL(f"n_common int, prompt string, chosen string, chosen_spans {_SPANS}, rejected string, rejected_spans {_SPANS}").fields])
 
-    return F.aggregate(marked(turns), start, step)["spans"]
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        kinds = to_arrow_schema(schema)
+        for b in batches:
+            for at in range(b.num_rows):  # a row at a time: a conversation may be long
+                a, r = b.column(1)[at].as_py(), b.column(2)[at].as_py()
+                n = next((i for i, (x, y) in enumerate(zip(a, r)) if x != y), min(len(a), len(r)))
+                made = [n, rendered(a[:n])[0], *rendered(a[n:]), *rendered(r[n:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), *[pa.array([v], k.type) for v, k in zip(made, list(kinds)[1:])]], names=schema.names)
 
-def paired(pairs: DataFrame) -> DataFrame:
-    """pairs: pair_id, chosen, rejected (arrays of turns). Result: pair_id, n_common, prompt, and each completion with its spans."""
-    both = F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b) & a.isNotNull() & b.isNotNull())
-    first = F.array_position(both, False).cast("int")
-    p = pairs.where("size(chosen) > 0 and size(rejected) > 0").withColumn("n_common", F.when(first > 0, first - 1).otherwise(F.size(both)))
-    rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c), F.lit(1)))
-    return p.select(
-        "pair_id", "n_common", rendered(F.slice("chosen", 1, F.col("n_common"))).alias("prompt"),
-        rendered(rest("chosen")).alias("chosen"), mask(rest("chosen")).alias("chosen_spans"),
-        rendered(rest("rejected")).alias("rejected"), mask(rest("rejected")).alias("rejected_spans"),
-    )
+    return p.mapInArrow(run, schema)
 
 
 def echo_pairs(conversations: DataFrame) -> DataFrame:
@@ -77,11 +79,15 @@ def echo_pairs(conversations: DataFrame) -> DataFrame:
     what follows is in both completions. Without an answer, or where it equals the turn before, both forms are equal."""
     g = gathered(conversations)
     answers = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("turns", i)["role"] == "assistant")
-    g = g.withColumn("answers", answers).withColumn("at", F.when(F.size("answers") > 0, F.get("answers", F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.size("answers")).cast("int"))))
-    said = F.coalesce(F.get("turns", F.col("at") - 1)["text"], F.lit(""))
-    echo = F.struct(F.lit("assistant").alias("role"), said.alias("text"))
-    swapped = F.transform("turns", lambda x, i: F.when(i == F.coalesce("at", F.lit(-1)), echo).otherwise(x))
-    return g.select(F.col("conv_id").alias("pair_id"), F.col("turns").cast(TURN).alias("chosen"), swapped.cast(TURN).alias("rejected"))
+    once = lambda df, **cols: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))  # noqa: E731  not per element of a lambda
+    g = once(g.select("conv_id", F.col("turns").cast(TURN).alias("turns")), answers=answers)
+    g = once(g, spot=F.when(F.size("answers") > 0, F.get("answers", F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.size("answers")).cast("int"))))
+    said = F.coalesce(F.get("turns", F.col("spot") - 1)["text"], F.lit(""))
+    echo = F.array(F.struct(F.lit("assistant").alias("role"), said.alias("text"))).cast(TURN)
+    rest = F.slice("turns", F.col("spot") + 2, F.greatest(F.size("turns") - F.col("spot") - 1, F.lit(0)))
+    swapped = F.when(F.col("spot").isNull(), F.col("turns")).otherwise(F.concat(F.slice("turns", 1, F.col("spot")), echo, rest))
+    return g.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), swapped.alias("rejected"))
+
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
