@@ -63,7 +63,26 @@ select o_orderkey as seq, {epoch:o_orderdate} as ts, cast(o_custkey % 40 as {str
  case when o_orderkey % 4 > 0 then o_orderstatus end as model, cast(floor(o_totalprice) as bigint) as input, concat('p', cast(o_custkey % 3 as {string})) as project_id from orders
 """
 
-NAMES = {"activities": ACTIVITIES, "runs": RUNS, "reviews": REVIEWS, "ledger": LEDGER, "session": SESSION, "steps": STEPS}
+#: Session records: what each event of a session says.
+LOG = """
+select cast(user_id as {string}) as session, n as seq, {epoch:ts} as ts, cast(floor(n / 4.0) as bigint) as turn, event_id, v, n as n,
+ case when n = 1 and user_id % 7 > 0 then 'session_start' when n = c and user_id % 3 > 0 then 'session_end' else case event_id % 13 when 0 then 'parsed' when 1 then 'tool_result' when 2 then 'verify' when 3 then 'completion' when 4 then 'metrics' when 5 then 'compaction' when 6 then 'output_filtered'
+  when 7 then 'progress' when 8 then 'task_update' when 9 then 'read_evicted' when 10 then 'parse_failed' when 11 then 'read_deduped' else 'metrics' end end as event_type,
+ event_type as word, concat('m', cast(user_id % 3 as {string})) as model, event_id % 2 = 0 as succeeded, cast(event_id % 4 as bigint) as diagnostics, cast(n * 100 as bigint) as input_tokens, cast(n * 10 + v % 50 as bigint) as output_tokens, (event_id % 100) / cast(100 as double) as context_pct,
+ cast(v - event_id % 700 + 300 as bigint) as less, cast(event_id % 5 as {string}) as task, concat('t', cast(event_id % 7 as {string})) as title, case event_id % 3 when 0 then 'done' when 1 then 'active' else 'pending' end as state,
+ case when event_id % 2 = 0 then 'complete' else 'hard_fail' end as status, cast(floor(n / 5.0) as bigint) as said_turn
+from (select *, cast(round(value * 100) as bigint) as v, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as n, cast(count(*) over (partition by user_id) as bigint) as c from events) e
+"""
+
+#: Lines of assistants' transcripts: two layouts, repeated message ids, cache counts as object, number and absent, odd times.
+TRANSCRIPTS = """
+select case when event_id % 3 = 0 then concat(concat('/t/s', cast(user_id % 20 as {string})), '/subagents/a.jsonl') else concat(concat('/t/s', cast(user_id % 20 as {string})), '.jsonl') end as path, event_id as line,
+ concat('s', cast(user_id % 20 as {string})) as session, case when event_id % 17 = 0 then 'user' else 'assistant' end as type, concat('id', cast(event_id % 4000 as {string})) as message_id,
+ case when event_id % 5 > 0 then concat('m', cast(event_id % 2 as {string})) end as model, case event_id % 4 when 0 then '' when 1 then event_type end as skill, cast(round(value) as bigint) as input, event_id % 1000 as output, event_id % 300 as five, event_id % 70 as hour, event_id % 6 as shape,
+ event_id % 11 > 0 as has_usage, {epoch:ts} as ts from events
+"""
+
+NAMES = {"log": LOG, "transcripts": TRANSCRIPTS, "activities": ACTIVITIES, "runs": RUNS, "reviews": REVIEWS, "ledger": LEDGER, "session": SESSION, "steps": STEPS}
 
 
 def _text(name: str, epoch: str, string: str) -> str:
@@ -124,3 +143,35 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = flat(spark, sf_dir, "activities")
     none = F.lit(0).cast("bigint")
     return r.select("seq", "ts", F.lit(None).cast("string").alias("phase_doc_path"), "phase_id", "project_id", F.lit(None).cast("string").alias("milestone_id"), "activity", F.lit(None).cast("string").alias("outcome"), "model", F.struct("input", none.alias("cache_creation"), none.alias("cache_read"), none.alias("output")).alias("tokens"))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session records, read back from the lines they are written as."""
+    from tracelake.sources import session_log
+
+    r = flat(spark, sf_dir, "log")
+    is_ = lambda *kinds: F.col("event_type").isin(*kinds)
+    of = lambda kinds, c, name: F.when(is_(*kinds), c).alias(name)
+    diagnostic = F.struct(F.lit("p").alias("path"), F.lit(1).alias("line"), F.lit("error").alias("severity"), F.lit("m").alias("message"))
+    call = F.struct(F.col("word").alias("name"), F.struct(F.col("v").alias("z"), F.col("task").alias("a")).alias("arguments"))
+    event = F.struct(
+        "event_type", of(["session_start"], F.col("session"), "session_id"), of(["session_start"], F.col("model"), "model"), of(["session_start"], F.lit("phase-1"), "phase"), of(["parsed"], call, "tool_call"),
+        of(["tool_result"], F.col("word"), "name"), of(["tool_result"], F.col("succeeded"), "succeeded"), of(["tool_result"], F.lit("out"), "output_preview"), of(["tool_result"], F.col("v"), "output_bytes"),
+        of(["verify"], F.slice(F.array(diagnostic, diagnostic, diagnostic), 1, F.col("diagnostics").cast("int")), "diagnostics"), of(["completion"], F.concat(F.lit("<think>hm</think>"), "word"), "raw"),
+        of(["metrics"], F.col("input_tokens"), "input_tokens"), of(["metrics"], F.col("output_tokens"), "output_tokens"), of(["metrics"], F.col("context_pct"), "context_pct"), of(["metrics"], F.col("v"), "context_used"), of(["metrics"], F.lit(65536), "context_window"),
+        of(["compaction", "output_filtered"], F.col("v"), "tokens_before"), of(["compaction", "output_filtered"], F.col("less"), "tokens_after"), of(["progress"], F.col("said_turn"), "turn"), of(["progress"], F.col("title"), "stage"), of(["progress"], F.col("word"), "message"),
+        of(["task_update"], F.col("task"), "id"), of(["task_update"], F.col("title"), "title"), of(["task_update"], F.col("state"), "state"), of(["read_evicted"], F.col("v"), "tokens_reclaimed"), of(["read_deduped"], F.col("v"), "tokens_saved"),
+        of(["parse_failed"], F.struct(F.col("title").alias("feedback")), "failure"), of(["session_end"], F.col("status"), "status"), of(["session_end"], F.col("said_turn"), "turns"),
+    )
+    line = F.to_json(F.struct("ts", "turn", event.alias("event")))
+    return session_log.parsed(r.select("session", "seq", F.inline(F.array(F.struct(line.alias("value"))))))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line, value (JSON)."""
+    r = flat(spark, sf_dir, "transcripts")
+    split = F.struct(F.col("five").alias("ephemeral_5m_input_tokens"), F.col("hour").alias("ephemeral_1h_input_tokens"))
+    plain = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("hour").alias("cache_read_input_tokens"), F.when(F.col("shape") > 1, F.col("five")).alias("cache_creation_input_tokens"), F.when(F.col("shape") % 2 == 0, split).alias("cache_creation"))
+    message = F.struct(F.col("message_id").alias("id"), "model", F.when(F.col("has_usage"), plain).alias("usage"))
+    time = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return r.select("path", "line", F.inline(F.array(F.struct(F.to_json(F.struct("type", F.when(F.col("shape") != 5, time).otherwise("soon").alias("timestamp"), F.col("skill").alias("attributionSkill"), message.alias("message"))).alias("value")))))

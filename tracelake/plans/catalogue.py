@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import metrics as m
 from tracelake.functions import present as pr
 from tracelake.functions import text as t
-from tracelake.operators import costs, detectors, folds, scorecard, sessions
+from tracelake.operators import costs, detectors, folds, harvest, scorecard, sessions
 from tracelake.plans import adapters as a
 
 QUERIES: dict = {}
@@ -114,12 +114,47 @@ def skill_costs(spark, d):
     return _R6(s, "cost").withColumn("percent", F.round("percent", 4))
 
 
-@query(FOLD_L + """, s as (select 'project' as scope, sum(input_tokens) as i, sum(output_tokens) as o from runs where project_id = 'p1' union all select 'milestone:' || milestone_id, sum(input_tokens), sum(output_tokens) from runs where project_id = 'p1' and milestone_id is not null group by 1)
-select scope, cast(i as bigint) as input_tokens, cast(o as bigint) as output_tokens, round(i / 1e6 * 3 + o / 1e6 * 15, 4) as saved, round(i / 1e6 * 0.1 + o / 1e6 * 0.2, 4) as executor, case when scope = 'project' then round((select sum(cost) from pc where project_id = 'p1'), 4) end as architect,
- case when scope = 'project' then round(i / 1e6 * 3 + o / 1e6 * 15 - (i / 1e6 * 0.1 + o / 1e6 * 0.2) - (select sum(cost) from pc where project_id = 'p1'), 4) end as net from s""", "ledger", "runs")
+SCOPES = FOLD_L + """, m as (select session, coalesce(arg_max(input_tokens, seq), 0) as i, coalesce(arg_max(output_tokens, seq), 0) as o from log where event_type = 'metrics' group by 1),
+s as (select 'project' as scope, sum(input_tokens) as i, sum(output_tokens) as o, sum(cache_read_tokens) as r, sum(cache_write_tokens) as w from runs where project_id = 'p1' union all select 'milestone:' || milestone_id, sum(input_tokens), sum(output_tokens), sum(cache_read_tokens), sum(cache_write_tokens) from runs where project_id = 'p1' and milestone_id is not null group by 1
+ union all select distinct 'session:' || l.session, coalesce(m.i, 0), coalesce(m.o, 0), 0, 0 from log l left join m on l.session = m.session),
+x as (select scope, cast(i as bigint) as input_tokens, cast(o as bigint) as output_tokens, i / 1e6 * 3 + o / 1e6 * 15 as saved, i / 1e6 * 0.1 + o / 1e6 * 0.2 + r / 1e6 * 0.01 + w / 1e6 * 0.05 as executor, cast(i + o + r + w as bigint) as executor_tokens, case when scope = 'project' then (select sum(cost) from pc where project_id = 'p1') end as architect from s)
+"""
+_SAVED, _EXECUTOR = (3.0, 15.0), {"input": 0.1, "output": 0.2, "cache_read": 0.01, "cache_creation": 0.05}
+
+
+@query(SCOPES + "select scope, input_tokens, output_tokens, executor_tokens, round(saved, 6) as saved, round(executor, 6) as executor, round(architect, 4) as architect, round(saved - executor - architect, 4) as net from x", "ledger", "runs", "log")
 def scope_costs(spark, d):
-    s = costs.scope_costs(a.runs(spark, d), a.ledger(spark, d), rates(spark), "p1", (3.0, 15.0), (0.1, 0.2))
-    return s.withColumns({c: F.round(c, 4) for c in ("saved", "executor", "architect", "net")})
+    s = costs.scope_costs(a.runs(spark, d), a.ledger(spark, d), rates(spark), "p1", _SAVED, _EXECUTOR, a.log(spark, d))
+    return s.select("scope", "input_tokens", "output_tokens", "executor_tokens", F.round("saved", 6).alias("saved"), F.round("executor", 6).alias("executor"), F.round("architect", 4).alias("architect"), F.round("net", 4).alias("net"))
+
+
+@query(SCOPES + "select scope, l.line, round(l.amount, 4) as amount from (select scope, unnest([{'line': 'executor', 'amount': saved - executor}, {'line': 'architect', 'amount': -architect}, {'line': 'net', 'amount': saved - executor - architect}]) as l from x where scope not like 'session:%')", "ledger", "runs", "log")
+def spend_lines(spark, d):
+    s = costs.scope_costs(a.runs(spark, d), a.ledger(spark, d), rates(spark), "p1", _SAVED, _EXECUTOR)
+    return costs.ledger_lines(s).withColumn("amount", F.round("amount", 4))
+
+
+@query("select arg_max(milestone_id, ts::hugeint * 10000000 + seq) as milestone_id from runs where project_id = 'p1' and milestone_id is not null", "runs")
+def active_milestone(spark, d):
+    return costs.active_milestone(a.runs(spark, d), "p1")
+
+
+@query(FOLD_L + "select skill, round(sum(cost), 6) as cost from pc where project_id = 'p1' group by 1 order by 2 desc, 1 limit 1", "ledger")
+def top_skill(spark, d):
+    return costs.top_skill(a.ledger(spark, d), rates(spark), "p1").select("skill", F.round("cost", 6).alias("cost"))
+
+
+@query("& f as (select *, row_number() over (partition by phase_id, activity, ts order by seq desc) as k from activities) select count(*) as assists from f where k = 1 and activity = 'assist' and project_id = 'p1'", "activities")
+def assist_count(spark, d):
+    return costs.assists(a.activities(spark, d), "p1")
+
+
+@query("select model, round(i, 6) as input_rate, round(o, 6) as output_rate from (values ('claude-opus-4-6', 5.0, 25.0), ('claude-haiku-4-5', 9.0, 9.5), ('A', 3.0, 15.0)) v(model, i, o)")
+def rate_lookup(spark, d):
+    """The caller's prices win over the built-in ones."""
+    from tracelake.functions import rates as price
+
+    return price.rate_table(spark, {"A": (3.0, 15.0), "claude-haiku-4-5": (9.0, 9.5)}).where(F.col("model").isin("A", "claude-opus-4-6", "claude-haiku-4-5"))
 
 
 @query("select session, seq, ts, tool from (select *, row_number() over (partition by arguments order by session, seq) as k from session) where k = 1", "session")
@@ -149,14 +184,56 @@ def run_derived(spark, d):
     return _R6(r, "tps")
 
 
-@query("& g as (select *, ts - lag(ts) over (partition by session order by seq) as gap from session) select session, min(ts) as started_at, max(ts) as last_ts, max(turn0) as latest_turn, count(*) as events, arg_max(tool, seq) as last_tool, count(case when gap > 0 then 1 end) as gaps, case when count(case when gap > 0 then 1 end) >= 2 then min(case when gap > 0 then gap end) end as gap_min, case when count(case when gap > 0 then 1 end) >= 2 then cast(floor(sum(case when gap > 0 then gap end) / count(case when gap > 0 then 1 end)) as bigint) end as gap_avg, case when count(case when gap > 0 then 1 end) >= 2 then max(case when gap > 0 then gap end) end as gap_max from g group by session", "session")
+STATUS = """& i as (select *, ts - lag(ts) over w as gap, last_value(case when event_type = 'metrics' then ts end ignore nulls) over b as mts, last_value(case when event_type = 'metrics' then output_tokens end ignore nulls) over b as mout, max(case when event_type = 'progress' then seq end) over (partition by session) as pat from log
+ window w as (partition by session order by seq), b as (partition by session order by seq rows between unbounded preceding and 1 preceding)),
+r as (select *, case when event_type = 'metrics' and ts > mts then greatest(output_tokens - mout, 0) / ((ts - mts) / 1000.0) end as rate from i),
+k as (select session, task, arg_max(state, seq) as state from log where event_type = 'task_update' group by 1, 2),
+t as (select session, count(*) as total, count(case when state = 'done' then 1 end) as done, count(case when state = 'active' then 1 end) as active from k group by 1),
+s as (select session, arg_max(model, case when event_type = 'session_start' then seq end) as model, min(ts) as started_at, max(ts) as last_ts,
+ cast(greatest(coalesce(arg_max(said_turn, case when event_type = 'progress' then seq end), 0), coalesce(max(case when event_type = 'session_end' and coalesce(seq > pat, true) then said_turn end), 0)) as bigint) as latest_turn, count(*) as events,
+ arg_max(title, case when event_type = 'progress' then seq end) as stage, arg_max(status, case when event_type = 'session_end' then seq end) as ended, count(case when event_type = 'parse_failed' then 1 end) as parse_failures, arg_max(title, case when event_type = 'parse_failed' then seq end) as parse_feedback,
+ arg_max(least(diagnostics, 3), case when event_type = 'verify' then seq end) as diagnostics, arg_max(word, case when event_type = 'tool_result' then seq end) as last_tool, arg_max(output_tokens, case when event_type = 'metrics' then seq end) as output_tokens,
+ arg_max(context_pct, case when event_type = 'metrics' then seq end) as context_pct, cast(coalesce(sum(case when event_type = 'compaction' then v end), 0) as bigint) as compaction_before, cast(coalesce(sum(case when event_type = 'compaction' then less end), 0) as bigint) as compaction_after,
+ cast(coalesce(sum(case when event_type = 'output_filtered' then greatest(v - less, 0) end), 0) as bigint) as filtered_tokens, cast(coalesce(sum(case when event_type = 'read_evicted' then v end), 0) as bigint) as evicted_tokens,
+ case when count(case when gap > 0 then 1 end) >= 2 then min(case when gap > 0 then gap end) end as gap_min, case when count(case when gap > 0 then 1 end) >= 2 then cast(floor(sum(case when gap > 0 then gap end) / count(case when gap > 0 then 1 end)) as bigint) end as gap_avg, case when count(case when gap > 0 then 1 end) >= 2 then max(case when gap > 0 then gap end) end as gap_max,
+ case when count(rate) >= 2 then round(min(rate), 9) end as rate_min, case when count(rate) >= 2 then round(avg(rate), 9) end as rate_avg, case when count(rate) >= 2 then round(max(rate), 9) end as rate_max from r group by session)
+"""
+_SHOWN = ["model", "started_at", "last_ts", "latest_turn", "events", "stage", "ended", "parse_failures", "parse_feedback", "diagnostics", "last_tool", "output_tokens", "context_pct", "compaction_before", "compaction_after", "filtered_tokens", "evicted_tokens", "gap_min", "gap_avg", "gap_max", "rate_min", "rate_avg", "rate_max"]
+
+
+@query(STATUS + f"select s.session, {', '.join(_SHOWN)}, coalesce(total, 0) as tasks_total, coalesce(done, 0) as tasks_done, coalesce(active, 0) as tasks_active from s left join t on s.session = t.session", "log")
 def status_fold(spark, d):
-    return sessions.status(a.session(spark, d))
+    s = sessions.status(a.log(spark, d))
+    return s.withColumns({c: F.round(c, 9) for c in ("rate_min", "rate_avg", "rate_max")}).select("session", *_SHOWN, "tasks_total", "tasks_done", "tasks_active")
+
+
+@query(STATUS + "select s.session, case when total > 0 then cast(round(100.0 * done / total) as bigint) else 0 end as percent, case when compaction_after > 0 then round(compaction_before / compaction_after, 6) end as ratio, case when context_pct is null or context_pct = 0 then null when round(context_pct * 100) >= 80 then 'high' when round(context_pct * 100) >= 50 then 'middle' else 'low' end as band, greatest(case when ended is null then 1800000000000 else last_ts end - started_at, 0) as duration from s left join t on s.session = t.session", "log")
+def session_progress(spark, d):
+    s = sessions.duration(sessions.progress(sessions.status(a.log(spark, d))), 1_800_000_000_000)
+    return s.select("session", "percent", F.round("ratio", 6).alias("ratio"), "band", "duration")
+
+
+@query("select session, round(coalesce(max(case when event_type = 'metrics' then context_pct end), 0), 6) as peak_context_pct, count(case when event_type = 'compaction' then 1 end) as compaction_count, cast(coalesce(sum(case when event_type = 'compaction' then greatest(v - less, 0) end), 0) as bigint) as compaction_tokens_reclaimed, cast(coalesce(sum(case when event_type = 'output_filtered' then greatest(v - less, 0) end), 0) as bigint) as output_filtered_tokens, cast(coalesce(sum(case when event_type = 'read_evicted' then v end), 0) as bigint) as read_evicted_tokens, cast(coalesce(sum(case when event_type = 'read_deduped' then v end), 0) as bigint) as read_deduped_tokens from log group by 1", "log")
+def context_efficiency(spark, d):
+    return _R6(sessions.context_efficiency(a.log(spark, d)), "peak_context_pct")
+
+
+@query(STATUS + """, c as (select session, count(case when event_type = 'tool_result' and succeeded then 1 end) as ok, count(case when event_type = 'tool_result' then 1 end) as calls, count(case when event_type = 'parse_failed' then 1 end) as bad, count(case when event_type in ('parsed', 'parse_failed') then 1 end) as tries from log group by 1)
+select s.session, last_ts as ts, ended as status, latest_turn as turns, round((last_ts - started_at) / 1000.0, 3) as wall_clock_s, round(case when calls > 0 then ok / calls else 0 end, 6) as tool_success_rate, round(case when tries > 0 then bad / tries else 0 end, 6) as parse_failure_rate, coalesce(output_tokens, 0) as output_tokens from s join c on s.session = c.session where ended is not null""", "log")
+def run_records(spark, d):
+    r = sessions.run_record(a.log(spark, d))
+    return r.select("session", "ts", "status", "turns", F.round("wall_clock_s", 3).alias("wall_clock_s"), F.round("tool_success_rate", 6).alias("tool_success_rate"), F.round("parse_failure_rate", 6).alias("parse_failure_rate"), "output_tokens")
 
 
-@query("select session, seq, tool from session where contains(tool, 'c') and contains(arguments, '7') order by session, seq limit 20", "session")
+@query("select session, seq, event_type from log where event_type in ('parsed', 'tool_result') and contains(word, 'c') and (case when event_type = 'parsed' then contains('\"z\":' || v, '7') else contains('\"output_bytes\":' || v, '7') end or contains(cast(ts as varchar), '7') or contains(cast(turn as varchar), '7') or (event_type = 'parsed' and contains(task, '7'))) order by session, seq limit 20", "log")
 def log_search(spark, d):
-    return sessions.search(a.session(spark, d), tool="c", text="7").select("session", "seq", "tool")
+    """Text is looked for in the whole record as it is written."""
+    return sessions.search(a.log(spark, d), tool="c", text="7").select("session", "seq", F.col("event.event_type").alias("event_type"))
+
+
+@query("select session, seq from log where event_type = 'verify' order by session, seq limit 50", "log")
+def log_search_by_type(spark, d):
+    return sessions.search(a.log(spark, d), event_type="verify", limit=99).select("session", "seq")
 
 
 @query("select session, seq, tool from (select *, row_number() over (partition by session order by seq desc) as k from session) where k <= 10", "session")
@@ -164,9 +241,50 @@ def log_tail(spark, d):
     return sessions.tail(a.session(spark, d)).select("session", "seq", "tool")
 
 
-@query("select session, seq, tool from session where turn0 = 3", "session")
+@query("select session, seq, event_type from log where turn = 3", "log")
 def get_turn(spark, d):
-    return sessions.turn(a.session(spark, d), 3).select("session", "seq", "tool")
+    return sessions.turn(a.log(spark, d), 3).select("session", "seq", F.col("event.event_type").alias("event_type"))
+
+
+@query("& o as (select *, lead(event_type) over w as nt, lead(seq) over w as ns, lead(succeeded) over w as nok from log where event_type in ('parsed', 'tool_result') window w as (partition by session order by seq)) select session, seq, word as name, case when nt = 'tool_result' then ns end as result_seq, case when nt = 'tool_result' then nok end as succeeded from o where event_type = 'parsed'", "log")
+def call_results(spark, d):
+    return sessions.paired(a.log(spark, d))
+
+
+@query("select event_type, count(*) as n, cast(sum(ts - first) as bigint) as elapsed from (select *, min(ts) over (partition by session) as first from log) where event_type not in ('progress', 'metrics', 'parsed', 'tool_result') group by 1", "log")
+def visible_events(spark, d):
+    shown = sessions.visible(sessions.elapsed(a.log(spark, d)), ["progress", "metrics", "tool_call"])
+    return shown.groupBy("event.event_type").agg(F.count("*").alias("n"), F.sum("elapsed").alias("elapsed"))
+
+
+@query("select session, coalesce(arg_max(model, case when event_type = 'session_start' then seq end), '(unknown)') as model, coalesce(arg_max(status, case when event_type = 'session_end' then seq end), 'unknown') as outcome from log group by 1", "log")
+def replayed(spark, d):
+    from tracelake.sources import session_log
+
+    return session_log.replayed(a.log(spark, d))
+
+
+@query("select session, task as id, arg_max(title, seq) as title, arg_max(state, seq) as state, min(seq) as place from log where event_type = 'task_update' group by 1, 2", "log")
+def session_tasks(spark, d):
+    return sessions.tasks(a.log(spark, d))
+
+
+HARVEST = """& u as (select *, row_number() over (partition by message_id order by string_split(path, '/'), line) as k from transcripts where type = 'assistant' and has_usage),
+b as (select session, coalesce(model, 'unknown') as model, coalesce(nullif(skill, ''), 'other') as skill, input, output, hour as cache_read, case when shape % 2 = 0 then five when shape > 1 then five else 0 end as c5, case when shape % 2 = 0 then hour else 0 end as c1, case when shape = 5 then 0 else ts end as ts from u where k = 1)
+"""
+
+
+@query(HARVEST + "select session as session_id, model, skill, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_read) as bigint) as cache_read, cast(sum(c5 + c1) as bigint) as cache_creation, cast(sum(c5) as bigint) as cache_creation_5m, count(*) as messages, max(ts) as last_ts from b group by 1, 2, 3", "transcripts")
+def harvest_buckets(spark, d):
+    b = harvest.buckets(harvest.usage(a.transcripts(spark, d)))
+    return b.select("session_id", "model", "skill", "tokens.input", "tokens.output", "tokens.cache_read", "tokens.cache_creation", "cache_creation_5m", "messages", "last_ts")
+
+
+@query(HARVEST + ", g as (select session, model, skill, max(ts) as last_ts from b group by 1, 2, 3) select (select count(*) from b) as messages, (select count(*) from u where k > 1) as duplicates, (select count(distinct session) from b) as sessions, (select count(*) from g where last_ts % 2 = 0) as records, (select count(*) from g where last_ts % 2 = 1) as unchanged", "transcripts")
+def harvest_outcome(spark, d):
+    use = harvest.usage(a.transcripts(spark, d))
+    fresh = harvest.buckets(use)
+    return harvest.outcome(use, fresh, fresh.where("last_ts % 2 = 1"))
 
 
 @query("select tool, count(*) as calls, round((count(case when errors = 0 then 1 end) + 1) / (count(*) + 2), 6) as score from session group by tool", "session")
@@ -460,11 +578,3 @@ def task_coverage(spark, d):
     last = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
     tasks = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
     return tasks.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.coalesce("s", F.lit("pending")).alias("state")).agg(F.count("*").alias("tasks"))
-
-
-@query("& p as (select session, seq, tool, errors, lead(seq) over w as next, lead(errors) over w as next_errors, lead(mutating) over w as m from session window w as (partition by session order by seq)) select session, seq, next as result_seq, next_errors as result_errors from p where not (tool = 'purchase') and m", "session")
-def call_results(spark, d):
-    """A call is paired with the row after it, if that is a result."""
-    w = Window.partitionBy("session").orderBy("seq")
-    p = a.session(spark, d).select("session", "seq", "tool", F.lead("seq").over(w).alias("result_seq"), F.lead("errors").over(w).alias("result_errors"), F.lead("mutating").over(w).alias("m"))
-    return p.where("tool <> 'purchase' and m").select("session", "seq", "result_seq", "result_errors")

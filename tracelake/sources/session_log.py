@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.functions import text as t
 
@@ -26,14 +27,13 @@ _SECRET = ("rendered", "raw", "output_preview", "reason", "message", "title")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """session, seq, ts, turn, event and value (the line as it stands) of (session, seq, value). No version is asked for;
-    blank, malformed, ill-typed lines and unknown kinds are left out. Arguments come with sorted keys, so that equal ones
-    are equal text."""
+    """session, seq, ts, turn, event, arguments and value (the line as it stands) of (session, seq, value). No version is asked
+    for; blank, malformed, ill-typed lines and unknown kinds are left out. arguments: a call's, with sorted keys, so that
+    equal ones are equal text."""
     r = F.from_json("value", f"ts bigint, turn bigint, event {EVENT}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    out = lines.select("session", "seq", "value", r.alias("r")).where(F.col("r._bad").isNull() & F.col("r.ts").isNotNull() & F.col("r.turn").isNotNull() & F.col("r.event.event_type").isin(KINDS))
-    sorted_ = F.when(F.col("event.tool_call").isNotNull(), F.struct(F.col("event.tool_call.name").alias("name"), F.to_json(F.try_parse_json("event.tool_call.arguments")).alias("arguments")))
-    out = out.select("session", "seq", F.col("r.ts").alias("ts"), F.col("r.turn").alias("turn"), F.col("r.event").alias("event"), "value")
-    return out.withColumn("event", F.col("event").withField("tool_call", sorted_).withField("output_bytes", F.coalesce("event.output_bytes", F.lit(0).cast("bigint"))))
+    # a generator keeps the optimiser from putting the parse into every expression that uses a field of it
+    out = lines.select("session", "seq", "value", F.inline(F.array(F.struct(r.alias("r"))))).where(F.col("r._bad").isNull() & F.col("r.ts").isNotNull() & F.col("r.turn").isNotNull() & F.col("r.event.event_type").isin(KINDS))
+    return out.select("session", "seq", "r.ts", "r.turn", "r.event", F.to_json(F.try_parse_json("r.event.tool_call.arguments")).alias("arguments"), "value")
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,11 +65,16 @@ def resolved(logs: DataFrame, needle: str | None = None) -> str | None:
 
 def redacted(event: Column) -> Column:
     """Secrets masked field by field, in tool arguments too, so that the record always stays a record."""
-    for c in _SECRET:
-        event = event.withField(c, t.redact_secrets(event[c]))
-    call = event["tool_call"]
-    args = F.coalesce(F.to_json(F.try_parse_json(t.redact_secrets(call["arguments"]))), F.to_json(F.struct(t.redact_secrets(call["arguments"]).alias("redacted"))))
-    return event.withField("tool_call", F.when(call.isNotNull(), F.struct(call["name"].alias("name"), F.when(call["arguments"].isNotNull(), args).alias("arguments"))))
+    call, args = event["tool_call"], event["tool_call"]["arguments"]
+    masked = t.redact_secrets(args)
+    safe = F.coalesce(F.to_json(F.try_parse_json(masked)), F.to_json(F.struct(masked.alias("redacted"))))
+    parts = []
+    for f in StructType.fromDDL(f"e {EVENT}")["e"].dataType.names:
+        if f == "tool_call":
+            parts.append(F.when(call.isNotNull(), F.struct(call["name"].alias("name"), F.when(args.isNotNull(), safe).alias("arguments"))).alias(f))
+        else:
+            parts.append((t.redact_secrets(event[f]) if f in _SECRET else event[f]).alias(f))
+    return F.struct(*parts)
 
 
 def append(records: DataFrame, path: str) -> None:
