@@ -35,9 +35,36 @@ _PUNCT = r"!-/:-@\[-`{-~"
 _CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
 
 
-def redact_secrets(text: Column, unicode: bool = True) -> Column:
-    for pattern, kind in SECRETS:
-        text = F.regexp_replace(text, F.lit(("(?U)" if unicode else "") + pattern), F.lit(f"[REDACTED:{kind}]"))
+#: What a text must hold, in lower case, for a pattern to match: looked for first, as most texts hold no secret.
+_HINTS = ["private key", "eyj", "sk-", "gh", "github_pat_", "akia", "xox", "ya29", "k_live_", "://", None, None, "bearer"]
+_NAMES = "(?i)passw|secret|token|key"
+ENTROPY_BITS, _CANDIDATE = 4.0, r"[A-Za-z0-9+/=_]{24,}"
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy of the bytes, in bits."""
+    pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1))
+    share = lambda b: F.size(F.filter(pairs, lambda x: x == b)) / F.size(pairs)
+    return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda a, b: a - share(b) * F.log2(share(b)))
+
+
+def _masked(pattern: str, marker: str, hint: str | None):
+    def done(t: Column) -> Column:
+        maybe = t.rlike(_NAMES) if hint is None else F.contains(F.lower(t), F.lit(hint))
+        return F.when(maybe, F.regexp_replace(t, F.lit(pattern), F.lit(marker))).otherwise(t)
+
+    return done
+
+
+def redact_secrets(text: Column, unicode: bool = True, high_entropy: bool = False) -> Column:
+    """Known shapes of secrets as markers; with high_entropy also long words whose bytes look random."""
+    for (pattern, kind), hint in zip(SECRETS, _HINTS):
+        text = bound(text, _masked(("(?U)" if unicode else "") + pattern, f"[REDACTED:{kind}]", hint))
+    if high_entropy:
+        words = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0))
+        parts = F.split(text, _CANDIDATE)
+        shown = F.transform(words, lambda w: F.when(entropy(w) >= ENTROPY_BITS, "[REDACTED:high_entropy]").otherwise(w))
+        text = F.array_join(F.flatten(F.zip_with(parts, shown, lambda p, w: F.array(p, F.coalesce(w, F.lit(""))))), "")
     return text
 
 
@@ -64,10 +91,11 @@ def token_estimate(text: Column) -> Column:
     return (F.aggregate(runs, F.lit(0).cast("long"), lambda a, w: a + F.ceil(F.length(w) / 4)) + single).cast("long")
 
 
-def head_tail(lines: Column, head: int = 20, last: int = 80, over: int = 100) -> Column:
-    """Lines beyond `over`: the first and last ones around a marker with the number left out."""
+def head_tail(lines: Column, head: int = 20, last: int = 80, over: int = 100, kept_in: str | None = None) -> Column:
+    """Lines beyond `over`: the first and last ones around a marker with the number left out and, if they are, where all are kept."""
     n = F.size(lines)
-    mark = F.array(F.concat(F.lit("… "), (n - head - last).cast("string"), F.lit(" lines omitted …")))
+    where = " lines omitted; full output not retained …]" if kept_in is None else f" lines omitted — full output: {kept_in} …]"
+    mark = F.array(F.concat(F.lit("[… "), (n - head - last).cast("string"), F.lit(where)))
     return F.when(n > over, F.concat(F.slice(lines, 1, head), mark, F.slice(lines, -last, last))).otherwise(lines)
 
 
@@ -95,14 +123,41 @@ def collapse_lines(text: Column) -> Column:
     return F.when(body == "", "").otherwise(bound(F.split(F.regexp_replace(body, r"\n\z", ""), "\n"), folded))
 
 
-def detected_format(text: Column) -> Column:
-    """First of: hermes, xml, fenced, loose JSON, yaml; else text."""
-    return (
-        F.when(F.contains(text, F.lit("<tool_call>")), "hermes").when(text.rlike(r"<(function|tool|invoke)[ =>]"), "xml").when(text.rlike(r"```(json)?\s*\{"), "fenced")
-        .when(text.rlike(r"\{[\s\S]*\}"), "loose_json").when(text.rlike(r"(?m)^(name|tool):\s*\S+"), "yaml").otherwise("text")
-    )
+def detected_formats(text: Column) -> Column:
+    """All formats of a tool call that a response may hold, in the order in which they are tried; plain text only if no other."""
+    braces = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    found = F.array_compact(F.array(
+        F.when(F.contains(text, F.lit("<tool_call>")), F.lit("hermes")), F.when(F.contains(text, F.lit("<function=")), F.lit("xml")), F.when(F.contains(text, F.lit("```json")), F.lit("fenced")),
+        F.when(F.contains(text, F.lit("```yaml")) | text.rlike(r"(?mU)(^|\n)name:\s+\S+\s*\n\s*arguments:"), F.lit("yaml")), F.when((braces("{") > 0) & (braces("{") == braces("}")), F.lit("loose_json")),
+    ))
+    return F.when(F.size(found) > 0, found).when(text.rlike(r"(?U)\w+\(\w+\s*="), F.array(F.lit("text"))).otherwise(found)
 
 
 def strip_thinking(text: Column) -> Column:
     closed = F.regexp_replace(text, r"(?s)<think>.*?</think>\n?", "")
     return F.regexp_replace(closed, r"(?s)<think>.*\z", "")
+
+
+# How lines of build and test progress begin.
+NOISE = ["Compiling ", "Checking ", "Finished ", "Running ", "Downloaded ", "Downloading ", "Blocking ", "Updating ", "Locking ", "Fresh ", "Dirty ", "Replaced ", "Unpacking "]
+
+
+def is_noise(line: Column) -> Column:
+    """Whether a line of test output tells of progress or a test that passed."""
+    t = F.ltrim(line)
+    out = (t.startswith("test ") & t.endswith(" ... ok")) | (t.startswith("running ") & F.contains(t, F.lit(" test")))
+    for p in NOISE:
+        out = out | t.startswith(p)
+    return out
+
+
+def quiet(lines: Column) -> Column:
+    """Lines of test output without noise; of blank lines in a row one stays, none at the ends."""
+    kept = F.filter(lines, lambda x: ~is_noise(x))
+    blank = lambda x: F.trim(x) == ""
+
+    def thinned(rows):
+        last = F.aggregate(F.transform(rows, lambda x, i: F.when(~blank(x), i)), F.lit(-1), lambda a, i: F.greatest(a, F.coalesce(i, F.lit(-1))))
+        return F.filter(F.transform(rows, lambda x, i: F.when(~blank(x), x).when((i > 0) & (i < last) & ~blank(F.get(rows, i - 1)), F.lit(""))), lambda x: x.isNotNull())
+
+    return bound(kept, thinned)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import commands
 from tracelake.functions import metrics as m
 from tracelake.functions import present as pr
 from tracelake.functions import text as t
-from tracelake.operators import costs, detectors, folds, harvest, scorecard, sessions
+from tracelake.operators import context, costs, detectors, documents, folds, harvest, privacy, scorecard, sessions, toolcalls
 from tracelake.plans import adapters as a
 
 QUERIES: dict = {}
@@ -390,13 +391,12 @@ def secret_redaction(spark, d):
     return r.select("doc_id", F.sha2(F.col("r").cast("binary"), 256).alias("redacted_sha256"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query("select doc_id, sha256(text) as sha256 from documents where doc_id % 10 = 0 or not (text in (select text from documents where doc_id % 10 <> 0))")
+@query("select doc_id as key, sha256(text) as sha256 from documents where doc_id % 10 < 2")
 def content_changed(spark, d):
-    """Documents whose content the registry (every tenth one's is missing) does not hold."""
-    docs = _docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    registry = docs.where("doc_id % 10 <> 0").select(F.col("sha256").alias("known")).distinct()
-    new = docs.join(registry, docs["sha256"] == registry["known"], "left_anti")
-    return new.unionByName(docs.where("doc_id % 10 = 0").join(registry, docs["sha256"] == registry["known"], "left_semi"))
+    """Documents whose content the registry does not hold under their own key: every tenth is missing, the next is another's."""
+    docs = _docs(spark, d).withColumnRenamed("doc_id", "key")
+    registry = docs.where("key % 10 <> 0").select("key", F.when(F.col("key") % 10 == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"))
+    return privacy.changed(docs, registry).select("key", "sha256")
 
 
 @query(r"select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^\s!-/:-@\[-`{-~]+'), lambda w: ceil(length(w) / 4))), 0) as bigint) + cast(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) as bigint) as tokens from documents")
@@ -410,22 +410,27 @@ def line_rle(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(t.collapse_lines(F.col("text")).cast("binary"), 256).alias("folded_sha256"))
 
 
-@query("select doc_id, cast(case when len(x) > 12 then 4 + 1 + 6 else len(x) end as bigint) as n_lines, sha256(array_to_string(case when len(x) > 12 then list_concat(x[1:4], ['… ' || (len(x) - 10) || ' lines omitted …'], x[-6:]) else x end, chr(10))) as shown_sha256 from (select doc_id, string_split(text, chr(10)) as x from documents)")
+@query("select doc_id, cast(case when len(x) > 100 then 101 else len(x) end as bigint) as n_lines, sha256(array_to_string(case when len(x) > 100 then list_concat(x[1:20], ['[… ' || (len(x) - 100) || ' lines omitted; full output not retained …]'], x[-80:]) else x end, chr(10))) as shown_sha256 from (select doc_id, string_split(replace(text, ' ', chr(10)), chr(10)) as x from documents)")
 def head_tail(spark, d):
-    cut = _docs(spark, d).select("doc_id", t.head_tail(F.split("text", "\n"), 4, 6, 12).alias("x"))
+    cut = _docs(spark, d).select("doc_id", t.head_tail(F.split(F.translate("text", " ", "\n"), "\n")).alias("x"))
     return cut.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.sha2(F.array_join("x", "\n").cast("binary"), 256).alias("shown_sha256"))
 
 
-@query("select doc_id, i as line, cast(strlen(regexp_extract(l, '^(.*?)Licensed', 1)) as bigint) + 1 as col from (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as l from (select doc_id, string_split(text, chr(10)) as x from documents)) where contains(l, 'Licensed')")
+@query("""with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as l, x from (select doc_id, string_split(text, chr(10)) as x from documents)), h as (select doc_id, i, l, x, regexp_extract_all(l, 'Licen[cs]e[d]?') as hits, string_split_regex(l, 'Licen[cs]e[d]?') as rest from l where regexp_matches(l, 'Licen[cs]e[d]?'))
+select doc_id as key, i as line, cast(strlen(array_to_string(list_transform(range(1, k + 1), lambda j: rest[j] || case when j < k then hits[j] else '' end), '')) + 1 as bigint) as col, hits[k] as hit, len(x[greatest(i - 2, 1):i - 1]) as n_before, len(x[i + 1:i + 2]) as n_after from (select *, unnest(range(1, len(hits) + 1)) as k from h)""")
 def regex_search(spark, d):
-    """First hit of each line: 1-based line and byte column."""
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where(F.contains("l", F.lit("Licensed")))
-    return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), (F.octet_length(F.regexp_extract("l", "^(.*?)Licensed", 1)) + 1).cast("long").alias("col"))
+    """Every match: 1-based line and byte column, with the lines around it."""
+    found = documents.searched(_docs(spark, d).withColumnRenamed("doc_id", "key"), "Licen[cs]e[d]?", context=2)
+    return found.select("key", "line", "col", "hit", F.size("before").cast("long").alias("n_before"), F.size("after").cast("long").alias("n_after"))
 
 
-@query(r"select f as format, count(*) as n from (select case when contains(text, '<tool_call>') then 'hermes' when regexp_matches(text, '<(function|tool|invoke)[ =>]') then 'xml' when regexp_matches(text, '```(json)?\s*\{') then 'fenced' when regexp_matches(text, '\{[\s\S]*\}') then 'loose_json' when regexp_matches(text, '(?m)^(name|tool):\s*\S+') then 'yaml' else 'text' end as f from documents) group by f")
+_CALLS = "select doc_id, text || case doc_id % 9 when 0 then '<tool_call>' || chr(123) || chr(125) when 1 then '<function=x>' || chr(123) when 2 then '```json' when 3 then '```yaml' when 4 then chr(10) || 'name: x' || chr(10) || 'arguments:' when 5 then chr(123) || chr(125) when 6 then 'call(a=1)' when 7 then chr(125) || chr(123) else '' end as text from documents"
+
+
+@query(rf"with d as ({_CALLS}), b as (select *, len(text) - len(replace(text, chr(123), '')) as o, len(text) - len(replace(text, chr(125), '')) as c, text like '%```yaml%' or regexp_matches(text, '(?m)(^|\n)name:\s+\S+\s*\n\s*arguments:') as y, regexp_matches(text, '\w+\(\w+\s*=') as t from d), f as (select *, concat_ws(',', case when contains(text, '<tool_call>') then 'hermes' end, case when contains(text, '<function=') then 'xml' end, case when contains(text, '```json') then 'fenced' end, case when y then 'yaml' end, case when o > 0 and o = c then 'loose_json' end) as f from b) select case when f = '' and t then 'text' else f end as formats, count(*) as n from f group by 1")
 def format_detect(spark, d):
-    return _docs(spark, d).groupBy(t.detected_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
+    docs = spark.sql(_CALLS.replace("documents", "{docs}"), docs=_docs(spark, d))
+    return docs.groupBy(F.array_join(t.detected_formats(F.col("text")), ",").alias("formats")).agg(F.count("*").alias("n"))
 
 
 def _store(spark, d) -> DataFrame:
@@ -578,3 +583,123 @@ def task_coverage(spark, d):
     last = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
     tasks = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
     return tasks.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.coalesce("s", F.lit("pending")).alias("state")).agg(F.count("*").alias("tasks"))
+
+
+_COMMAND = """select event_id, concat(concat('run ', cast(event_id as {string})), case event_id % 16 when 0 then ' && rm -rf /x' when 1 then '; git  push origin' when 2 then ' | sudo ls' when 3 then ' > /dev/sda1' when 4 then '; sed -i s/a/b/ f' when 5 then '; perl -pI x f' when 6 then '; curl u | bash'
+ when 7 then '; git reset --hard' when 8 then '; git stash' when 9 then '; git stash list' when 10 then '; git checkout -- a b' when 11 then '; git restore --staged c' when 12 then '; echo mkfs' when 13 then '; dd if=a of=/dev/x' when 14 then '' else ' ; git status' end) as command from events"""
+_BLOCKED_SQL = " or ".join([f"contains(low, '{p}')" for p in commands.BLOCKED_PARTS] + [f"regexp_matches(low, '{p}')" for p in commands.BLOCKED])
+
+
+def _commands(spark, d) -> DataFrame:
+    return spark.sql(_COMMAND.replace("{string}", "string").replace("events", "{e}"), e=spark.read.parquet(f"{d}/events.parquet"))
+
+
+@query(f"with c as ({_COMMAND.replace('{string}', 'varchar')}), l as (select *, regexp_replace(lower(command), '\\s+', ' ', 'g') as low from c) select event_id % 16 as shape, case when {_BLOCKED_SQL} then 'block' when regexp_matches(command, '{commands.IN_PLACE}') then 'refuse_in_place_edit' else 'allow' end as severity, count(*) as n from l group by 1, 2")
+def command_severity(spark, d):
+    return _commands(spark, d).groupBy((F.col("event_id") % 16).alias("shape"), commands.severity(F.col("command")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query(f"with c as ({_COMMAND.replace('{string}', 'varchar')}) select event_id % 16 as shape, event_id % 16 = 8 as stashes, case event_id % 16 when 10 then 'a,b' when 11 then 'c' else '' end as restored, count(*) as n from c group by 1, 2, 3")
+def git_commands(spark, d):
+    c = F.col("command")
+    return _commands(spark, d).groupBy((F.col("event_id") % 16).alias("shape"), commands.stashes(c).alias("stashes"), F.array_join(commands.restored_paths(c), ",").alias("restored")).agg(F.count("*").alias("n"))
+
+
+@query("select page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host, false as local, true as redacts from pages")
+def egress_hosts(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", commands.host(F.col("url")).alias("host"), commands.is_local(F.col("url")).alias("local"), commands.redacts_egress(F.lit(True), F.lit(None).cast("boolean"), F.col("url")).alias("redacts"))
+
+
+@query("select doc_id, sha256(text) as capped_sha256, left(text, 500) as preview, case when length(text) > 100 then left(replace(replace(text, chr(10), ' '), chr(9), ' '), 100) || '…' else replace(replace(text, chr(10), ' '), chr(9), ' ') end as line from documents where strlen(text) <= 50000 union all select doc_id, sha256(decode(encode(text)[1:50000]) || chr(10) || chr(10) || '[truncated: ' || (strlen(text) - 50000) || ' bytes elided]'), left(text, 500), left(replace(replace(text, chr(10), ' '), chr(9), ' '), 100) || '…' from documents where strlen(text) > 50000 and strlen(text) = length(text)")
+def capped_fields(spark, d):
+    docs = _docs(spark, d).where("octet_length(text) <= 50000 or octet_length(text) = length(text)")  # the SQL cannot cut inside a character
+    return docs.select("doc_id", F.sha2(commands.capped(F.col("text")).cast("binary"), 256).alias("capped_sha256"), commands.preview(F.col("text")).alias("preview"), commands.line_preview(F.col("text")).alias("line"))
+
+
+@query("select doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') or regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') or regexp_matches(text, '(\\+?1[-. ])?(\\([0-9]{3}\\)|[0-9]{3})[-. ][0-9]{3}[-. ][0-9]{4}') or regexp_matches(text, '[0-9]{4}([ -]?[0-9]{4}){3}') as held from documents")
+def prompt_guard(spark, d):
+    return _docs(spark, d).select("doc_id", commands.prompt_guarded(F.col("text")).alias("held"))
+
+
+@query("with e as (select event_id, unnest(list_distinct(string_split(props, ''))) as c, string_split(props, '') as x from events) select event_id, round(-sum(len(list_filter(x, lambda y: y = c)) / len(x) * log2(len(list_filter(x, lambda y: y = c)) / len(x))), 6) as bits from e group by 1")
+def byte_entropy(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(t.entropy(F.col("props")), 6).alias("bits"))
+
+
+_MESSAGES = """select conv_id as conv, turn * 2 + 1 as idx, turn as turn, case when turn = 0 then 'system' else 'assistant' end as role, 'read_file' as tool, concat('p', cast((conv_id + turn) % 2 as {string})) as path, turn % 5 = 4 as ranged, cast(10 as bigint) as tokens from conversations
+ union all select conv_id, turn * 2 + 2, turn, 'tool', 'read_file', null, null, cast(length(text) as bigint) from conversations"""
+_EDITS = "select distinct conv_id as conv, turn * 2 + 3 as idx, turn as turn, concat('p', cast(turn % 2 as {string})) as path from conversations where turn % 3 = 2"
+
+
+def _messages(spark, d) -> tuple[DataFrame, DataFrame]:
+    c = spark.read.parquet(f"{d}/conversations.parquet").dropDuplicates(["conv_id", "turn"])
+    return tuple(spark.sql(x.replace("{string}", "string").replace("conversations", "{c}"), c=c) for x in (_MESSAGES, _EDITS))
+
+
+_TALK = f"with m as ({_MESSAGES.replace('{string}', 'varchar')}), e as ({_EDITS.replace('{string}', 'varchar')}), r as (select a.conv, b.idx, a.turn, a.path, a.ranged, b.tokens from m a join m b on a.conv = b.conv and b.idx = a.idx + 1 where a.role = 'assistant')\n"
+
+
+@query(_TALK + "select r.conv, r.idx, r.path, arg_min(e.turn, e.idx) as turn, greatest(r.tokens - 24, 0) as reclaimed from r join e on r.conv = e.conv and r.path = e.path and e.idx > r.idx group by r.conv, r.idx, r.path, r.tokens")
+def superseded_reads(spark, d):
+    return context.superseded(*_messages(spark, d))
+
+
+@query(_TALK + ", u as (select conv, path, idx, turn, tokens, true as rd from r where not ranged union all select conv, path, idx, turn, 0, false from e), l as (select *, lag(rd) over w as br, lag(turn) over w as bt, lag(tokens) over w as bk from u window w as (partition by conv, path order by idx)) select conv, idx, path, bt as prior_turn, greatest(bk - 36, 0) as saved from l where rd and br")
+def repeated_reads(spark, d):
+    return context.repeated(*_messages(spark, d))
+
+
+@query(_TALK + """, a as (select *, sum(tokens) over (partition by conv) as al, role = 'tool' and tokens > 8 and turn <= max(turn) over (partition by conv) - 3 as can from m), f as (select *, coalesce(sum(case when can then tokens - 8 else 0 end) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) as freed from a),
+n as (select *, case when can and al - freed > 450 then 8 else tokens end as now, can and al - freed > 450 as short from f), g as (select *, sum(now) over (partition by conv) as rest, coalesce(sum(case when role <> 'system' then now else 0 end) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) as gone from n)
+select conv, idx, case when role <> 'system' and rest - gone > 450 then 'evict' when short then 'shorten' else 'keep' end as action, cast(case when role <> 'system' and rest - gone > 450 then 0 else now end as bigint) as tokens from g""")
+def context_compaction(spark, d):
+    return context.compacted(_messages(spark, d)[0], 600)
+
+
+@query("select p_partkey, 'phase-' || lpad(cast(p_size as varchar), 2, '0') || case when p_size % 3 = 0 then '-b' else '' end as id, case when p_size % 2 = 0 then 'M' || p_size || '-x' end as milestone from part")
+def phase_paths(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    path = F.concat(F.lit("docs/"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("M"), "p_size", F.lit("-x"))).otherwise("notes"), F.lit("/phase-"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.when(F.col("p_size") % 3 == 0, "-b").otherwise(""), F.lit("-"), F.lower(F.element_at(F.split("p_name", " "), 1)), F.lit("-words.md"))
+    return p.select("p_partkey", documents.phase_id(path).alias("id"), documents.milestone_id(path).alias("milestone"))
+
+
+@query("select replace(p_name, ' ', '/') || '.txt' as path from part where regexp_matches(replace(p_name, ' ', '/') || '.txt', '^([^/]*/)*[^/]*e[^/]*\\.txt$') order by 1 limit 100")
+def found_files(spark, d):
+    files = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.translate("p_name", " ", "/"), F.lit(".txt")).alias("path"))
+    return documents.found_files(files, "**/*e*.txt")
+
+
+@query("with s as (select doc_id, cast(row_number() over (order by doc_id) as bigint) as r from (select distinct doc_id, text from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))) select count(*) as documents from s")
+def pii_documents(spark, d):
+    """Documents in which spans of e-mail addresses remain after spans that overlap are merged."""
+    s = privacy.spans(_docs(spark, d).distinct()).where(F.exists("spans", lambda x: x["kind"] == "email"))
+    return s.agg(F.count("*").alias("documents"))
+
+
+@query()
+def pseudonyms(spark, d):
+    """Texts with personal data, their pseudonymised form and whether it reads back as it was."""
+    docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), "text").distinct()
+    found = privacy.spans(docs).where("size(spans) > 0")
+    vault = privacy.numbered(found)
+    masked = privacy.pseudonymised(found, vault)
+    back = privacy.reconstituted(masked, vault).select("doc", F.col("text").alias("back"))
+    return found.select("doc", "text").join(masked.select("doc", F.col("text").alias("masked")), "doc").join(back, "doc").select("doc", F.sha2(F.col("masked").cast("binary"), 256).alias("masked_sha256"), (F.col("back") == F.col("text")).alias("same"))
+
+
+REGISTRY = {
+    "read_file": {"properties": {"path": {"type": "string"}, "start_line": {"type": "integer"}, "force": {"type": "boolean", "default": False}}, "required": ["path"]},
+    "bash": {"properties": {"command": {"type": "string"}, "timeout": {"type": "integer"}}, "required": ["command"]},
+    "search": {"properties": {"pattern": {"type": "string"}, "path": {"type": "string"}}, "required": ["pattern"]},
+}
+_REPLY = """select event_id, concat(concat('I will. ', case event_id % 7 when 0 then concat('<tool_call>', concat(chr(123), '"name":"read_file","arguments":')) when 1 then concat('<function=bash>', chr(123)) when 2 then concat('```json ', concat(chr(123), '"name":"serch","arguments":')) when 3 then 'bash(command=ls)' when 4 then 'no call' when 5 then concat(chr(123), '"name":"read_file","arguments":') else concat('<tool_call>', concat(chr(123), 'name: "bash", "arguments":')) end),
+ case event_id % 7 when 0 then concat(chr(123), concat('"file_path":"p","start_line":"7"', concat(chr(125), chr(125)))) when 1 then concat('"cmd":"ls",', chr(125)) when 2 then concat(chr(123), concat('"query":"x"', concat(chr(125), chr(125)))) when 5 then concat(chr(123), concat('"odd":1', concat(chr(125), chr(125)))) when 6 then concat(chr(123), concat('"command":"a",', concat(chr(125), chr(125)))) else '' end) as text from events"""
+
+
+@query("with r as (select event_id % 7 as shape, count(*) as n from events group by 1) select shape, case when shape = 4 then 'none' when shape in (1, 5) then 'failed' else 'found' end as status, case shape when 0 then 'read_file' when 1 then 'bash' when 2 then 'search' when 3 then 'bash' when 5 then 'read_file' when 6 then 'bash' end as name, case shape when 0 then '{\"force\":false,\"path\":\"p\",\"start_line\":7}' when 1 then '{\"cmd\":\"ls\"}' when 2 then '{\"pattern\":\"x\"}' when 3 then '{\"command\":\"ls\"}' when 5 then '{\"force\":false,\"odd\":1}' when 6 then '{\"command\":\"a\"}' end as arguments, case shape when 0 then 'alias,coerce,default' when 1 then 'json' when 2 then 'name,alias' when 5 then 'default' when 6 then 'json' else '' end as repairs, n from r")
+def tool_calls(spark, d):
+    """Calls in replies of seven shapes."""
+    replies = spark.sql(_REPLY.replace("events", "{e}"), e=spark.read.parquet(f"{d}/events.parquet"))
+    p = toolcalls.parsed(replies, REGISTRY)
+    return p.groupBy((F.col("event_id") % 7).alias("shape"), "call.status", "call.name", "call.arguments", F.array_join("call.repairs", ",").alias("repairs")).agg(F.count("*").alias("n"))
