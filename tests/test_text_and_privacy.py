@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import commands, present, rates
 from tracelake.functions import text as t
-from tracelake.operators import context, costs, detectors, documents, harvest, privacy, sessions, toolcalls
+from tracelake.operators import context, costs, detectors, diagnostics, documents, harvest, privacy, sessions, toolcalls
 from tracelake.sources import session_log
 
 
@@ -207,3 +207,73 @@ def test_spend_and_scope_without_runs(spark):
     r = costs.scope_costs(empty, ledger, rates.rate_table(spark, {}), "p", (0.0, 0.0), {}).first()
     assert (r["scope"], r["executor_tokens"], r["saved"], r["net"], r["architect"]) == ("project", 0, None, None, 0.0)
     assert present.CATEGORIES and context.TARGET == 0.75
+
+
+def test_verifier_outputs(spark):
+    import json
+
+    say = lambda level, primary: json.dumps({"reason": "compiler-message", "message": {"level": level, "message": "bad", "code": {"code": "E1"}, "spans": [{"file_name": "src/x", "line_start": 3, "column_start": 4, "is_primary": primary}], "children": [{"message": "try", "spans": [{"file_name": "src/x", "line_start": 3, "is_primary": True, "suggested_replacement": "y", "suggestion_applicability": "MachineApplicable"}]}]}})
+    rows = spark.createDataFrame([(1, say("error", True)), (2, say("warning", True)), (3, say("error", False)), (4, "{x"), (5, '{"reason":"other"}')], "seq long, value string")
+    assert [tuple(r) for r in diagnostics.from_compiler(rows, "/r/").collect()] == [(1, "/r/src/x", 3, 4, "error", "bad\n  try: y", "E1")]
+    lint = spark.createDataFrame([(1, '[{"code":"F1","message":"m","filename":"a.py","location":{"row":2,"column":5}},{}]'), (2, "no")], "seq long, value string")
+    assert [tuple(r)[1:] for r in diagnostics.from_linter(lint).collect()] == [("a.py", 2, 5, "error", "m", "F1"), ("", 0, None, "error", "", None)]
+    out = ["running", "---- a::b stdout ----", "", "thread 'x' panicked at src/l.rs:1:2:", "assertion failed", "  left: 1", "note: run", "---- c stdout ----", "thread panicked at z:1:", "boom", "failures:", "    a::b", "test result: no"]
+    t = spark.createDataFrame([(1, i, x) for i, x in enumerate(out)], "run long, i long, line string")
+    assert [(r["name"], r["location"], r["detail"]) for r in diagnostics.test_failures(t).orderBy("place").collect()] == [("a::b", "src/l.rs:1:2", "assertion failed, left: 1"), ("c", "z:1", "boom")]
+    files = spark.createDataFrame([("b", "x\ny\n", "x\nz\nw\n"), ("a", None, "n\n"), ("c", "s", "s")], "path string, before string, after string")
+    changes = diagnostics.changed_lines(files)
+    assert {r["path"]: (r["added"], r["removed"]) for r in changes.collect()} == {"b": (2, 1), "a": (1, 0)}
+    assert diagnostics.progress_line(changes, 3, "s", 1).first()["line"] == "turn=3 stage=s +3/-1 files=2 a:+1/-0  …+1"
+
+
+def test_lookup_and_cells(spark):
+    runs = spark.createDataFrame([(1, 10, "m", "a"), (2, 11, "m", "b")], "seq long, ts long, model string, phase_id string")
+    from tracelake.functions import metrics
+    from tracelake.operators import scorecard
+
+    ids = [r[0] for r in runs.orderBy("seq").select(metrics.run_id(F.col("ts"), F.col("model"), F.col("phase_id"))).collect()]
+    assert scorecard.by_id(runs, ids[1]).first()["seq"] == 2
+    for bad in ("", "zz"):
+        with pytest.raises(LookupError):
+            scorecard.by_id(runs, bad)
+    shown = lambda c: one(spark, c)[0]
+    assert [shown(metrics.compact_count(F.lit(n))) for n in (0, 7, 1250, 999_950, 2_100_000)] == ["—", "7", "1.2k", "1000.0k", "2.1M"]
+    assert shown(present.cost_cell(F.lit(1234.5))) == "$1234.5000" and shown(present.speed_cell(F.lit(None).cast("double"))) == "—" and shown(present.gate_cell(F.lit(None).cast("boolean"))) == "✗"
+    assert shown(present.phase_label(F.lit("a/b.md"), F.lit("x"))) == "b" and shown(present.utc_time(F.lit(86_399_999))) == "23:59:59" and shown(present.utc_date(F.lit(-1))) == "1969-12-31"
+    body = spark.createDataFrame([('{"data":[{"id":"m","max_model_len":9},{"object":"x"}]}',), ("{",)], "value string")
+    from tracelake.sources import backends
+
+    assert [tuple(r) for r in backends.models(body).collect()] == [("m", 9)]
+    s, o = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, value string"), spark.createDataFrame([("m", "a", "7"), ("m", "b", None), ("x", "b", "9")], "model string, name string, value string")
+    assert {r["name"]: r["value"] for r in backends.resolved(s, o, "m").collect()} == {"a": "7", "b": "2"}
+
+
+def test_sweep_watermark_and_streamed_detectors(spark, tmp_path):
+    import os
+
+    from tracelake.streaming import sweep
+
+    folder, seen = tmp_path / "t", []
+    folder.mkdir()
+    assert sweep.sweep_once(spark, str(folder), None, seen.append) is None
+    (folder / "a.jsonl").write_text('{"type":"assistant","message":{"id":"a","usage":{}}}')
+    os.utime(folder / "a.jsonl", (5, 5))
+    assert sweep.sweep_once(spark, str(folder), None, lambda u: seen.append(u.count())) == 5000 and seen == [1]
+    assert sweep.sweep_once(spark, str(folder), 5000, lambda u: seen.append(u.count())) == 5000 and seen == [1]
+
+    def fail(_):
+        raise RuntimeError("x")
+
+    assert sweep.sweep_once(spark, str(folder), 4000, fail) == 4000
+    names = spark.createDataFrame([(f"cmd-output-{i}.log",) for i in range(25)] + [("other.log",)], "name string")
+    assert {r["name"] for r in sweep.newest_files(names).collect()} == {f"cmd-output-{i}.log" for i in range(5, 25)}
+
+    schema = "session long, seq long, tool string, arguments string, mutating boolean, output_bytes long, errors long, blank boolean, feedback string"
+    rows = [(i % 2, i, "patch", '{"path":"%d"}' % (i % 4 // 2), True, 0, 0, False, None) for i in range(40)]
+    src = tmp_path / "in"
+    for k in (0, 1, 2):
+        spark.createDataFrame(rows[k * 13 : k * 13 + 14 if k == 2 else k * 13 + 13], schema).coalesce(1).write.mode("append").json(str(src))
+        sweep.live_detectors(spark.readStream.schema(schema).json(str(src)), str(tmp_path / "cp"), str(tmp_path / "hits")).awaitTermination()
+    got = {(r["session"], r["seq"], r["detector"]) for r in spark.read.parquet(str(tmp_path / "hits")).collect()}
+    want = {tuple(r) for r in detectors.live(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and want

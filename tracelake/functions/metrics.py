@@ -72,7 +72,7 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    scaled = lambda d, u: F.concat(F.format_number(n / F.lit(float(d)), "0.0"), F.lit(u))
+    scaled = lambda d, u: F.concat(F.replace(F.format_number(n / F.lit(float(d)), 1), F.lit(","), F.lit("")), F.lit(u))
     return F.when(n == 0, "—").when(n < 1000, n.cast("string")).when(n < 1_000_000, scaled(1000, "k")).otherwise(scaled(1_000_000, "M"))
 
 

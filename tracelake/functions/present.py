@@ -54,3 +54,33 @@ def budget_ceiling(context: Column, percent: int) -> Column:
 
 def budget_used(tokens: Column, ceiling: Column) -> Column:
     return F.when(ceiling == 0, 0.0).otherwise(tokens / ceiling)
+
+
+def utc_date(millis: Column) -> Column:
+    """YYYY-MM-DD of epoch milliseconds in UTC."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")).cast("string")
+
+
+def utc_time(millis: Column) -> Column:
+    """HH:MM:SS of epoch milliseconds in UTC."""
+    s = F.pmod(F.floor(millis / 1000), F.lit(86_400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat_ws(":", two(s / 3600), two(s % 3600 / 60), two(s % 60))
+
+
+def cost_cell(cost: Column) -> Column:
+    return F.when(cost == 0, "—").otherwise(F.concat(F.lit("$"), F.replace(F.format_number(cost, 4), F.lit(","), F.lit(""))))
+
+
+def speed_cell(rate: Column) -> Column:
+    """Whole tokens a second."""
+    return F.when(rate.isNull(), "—").otherwise(F.replace(F.format_number(rate, 0), F.lit(","), F.lit("")))
+
+
+def gate_cell(passed: Column) -> Column:
+    return F.when(F.coalesce(passed, F.lit(False)), "✓").otherwise("✗")
+
+
+def phase_label(path: Column, phase: Column) -> Column:
+    """The stem of the document's path, else the id."""
+    return F.coalesce(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", ""), phase)

@@ -11,7 +11,7 @@ from tracelake.functions import commands
 from tracelake.functions import metrics as m
 from tracelake.functions import present as pr
 from tracelake.functions import text as t
-from tracelake.operators import context, costs, detectors, documents, folds, harvest, privacy, scorecard, sessions, toolcalls
+from tracelake.operators import context, costs, detectors, diagnostics, documents, folds, harvest, privacy, scorecard, sessions, toolcalls
 from tracelake.plans import adapters as a
 
 QUERIES: dict = {}
@@ -550,10 +550,8 @@ def diagnostics_partition(spark, d):
     """Findings against a baseline by path, severity, code (null equals null) and message."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     keys = [F.col("l_suppkey").alias("path"), F.col("l_returnflag").alias("severity"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).alias("code"), F.col("l_linestatus").alias("message")]
-    now, base = li.where("l_orderkey % 2 = 1").select(*keys), li.where("l_orderkey % 2 = 0").select(*keys).distinct().withColumn("known", F.lit(True)).alias("b")
-    n = now.groupBy("path", "severity", "code", "message").agg(F.count("*").alias("n")).alias("a")  # narrow before the join
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("path", "severity", "code", "message")]
-    return n.join(base, on, "left").groupBy("a.severity", F.coalesce("known", F.lit(False)).alias("known")).agg(F.sum("n").alias("diagnostics"))
+    now, base = (li.where(f"l_orderkey % 2 = {k}").select(*keys) for k in (1, 0))
+    return diagnostics.against(now, base).groupBy("severity", "known").agg(F.count("*").alias("diagnostics"))
 
 
 @query("& m as (select max(ts) as now from runs) select project_id, count(*) as kept from runs, m where ts >= greatest(now - 2592000000, 0) group by project_id", "runs")
@@ -703,3 +701,39 @@ def tool_calls(spark, d):
     replies = spark.sql(_REPLY.replace("events", "{e}"), e=spark.read.parquet(f"{d}/events.parquet"))
     p = toolcalls.parsed(replies, REGISTRY)
     return p.groupBy((F.col("event_id") % 7).alias("shape"), "call.status", "call.name", "call.arguments", F.array_join("call.repairs", ",").alias("repairs")).agg(F.count("*").alias("n"))
+
+
+@query(FOLDED + """, s as (select model, unnest([tag1, tag2]) as tag, f.* exclude (model) from f), g as (select model, tag, count(*) as n_runs, round(avg(case when coalesce(fmt, false) and coalesce(build, false) and coalesce(lint, false) and coalesce(test, false) then 1.0 else 0.0 end), 6) as gates_pass_rate, round(avg(tool_success_rate), 6) as tool_success_rate_mean, round(avg(parse_failure_rate), 6) as parse_failure_rate_mean, round(avg(case when escalated then 1.0 else 0.0 end), 6) as escalation_rate,
+ count(verdict) as n_with_verdict, round(avg(case when verdict is null then null when verdict = 'approved_first_try' then 1.0 else 0.0 end), 6) as approved_first_try_rate, round(avg(bounces), 6) as bounces_to_approval_mean, count(case when latest and r is not null then 1 end) as n_reviews from s group by 1, 2),
+ h as (select model, unnest([tag1, tag2]) as tag, r from f where latest and r is not null), c as (select model, tag, unnest([r.class1, r.class2]) as k from h), k as (select model, tag, k, count(*) as n from c where k <> 'none' group by 1, 2, 3), l as (select model, tag, string_agg(k || '=' || n, ',' order by n desc, k) as classes from k group by 1, 2)
+ select g.*, coalesce(classes, '') as classes from g left join l on g.model = l.model and g.tag = l.tag""", "runs", "reviews")
+def capability_profile(spark, d):
+    p = scorecard.profile(a.runs(spark, d), a.reviews(spark, d))
+    shown = F.array_join(F.transform(F.coalesce("failure_classes", F.array().cast("array<struct<failure_class:string,n:bigint>>")), lambda c: F.concat(c["failure_class"], F.lit("="), c["n"].cast("string"))), ",")
+    return _score(p.withColumn("classes", shown).drop("failure_classes"))
+
+
+@query("& n as (select *, 1000000000000 - ts as age, case when gen_time_s > 0 then output_tokens / gen_time_s end as tps from runs) select seq, model, case when phase_doc_path is not null then phase_id else phase_id end as phase, (case when fmt then '✓' else '✗' end) || (case when build then '✓' else '✗' end) || (case when lint then '✓' else '✗' end) || (case when test then '✓' else '✗' end) as gates, " + LABEL + " as settings from n", "runs")
+def run_table(spark, d):
+    return scorecard.run_table(a.runs(spark, d), 1_000_000_000_000).select("seq", "model", "phase", "gates", "settings")
+
+
+@query("select seq, strftime(epoch_ms(ts), '%Y-%m-%d') as date, strftime(epoch_ms(ts + seq * 1000), '%H:%M:%S') as time from runs", "runs")
+def run_dates(spark, d):
+    r = a.runs(spark, d)
+    return r.select("seq", pr.utc_date(F.col("ts")).alias("date"), pr.utc_time(F.col("ts") + F.col("seq") * 1000).alias("time"))
+
+
+@query("select event_id, greatest(greatest(cast(round(value * 100) as bigint) - event_id % 500, 0) - event_id % 70, 0) as input_tokens, event_id % 900 as output_tokens, event_id % 500 as cache_read_tokens, event_id % 70 as cache_write_tokens from events")
+def usage_classes(spark, d):
+    from tracelake.sources import backends
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", backends.usage_classes(F.round(F.col("value") * 100), F.col("event_id") % 900, F.col("event_id") % 500, F.col("event_id") % 70).alias("u")).select("event_id", "u.*")
+
+
+@query("select p_partkey as line, 'src/' || p_brand || '.ts' as path, p_size as \"column\", 'TS' || p_size as code, p_name as message from part where p_partkey % 3 = 0")
+def type_checker_errors(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    line = F.concat(F.col("p_brand"), F.lit(".ts("), F.col("p_partkey").cast("string"), F.lit(","), F.col("p_size").cast("string"), F.lit("): "), F.when(F.col("p_partkey") % 3 == 0, "error TS").otherwise("warning TS"), F.col("p_size").cast("string"), F.lit(": "), "p_name")
+    return diagnostics.from_type_checker(p.select(F.col("p_partkey").alias("seq"), line.alias("value")), "src").select("line", "path", "column", "code", "message")
