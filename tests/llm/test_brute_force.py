@@ -47,34 +47,60 @@ def test_simhash_fingerprints():
         assert simhash.fingerprint(t) == brute_fingerprint(t, 3) and simhash.fingerprint(t, 5) == brute_fingerprint(t, 5)
 
 
-def test_met_pairs_and_stars():
-    """Postings in small batches against all pairs: what `hot` or fewer share are pairs, else links that connect them."""
+def test_met_pairs_and_common_shingles():
+    """Postings in small batches against all pairs: what `hot` or fewer share are pairs, the rest is told per node."""
     import pyarrow as pa
 
     r = random.Random(4)
     n = {i: r.randrange(20, 40) for i in range(30)}
     posts = sorted({(r.randrange(12) ** 2 // 4, i) for i in range(30) for _ in range(6)})
+    told = {posts[5][0]}
+    rows = sorted([(s, i, n[i]) for s, i in posts] + [(s, 999, 0) for s in told] + [(3, 77, -21)])
     for size, hot in ((1, 4), (3, 4), (7, 2), (1000, 5)):
-        batches = (pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([n[p[1]] for p in part], pa.int32())], names=["s", "node", "n"]) for part in (posts[i : i + size] for i in range(0, len(posts), size)))
+        batches = (pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["s", "node", "n"]) for part in (rows[i : i + size] for i in range(0, len(rows), size)))
         got = [tuple(x.values()) for b in simhash._met(0.8, hot)(batches) for x in b.to_pylist()]
-        want = []
+        want = [(3, 77, 0, 21)]
         for s in {p[0] for p in posts}:
             nodes = [i for k, i in posts if k == s]
             if len(nodes) > hot:
-                want += [(i, nodes[0], 0) for i in nodes[1:]]
-            else:
-                want += [(a, b, int(simhash._needed(np.array([n[a]]), np.array([n[b]]), 0.8)[0])) for a in nodes for b in nodes if a < b and min(n[a], n[b]) >= 0.8 * max(n[a], n[b])]
-        assert sorted(got) == sorted(want)
+                want += [(i, s, 0, n[i]) for i in nodes]
+            elif s not in told:
+                want += [(a, b, int(simhash._needed(np.array([n[a]]), np.array([n[b]]), 0.8)[0]), 0) for a in nodes for b in nodes if a < b and min(n[a], n[b]) >= 0.8 * max(n[a], n[b])]
+        assert sorted(x for x in got if x[2] or x[1] not in told or len([i for k, i in posts if k == x[1]]) > hot) == sorted(x for x in want)
 
 
 def test_needed_is_never_too_much():
     r = random.Random(5)
-    for _ in range(400):
-        a = r.sample(range(1000), r.randrange(1, 60))
-        b = list({*a[r.randrange(3) :], *r.sample(range(1000), r.randrange(8))}) or [0]
+    for _ in range(600):
+        a = r.sample(range(1000), r.randrange(1, 90))
+        b = list({*a[r.randrange(8) :], *r.sample(range(1000), r.randrange(12))}) or [0]
         if len({*a} & {*b}) / len({*a} | {*b}) >= 0.8:
-            first = lambda x: {*sorted(x)[: simhash._least(len(x), 0.8)]}
-            assert len(first(a) & first(b)) >= simhash._needed(np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+            first = lambda x: {*sorted(x)[: int(simhash._posts_of(len(x), 0.8))]}
+            need = simhash._needed(np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+            assert len(first(a) & first(b)) >= need >= min(1 + math.ceil(simhash.MORE * len(a)), len(a) - math.ceil(0.8 * len(a) - 1e-9) + 1)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_passages_that_many_texts_share_do_not_gather_them(spark, hot):
+    """Texts with one passage in common and nothing else are no candidates of each other; copies among them are found."""
+    r = random.Random(6)
+    word = lambda k: f"{k}{r.randrange(10**7)}"
+    passage = [word("p") for _ in range(40)]
+    texts = []
+    for i in range(40):
+        own = [word("w") for _ in range(260)]
+        texts.append(own[:100] + passage + own[100:])
+        if i % 4 == 0:
+            copy = texts[-1][:]
+            copy[7] = "other"
+            texts.append(copy[: len(copy) - 5 * (i % 8)])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    posts = d.selectExpr("doc_id as node", "text").coalesce(2).mapInArrow(simhash._posted(5, 0.8, hot, spark.sparkContext.broadcast((np.array([], np.int64), np.array([], np.int64)))), "s long, node long, n int")
+    groups = {x["node"]: x["grp"] for x in simhash.candidate_groups(posts, 0.8, hot).collect()}
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert len(near) == 10 and all(groups[a] == groups[b] for a, b in near) and len(groups) == 20
+    assert simhash.deduplicated(d, hot=hot).count() == len(texts) - 10
 
 
 def brute_mins(spark, text):

@@ -221,10 +221,26 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.nd
     return np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64)
 
 
+#: Shingles posted beyond those that any order needs, in parts of a text's: similar texts then share some such part of them.
+MORE = 0.05
+
+
+def _posts_of(n, similarity: float):
+    """How many first shingles a text of n posts."""
+    return np.minimum(n, n - np.ceil(similarity * n - 1e-9) + 1 + np.ceil(MORE * n)).astype(np.int64)
+
+
+def _needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many posted shingles two texts of n and m shingles share at least if they are similar: for any m, 1 + MORE * n at
+    least (or all that n posts)."""
+    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    return np.maximum(both - np.maximum(n - _posts_of(n, similarity), m - _posts_of(m, similarity)), 1).astype(np.int32)
+
+
 def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1_000_000):
     """Rows (node, text) -> (s, node, n): the first shingles of every text, n of them in all. A text that the task has
-    posted already is left out. Where more than `hot` texts of a batch have an s, their links to the least of them go out
-    as (node, least, LINK), and only the least is posted, as (s, least, MANY): what meets under a common s is bounded."""
+    posted already is left out. Where more than `hot` texts of a batch have an s, s is common: each of them has it as (node, s,
+    -n), dealt out by node, and one row (s, node, 0) tells where s goes, so that no task gathers all that have s."""
 
     def run(batches):
         import pyarrow as pa
@@ -243,7 +259,7 @@ def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1
                 h = shingle_hashes(texts[i].as_py(), shingle)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 times = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                firsts.append(h[np.lexsort((h, times))[: _least(len(h), similarity)]])
+                firsts.append(h[np.lexsort((h, times))[: int(_posts_of(len(h), similarity))]])
                 owners.append(node)
                 sizes.append(len(h))
             if not owners:
@@ -255,82 +271,56 @@ def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1
             begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[begin, len(s)])
             if (size > hot).any():
-                many, first = np.repeat(size > hot, size), np.repeat(node[begin], size)
-                links_ = many & (node != first)
-                least = many & (node == first)
-                n = np.where(least, MANY, n)
-                s, node, n = np.r_[s[~links_], node[links_]], np.r_[node[~links_], first[links_]], np.r_[n[~links_], np.full(int(links_.sum()), LINK)]
+                many, mark = np.repeat(size > hot, size), begin[size > hot]
+                s, node, n = np.r_[s[~many], node[many], s[mark]], np.r_[node[~many], s[many], node[mark]], np.r_[n[~many], -n[many], np.zeros(len(mark), np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n.astype(np.int32))], names=["s", "node", "n"])
 
     return run
 
 
-#: Values of n in the rows of _posted() that are no number of shingles.
-LINK, MANY = -1, 0
-
-
-def _needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
-    """How many of their first shingles two texts of n and m shingles share at least if they are similar."""
-    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-    rest = lambda x: np.ceil(similarity * x - 1e-9) - 1  # noqa: E731  shingles behind the first ones
-    return np.maximum(both - np.maximum(rest(n), rest(m)), 1).astype(np.int32)
-
-
 def _met(similarity: float, hot: int):
-    """Rows (s, node, n), sorted by s and node -> candidates (a, b, need): a pair for each s that at most `hot` nodes share
-    and whose sizes allow it, need being _needed(); where more share it, each with the least node, need 0."""
+    """Rows (s, node, n), sorted by s and node -> (a, b, need, n): a pair of nodes for each s that at most `hot` nodes share and
+    whose sizes allow it, need being _needed(); of an s that more share, or that is told to be common, (node, s, 0, n) each."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(a, b, need):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+        def out(a, b, need, n):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "b", "need", "n"])
 
         held = [np.array([], np.int64)] * 3
-        open_s, open_least = None, 0  # an s beyond `hot` that may go on in the next batch
+        common = None  # an s beyond `hot` that may go on in the next batch
         for b in _and_end(batches):
+            s, node, n = held
             if b is not None:
-                new = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-                s, node, n = (np.concatenate([x, y]) for x, y in zip(held, new))
-            else:
-                s, node, n = held
-            if not len(s):
-                continue
-            passed = n == LINK
-            if passed.any():
-                yield out(s[passed], node[passed], np.zeros(int(passed.sum())))
-                s, node, n = s[~passed], node[~passed], n[~passed]
-            if open_s is not None:
-                more = s == open_s
-                if more.any():
-                    yield out(node[more], np.full(int(more.sum()), open_least), np.zeros(int(more.sum())))
-                    s, node, n = s[~more], node[~more], n[~more]
+                s, node, n = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in enumerate(held))
+            if (has := n < 0).any():
+                yield out(s[has], node[has], np.zeros(int(has.sum())), -n[has])
+                s, node, n = s[~has], node[~has], n[~has]
+            if common is not None and (more := s == common).any():
+                own = more & (n > 0)
+                yield out(node[own], s[own], np.zeros(int(own.sum())), n[own])
+                s, node, n = s[~more], node[~more], n[~more]
+            held = [s[:0], node[:0], n[:0]]
             if not len(s):
-                held = [s, node, n]
                 continue
-            # a node's row MANY goes before its others, as nodes sort; of equal (s, node) one stays, marked if any is
-            begin = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
-            many = np.add.reduceat((n == MANY).astype(np.int64), begin) > 0
+            told = np.unique(s[n == 0])
+            begin = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])])  # of equal (s, node) one stays
             s, node, n = s[begin], node[begin], np.maximum.reduceat(n, begin)
             begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[begin, len(s)])
-            star = (size > hot) | (np.add.reduceat(many.astype(np.int64), begin) > 0)
+            many = (size > hot) | np.isin(s[begin], told)
             if b is not None:  # the last s may go on
-                last = begin[-1]
-                if star[-1]:
-                    open_s, open_least, held = int(s[-1]), int(node[last]), [x[:0] for x in held]
+                if many[-1]:
+                    common = int(s[-1])
                 else:
+                    last = begin[-1]
                     held = [s[last:], node[last:], n[last:]]
-                    s, node, n, begin, size, star = s[:last], node[:last], n[:last], begin[:-1], size[:-1], star[:-1]
-                if not len(s):
-                    continue
-            else:
-                held = [x[:0] for x in held]
-            in_star, first = np.repeat(star, size), np.repeat(node[begin], size)
-            to = in_star & (node != first)
-            if to.any():
-                yield out(node[to], first[to], np.zeros(int(to.sum())))
-            keep = np.repeat(~star & (size > 1), size)
+                    s, node, n, size, many = s[:last], node[:last], n[:last], size[:-1], many[:-1]
+            of = np.repeat(many, size)
+            if (own := of & (n > 0)).any():
+                yield out(node[own], s[own], np.zeros(int(own.sum())), n[own])
+            keep = ~of & np.repeat(size > 1, size)
             s, node, n = s[keep], node[keep], n[keep]
             for k in range(1, min(hot, len(s))):
                 i = np.flatnonzero(s[k:] == s[:-k])
@@ -338,7 +328,7 @@ def _met(similarity: float, hot: int):
                     break
                 i = i[np.minimum(n[i], n[i + k]) >= similarity * np.maximum(n[i], n[i + k])]
                 if len(i):
-                    yield out(node[i], node[i + k], _needed(n[i], n[i + k], similarity))
+                    yield out(node[i], node[i + k], _needed(n[i], n[i + k], similarity), np.zeros(len(i)))
 
     return run
 
@@ -351,11 +341,23 @@ def _and_end(batches):
 def candidate_groups(posts: DataFrame, similarity: float, hot: int) -> DataFrame:
     """(node, grp) of the nodes that are candidates, connected by all pairs of Jaccard index `similarity` or more.
 
-    Two nodes are candidates if they share as many of their first shingles as similar ones of their sizes must, or one
-    that more than `hot` nodes have; pairs of the latter kind are not made, only links to the least of those nodes."""
-    met = posts.repartition("s").sortWithinPartitions("s", "node").mapInArrow(_met(similarity, hot), "a long, b long, need int")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b").checkpoint()
-    return rooted(pairs).select("node", F.col("root").alias("grp"))
+    Similar texts share a known number of posted shingles (_needed()). Pairs are counted over the shingles that at most `hot`
+    nodes post. Of the others, the common ones, no pairs are made: a node's number of them is what they could add at most
+    to a count. Where that alone could be enough, as in large groups of copies but not in texts that merely have some passage
+    in common, the nodes that share one are linked through the least of them."""
+    met = posts.repartition("s").sortWithinPartitions("s", "node").mapInArrow(_met(similarity, hot), "a long, b long, need int, n int")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need"), F.max("n").alias("n")).checkpoint()
+    has = met.where("need = 0").select(F.col("a").alias("node"), F.col("b").alias("s"), "n")
+    of = has.groupBy("node").agg(F.count("*").alias("h"), F.max("n").alias("n")).checkpoint()
+    pairs = met.where("need > 0").select("a", "b", "k", "need")
+    for c in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("h").alias(f"h{c}")), c, "left")
+    pairs = pairs.where(F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need")).select("a", "b")
+    enough = of.where(F.col("h") >= F.least(1 + F.ceil(MORE * F.col("n")), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)).select("node")
+    heavy = has.join(enough, "node").select("s", "node").checkpoint()
+    least = heavy.groupBy("s").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1").select("s", "least").checkpoint()
+    links_ = heavy.join(least, "s").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return rooted(pairs.union(links_).distinct().checkpoint()).select("node", F.col("root").alias("grp"))
 
 
 def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
