@@ -451,12 +451,9 @@ def compact_classes(spark, d):
 
 def _written(spark, d, kind: str) -> DataFrame:
     """Records of one kind, read back from a store to which runs, reviews and, in two batches, ledger lines were appended."""
-    import tempfile
-
     from tracelake.sources import store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
-    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}"
     ledger = a.ledger(spark, d)
     if kind == "architect_ledger":
         store.append_ledger(ledger.where("seq % 2 = 0"), path)

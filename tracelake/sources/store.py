@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def _batches(spark: SparkSession, path: str) -> list[str]:
 FILES, BLOCKS, LINES = 1 << 15, 1 << 16, 1 << 32
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables go that all executors read: the cluster's spark.checkpoint.dir; a folder of this machine only for a local
+    master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tracelake-")
+    return shared.rstrip("/")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, seq, value of every line. seq orders the lines of the whole store: by file as _batches() has them, then by the
     place in the file. Files are read in blocks; a missing path is an empty store."""
