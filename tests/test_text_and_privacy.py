@@ -277,3 +277,23 @@ def test_sweep_watermark_and_streamed_detectors(spark, tmp_path):
     got = {(r["session"], r["seq"], r["detector"]) for r in spark.read.parquet(str(tmp_path / "hits")).collect()}
     want = {tuple(r) for r in detectors.live(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and want
+
+
+def test_repository_scan_symbols_and_vault(spark, tmp_path):
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    (root / ".hidden").mkdir()
+    for name, data in (("a.txt", b"x"), ("src/b.py", "é".encode()), ("src/c.bin", b"\xff\xfe"), ("src/zero", b"a\0b"), (".hidden/d.txt", b"x"), ("big.txt", b"x" * 2000)):
+        (root / name).write_bytes(data)
+    paths = lambda *g: sorted(r["path"] for r in documents.repository_texts(spark, str(root), g, 1000).collect())
+    assert paths() == ["a.txt", "src/b.py"] and paths("*.py", "*.bin") == ["src/b.py"] and paths("src/**") == ["src/b.py"]
+    code = "import os\nX = 1\nclass A:\n    def f(self):\n        y = X\n        return os.path\ndef g(): pass\n"
+    rows = documents.symbols(spark.createDataFrame([(code,), ("def (",), (None,)], "text string")).collect()
+    assert [(s["name"], s["kind"], s["line"]) for s in rows[0]["symbols"] if s["definition"]] == [("X", "variable", 2), ("A", "class", 3), ("f", "method", 4), ("g", "function", 7)]
+    assert ("X", 5) in [(s["name"], s["line"]) for s in rows[0]["symbols"] if not s["definition"]] and rows[1]["symbols"] == rows[2]["symbols"] == []
+    vault, key, schema = spark.createDataFrame([("Email_1", "a@b.com", "email")], "token string, original string, kind string"), "k" * 16, "token string, original string, kind string"
+    folder = str(tmp_path / "vault")
+    assert privacy.load(spark, folder, key, schema).count() == 0
+    privacy.save(vault, folder, key)
+    path = privacy.save(vault.unionByName(vault.selectExpr("'Email_2' as token", "'c@d.com' as original", "kind")), folder, key)
+    assert privacy.load(spark, folder, key, schema).count() == 2 and "a@b.com" not in "".join(r["value"] for r in spark.read.text(path).collect())

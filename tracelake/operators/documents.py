@@ -107,3 +107,53 @@ def searched(docs: DataFrame, pattern: str, *, context: int = 0, most: int | Non
     around = [F.slice("lines", F.greatest(F.col("i") + 1 - k, F.lit(1)), F.least(F.col("i"), F.lit(k))).alias("before"), F.slice("lines", F.col("i") + 2, k).alias("after")]
     out = each.select("key", (F.col("i") + 1).cast("bigint").alias("line"), *around, F.explode(bound(F.col("line"), places)).alias("m")).select("key", "line", "m.col", "m.hit", "before", "after")
     return out if most is None else out.orderBy("key", "line", "col").limit(most)
+
+
+def repository_texts(spark, root: str, globs: tuple[str, ...] = (), most: int = 1 << 20) -> DataFrame:
+    """path, text of the files under root of `most` bytes at most that are UTF-8, without hidden ones; with globs only those that
+    match one. Ignore lists are the caller's to apply: they are names, which a glob or an anti-join excludes."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
+    base = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/"
+    path = F.replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.lit(base), F.lit(""))
+    out = f.select(path.alias("path"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text")).where("text is not null").where(~F.col("path").rlike(r"(^|/)\.") & ~F.contains("text", F.lit("\x00")))
+    for i, g in enumerate(globs):
+        match = F.col("path").rlike(glob_pattern(g)) if "/" in g else F.element_at(F.split("path", "/"), -1).rlike(glob_pattern(g))
+        keep = match if i == 0 else keep | match
+    return out.where(keep) if globs else out
+
+
+SYMBOLS = "array<struct<name:string,kind:string,line:bigint,definition:boolean>>"
+
+
+def symbols(docs: DataFrame) -> DataFrame:
+    """docs (text of Python modules) with symbols: where functions, methods, classes and module variables are defined, and where
+    names are used. A text that is no Python has none."""
+    from tracelake.operators.privacy import _by_text
+
+    def found(text: str | None) -> list[dict]:
+        import ast
+
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        out = []
+
+        def walk(node, inside: str) -> None:
+            for child in ast.iter_child_nodes(node):
+                line = getattr(child, "lineno", 0)
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    out.append((line, child.name, "method" if inside == "class" else "function", True))
+                elif isinstance(child, ast.ClassDef):
+                    out.append((line, child.name, "class", True))
+                elif isinstance(child, ast.Name):
+                    own = isinstance(child.ctx, ast.Store) and inside == "module"
+                    out.append((line, child.id, "variable" if own else "reference", own))
+                elif isinstance(child, ast.Attribute):
+                    out.append((line, child.attr, "reference", False))
+                walk(child, {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.Lambda: "function"}.get(type(child), inside))
+
+        walk(tree, "module")
+        return [{"name": n, "kind": k, "line": at, "definition": d} for at, n, k, d in sorted(out)]
+
+    return _by_text(docs, found, "text", out="symbols", kind=SYMBOLS)
