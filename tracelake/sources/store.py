@@ -85,7 +85,8 @@ def records(store: DataFrame, kind: str) -> DataFrame:
     """Typed records of one kind from (seq, value). Lines that are malformed, of another version, ill-typed or without a required field are left out."""
     schema = f"{SCHEMAS[kind]}, schema_version bigint, _bad string"
     r = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
-    out = store.select("seq", "value", r).where(_whole() & F.col("r._bad").isNull() & (F.col("r.schema_version") == VERSION))
+    # a generator keeps the optimiser from parsing once for every field that is used
+    out = store.select("seq", F.inline(F.array(F.struct(r, _whole().alias("whole"))))).where(F.col("whole") & F.col("r._bad").isNull() & (F.col("r.schema_version") == VERSION))
     for c in REQUIRED[kind]:
         out = out.where(F.col(f"r.{c}").isNotNull())
     if kind != "run":
@@ -138,8 +139,9 @@ def classified(store: DataFrame) -> DataFrame:
 
     Each line is read for the few fields that decide, and once to see whether it is JSON; which line of a key is the last is found from the keys alone."""
     fields = ["record", "schema_version", "phase_id", "activity", "ts", "project_id", "session_id", "model", "skill"]
-    d = store.select("seq", "value", F.from_json("value", ", ".join(f"{f} string" for f in fields)).alias("j"))
-    ok = _whole() & F.ltrim("value").startswith("{")
+    once = lambda df, **cols: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+    d = once(store.select("seq", "value"), j=F.from_json("value", ", ".join(f"{f} string" for f in fields)), whole=_whole())
+    ok = F.col("whole") & F.ltrim("value").startswith("{")
     record, version = F.coalesce("j.record", F.lit("")), F.coalesce(F.col("j.schema_version").try_cast("bigint"), F.lit(0))
     kind = F.when(record == "", "run").otherwise(record)
     known = F.lit(False)
@@ -155,11 +157,10 @@ def classified(store: DataFrame) -> DataFrame:
     )
     of = lambda k: F.struct(F.lit(k).alias("k"), *[F.col(f"j.{c}").alias(f"c{i}") for i, c in enumerate((FOLD_KEYS[k] + [FOLD_KEYS[k][0]])[:4])])
     keys = [*FOLD_KEYS]
-    d = d.select("seq", "value", cls.alias("class"), F.when(cls == keys[0], of(keys[0])).when(cls == keys[1], of(keys[1])).alias("key"))
-    folds = d.where("key is not null")
-    last = F.max("seq").over(Window.partitionBy("key"))
-    folded = folds.select("seq", "value", F.when(F.col("seq") < last, "superseded").otherwise(F.col("class")).alias("class"))
-    return d.where("key is null").select("seq", "value", "class").unionByName(folded)
+    d = once(d, kind=cls).select("seq", "value", "kind", F.when(F.col("kind") == keys[0], of(keys[0])).when(F.col("kind") == keys[1], of(keys[1])).alias("key"))
+    # lines without a key are each their own
+    last = F.max("seq").over(Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("seq"))))
+    return d.select("seq", "value", F.when(F.col("key").isNotNull() & (F.col("seq") < last), "superseded").otherwise(F.col("kind")).alias("class"))
 
 
 def compacted(store: DataFrame) -> DataFrame:
