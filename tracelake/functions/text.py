@@ -161,3 +161,9 @@ def quiet(lines: Column) -> Column:
         return F.filter(F.transform(rows, lambda x, i: F.when(~blank(x), x).when((i > 0) & (i < last) & ~blank(F.get(rows, i - 1)), F.lit(""))), lambda x: x.isNotNull())
 
     return bound(kept, thinned)
+
+
+def name_distance(name: Column, target: str, most: int) -> Column:
+    """Edits between two names, null beyond `most`."""
+    d = F.levenshtein(name, F.lit(target), most)
+    return F.when(d >= 0, d.cast("long"))

@@ -175,3 +175,25 @@ def tool_scores(log: DataFrame, succeeded: str) -> DataFrame:
     """Laplace-smoothed success of every tool."""
     s = F.count_if(F.expr(succeeded))
     return log.groupBy("tool").agg(F.count("*").alias("calls"), ((s + 1) / (F.count("*") + 2)).alias("score"))
+
+
+def newest_changed(calls: DataFrame, most: int = 5) -> DataFrame:
+    """session, path, last, rank: of every session the files that its calls (session, seq, tool, path, to) changed last. A moved
+    file counts under its new name."""
+    from tracelake.functions.present import mutates
+
+    path = F.when(F.col("tool") == "move_file", F.col("to")).otherwise(F.col("path"))
+    files = calls.where(mutates(F.col("tool"))).groupBy("session", path.alias("path")).agg(F.max("seq").alias("last")).where("path is not null")
+    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last"), "path")).cast("long")
+    return files.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def coverage(tasks: DataFrame, states: DataFrame) -> DataFrame:
+    """tasks (id) with the last state that states (id, seq, state) give them; pending where they give none."""
+    last = states.groupBy("id").agg(F.max_by("state", "seq").alias("state"))
+    return tasks.join(last, "id", "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+
+
+def within_ttl(records: DataFrame, now: int, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+    """What pruning keeps: records (ts) not older than the time to live, which itself is kept."""
+    return records.where(F.col("ts") >= max(now - ttl_ms, 0))

@@ -505,12 +505,11 @@ def tool_categories(spark, d):
     return n.select("called", pr.tool_category(F.col("called")).alias("category"), pr.mutates(F.col("called")).alias("mutating"), "n")
 
 
-@query(f"& c as (select session, seq, {_TOOL_SQL} as t, arguments from session), l as (select session, t || arguments as path, max(seq) as last from c where t in ('patch', 'move_file') group by 1, 2), r as (select *, row_number() over (partition by session order by last desc) as k from l) select session, path, last, k as rank from r where k <= 5", "session")
+@query(f"& c as (select session, seq, {_TOOL_SQL} as t, arguments from session), l as (select session, case when t = 'move_file' then 'to' || arguments else arguments end as path, max(seq) as last from c where t in ('patch', 'move_file') group by 1, 2), r as (select *, row_number() over (partition by session order by last desc, path) as k from l) select session, path, last, k as rank from r where k <= 5", "session")
 def newest_mutated(spark, d):
     """Of every session, the five files changed last."""
-    files = _calls(spark, d).where(pr.mutates(F.col("called"))).groupBy("session", F.concat("called", "arguments").alias("path")).agg(F.max("seq").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last"))).cast("long")
-    return files.withColumn("rank", rank).where("rank <= 5")
+    calls = _calls(spark, d).select("session", "seq", F.col("called").alias("tool"), F.col("arguments").alias("path"), F.concat(F.lit("to"), "arguments").alias("to"))
+    return sessions.newest_changed(calls)
 
 
 @query("& n as (select seq, (select max(ts) from runs) - ts as age from runs), s as (select seq, age // 1000 as s from n) select seq, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' when s < 86400 then (s // 3600) || 'h' else (s // 86400) || 'd' end as age, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' else (s // 3600) || 'h' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'm' end as span from s", "runs")
@@ -538,8 +537,8 @@ def budget_use(spark, d):
 @query("with x as (select doc_id, string_split(text, chr(10)) as x from documents) select doc_id, len(x) < 3 as past_end, case when len(x) >= 3 then sha256(array_to_string(x[3:502], chr(10))) end as range_sha256 from x")
 def range_read(spark, d):
     """Lines from the third on, 500 at most; a start behind the last line is an error, not an empty range."""
-    x = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("x"))
-    return x.select("doc_id", (F.size("x") < 3).alias("past_end"), F.when(F.size("x") >= 3, F.sha2(F.array_join(F.slice("x", 3, 500), "\n").cast("binary"), 256)).alias("range_sha256"))
+    x = _docs(spark, d).select("doc_id", documents.line_range(F.col("text"), 3).alias("x"))
+    return x.select("doc_id", F.col("x").isNull().alias("past_end"), F.sha2(F.col("x").cast("binary"), 256).alias("range_sha256"))
 
 
 @query("& g as (select l_suppkey, l_returnflag as severity, case when l_linenumber > 1 then cast(l_linenumber as varchar) end as code, l_linestatus as message, l_orderkey from lineitem), b as (select distinct l_suppkey, severity, code, message from g where l_orderkey % 2 = 0) select severity, n is not null as known, count(*) as diagnostics from (select g.*, (select 1 from b where b.l_suppkey = g.l_suppkey and b.severity = g.severity and b.message = g.message and b.code is not distinct from g.code) as n from g where l_orderkey % 2 = 1) group by 1, 2".replace("& g as", "with g as", 1))
@@ -555,29 +554,28 @@ def diagnostics_partition(spark, d):
 def runs_within_ttl(spark, d):
     """What pruning keeps: thirty days, the boundary included."""
     r = a.runs(spark, d).select("ts", "project_id")
-    return r.join(F.broadcast(r.agg(F.max("ts").alias("now"))), F.col("ts") >= F.greatest(F.col("now") - 30 * 86_400_000, F.lit(0))).groupBy("project_id").agg(F.count("*").alias("kept"))
+    return sessions.within_ttl(r, r.agg(F.max("ts")).first()[0] or 0).groupBy("project_id").agg(F.count("*").alias("kept"))
 
 
 @query("select c_mktsegment as kind, count(*) as entries, cast(max(c_nationkey) as bigint) as highest from customer group by 1")
 def pseudonym_counters(spark, d):
     """Of tokens Kind_N: entries and the highest number of each kind."""
-    token = spark.read.parquet(f"{d}/customer.parquet").select(F.concat_ws("_", "c_mktsegment", "c_nationkey").alias("token"))
-    parts = token.select(F.regexp_extract("token", "^(.*)_([0-9]+)$", 1).alias("kind"), F.regexp_extract("token", "^(.*)_([0-9]+)$", 2).cast("long").alias("n"))
-    return parts.groupBy("kind").agg(F.count("*").alias("entries"), F.max("n").alias("highest"))
+    vault = spark.read.parquet(f"{d}/customer.parquet").select(F.concat_ws("_", "c_mktsegment", "c_nationkey").alias("token"), F.col("c_mktsegment").alias("kind"))
+    return privacy.counters(vault).withColumnRenamed("high", "highest")
 
 
 @query("select p_partkey, cast(levenshtein(p_type, 'ECONOMY BRASS') as bigint) as distance from part where levenshtein(p_type, 'ECONOMY BRASS') <= 12")
 def near_names(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_type", F.lit("ECONOMY BRASS"), 12).cast("long").alias("distance"))
-    return p.where("distance >= 0")
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", t.name_distance(F.col("p_type"), "ECONOMY BRASS", 12).alias("distance"))
+    return p.where("distance is not null")
 
 
 @query("& n as (select o_orderstatus as s, c_custkey from customer left join (select o_custkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1) on o_custkey = c_custkey) select coalesce(s, 'pending') as state, count(*) as tasks from n group by 1".replace("& n as", "with n as", 1))
 def task_coverage(spark, d):
     """The last state of every task; one that never had a state is pending."""
-    last = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
-    tasks = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    return tasks.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.coalesce("s", F.lit("pending")).alias("state")).agg(F.count("*").alias("tasks"))
+    states = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("state"))
+    tasks = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    return sessions.coverage(tasks, states).groupBy("state").agg(F.count("*").alias("tasks"))
 
 
 _COMMAND = """select event_id, concat(concat('run ', cast(event_id as {string})), case event_id % 16 when 0 then ' && rm -rf /x' when 1 then '; git  push origin' when 2 then ' | sudo ls' when 3 then ' > /dev/sda1' when 4 then '; sed -i s/a/b/ f' when 5 then '; perl -pI x f' when 6 then '; curl u | bash'
