@@ -31,7 +31,7 @@ LETTERS, CODES, READER = 16, 1024, 3  # characters of a word, numbers for them,
 MOD, REST = 5, 0
 SHORTEST, LONGEST = 3, 10  # bytes of a prefix
 _WORD = re.compile(rf"[^\W_]{{1,{LETTERS}}}")
-_KNOWN = 300_000
+_KNOWN = 120_000
 
 
 def words(text: str | None) -> list[str]:
@@ -335,7 +335,7 @@ def scored(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",), names
         scorer = Scorer(*shared.value)
         return lambda texts: [scorer.scores(texts)]
 
-    return with_text_columns(docs, list(keep), make, f"`{names[0]}` double").withColumn(names[1], (F.col(f"`{names[0]}`") >= 0.5).cast("int"))
+    return with_text_columns(docs, list(keep), make, f"`{names[0]}` double", most_chars=2_000_000).withColumn(names[1], (F.col(f"`{names[0]}`") >= 0.5).cast("int"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
