@@ -18,7 +18,7 @@ def plain(rows):
     return sorted(tuple("null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op3_preference", "op8_warc", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_preference", "op8_warc", "op10_decontaminate", "op13_fill_in_middle"])
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from tracelake.llm import preference
+from tracelake.llm import fim, preference
 from tracelake.llm.bpe import op7_bpe
 from tracelake.llm.decontaminate import op10_decontaminate
+from tracelake.llm.fim import op13_fill_in_middle
 from tracelake.llm.language import op6_language
 from tracelake.llm.licenses import op9_licenses
+from tracelake.llm.periodic import op11_periodic_runs
 from tracelake.llm.preference import op3_preference
 from tracelake.llm.quality import op2_quality
 from tracelake.llm.simhash import op5_simhash
+from tracelake.llm.tokenfile import op12_token_files
 from tracelake.llm.toxicity import op1_toxicity
 from tracelake.llm.warc import op8_warc
 from tracelake.llm.winnow import op4_winnow
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_preference, op4_winnow, op5_simhash, op6_language, op7_bpe, op8_warc, op9_licenses, op10_decontaminate)
+    for f in (op1_toxicity, op2_quality, op3_preference, op4_winnow, op5_simhash, op6_language, op7_bpe, op8_warc, op9_licenses, op10_decontaminate, op11_periodic_runs, op12_token_files, op13_fill_in_middle)
 }
 
 ORACLE_SQL = {
     "op3_preference": preference.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
     "op8_warc": """
 with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as n, sha256(coalesce(html, '')) as d from pages),
 f as (select d, min(page_id) as first from p where n >= 100 group by d)
