@@ -142,7 +142,8 @@ def unpack(stored: np.ndarray, n_words: np.ndarray, n_escaped: np.ndarray, n_ids
 # The only settings with which words between ASCII blanks are encoded independently of each other and of their case.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_500_000
+JOINED = 1000
 
 
 class _Words(dict):
@@ -166,7 +167,8 @@ class Encoder:
 
         self.library = Tokenizer.from_str(data)
         settings = json.loads(data)
-        self.by_words = settings["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and (settings["pre_tokenizer"].get("pretokenizers") or [None])[0] == _SPLIT and settings["post_processor"] is None and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in settings["added_tokens"])
+        self.between, self.apart = next(((t["content"].encode(), t["id"]) for t in settings["added_tokens"]), (b"", None))
+        self.by_words = settings["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and (settings["pre_tokenizer"].get("pretokenizers") or [None])[0] == _SPLIT and settings["post_processor"] is None and self.apart is not None and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in settings["added_tokens"])
         self.forget()
 
     def forget(self) -> None:
@@ -177,9 +179,13 @@ class Encoder:
         new, self.words.waiting = self.words.waiting, []
         if not new:
             return
-        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(count.sum()))
+        # One call for many words: a special token between two words keeps them apart, and tells where each one's ids end.
+        joined = [self.between.join(new[i : i + JOINED]).decode() for i in range(0, len(new), JOINED)]
+        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([x for g in got for x in (g, [self.apart])])
+        ends = np.flatnonzero(ids == self.apart)
+        count = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.apart]
         known = len(self.words) - len(new)
         while known + len(new) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
