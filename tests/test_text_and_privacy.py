@@ -248,7 +248,7 @@ def test_lookup_and_cells(spark):
     assert {r["name"]: r["value"] for r in backends.resolved(s, o, "m").collect()} == {"a": "7", "b": "2"}
 
 
-def test_sweep_watermark_and_streamed_detectors(spark, tmp_path):
+def test_sweep_watermark(spark, tmp_path):
     import os
 
     from tracelake.streaming import sweep
@@ -268,16 +268,6 @@ def test_sweep_watermark_and_streamed_detectors(spark, tmp_path):
     names = spark.createDataFrame([(f"cmd-output-{i}.log",) for i in range(25)] + [("other.log",)], "name string")
     assert {r["name"] for r in sweep.newest_files(names).collect()} == {f"cmd-output-{i}.log" for i in range(5, 25)}
 
-    schema = "session long, seq long, tool string, arguments string, mutating boolean, output_bytes long, errors long, blank boolean, feedback string"
-    rows = [(i % 2, i, "patch", '{"path":"%d"}' % (i % 4 // 2), True, 0, 0, False, None) for i in range(40)]
-    src = tmp_path / "in"
-    for k in (0, 1, 2):
-        spark.createDataFrame(rows[k * 13 : k * 13 + 14 if k == 2 else k * 13 + 13], schema).coalesce(1).write.mode("append").json(str(src))
-        sweep.live_detectors(spark.readStream.schema(schema).json(str(src)), str(tmp_path / "cp"), str(tmp_path / "hits")).awaitTermination()
-    got = {(r["session"], r["seq"], r["detector"]) for r in spark.read.parquet(str(tmp_path / "hits")).collect()}
-    want = {tuple(r) for r in detectors.live(spark.createDataFrame(rows, schema)).collect()}
-    assert got == want and want
-
 
 def test_repository_scan_symbols_and_vault(spark, tmp_path):
     root = tmp_path / "repo"

@@ -349,6 +349,39 @@ def live_hits(spark, d):
     return detectors.live(a.steps(spark, d), terminate_on_novelty=True, **_LIMITS).groupBy("detector").agg(F.count("*").alias("steps"), F.count_distinct("session").alias("sessions"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors share."""
+    from tracelake.sources import store
+
+    return f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(LIVE + "select session, seq, detector from h where detector is not null", "steps")
+def streamed_hits(spark, d):
+    """The steps as a stream of three batches, with a restart before each."""
+    from tracelake.streaming import live
+
+    steps, at = a.steps(spark, d), _folder(spark, "steps")
+    for low, high in ((0, 40), (40, 120), (120, None)):
+        part = steps.where(F.col("seq") > low) if high is None else steps.where(F.col("seq").between(low + 1, high))
+        part.write.mode("append").parquet(f"{at}/in")
+        live.live_detectors(spark.readStream.schema(steps.schema).parquet(f"{at}/in"), f"{at}/state", f"{at}/hits", terminate_on_novelty=True, **_LIMITS).awaitTermination()
+    return spark.read.schema("session string, seq bigint, detector string").parquet(f"{at}/hits")
+
+
+@query("select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as ks from events group by 1")
+def tailed_lines(spark, d):
+    """Events as JSON lines in a folder that grows between two runs of a stream over it."""
+    from tracelake.sources import tail
+
+    e, at = spark.read.parquet(f"{d}/events.parquet"), _folder(spark, "tail")
+    for rest in (0, 1):
+        e.where(F.col("event_id") % 2 == rest).select(F.to_json(F.struct("event_id", "event_type", "props"))).write.mode("append").text(f"{at}/logs")
+        tail.growing(spark, f"{at}/logs", ".txt").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    r = spark.read.schema("value string").parquet(f"{at}/out").select(F.from_json("value", "event_id bigint, event_type string, props string").alias("r")).select("r.*")
+    return r.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("ks"))
+
+
 @query("select session, min(seq) as seq from steps where turn > 0 and errors = 4 group by session", "steps")
 def backend_errors(spark, d):
     return detectors.backend_errors(a.steps(spark, d).withColumn("failed", F.col("errors") == 4))

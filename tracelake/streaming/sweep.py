@@ -64,36 +64,6 @@ def sweep_once(spark: SparkSession, folder: str, watermark: int | None, merge) -
     return now
 
 
-def live_detectors(steps: DataFrame, checkpoint: str, out: str, **limits):
-    """Writes (session, seq, detector) of every step of a stream at which a live detector fires. A session's last steps, as many as
-    the widest detector looks back, are kept as a table between batches, so that batches give what one batch over all would.
-    Steps of a session come in order of seq, and a step comes once."""
-    from pyspark.sql import Window
-
-    from tracelake.operators import detectors
-
-    x = detectors.DEFAULTS | {k: v for k, v in limits.items() if k in detectors.DEFAULTS}
-    back = max(x["identical"], x["persistence"], x["window"], x["flood_window"], x["novelty_window"], x["stall"], x["empty"], x["feedback"]) + 1
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        cols = batch.columns
-        try:
-            before = spark.read.parquet(f"{out}-state/{number - 1}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = batch.limit(0)
-        known = before.select(*cols, F.lit(False).alias("__new")).unionByName(batch.withColumn("__new", F.lit(True))).persist()
-        hits = detectors.live(known.drop("__new"), **limits).join(known.where("__new").select("session", "seq"), ["session", "seq"], "left_semi")
-        hits.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        k = F.row_number().over(Window.partitionBy("session").orderBy(F.col("seq").desc()))
-        known.withColumn("__k", k).where(F.col("__k") <= back).select(*cols).write.mode("overwrite").parquet(f"{out}-state/{number}")
-        known.unpersist()
-
-    return steps.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def newest_files(files: DataFrame, most: int = 20) -> DataFrame:
     """name of the `most` recovery files with the highest number, `cmd-output-<number>.log`; the others may go."""
     n = F.regexp_extract("name", r"^cmd-output-.*?([0-9]*)\.log$", 1).try_cast("bigint")
