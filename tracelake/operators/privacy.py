@@ -102,21 +102,14 @@ def with_named(texts: DataFrame) -> DataFrame:
     return _by_text(texts, both, "text", "items")
 
 
-def redacted(texts: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+def redacted(texts: DataFrame, terms: DataFrame | list[tuple[str, str]]) -> DataFrame:
     """texts with redacted: what the detectors find and every occurrence of a term (text, kind) as [REDACTED:tag], the longest
-    where they overlap. terms are a repository's dictionary, bounded by what one task can hold."""
-    if sum(len(t) for t, _ in terms) > 64 << 20:
-        raise ValueError("the dictionary of terms is too large to be sent with every task")
-
-    def done(text):
-        if text is None:
-            return None
-        found = merged(detected(text) + [s for t, k in terms for s in occurrences(text, t, k)])
-        for s in reversed(found):
-            text = text[: s["start"]] + f"[REDACTED:{KINDS[s['kind']][1]}]" + text[s["end"] :]
-        return text
+    where they overlap. The terms are a repository's dictionary, of any size."""
+    from tracelake.operators import terms as dictionary
 
-    return _by_text(texts, done, "text", out="redacted", kind="string")
+    if isinstance(terms, list):
+        terms = texts.sparkSession.createDataFrame(terms, "text string, kind string")
+    return dictionary.redacted(texts, dictionary.build(terms))
 
 
 def numbered(found: DataFrame, vault: DataFrame | None = None) -> DataFrame:

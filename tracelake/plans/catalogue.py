@@ -11,7 +11,7 @@ from tracelake.functions import commands
 from tracelake.functions import metrics as m
 from tracelake.functions import present as pr
 from tracelake.functions import text as t
-from tracelake.operators import context, costs, detectors, diagnostics, documents, folds, harvest, privacy, scorecard, sessions, toolcalls
+from tracelake.operators import context, costs, detectors, diagnostics, documents, folds, harvest, privacy, scorecard, sessions, terms, toolcalls
 from tracelake.plans import adapters as a
 
 QUERIES: dict = {}
@@ -703,6 +703,17 @@ def pii_documents(spark, d):
     return s.agg(F.count("*").alias("documents"))
 
 
+@query("""with t as (select distinct w as term from (select unnest(string_split(text, ' ')) as w from benchmark) where length(w) >= 6),
+o as (select term, (length(text) - length(replace(text, term, ''))) // length(term) as n from documents, t where contains(text, term))
+select term, count(*) as documents, cast(sum(n) as bigint) as occurrences from o group by 1""")
+def term_occurrences(spark, d):
+    """Every longer word of the benchmark as a term, anywhere in the documents."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("text")).where("length(text) >= 6")
+    own = terms.build(words.select("text", F.lit("term").alias("kind")))
+    each = terms.occurrences(_docs(spark, d), own).select("doc_id", F.explode("terms").alias("t"))
+    return each.groupBy(F.col("t.text").alias("term"), "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+
+
 @query()
 def pseudonyms(spark, d):
     """Texts with personal data, their pseudonymised form and whether it reads back as it was."""
