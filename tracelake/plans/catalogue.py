@@ -479,7 +479,7 @@ k as (select *, max(case when c = 'architect_ledger' then seq end) over (partiti
 def compact_classes(spark, d):
     from tracelake.sources import store
 
-    return store.classified(_store(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+    return store.class_counts(_store(spark, d)).drop("bytes")
 
 
 def _written(spark, d, kind: str) -> DataFrame:

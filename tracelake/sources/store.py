@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -26,23 +27,59 @@ ACTIVITIES = ["draft", "dispatch", "review", "assist", "takeover", "boundary"]
 FOLD_KEYS = {"architect_activity": ["phase_id", "activity", "ts"], "architect_ledger": ["project_id", "session_id", "model", "skill"]}
 
 
-def _batches(spark: SparkSession, path: str) -> list[str]:
-    """The files at path (a file, a folder, a pattern), in the order in which they were appended: by the number of their batch
-    (none counts as 0), then by name. Only names are read."""
+def _place(file: str) -> int:
+    """The number of a file's batch; none counts as 0."""
+    return int((re.findall(r"/batch=(\d+)/", file) or [0])[-1])
+
+
+def _hadoop(spark: SparkSession, path: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs, found = root.getFileSystem(conf), []
-    todo = [s.getPath() for s in fs.globStatus(root) or []]
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf), at
+
+
+def _all_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Every file at path (a file, a folder, a pattern) with its size. Names that begin with `_` or `.` are left out."""
+    fs, root = _hadoop(spark, path)
+    found, todo = {}, list(fs.globStatus(root) or [])
     while todo:
-        at = todo.pop()
-        if fs.getFileStatus(at).isDirectory():
-            todo += [s.getPath() for s in fs.listStatus(at) if not s.getPath().getName().startswith(("_", "."))]
+        s = todo.pop()
+        if s.isDirectory():
+            todo += [x for x in fs.listStatus(s.getPath()) if not x.getPath().getName().startswith(("_", "."))]
         else:
-            found.append(at.toString())
-    return sorted(found, key=lambda f: (int((re.findall(r"/batch=(\d+)/", f) or [0])[-1]), f))
+            found[s.getPath().toString()] = s.getLen()
+    return found
 
 
-FILES, BLOCKS, LINES = 1 << 15, 1 << 16, 1 << 32
+def _covered(spark: SparkSession, files: dict[str, int]) -> tuple[str | None, dict[str, int]]:
+    """The folder of the newest generation among files, and how many bytes of which files it stands for."""
+    folders = {m[1] for f in files if (m := re.match(r"(.*/generation=\d+)/", f))}
+    if not folders:
+        return None, {}
+    newest = max(folders, key=lambda f: int(f.rsplit("=", 1)[1]))
+    return newest, {r["file"]: r["bytes"] for r in spark.read.schema("file string, bytes bigint").json(f"{newest}/_covers").collect()}
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The files of a store in the order in which they were appended, each with the bytes at its beginning that a generation
+    stands for: the newest generation, then what it does not stand for, by batch and name."""
+    files = _all_files(spark, path)
+    newest, covers = _covered(spark, files)
+    own = [f for f in files if "/generation=" not in f or f.startswith(f"{newest}/")]
+    # a file shorter than what a generation stands for was replaced since
+    rest = [(f, 0 if files[f] < covers.get(_plain(f), 0) else covers.get(_plain(f), 0)) for f in own if files[f] != covers.get(_plain(f), -1)]
+    return sorted(rest, key=lambda f: (newest is None or not f[0].startswith(f"{newest}/"), _place(f[0]), f[0]))
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """The files of a store, by name alone."""
+    return [f for f, _ in _listed(spark, path)]
+
+
+# seq = file, block of the file, line of the block; or file and byte, where a file is read from the middle.
+FILES, BLOCKS, LINES = 1 << 22, 1 << 13, 1 << 28
+#: So many names of files are sent to every executor; with more the lines are shuffled to them.
+BROADCAST_FILES = 1 << 17
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,19 +94,53 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, value of every line. seq orders the lines of the whole store: by file as _batches() has them, then by the
-    place in the file. Files are read in blocks; a missing path is an empty store."""
-    files = _batches(spark, path)
-    if not files:
-        return spark.createDataFrame([], "file string, seq bigint, value string")
-    if len(files) > FILES:
+    """file, seq, value of every line. seq orders the lines of the whole store: by file in the order of appending, then by the
+    place in the file. Files are read in blocks; a missing path is an empty store. Of a store that was compacted in place these
+    are the lines of the newest generation and those appended since."""
+    return _lines(spark, path, _listed(spark, path))
+
+
+def _arrow(file: str) -> str:
+    """A file's name as Arrow's file systems have it, by which files that grow are read."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", file))[1]
+
+
+def _lines(spark: SparkSession, path: str, listed: list[tuple[str, int]], upto: dict[str, int] | None = None) -> DataFrame:
+    """Of the files listed. Those with bytes to pass over, and those in upto, are read from and to a byte."""
+    from tracelake.sources import tail
+
+    if len(listed) > FILES:
         raise ValueError(f"more than {FILES} files: compact the store first")
-    rows = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size"), "value")
-    rank = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (_plain(f), i)]), F.regexp_replace("file", "^[a-z0-9]+:/+", "/"))
-    # blocks begin at equal distances, so a block's number in its file is in proportion to where it begins
-    block = F.floor(F.col("at") / F.greatest(F.ceil(F.col("size") / (BLOCKS - 1)), F.lit(1)))
-    seq = rank * (1 << 48) + block * (1 << 32) + F.pmod(F.monotonically_increasing_id(), F.lit(LINES))
-    return rows.select("file", seq.cast("bigint").alias("seq"), "value")
+    upto, out = upto or {}, []
+    parts = {_arrow(f): (rank, skip, upto.get(f)) for rank, (f, skip) in enumerate(listed) if skip or f in upto}
+    whole = {f: rank for rank, (f, skip) in enumerate(listed) if not skip and f not in upto}
+
+    def ranked(rows: DataFrame, ranks: list[tuple[str, int]]) -> DataFrame:
+        names = spark.createDataFrame(ranks, "name string, rank bigint")
+        names = F.broadcast(names) if len(ranks) <= BROADCAST_FILES else names
+        return rows.join(names, "name").select("file", (F.col("rank") * (BLOCKS * LINES) + F.col("place")).cast("bigint").alias("seq"), "value")
+
+    if whole:
+        rows = spark.read.text([*whole]).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size"), "value")
+        # blocks begin at equal distances, so a block's number in its file is in proportion to where it begins
+        block = F.floor(F.col("at") / F.greatest(F.ceil(F.col("size") / (BLOCKS - 1)), F.lit(1)))
+        place = block * LINES + F.pmod(F.monotonically_increasing_id(), F.lit(LINES))
+        rows = rows.select("file", place.alias("place"), "value", F.regexp_replace("file", "^[a-z0-9]+:/+", "/").alias("name"))
+        out.append(ranked(rows, [(_plain(f), rank) for f, rank in whole.items()]))
+    if parts:
+        root = path if ":/" in path else f"file://{path}"
+        known = {f: skip for f, (_, skip, _) in parts.items()}
+        ends = {f: n for f, (_, _, n) in parts.items()}
+        if None in ends.values():
+            now = tail.Files(root, "").finished(known, {})
+            ends = {f: now.get(f, known[f]) if n is None else n for f, n in ends.items()}
+        rows = tail.finished(spark, root, known=known, upto=ends).select("file", F.col("offset").alias("place"), "value", F.col("file").alias("name"))
+        out.append(ranked(rows, [(f, rank) for f, (rank, _, _) in parts.items()]))
+    if not out:
+        return spark.createDataFrame([], "file string, seq bigint, value string")
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _plain(file: str) -> str:
@@ -110,7 +181,7 @@ def append(rows: DataFrame, path: str, kind: str) -> None:
     if kind != "run":
         body = body.drop("record").withColumn("record", F.lit(kind))
     spark = rows.sparkSession
-    last = max((int(x) for f in _batches(spark, path) for x in re.findall(r"/batch=(\d+)/", f)), default=0)
+    last = max(map(_place, _all_files(spark, path)), default=0)
     body.withColumn("schema_version", F.lit(VERSION)).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path.rstrip('/')}/batch={last + 1:09d}")
 
 
@@ -134,10 +205,9 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     append(rows, path, "architect_ledger")
 
 
-def classified(store: DataFrame) -> DataFrame:
-    """seq, value and class of each line: blank, malformed, legacy_run, other, superseded, or kept as run, review, architect_activity, architect_ledger.
-
-    Each line is read for the few fields that decide, and once to see whether it is JSON; which line of a key is the last is found from the keys alone."""
+def _classes(store: DataFrame) -> DataFrame:
+    """seq, value, kind of each line, and the key of a line that a later one with it supersedes. Each line is read for the few
+    fields that decide, and once to see whether it is JSON."""
     fields = ["record", "schema_version", "phase_id", "activity", "ts", "project_id", "session_id", "model", "skill"]
     once = lambda df, **cols: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
     d = once(store.select("seq", "value"), j=F.from_json("value", ", ".join(f"{f} string" for f in fields)), whole=_whole())
@@ -157,21 +227,102 @@ def classified(store: DataFrame) -> DataFrame:
     )
     of = lambda k: F.struct(F.lit(k).alias("k"), *[F.col(f"j.{c}").alias(f"c{i}") for i, c in enumerate((FOLD_KEYS[k] + [FOLD_KEYS[k][0]])[:4])])
     keys = [*FOLD_KEYS]
-    d = once(d, kind=cls).select("seq", "value", "kind", F.when(F.col("kind") == keys[0], of(keys[0])).when(F.col("kind") == keys[1], of(keys[1])).alias("key"))
-    # lines without a key are each their own
-    last = F.max("seq").over(Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("seq"))))
-    return d.select("seq", "value", F.when(F.col("key").isNotNull() & (F.col("seq") < last), "superseded").otherwise(F.col("kind")).alias("class"))
+    return once(d, kind=cls).select("seq", "value", "kind", F.when(F.col("kind") == keys[0], of(keys[0])).when(F.col("kind") == keys[1], of(keys[1])).alias("key"))
 
 
-def compacted(store: DataFrame) -> DataFrame:
-    """The kept lines, unchanged, in their order: the last of each ledger and activity key, every review and run."""
-    return classified(store).where(F.col("class").isin("run", "review", *FOLD_KEYS)).select("seq", "value").orderBy("seq")
+def class_counts(store: DataFrame) -> DataFrame:
+    """class, n, seqs (the sum of seq), bytes of the lines of each class: blank, malformed, legacy_run, other, superseded, or
+    kept as run, review, architect_activity, architect_ledger. Texts never leave the task that reads them: of a key only the
+    number of its lines and the last are shuffled."""
+    d = _classes(store).select("seq", "kind", "key", (F.octet_length("value") + 1).cast("bigint").alias("b"))
+    sums = [F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.sum("b").alias("bytes")]
+    k = d.where("key is not null").groupBy("key").agg(F.first("kind").alias("kind"), *sums, F.max(F.struct("seq", "b")).alias("last"))
+    kept = F.struct(F.col("kind").alias("class"), F.lit(1).cast("bigint").alias("n"), F.col("last.seq").alias("seqs"), F.col("last.b").alias("bytes"))
+    gone = F.struct(F.lit("superseded").alias("class"), (F.col("n") - 1).alias("n"), (F.col("seqs") - F.col("last.seq")).alias("seqs"), (F.col("bytes") - F.col("last.b")).alias("bytes"))
+    each = k.select(F.inline(F.filter(F.array(kept, gone), lambda x: x["n"] > 0)))
+    free = d.where("key is null").groupBy(F.col("kind").alias("class")).agg(*sums)
+    return each.unionByName(free).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("n", "seqs", "bytes")])
+
 
+#: So many last lines of keys are sent to every executor as numbers; with more the lines with a key are shuffled to them.
+BROADCAST_LAST = 1 << 21
 
-def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Writes the compacted store to target, as its first batch, and returns how many lines of each class there were. Files keep
-    the order of lines, as each holds a range of it; the caller puts target in the place of path."""
-    store = lines(spark, path)
-    kept = classified(store).where(F.col("class").isin("run", "review", *FOLD_KEYS))
-    kept.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(f"{target.rstrip('/')}/batch={1:09d}")
-    return classified(store).groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+def _last(d: DataFrame) -> DataFrame:
+    return d.where("key is not null").groupBy("key").agg(F.max("seq").alias("last")).select("last")
+
+
+def classified(store: DataFrame) -> DataFrame:
+    """seq, value and class of each line, as in class_counts()."""
+    d = _classes(store)
+    keyed = d.where("key is not null").join(_last(d), F.col("seq") == F.col("last"), "left")
+    keyed = keyed.select("seq", "value", F.when(F.col("last").isNull(), "superseded").otherwise(F.col("kind")).alias("class"))
+    return keyed.unionByName(d.where("key is null").select("seq", "value", F.col("kind").alias("class")))
+
+
+def compacted(store: DataFrame) -> DataFrame:
+    """The kept lines, unchanged, in their order: the last of each ledger and activity key, every review and run."""
+    return _kept(store).orderBy("seq")
+
+
+def _kept(store: DataFrame) -> DataFrame:
+    """The last lines are found from keys alone and written as numbers; only if they are too many to be sent to every executor
+    are lines shuffled."""
+    spark, d = store.sparkSession, _classes(store)
+    at = f"{shared_folder(spark)}/last-{uuid.uuid4().hex}"
+    _last(d).write.parquet(at)
+    last = spark.read.parquet(at)
+    last = F.broadcast(last) if last.count() <= BROADCAST_LAST else last
+    keyed = d.where("key is not null").join(last, F.col("seq") == F.col("last"), "left_semi")
+    free = d.where("key is null and kind in ('run', 'review')")
+    return keyed.select("seq", "value").unionByName(free.select("seq", "value"))
+
+
+def compact(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """Compacts the store and returns class_counts() of what it held.
+
+    In place (no target), others may append meanwhile. What is there at the beginning is listed: batches, which never change,
+    and of other files the finished lines. The kept ones are written to a folder that no reader sees, with the list of what they
+    stand for; then one rename makes it the next generation. Whatever was appended since is not on the list and is read
+    after it. A run that is lost on the way leaves the store as it was. Old files stay until discard() is called. Files other
+    than batches must be on a file system that Arrow knows.
+
+    With a target the kept lines become its first batch, and the store stays as it is."""
+    from tracelake.sources import tail
+
+    if target is not None:
+        kept = _kept(lines(spark, path))
+        kept.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(f"{target.rstrip('/')}/batch={1:09d}")
+        return class_counts(lines(spark, path))
+    root, files = path.rstrip("/"), _all_files(spark, path)
+    if any(_plain(f) == _plain(root) for f in files):
+        raise ValueError("a file is compacted with the folder that it is in")
+    newest, covers = _covered(spark, files)
+    listed = _listed(spark, path)
+    loose = {f: skip for f, skip in listed if "/batch=" not in f and "/generation=" not in f}
+    upto = {}
+    if loose:
+        ends = tail.Files(root if ":/" in root else f"file://{root}", "").finished({}, {})
+        upto = {f: ends[_arrow(f)] for f in loose if _arrow(f) in ends}
+    store = _lines(spark, path, [x for x in listed if x[0] not in loose or x[0] in upto], upto)
+    number = 1 + (0 if newest is None else int(newest.rsplit("=", 1)[1]))
+    made = f"{root}/_generation-{uuid.uuid4().hex}"
+    _kept(store).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(made)
+    now = covers | {_plain(f): upto.get(f, files[f]) for f, _ in listed}
+    spark.createDataFrame([*now.items()], "file string, bytes bigint").coalesce(1).write.json(f"{made}/_covers")
+    counts = class_counts(store).collect()
+    (fs, at), (_, to) = _hadoop(spark, made), _hadoop(spark, f"{root}/generation={number:09d}")
+    if fs.exists(to) or not fs.rename(at, to):
+        raise OSError(f"{root} was compacted by another")
+    return spark.createDataFrame(counts, "class string, n bigint, seqs bigint, bytes bigint")
+
+
+def discard(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the files that the newest generation stands for as a whole, and older generations. Files that grow stay."""
+    files = _all_files(spark, path)
+    newest, covers = _covered(spark, files)
+    gone = [f for f in files if newest is not None and not f.startswith(f"{newest}/") and ("/generation=" in f or ("/batch=" in f and _plain(f) in covers))]
+    for f in gone:
+        fs, at = _hadoop(spark, f)
+        fs.delete(at, False)
+    return gone

@@ -8,11 +8,13 @@ Rows: file, offset (the byte at which the line begins), value (without line feed
 as replacement characters). Options: path (a folder with all below it, or a file) and suffix. Files and folders that begin with
 `.` or `_` are left out. A file shorter than what was read of it was replaced, and is read from its beginning; one that is gone is
 forgotten. An offset has an entry a file. A long stretch is read in parts of PART bytes, each with the lines that begin in it.
-The batch form reads all finished lines.
+The batch form reads all finished lines, or with options known and upto (JSON of files and bytes) those between, of the files
+that upto names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,11 +125,12 @@ class Files:
 
 
 class _Batch(DataSourceReader):
-    def __init__(self, files: Files):
-        self.files = files
+    def __init__(self, files: Files, known: dict[str, int], upto: dict[str, int] | None):
+        self.files, self.known, self.upto = files, known, upto
 
     def partitions(self) -> list[Stretch]:
-        return self.files.stretches({}, self.files.finished({}, {})) or [Stretch("", 0, 0, 0, 0)]
+        upto = self.files.finished(self.known, {}) if self.upto is None else self.upto
+        return self.files.stretches(self.known, upto) or [Stretch("", 0, 0, 0, 0)]
 
     def read(self, partition: Stretch) -> Iterator:
         return self.files.read(partition) if partition.file else iter(())
@@ -166,7 +169,8 @@ class GrowingLines(DataSource):
         return Files(self.options["path"], self.options.get("suffix", ""))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(self._files())
+        upto = self.options.get("upto")
+        return _Batch(self._files(), json.loads(self.options.get("known", "{}")), None if upto is None else json.loads(upto))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(self._files())
@@ -178,7 +182,8 @@ def growing(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return spark.readStream.format("growing_lines").option("suffix", suffix).load(path)
 
 
-def finished(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """All finished lines under path."""
+def finished(spark: SparkSession, path: str, suffix: str = "", known: dict[str, int] | None = None, upto: dict[str, int] | None = None) -> DataFrame:
+    """All finished lines under path, or those between known and upto."""
     spark.dataSource.register(GrowingLines)
-    return spark.read.format("growing_lines").option("suffix", suffix).load(path)
+    reader = spark.read.format("growing_lines").option("suffix", suffix).option("known", json.dumps(known or {}))
+    return (reader if upto is None else reader.option("upto", json.dumps(upto))).load(path)
