@@ -69,3 +69,23 @@ def test_many_terms(monkeypatch):
     text = b" ".join(words[i] for i in planted)
     end, term = auto.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert sorted(term.tolist()) == sorted(planted) and end.max() == len(text)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_ranks_over_ranges(spark, partitions):
+    """Groups that fill one range, many, or share one; nulls; few values that tie."""
+    r = random.Random(int(partitions))
+    rows = [(r.choice(["a", "a", "a", "a", "b", None]), r.choice([None, *range(50)]), i) for i in range(700)] + [("lone", 1, 1)]
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "g string, o long, tie long")
+        got = sorted((str(x["g"]), x["n"], str(x["o"]), x["tie"]) for x in privacy.ranks(df, "g", ["o", "tie"]).collect())
+        assert privacy.ranks(df.limit(0), "g", ["o", "tie"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    want = []
+    for g in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        want += [(str(g), i + 1, str(o), t) for i, (_, o, t) in enumerate(own)]
+    assert got == sorted(want)

@@ -115,24 +115,43 @@ def redacted(texts: DataFrame, terms: DataFrame | list[tuple[str, str]]) -> Data
 def numbered(found: DataFrame, vault: DataFrame | None = None) -> DataFrame:
     """token, original, kind of all originals in found (doc, spans): those of the vault as they are, new ones numbered on per
     kind, by document and, within one, from the last span to the first, as they would be replaced. An original has one token,
-    of the kind it was first seen with."""
-    from pyspark.sql import Window
+    of the kind it was first seen with.
 
+    Numbers come from prefix sums: the originals are dealt out by ranges of (kind, place), so that a kind lies in many tasks; each
+    task counts its own, and a kind's earlier tasks tell where it goes on. No task holds a kind."""
     each = found.select("doc", F.explode("spans").alias("s")).select(F.col("s.text").alias("original"), F.struct("doc", (-F.col("s.start")).alias("back")).alias("o"), F.col("s.kind").alias("kind"))
     first = each.groupBy("original").agg(F.min(F.struct("o", "kind")).alias("f")).select("original", "f.kind", "f.o")
+    new = first if vault is None else first.join(vault.select("original"), "original", "left_anti")
+    ranked = ranks(new, "kind", ["o", "original"])
+    if vault is not None:
+        high = counters(vault).select(F.col("kind").alias("k"), "high")
+        ranked = ranked.join(F.broadcast(high), F.col("kind") == F.col("k"), "left").withColumn("n", F.col("n") + F.coalesce("high", F.lit(0)))  # a row per kind
     prefix = F.coalesce(*[F.when(F.col("kind") == k, p) for k, (p, _) in KINDS.items()])
-    if vault is None:
-        high = first.select("kind").distinct().select("kind", F.lit(0).cast("bigint").alias("high"))
-        new = first
-    else:
-        high = counters(vault)
-        new = first.join(vault.select("original"), "original", "left_anti")
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("o"))
-    made = new.withColumn("n", n).join(F.broadcast(high), "kind", "left")  # a row per kind
-    made = made.select(F.concat(prefix, F.lit("_"), (F.col("n") + F.coalesce("high", F.lit(0))).cast("string")).alias("token"), "original", "kind")
+    made = ranked.select(F.concat(prefix, F.lit("_"), F.col("n").cast("string")).alias("token"), "original", "kind")
     return made if vault is None else vault.select("token", "original", "kind").unionByName(made)
 
 
+def ranks(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with n: 1, 2, ... within each value of group, in the order of the columns in order. The rows are written in ranges,
+    then numbered by the counts of the ranges before; only those counts (a row a range and group) are ever in one task."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    from tracelake.sources.store import shared_folder
+
+    spark, at = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    keys = [F.asc(group), *[F.asc(c) for c in order]]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt.withColumn("__at", F.monotonically_increasing_id()).write.parquet(at)  # written, as a second run could deal it out anew
+    rows = spark.read.parquet(at).withColumn("__task", F.shiftright("__at", 33))
+    counts = rows.groupBy(group, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__task").alias("__t"), (before - F.col("__first") + 1).alias("__add"))
+    out = rows.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__task") == F.col("__t")))
+    return out.withColumn("n", F.col("__at") + F.col("__add")).drop("__at", "__task", "__g", "__t", "__add")
+
+
 def counters(vault: DataFrame) -> DataFrame:
     """kind, entries, high: of a vault's tokens Prefix_N the greatest N of each kind, from which numbering goes on."""
     n = F.regexp_extract("token", "_([0-9]+)$", 1).try_cast("bigint")

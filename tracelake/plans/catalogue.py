@@ -714,6 +714,20 @@ def term_occurrences(spark, d):
     return each.groupBy(F.col("t.text").alias("term"), "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
 
 
+@query("""with each as (select l_orderkey as doc, l_linenumber as place, case when l_suppkey % 2 = 0 then 'person_name' else 'org' end as kind, 's' || l_suppkey || '/' || l_returnflag as original from lineitem),
+f as (select original, arg_min(kind, (doc, -place, kind)) as kind, min((doc, -place)) as o from each group by original)
+select case kind when 'org' then 'Org_' else 'Person_' end || row_number() over (partition by kind order by o, original) as token, original, kind from f where original not in (select 's' || s_suppkey || '/R' from supplier where s_suppkey % 3 = 0)
+union all select case when s_suppkey % 2 = 0 then 'Person_' else 'Org_' end || -s_suppkey, 's' || s_suppkey || '/R', case when s_suppkey % 2 = 0 then 'person_name' else 'org' end from supplier where s_suppkey % 3 = 0""")
+def pseudonym_numbers(spark, d):
+    """Suppliers named in order lines as spans, numbered where they first occur; a third of them are in the vault already."""
+    kind = lambda k: F.when(k % 2 == 0, "person_name").otherwise("org")
+    each = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.struct(F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), kind(F.col("l_suppkey")).alias("kind"), F.concat(F.lit("s"), "l_suppkey", F.lit("/"), "l_returnflag").alias("text")).alias("s"))
+    found = each.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 3 = 0")
+    vault = s.select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Person_").otherwise("Org_"), (-F.col("s_suppkey")).cast("string")).alias("token"), F.concat(F.lit("s"), "s_suppkey", F.lit("/R")).alias("original"), kind(F.col("s_suppkey")).alias("kind"))
+    return privacy.numbered(found, vault)
+
+
 @query()
 def pseudonyms(spark, d):
     """Texts with personal data, their pseudonymised form and whether it reads back as it was."""
