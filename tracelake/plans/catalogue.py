@@ -676,11 +676,37 @@ def repeated_reads(spark, d):
     return context.repeated(*_messages(spark, d))
 
 
-@query(_TALK + """, a as (select *, sum(tokens) over (partition by conv) as al, role = 'tool' and tokens > 8 and turn <= max(turn) over (partition by conv) - 3 as can from m), f as (select *, coalesce(sum(case when can then tokens - 8 else 0 end) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) as freed from a),
-n as (select *, case when can and al - freed > 450 then 8 else tokens end as now, can and al - freed > 450 as short from f), g as (select *, sum(now) over (partition by conv) as rest, coalesce(sum(case when role <> 'system' then now else 0 end) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) as gone from n)
-select conv, idx, case when role <> 'system' and rest - gone > 450 then 'evict' when short then 'shorten' else 'keep' end as action, cast(case when role <> 'system' and rest - gone > 450 then 0 else now end as bigint) as tokens from g""")
+def _est(x: str) -> str:
+    return rf"(cast(coalesce(list_sum(list_transform(regexp_extract_all({x}, '[^\s!-/:-@\[-`{{-~]+'), lambda w: ceil(length(w) / 4))), 0) as bigint) + cast(len(regexp_extract_all({x}, '[!-/:-@\[-`{{-~]')) as bigint))"
+
+
+def _noted(x: str, what: str) -> str:
+    return f"('[compacted: ' || strlen({x}) || ' bytes / ' || {_est(x)} || ' tokens — {what} compacted for budget]')"
+
+
+_WRAPPED = "'<tool_result>' || text || '</tool_result>'"
+
+
+@query(f"""with c as (select conv_id as conv, turn as idx, turn // 2 as turn, role as said, text, conv_id % 3 = 0 as other from conversations),
+m as (select *, case when said = 'assistant' and idx % 4 = 1 then 'tool' else said end as role, case when said = 'user' and idx % 4 = 2 then {_WRAPPED} else text end as shown from c),
+t as (select *, {_est("shown")} as t, case when said = 'user' and idx % 4 = 2 then {_est("'<tool_result>' || " + _noted("text", "original content") + " || '</tool_result>'")} - {_est("shown")} end as d1, case when role = 'tool' then {_est(_noted("text", "tool result"))} - {_est("text")} end as d2, case when role = 'tool' then case when other then 0 else 1 end end as rank from m),
+a as (select *, sum(t) over (partition by conv) + 3 as bef, max(turn) over (partition by conv) as newest from t),
+b as (select *, bef + coalesce(sum(d1) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) as run from a),
+d as (select *, d1 is not null and min(run) over (partition by conv order by idx) > 225 as did1 from b),
+e as (select *, bef + coalesce(sum(case when did1 then d1 end) over (partition by conv), 0) as left1, case when rank is not null and newest - turn >= 3 then greatest(-d2, 0) end as gain from d),
+f as (select *, gain is not null and left1 - coalesce(sum(gain) over (partition by conv order by case when gain is not null then rank end nulls first, turn, idx rows between unbounded preceding and 1 preceding), 0) > 225 as did2 from e),
+g as (select *, left1 - coalesce(sum(case when did2 then gain end) over (partition by conv), 0) as left2, t + case when did1 then d1 when did2 then d2 else 0 end as now from f),
+h as (select *, role <> 'system' and left2 - coalesce(sum(case when role <> 'system' then now end) over (partition by conv order by idx rows between unbounded preceding and 1 preceding), 0) > 225 as gone from g)
+select conv, idx, case when gone then 'evict' when did1 or did2 then 'shorten' else 'keep' end as action, cast(case when gone then 0 else now end as bigint) as tokens, cast(bef as bigint) as before from h""")
 def context_compaction(spark, d):
-    return context.compacted(_messages(spark, d)[0], 600)
+    c = spark.read.parquet(f"{d}/conversations.parquet").dropDuplicates(["conv_id", "turn"])
+    tool, wrapped = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1), (F.col("role") == "user") & (F.col("turn") % 4 == 2)
+    result = F.array(F.struct(F.when(F.col("conv_id") % 3 == 0, "bash").otherwise("read_file").alias("tool"), F.col("text").alias("content")))
+    messages = c.select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("idx"), F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.floor(F.col("turn") / 2).alias("turn"),
+        F.when(tool, "").when(wrapped, F.concat(F.lit("<tool_result>"), "text", F.lit("</tool_result>"))).otherwise(F.col("text")).alias("content"), F.lit(None).cast("array<string>").alias("calls"), F.when(tool, result).alias("results"),
+    )
+    return context.compacted(messages, 300, "be brief").select("conv", "idx", "action", "tokens", "before")
 
 
 @query("select p_partkey, 'phase-' || lpad(cast(p_size as varchar), 2, '0') || case when p_size % 3 = 0 then '-b' else '' end as id, case when p_size % 2 = 0 then 'M' || p_size || '-x' end as milestone from part")
