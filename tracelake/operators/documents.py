@@ -135,11 +135,12 @@ def symbols(docs: DataFrame) -> DataFrame:
 
         try:
             tree = ast.parse(text or "")
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nested too deeply
             return []
-        out = []
-
-        def walk(node, inside: str) -> None:
+        out, todo = [], [(tree, "module")]
+        kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.Lambda: "function"}
+        while todo:  # a stack of its own: trees may be deeper than calls may be
+            node, inside = todo.pop()
             for child in ast.iter_child_nodes(node):
                 line = getattr(child, "lineno", 0)
                 if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -151,9 +152,7 @@ def symbols(docs: DataFrame) -> DataFrame:
                     out.append((line, child.id, "variable" if own else "reference", own))
                 elif isinstance(child, ast.Attribute):
                     out.append((line, child.attr, "reference", False))
-                walk(child, {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.Lambda: "function"}.get(type(child), inside))
-
-        walk(tree, "module")
+                todo.append((child, kinds.get(type(child), inside)))
         return [{"name": n, "kind": k, "line": at, "definition": d} for at, n, k, d in sorted(out)]
 
     return _by_text(docs, found, "text", out="symbols", kind=SYMBOLS)

@@ -17,22 +17,48 @@ ALIASES = [("cmd", "command"), ("file_path", "path"), ("filename", "path"), ("qu
 REPAIRS, DISTANCE = 4, 2
 _STRING = r'"(?:[^"\\]|\\.)*"?'
 _TOKEN = re.compile(rf"{_STRING}|[{{}}]", re.S)
+_BRACE = re.compile(r"[ \t\n\f\r]*(?=\{)")
+
+
+class Braces:
+    """Where the braces of a text end. Braces inside strings do not count, and where strings lie depends on where reading began;
+    what one reading has found is used by all later ones that come to the same brace, so all braces cost one or two passes."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, {}
+
+    def end(self, start: int) -> int | None:
+        """The end of the braces that open at start, None if they stay open."""
+        if start in self.ends:
+            return self.ends[start]
+        opened, at = [start], start + 1
+        while opened:
+            m = _TOKEN.search(self.text, at)
+            if m is None:
+                break
+            at = m.end()
+            if m[0] == "}":
+                self.ends[opened.pop()] = at
+            elif m[0] == "{":
+                if m.start() not in self.ends:
+                    opened.append(m.start())
+                elif self.ends[m.start()] is None:
+                    break
+                else:
+                    at = self.ends[m.start()]
+        for i in opened:
+            self.ends[i] = None
+        return self.ends[start]
 
 
 def balanced(text: str, start: int) -> int | None:
-    """The end of the braces that open at start; braces inside strings do not count."""
-    depth = 0
-    for m in _TOKEN.finditer(text, start):
-        depth += {"{": 1, "}": -1}.get(m[0], 0)
-        if m[0] == "}" and not depth:
-            return m.end()
-    return None
+    return Braces(text).end(start)
 
 
 def _loads(body: str):
     try:
         return json.loads(body)
-    except ValueError:
+    except (ValueError, RecursionError):  # what is nested too deeply to be read is no call
         return None
 
 
@@ -46,17 +72,16 @@ def _named(body: str, kind: str) -> dict:
 
 def _tagged(text: str, opening: str, closing: str, kind: str) -> list[dict]:
     """Bodies in braces after an opening mark; the closing mark is a hint only."""
-    out, at = [], text.find(opening)
+    out, at, braces, closed = [], text.find(opening), Braces(text), re.compile(r"\s*" + re.escape(closing))
     while at >= 0:
         begin = at + len(opening)
-        m = re.compile(r"[ \t\n\f\r]*(?=\{)").match(text, begin)
-        end = balanced(text, m.end()) if m else None
+        m = _BRACE.match(text, begin)
+        end = braces.end(m.end()) if m else None
         if end is not None:
             out.append(_named(text[m.end() : end], kind))
             begin = end
-            after = text[end:].lstrip()
-            if after.startswith(closing):
-                begin = len(text) - len(after) + len(closing)
+            if after := closed.match(text, end):
+                begin = after.end()
         at = text.find(opening, begin)
     return out
 
@@ -71,12 +96,12 @@ def fenced(text: str) -> list[dict]:
 
 def xml(text: str) -> list[dict]:
     """<function=name>{arguments}."""
-    out, at = [], 0
+    out, at, braces, last = [], 0, Braces(text), text.rfind(">") + 1
     head = re.compile(r"<function=([^>]*)>")
-    while m := head.search(text, at):
+    while m := head.search(text, at, last):
         at, name = m.end(), m[1].strip()
-        brace = re.compile(r"[ \t\n\f\r]*(?=\{)").match(text, at)
-        end = balanced(text, brace.end()) if brace and re.fullmatch(r"\w+", name) else None
+        brace = _BRACE.match(text, at)
+        end = braces.end(brace.end()) if brace and re.fullmatch(r"\w+", name) else None
         if end is not None:
             body = text[brace.end() : end]
             v = _loads(body)
@@ -87,9 +112,9 @@ def xml(text: str) -> list[dict]:
 
 def loose_json(text: str) -> list[dict]:
     """Any braces whose JSON has a name."""
-    out, at = [], text.find("{")
+    out, at, braces = [], text.find("{"), Braces(text)
     while at >= 0:
-        end = balanced(text, at)
+        end = braces.end(at)
         if end is not None and (c := _named(text[at:end], "loose_json"))["name"] is not None:
             out.append(c)
         at = text.find("{", at + 1 if end is None else end)
@@ -119,12 +144,36 @@ def _plain_yaml(body: str) -> dict:
     return root
 
 
+def _name_blocks(text: str) -> list[str]:
+    """From `name:` to the next line with `arguments:` and what follows it, where both stand in the same column. A blank line
+    between them ends the search."""
+    lines, starts = text.split("\n"), [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    blank = [not line.strip() for line in lines]
+    following, found = [0] * (len(lines) + 1), None  # the next line with arguments before a blank one
+    for i in range(len(lines) - 1, -1, -1):
+        found = i if "arguments:" in lines[i] else None if blank[i] else found
+        following[i] = -1 if found is None else found
+    following[len(lines)] = -1
+    out, i = [], 0
+    while i < len(lines):
+        pad, j = lines[i].find("name:"), following[i + 1]
+        if pad < 0 or j < 0:
+            i += 1
+            continue
+        end = j + 1
+        while end < len(lines) and lines[end] and not (blank[end] and end + 1 < len(lines)):
+            end += 1
+        if lines[j].index("arguments:") == pad:
+            out.append(text[starts[i] + pad : starts[end] - 1])
+        i = end
+    return out
+
+
 def yaml(text: str) -> list[dict]:
     """Fenced YAML blocks, else `name:` lines followed, before a blank line, by `arguments:` in the same column."""
-    bodies = [m[1] for m in re.finditer(r"```yaml(.*?)(?:```|\Z)", text, re.S)]
-    if not bodies:
-        block = re.compile(r"^(?P<pad>[^\n]*?)(?P<body>name:[^\n]*\n(?:(?!\s*\n)[^\n]*\n)*?(?P<again>[^\n]*?)arguments:[^\n]*(?:\n(?!\s*\n)[^\n]+)*)", re.M)
-        bodies = [m["body"] for m in block.finditer(text) if len(m["again"]) == len(m["pad"])]
+    bodies = [m[1] for m in re.finditer(r"```yaml(.*?)(?:```|\Z)", text, re.S)] or _name_blocks(text)
     out = []
     for b in bodies:
         try:
@@ -138,7 +187,7 @@ def yaml(text: str) -> list[dict]:
 def calls(text: str) -> list[dict]:
     """name(key=value, ...) in plain text."""
     out = []
-    for m in re.finditer(r"(\w+)\s*\(([^)]*)\)", text):
+    for m in re.compile(r"(?<!\w)(\w++)\s*+\(([^)]*+)\)").finditer(text, 0, text.rfind(")") + 1):
         args = {}
         for part in m[2].split(","):
             key, eq, value = part.partition("=")
@@ -155,10 +204,10 @@ EXTRACTORS = {"hermes": hermes, "xml": xml, "fenced": fenced, "yaml": yaml, "loo
 def formats(text: str) -> list[str]:
     """Those whose marks the text holds, in the order in which they are tried; plain text only if no other."""
     yes = {
-        "hermes": "<tool_call>" in text, "xml": "<function=" in text, "fenced": "```json" in text, "yaml": "```yaml" in text or re.search(r"(^|\n)name:\s+\S+\s*\n\s*arguments:", text),
+        "hermes": "<tool_call>" in text, "xml": "<function=" in text, "fenced": "```json" in text, "yaml": "```yaml" in text or any("\n" in m[2] for m in re.finditer(r"(^|\n)name:\s++\S++(\s++)arguments:", text)),
         "loose_json": 0 < text.count("{") == text.count("}"),
     }
-    return [k for k, v in yes.items() if v] or (["text"] if re.search(r"\w+\(\w+\s*=", text) else [])
+    return [k for k, v in yes.items() if v] or (["text"] if re.search(r"(?<!\w)\w++\(\w++\s*+=", text) else [])
 
 
 def distance(a: str, b: str) -> int:
@@ -172,7 +221,7 @@ def distance(a: str, b: str) -> int:
 
 def closest(name: str, registry: dict) -> str | None:
     """The tool whose name is nearest, at most DISTANCE away; of equal ones the first by name."""
-    near = min(((distance(name, t), t) for t in registry), default=(DISTANCE + 1, ""))
+    near = min(((distance(name, t), t) for t in registry if abs(len(name) - len(t)) <= DISTANCE), default=(DISTANCE + 1, ""))
     return near[1] if near[0] <= DISTANCE else None
 
 
@@ -205,7 +254,10 @@ def score(c: dict, registry: dict) -> int:
 def coerced(kind: str | None, s: str):
     """A text as a value of the type, or None."""
     if kind == "integer":
-        return int(s) if re.fullmatch(r"[+-]?[0-9]+", s) else None
+        try:
+            return int(s) if re.fullmatch(r"[+-]?[0-9]+", s) else None
+        except ValueError:  # more digits than a number may have
+            return None
     if kind == "number":
         try:
             v = float(s)
