@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ensure_shared, nothing_broadcast, table, unused, with_text_columns
+from tracelake.llm.common import ensure_shared, give_back, nothing_broadcast, table, unused, with_text_columns
 
 SHINGLE, RADIUS, HOT = 3, 3, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -274,6 +274,9 @@ def _posted(shingle: int, similarity: float, hot: int, often, seen_most: int = 1
                 many, mark = np.repeat(size > hot, size), begin[size > hot]
                 s, node, n = np.r_[s[~many], node[many], s[mark]], np.r_[node[~many], s[many], node[mark]], np.r_[n[~many], -n[many], np.zeros(len(mark), np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n.astype(np.int32))], names=["s", "node", "n"])
+            del b, texts, firsts, s, node, n, o
+        seen.clear()
+        give_back()
 
     return run
 
@@ -433,6 +436,8 @@ def tiled(members: DataFrame, texts, similarity: float, shingle: int, *, most: i
                 sides.append(cols[3][r])
                 sets.append(shingle_hashes(b.column(5)[r].as_py(), shingle))
         yield done()
+        at, ids, sides, sets = None, [], [], []
+        give_back()
 
     return placed.mapInArrow(run, "a long, b long")
 
