@@ -88,34 +88,172 @@ def found_files(files: DataFrame, glob: str, *, most: int = 100, depth: int | No
     return out.select("path").orderBy("path").limit(most)
 
 
+def _places(line: Column, p: str) -> Column:
+    """Start bytes of the matches: what lies before each, split off."""
+    hits, rest = F.regexp_extract_all(line, F.lit(f"({p})"), F.lit(1)), F.split(line, p)
+    step = lambda a, x: F.struct((a["at"] + F.octet_length(x["r"]) + F.octet_length(x["h"])).cast("bigint").alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.octet_length(x["r"]) + 1).cast("bigint").alias("col"), x["h"].alias("hit")))).alias("out"))
+    pairs = F.zip_with(F.slice(rest, 1, F.size(hits)), hits, lambda r, h: F.struct(r.alias("r"), h.alias("h")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<col:bigint,hit:string>>").alias("out"))
+    return F.aggregate(pairs, zero, step)["out"]
+
+
 def searched(docs: DataFrame, pattern: str, *, context: int = 0, most: int | None = None, ignore_case: bool = False) -> DataFrame:
     """key, line, col (1-based, col in bytes), hit, before and after (up to five lines) of every match, in order of key, line and
-    col; the first `most` of them."""
+    col; the first `most` of them. Lines without a match, and their neighbours, never leave the array of a text's lines."""
     k = min(context, 5)
     p = f"(?U{'i' if ignore_case else ''}){pattern}"
 
-    def places(line: Column) -> Column:
-        """Start bytes of the matches: what lies before each, split off."""
-        hits, rest = F.regexp_extract_all(line, F.lit(f"({p})"), F.lit(1)), F.split(line, p)
-        step = lambda a, x: F.struct((a["at"] + F.octet_length(x["r"]) + F.octet_length(x["h"])).cast("bigint").alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.octet_length(x["r"]) + 1).cast("bigint").alias("col"), x["h"].alias("hit")))).alias("out"))
-        pairs = F.zip_with(F.slice(rest, 1, F.size(hits)), hits, lambda r, h: F.struct(r.alias("r"), h.alias("h")))
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<col:bigint,hit:string>>").alias("out"))
-        return F.aggregate(pairs, zero, step)["out"]
-
-    lines = docs.select("key", F.split("text", "\n").alias("lines"))
-    each = lines.select("key", "lines", F.posexplode("lines").alias("i", "line")).where(F.col("line").rlike(p))
-    around = [F.slice("lines", F.greatest(F.col("i") + 1 - k, F.lit(1)), F.least(F.col("i"), F.lit(k))).alias("before"), F.slice("lines", F.col("i") + 2, k).alias("after")]
-    out = each.select("key", (F.col("i") + 1).cast("bigint").alias("line"), *around, F.explode(bound(F.col("line"), places)).alias("m")).select("key", "line", "m.col", "m.hit", "before", "after")
+    def hits(lines: Column) -> Column:
+        numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(p))
+        around = lambda i: (F.slice(lines, F.greatest(i + 1 - k, F.lit(1)), F.least(i, F.lit(k))).alias("before"), F.slice(lines, i + 2, k).alias("after"))
+        return F.transform(numbered, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), *around(x["i"])))
+
+    each = docs.select("key", F.explode(bound(F.split("text", "\n"), hits)).alias("x")).select("key", "x.*")
+    out = each.select("key", (F.col("i") + 1).cast("bigint").alias("line"), "before", "after", F.explode(bound(F.col("line"), lambda x: _places(x, p))).alias("m")).select("key", "line", "m.col", "m.hit", "before", "after")
     return out if most is None else out.orderBy("key", "line", "col").limit(most)
 
 
+def truncated(found: DataFrame, most: int) -> bool:
+    """Whether a search or a list of files that was cut at `most` reached it."""
+    return found.limit(most).count() >= most
+
+
+def needed_trigrams(pattern: str, ignore_case: bool = False) -> set[int]:
+    """Three ASCII characters each, lower-cased, that every text with a match holds. None are known of a pattern with
+    alternatives at its top, or that is read in another way elsewhere."""
+    import re._constants as c
+    import re._parser as parser
+
+    if re.search(r"\\[0-9QEhHzZGRXkpPxuN]", pattern):  # not the same in both dialects
+        return set()
+    try:
+        tree = parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return set()
+    if tree.state.flags & re.VERBOSE:
+        return set()
+    ignore_case = ignore_case or bool(tree.state.flags & re.IGNORECASE)
+    texts: list[str] = []
+
+    def walk(items) -> None:
+        run = ""
+        for kind, value in items:
+            if kind is c.LITERAL:
+                run += chr(value)
+                continue
+            texts.append(run)
+            run = ""
+            if kind is c.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            elif kind in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and value[0] > 0:
+                walk(value[2])
+            elif kind is c.ATOMIC_GROUP:
+                walk(value)
+        texts.append(run)
+
+    walk(tree)
+    # letters that are a case of one outside ASCII
+    odd = set("iksIKS") if ignore_case else set()
+    return {_trigram(t[i : i + 3].lower().encode()) for t in texts for i in range(len(t) - 2) if t[i : i + 3].isascii() and not odd & set(t[i : i + 3])}
+
+
+def _trigram(three: bytes) -> int:
+    return three[0] << 16 | three[1] << 8 | three[2]
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """trigram, key of every three ASCII characters, lower-cased, that a text (key, text) holds. To be written in ranges of
+    trigram, so that a search reads few of them: see write_trigrams()."""
+
+    def of(text: str | None) -> list[int]:
+        import numpy as np
+
+        b = np.frombuffer((text or "").encode().lower(), np.uint8).astype(np.int32)
+        if len(b) < 3:
+            return []
+        ascii_ = b < 128
+        return np.unique((b[:-2] << 16 | b[1:-1] << 8 | b[2:])[ascii_[:-2] & ascii_[1:-1] & ascii_[2:]]).tolist()
+
+    from tracelake.operators.privacy import _by_text
+
+    return _by_text(docs.select("key", "text"), of, "text", out="trigrams", kind="array<int>").select(F.explode("trigrams").alias("trigram"), "key")
+
+
+def write_trigrams(docs: DataFrame, path: str) -> None:
+    """A trigram that most texts hold is spread over several ranges by key."""
+    trigrams(docs).repartitionByRange("trigram", "key").sortWithinPartitions("trigram", "key").write.parquet(path)
+
+
+def candidates(index: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame | None:
+    """key of the texts that hold all trigrams that a match needs; None if none are known, and all texts must be read. index:
+    trigram, key, each pair once."""
+    needed = sorted(needed_trigrams(pattern, ignore_case))
+    if not needed:
+        return None
+    return index.where(F.col("trigram").isin(needed)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(needed)).select("key")
+
+
+def searched_by_index(docs: DataFrame, index: DataFrame, pattern: str, *, context: int = 0, most: int | None = None, ignore_case: bool = False) -> DataFrame:
+    """As searched(), of the texts alone that the index does not rule out. Each key must be one text."""
+    some = candidates(index, pattern, ignore_case)
+    return searched(docs if some is None else docs.join(some, "key", "left_semi"), pattern, context=context, most=most, ignore_case=ignore_case)
+
+
+def search_repository(spark, root: str, index: DataFrame, pattern: str, *, context: int = 0, ignore_case: bool = False, most_files: int = 100_000) -> DataFrame:
+    """As searched(), over the files (key: path below root) of an index. Files that the index rules out are not opened, as long as
+    the others are `most_files` at most (else all are)."""
+    some = candidates(index, pattern, ignore_case)
+    names = None if some is None else [r["key"] for r in some.limit(most_files + 1).collect()]
+    if names is None or len(names) > most_files:
+        texts = repository_texts(spark, root).select(F.col("path").alias("key"), "text")
+        return searched(texts if some is None else texts.join(some, "key", "left_semi"), pattern, context=context, ignore_case=ignore_case)
+    if not names:
+        return searched(spark.createDataFrame([], "key string, text string"), pattern, context=context, ignore_case=ignore_case)
+    base = root.rstrip("/")
+    f = spark.read.format("binaryFile").load([f"{base}/{n}" for n in names])
+    path = F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/+', '/'), {len(re.sub('^[a-z0-9]+:/+', '/', base)) + 2})")
+    return searched(f.select(path.alias("key"), F.col("content").cast("string").alias("text")), pattern, context=context, ignore_case=ignore_case)
+
+
+def _contents(files: DataFrame, root: str) -> DataFrame:
+    """files (path below root) with text; null if it is not UTF-8. Spark's file sources read no hidden files."""
+    source = files.select("path")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with system.open_input_stream(f"{base}/{name}") as f:
+                    data = f.read()
+                try:
+                    text = data.decode()
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text], pa.string())], names=["path", "text"])
+
+    return source.mapInArrow(run, "path string, text string")
+
+
 def repository_texts(spark, root: str, globs: tuple[str, ...] = (), most: int = 1 << 20) -> DataFrame:
-    """path, text of the files under root of `most` bytes at most that are UTF-8, without hidden ones; with globs only those that
-    match one. Ignore lists are the caller's to apply: they are names, which a glob or an anti-join excludes."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
-    base = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/"
-    path = F.replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.lit(base), F.lit(""))
-    out = f.select(path.alias("path"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text")).where("text is not null").where(~F.col("path").rlike(r"(^|/)\.") & ~F.contains("text", F.lit("\x00")))
+    """path, text of the files under root of `most` bytes at most that are UTF-8, without hidden ones and without what ignore
+    files leave out (`.gitignore` only where root is a repository); with globs only those that match one. Names are listed by
+    the driver, as Spark's sources do; only files that stay are opened, by tasks."""
+    from pyarrow import fs
+
+    from tracelake.operators import ignore
+
+    root = (root if ":/" in root else f"file://{root}").rstrip("/")
+    system, base = fs.FileSystem.from_uri(root)
+    found = system.get_file_info(fs.FileSelector(base, recursive=True))
+    own = [(f.path[len(base) :].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File]
+    names = ignore.NAMES if system.get_file_info(f"{base}/.git").type != fs.FileType.NotFound else ignore.NAMES[1:]
+    files = spark.createDataFrame([f for f in own if "/.git/" not in f"/{f[0]}"], "path string, length bigint")
+    rules = ignore.rules(_contents(files.where(F.element_at(F.split("path", "/"), -1).isin(*names)), root))
+    kept = ignore.kept(files.where(F.col("length") <= most), rules)
+    out = _contents(kept.repartition("path"), root).where("text is not null").where(~F.contains("text", F.lit("\x00")))
     for i, g in enumerate(globs):
         match = F.col("path").rlike(glob_pattern(g)) if "/" in g else F.element_at(F.split("path", "/"), -1).rlike(glob_pattern(g))
         keep = match if i == 0 else keep | match

@@ -457,6 +457,16 @@ def regex_search(spark, d):
     return found.select("key", "line", "col", "hit", F.size("before").cast("long").alias("n_before"), F.size("after").cast("long").alias("n_after"))
 
 
+@query("""with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as l, x from (select doc_id, string_split(text, chr(10)) as x from documents)), h as (select doc_id, i, l, x, regexp_extract_all(l, 'Licen[cs]e[d]?') as hits, string_split_regex(l, 'Licen[cs]e[d]?') as rest from l where regexp_matches(l, 'Licen[cs]e[d]?'))
+select doc_id as key, i as line, cast(strlen(array_to_string(list_transform(range(1, k + 1), lambda j: rest[j] || case when j < k then hits[j] else '' end), '')) + 1 as bigint) as col, hits[k] as hit, len(x[greatest(i - 2, 1):i - 1]) as n_before, len(x[i + 1:i + 2]) as n_after from (select *, unnest(range(1, len(hits) + 1)) as k from h)""")
+def indexed_search(spark, d):
+    """The same through an index of trigrams that was written before."""
+    docs, at = _docs(spark, d).withColumnRenamed("doc_id", "key"), _folder(spark, "trigrams")
+    documents.write_trigrams(docs, at)
+    found = documents.searched_by_index(docs, spark.read.parquet(at), "Licen[cs]e[d]?", context=2)
+    return found.select("key", "line", "col", "hit", F.size("before").cast("long").alias("n_before"), F.size("after").cast("long").alias("n_after"))
+
+
 _CALLS = "select doc_id, text || case doc_id % 9 when 0 then '<tool_call>' || chr(123) || chr(125) when 1 then '<function=x>' || chr(123) when 2 then '```json' when 3 then '```yaml' when 4 then chr(10) || 'name: x' || chr(10) || 'arguments:' when 5 then chr(123) || chr(125) when 6 then 'call(a=1)' when 7 then chr(125) || chr(123) else '' end as text from documents"
 
 
