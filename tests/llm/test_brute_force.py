@@ -111,14 +111,16 @@ def brute_mins(spark, text):
 
 def test_winnow_query(spark, tmp_path):
     """Edits, order of documents, likeness and places; short texts have the hash of the whole text."""
-    texts = {9: "a b c d e f g a b c d e f g 漢字 x", 4: "one", 7: None, 2: "a b c d e f g h i j k l m n o p", 5: ""}
+    texts = {9: "a b c d e f g a b c d e f g 漢字 x", 6: "averyverylongword http://x.y/zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz 漢bcdfghjklmnpqrst", 4: "one", 7: None, 2: "a b c d e f g h i j k l m n o p", 5: ""}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in winnow.op4_winnow(spark, str(tmp_path)).collect()}
     order = sorted(texts, reverse=True)
     from pyspark.sql import functions as F
 
+    from test_operators import plain_tokens
+
     def members(t):
-        tokens = re.findall(winnow.TOKEN.replace(r"\x{2E80}-\x{D7FF}\x{20000}-\x{3FFFF}", "⺀-퟿\U00020000-\U0003ffff"), t)
+        tokens = plain_tokens(t)
         if len(tokens) < winnow.K:
             return [(spark.range(1).select(F.hash(F.lit(t)).bitwiseAND(winnow.PRIME) % winnow.PRIME).first()[0], 0)]
         return brute_mins(spark, t)

@@ -225,10 +225,32 @@ def test_index_equals_brute_force(spark):
     assert decontaminate.search(d.limit(0), bench).count() == 0 and decontaminate.search(d, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
-def brute_winnow(text, k, w, spark):
-    import re
+def plain_tokens(text):
+    """Tokens one character at a time: East Asian ones alone; of a run the last 12 or fewer as they are, else up to the first of 24
+    that may end a token, else one character."""
+    east = lambda c: 0x2E80 <= ord(c) <= 0xD7FF or 0x20000 <= ord(c) <= 0x3FFFF
+    blank = lambda c: c in " \t\n\x0b\f\r"
+    inner = lambda c: c in "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ56789+%~"
+    out, i = [], 0
+    while i < len(text):
+        if blank(text[i]):
+            i += 1
+            continue
+        end = i
+        while end < len(text) and not blank(text[end]) and not east(text[end]):
+            end += 1
+        if end == i:
+            end = i + 1
+        elif end - i > 12:
+            stops = [j for j in range(i, min(end, i + 24)) if not inner(text[j])]
+            end = stops[0] + 1 if stops else i + 1
+        out.append(text[i:end])
+        i = end
+    return out
+
 
-    tokens = re.findall(r"[⺀-퟿\U00020000-\U0003ffff]|[^ \t\n\x0b\f\r⺀-퟿\U00020000-\U0003ffff]{1,12}", text)
+def brute_winnow(text, k, w, spark):
+    tokens = plain_tokens(text)
     from pyspark.sql import functions as F
 
     rows = [t for t in tokens] or [text]
@@ -249,6 +271,19 @@ def brute_winnow(text, k, w, spark):
     return out
 
 
+def test_shifted_text_keeps_its_fingerprint(spark):
+    """One character more in front, with and without blanks: Thai letters, an address, digits, consonants, Greek, East Asian."""
+    r = random.Random(7)
+    letters = {"thai": "".join(map(chr, range(0x0E01, 0x0E2F))), "url": "abcdefghijklmnopqrstuvwxyz0123456789/?&=%-._", "digits": "0123456789", "consonants": "bcdfghjkl", "greek": "αβγδεζηθικλμ", "east": "漢字仮名交文章例", "prose": "etaoin shrdlu "}
+    texts = {k: "".join(r.choice(v) for _ in range(3000)) for k, v in letters.items()}
+    rows = [(k, t, c + t) for k, t in texts.items() for c in (v for v in ("x", letters[k][0], letters[k][0] * 7))]
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    for c in "ab":
+        df = winnow.minima(df, c, f"{c}_mins")
+    got = df.select("k", winnow.likeness(winnow.hashes(df["a_mins"]), winnow.hashes(df["b_mins"])).alias("same")).collect()
+    assert min((x["same"], x["k"]) for x in got)[0] >= 0.9, sorted((x["same"], x["k"]) for x in got)
+
+
 def test_winnowing_equals_brute_force(spark, edge):
     text = "a b c a b c a b c d e 漢字 f averyveryverylongword a b c"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -1,6 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is a sequence of tokens: runs of at most 12 characters without ASCII white space, East Asian characters one by one.
+A text is a sequence of tokens: runs of at most 12 characters without ASCII white space, East Asian characters one by one. A
+longer run is cut by its content: a token ends with a vowel, a mark, one of some digits or a character outside ASCII; where none is
+near, characters stand alone; the last 12 or fewer characters are one token. Where a token ends depends only on what follows
+its beginning, so text that is shifted, with or without blanks, is soon cut at the same places again.
 Every k-gram of tokens has the rolling polynomial hash of its tokens' hashes modulo 2^31 - 1 (k terms; with k of 3 no longer than
 a rolled update); the least hash of every window of w
 is chosen. Hash and position share one long, (hash, -position), so that the least long is the least hash and, among equal
@@ -27,7 +30,9 @@ K, W, PRIME, BASE, BUCKETS, ROWS = 3, 3, (1 << 31) - 1, 1_000_003, 16_384, 512
 
 
 _EAST = r"\x{2E80}-\x{D7FF}\x{20000}-\x{3FFFF}"
-TOKEN = rf"[{_EAST}]|[^\s{_EAST}]{{1,12}}"
+#: Characters that no cut follows: in longer runs a token ends with any other.
+_INNER = "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ5-9+%~"
+TOKEN = rf"[{_EAST}]|[^\s{_EAST}]{{1,12}}(?![^\s{_EAST}])|[{_INNER}]{{0,23}}[^\s{_INNER}{_EAST}]|[^\s{_EAST}]"
 
 
 def minima(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
