@@ -11,7 +11,7 @@ from tracelake.functions import commands
 from tracelake.functions import metrics as m
 from tracelake.functions import present as pr
 from tracelake.functions import text as t
-from tracelake.operators import context, costs, detectors, diagnostics, documents, folds, harvest, privacy, scorecard, sessions, terms, toolcalls
+from tracelake.operators import context, costs, detectors, diagnostics, documents, folds, harvest, names, privacy, scorecard, sessions, terms, toolcalls
 from tracelake.plans import adapters as a
 
 QUERIES: dict = {}
@@ -764,6 +764,14 @@ def pseudonym_numbers(spark, d):
     return privacy.numbered(found, vault)
 
 
+@query("""with a as (select distinct unnest(string_split(lower(p_name), ' ')) as name from part), b as (select distinct unnest(string_split(lower(text), ' ')) as name from benchmark)
+select a.name, min(b.name) as nearest, cast(min(d) as bigint) as distance from a join (select a.name as own, b.name, levenshtein(a.name, b.name) as d, min(levenshtein(a.name, b.name)) over (partition by a.name) as least from a, b) b on own = a.name and d = least and d <= 2 group by a.name""")
+def nearest_names(spark, d):
+    """Words of the parts' names and the nearest words of the benchmark."""
+    words = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.explode(F.split(F.lower(c), " ")).alias("name"))
+    return names.closest(words("part", "p_name"), words("benchmark", "text"))
+
+
 @query()
 def pseudonyms(spark, d):
     """Texts with personal data, their pseudonymised form and whether it reads back as it was."""
