@@ -400,9 +400,9 @@ def _pii(kind: str) -> str:
     return t.PERSONAL[kind].replace("'", "''")
 
 
-@query("select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{_pii(k)}')) as bigint) as {k}" for k in ("email", "ssn", "ipv4", "mac")) + " from documents")
+@query("select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{_pii(k)}')) as bigint) as {k}" for k in ("email", "ssn", "phone", "ipv4", "mac")) + " from documents")
 def pii_counts(spark, d):
-    return _docs(spark, d).select("doc_id", *[F.size(t.found(F.col("text"), k, unicode=False)).cast("long").alias(k) for k in ("email", "ssn", "ipv4", "mac")])
+    return _docs(spark, d).select("doc_id", *[F.size(t.found(F.col("text"), k, unicode=False)).cast("long").alias(k) for k in ("email", "ssn", "phone", "ipv4", "mac")])
 
 
 @query(f"""with c as (select doc_id, unnest(regexp_extract_all(text, '{_pii("card")}')) as card from documents), n as (select doc_id, regexp_replace(card, '[^0-9]', '', 'g') as n from c),
@@ -641,15 +641,25 @@ def git_commands(spark, d):
     return _commands(spark, d).groupBy((F.col("event_id") % 16).alias("shape"), commands.stashes(c).alias("stashes"), F.array_join(commands.restored_paths(c), ",").alias("restored")).agg(F.count("*").alias("n"))
 
 
-@query("select page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host, false as local, true as redacts from pages")
+@query("""with u as (select page_id, case page_id % 6 when 0 then 'http://localhost:8000/x' when 1 then 'http://u@10.0.' || page_id % 256 || '.1/y' when 2 then 'printer.lan/' || page_id when 3 then 'https://172.' || page_id % 64 || '.0.1' when 4 then 'http://[::1]:9/' else url end as url from pages)
+select page_id, case page_id % 6 when 0 then 'localhost' when 1 then '10.0.' || page_id % 256 || '.1' when 2 then 'printer.lan' when 3 then '172.' || page_id % 64 || '.0.1' when 4 then '::1' else regexp_extract(url, '^[a-z]+://([^/:]+)', 1) end as host,
+ case page_id % 6 when 3 then page_id % 64 between 16 and 31 when 5 then false else true end as local, case page_id % 6 when 3 then page_id % 64 not between 16 and 31 when 5 then true else false end as redacts from u""")
 def egress_hosts(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet")
+    """Hosts of this machine, of private networks and their neighbours, names of a local network, and the pages' own."""
+    p, n = spark.read.parquet(f"{d}/pages.parquet"), F.col("page_id")
+    local = [F.lit("http://localhost:8000/x"), F.concat(F.lit("http://u@10.0."), n % 256, F.lit(".1/y")), F.concat(F.lit("printer.lan/"), n), F.concat(F.lit("https://172."), n % 64, F.lit(".0.1")), F.lit("http://[::1]:9/"), F.col("url")]
+    p = p.select(n, F.element_at(F.array(*local), (n % 6 + 1).cast("int")).alias("url"))
     return p.select("page_id", commands.host(F.col("url")).alias("host"), commands.is_local(F.col("url")).alias("local"), commands.redacts_egress(F.lit(True), F.lit(None).cast("boolean"), F.col("url")).alias("redacts"))
 
 
-@query("select doc_id, sha256(text) as capped_sha256, left(text, 500) as preview, case when length(text) > 100 then left(replace(replace(text, chr(10), ' '), chr(9), ' '), 100) || '…' else replace(replace(text, chr(10), ' '), chr(9), ' ') end as line from documents where strlen(text) <= 50000 union all select doc_id, sha256(decode(encode(text)[1:50000]) || chr(10) || chr(10) || '[truncated: ' || (strlen(text) - 50000) || ' bytes elided]'), left(text, 500), left(replace(replace(text, chr(10), ' '), chr(9), ' '), 100) || '…' from documents where strlen(text) > 50000 and strlen(text) = length(text)")
+_LONG = "with d as (select doc_id, repeat(text || 'é漢', cast(doc_id % 3 * 20 + 1 as int)) as text from documents where text <> ''), b as (select *, encode(text) as b from d), n as (select *, 50000 + coalesce(list_min(list_filter([0, 1, 2, 3], lambda k: strlen(text) <= 50000 + k or hex(b[50001 + k:50001 + k]) not between '80' and 'BF')), 0) as cut from b)\n"
+
+
+@query(_LONG + "select doc_id, sha256(case when strlen(text) <= 50000 then text else decode(b[1:cut]) || chr(10) || chr(10) || '[truncated: ' || (strlen(text) - 50000) || ' bytes elided]' end) as capped_sha256, left(text, 500) as preview, case when length(text) > 100 then left(replace(replace(text, chr(10), ' '), chr(9), ' '), 100) || '…' else replace(replace(text, chr(10), ' '), chr(9), ' ') end as line from n")
 def capped_fields(spark, d):
-    docs = _docs(spark, d).where("octet_length(text) <= 50000 or octet_length(text) = length(text)")  # the SQL cannot cut inside a character
+    """All documents, two of three of them repeated to be long, with characters of two and three bytes where the cut may fall."""
+    text = F.repeat(F.concat("text", F.lit("é漢")), (F.col("doc_id") % 3 * 20 + 1).cast("int"))
+    docs = _docs(spark, d).where("text <> ''").select("doc_id", text.alias("text"))
     return docs.select("doc_id", F.sha2(commands.capped(F.col("text")).cast("binary"), 256).alias("capped_sha256"), commands.preview(F.col("text")).alias("preview"), commands.line_preview(F.col("text")).alias("line"))
 
 
@@ -810,9 +820,13 @@ def capability_profile(spark, d):
     return _score(p.withColumn("classes", shown).drop("failure_classes"))
 
 
-@query("& n as (select *, 1000000000000 - ts as age, case when gen_time_s > 0 then output_tokens / gen_time_s end as tps from runs) select seq, model, case when phase_doc_path is not null then phase_id else phase_id end as phase, (case when fmt then '✓' else '✗' end) || (case when build then '✓' else '✗' end) || (case when lint then '✓' else '✗' end) || (case when test then '✓' else '✗' end) as gates, " + LABEL + " as settings from n", "runs")
+_COUNT = "case when {0} = 0 then '—' when {0} < 1000 then cast({0} as varchar) when {0} < 1000000 then printf('%.1f', {0} / 1000.0::double) || 'k' else printf('%.1f', {0} / 1000000.0::double) || 'M' end"
+_RUN_ID = "lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(ts || '|' || model || '|' || phase_id, ''), lambda c: ascii(c)::ubigint)), lambda h, x: ((xor(h, x) * 16777619) & 4294967295)::ubigint)), 8, '0'))"
+
+
+@query("& n as (select *, greatest(1000000000000 - ts, 0) // 1000 as s, case when gen_time_s > 0 then output_tokens / gen_time_s end as tps from runs) select seq, " + _RUN_ID + " as run_id, case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' when s < 86400 then s // 3600 || 'h' else s // 86400 || 'd' end as age, model, phase_id as phase, 'complete' as status, (case when fmt then '✓' else '✗' end) || (case when build then '✓' else '✗' end) || (case when lint then '✓' else '✗' end) || (case when test then '✓' else '✗' end) as gates, " + _COUNT.format("input_tokens") + " as input, " + _COUNT.format("output_tokens") + " as output, coalesce(printf('%.0f', tps), '—') as speed, " + _COUNT.format("reclaimed") + " as reclaimed, " + LABEL + " as settings from n", "runs")
 def run_table(spark, d):
-    return scorecard.run_table(a.runs(spark, d), 1_000_000_000_000).select("seq", "model", "phase", "gates", "settings")
+    return scorecard.run_table(a.runs(spark, d), 1_000_000_000_000)
 
 
 @query("select seq, strftime(epoch_ms(ts), '%Y-%m-%d') as date, strftime(epoch_ms(ts + seq * 1000), '%H:%M:%S') as time from runs", "runs")
