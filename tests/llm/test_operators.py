@@ -452,6 +452,32 @@ def test_license_notices_wrapped_or_inside_a_long_line(spark):
     assert found == want | {99: []}
 
 
+def test_standard_headers_name_their_licence():
+    """Headers as they stand in source files, and short marks; nothing of another family."""
+    import textwrap
+
+    gnu = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+    headers = {
+        "GPL-2.0": gnu.format(what="program", a=";", b=";", kind="", v="2"), "GPL-3.0": gnu.format(what="program", a=":", b=",", kind="", v="3"), "LGPL-2.1": gnu.format(what="library", a=";", b=";", kind="Lesser ", v="2.1"),
+        "LGPL-3.0": gnu.format(what="library", a=":", b=",", kind="Lesser ", v="3"), "AGPL-3.0": gnu.format(what="program", a=":", b=",", kind="Affero ", v="3"),
+        "Apache-2.0": 'Copyright 2020 Someone\n\nLicensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "MIT": "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    model = licenses.train([f"alpha beta gamma delta {i} the of and software version" for i in range(300)])
+    for family, text in headers.items():
+        for mark in ("", "// ", " * "):
+            for width in (60, 76, 10_000):
+                lines = [x for part in text.split("\n\n") for x in [*(f"{mark}{y}" for y in textwrap.wrap(part, width)), mark.rstrip()]]
+                assert {h[0] for _, h in model.found(lines)} == {family}, (family, mark, width)
+    for family, ids in licenses.IDENTIFIERS.items():
+        for x in ids:
+            for line in (f"// SPDX-License-Identifier: {x}", f"# SPDX-License-Identifier: {x}", f"/* SPDX-License-Identifier: {x} */"):
+                assert [h[0] for _, h in model.found(["int x;", line, "", "int y;"])] == [family], line
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 

@@ -3,7 +3,9 @@
 A paragraph (a line of a text, or a window of a block of lines) is a sparse vector of word n-grams (1 to 3). A softmax regression over the families and an
 unknown class is trained in numpy on noisy copies of the public notices below and on a bounded sample of the corpus's own
 paragraphs (unknown). Its temperature and the least probability of a family are set on paragraphs kept from the fit.
-A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of one of that family's notices.
+A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of a notice. Notices of different families
+differ in a version or a word, so the family is that of the notice whose word pairs are most like the paragraph's (Jaccard index: what
+either has more counts against it), and the classifier must give that family its least probability, or rank it first.
 
 Only paragraphs with a cue word (any longer word of a notice) reach the classifier; the others cannot be confirmed, as
 every notice has over 1 - CONFIRM of its word pairs with a cue word (checked when the model is made).
@@ -28,24 +30,81 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import fit_on_sample, table, with_text_columns
 
-# Public notices by licence family.
+# Public notices by licence family: short ones, the standard headers and the identifying paragraphs of the texts.
 NOTICES = {
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to You under the Apache License, Version 2.0",
+    ],
+    "BSD": [
+        "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0 Universal public domain dedication.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the terms of the GNU General Public License version 2 or later"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software under the terms of the GNU Lesser General Public License"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the terms of the GNU General Public License version 2 or later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "Licensed under the Mozilla Public License 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "Proprietary": ["Copyright. All rights reserved.", "No part of this work may be reproduced without written permission of the copyright holder."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
 }
+# Identifiers of the families in short marks.
+IDENTIFIERS = {
+    "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache-2.0": ["Apache-2.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC0-1.0": ["CC0-1.0"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"], "LGPL-2.1": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"], "LGPL-3.0": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0"], "Unlicense": ["Unlicense"],
+}
+for _family, _ids in IDENTIFIERS.items():
+    NOTICES[_family] += [f"SPDX-License-Identifier: {x}" for x in _ids]
 
 COPIES, UNKNOWN, LONGEST, CONFIRM, STEPS = 60, 4000, 400, 0.8, 250
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
@@ -98,15 +157,25 @@ class Model:
         return self.classified(words(text))
 
     def classified(self, w: list[str]) -> tuple[str, float, float] | None:
+        h = self.compared(w)
+        return h and h[:3]
+
+    def compared(self, w: list[str]) -> tuple[str, float, float, float] | None:
+        """As classified(), and the Jaccard index of w's word pairs and the notice's."""
         if self.cues.isdisjoint(w):
             return None
         p = self.probabilities(w)
         k = int(p.argmax())
         if k == len(self.families) or p[k] < self.least:
             return None
-        own = pairs(w)
-        share = max(len(t & own) / len(t) for t in self.templates[self.families[k]])
-        return (self.families[k], float(p[k]), share) if share >= CONFIRM else None
+        own, best = pairs(w), (-1.0, 0.0, 0)
+        for i, f in enumerate(self.families):
+            for t in self.templates[f]:
+                common = len(t & own)
+                if common >= CONFIRM * len(t):
+                    best = max(best, (common / (len(t) + len(own) - common), common / len(t), i))
+        like, share, i = best
+        return (self.families[i], float(p[i]), share, like) if share and (i == k or p[i] >= self.least) else None
 
     def block(self, w: list[str]) -> list[tuple[int, tuple[str, float, float]]]:
         """(place of the first word, hit) of notices anywhere in w, one a family; of overlapping ones the most similar."""
@@ -120,14 +189,15 @@ class Model:
                 for at in range(len(w)):
                     if tuple(w[at : at + 2]) in t and len(t & pairs(w[at : at + n + 2])) >= CONFIRM * len(t):
                         for end in (n, n + 2):
-                            if (h := self.classified(w[at : at + end])) and h[0] == f:
+                            if (h := self.compared(w[at : at + end])) and h[0] == f:
                                 every.append((at, at + n, h))
-        kept: list[tuple[int, int, tuple[str, float, float]]] = []
-        for x in sorted(every, key=lambda x: (-x[2][2], -x[2][1], x[0])):
+        kept: list[tuple[int, int, tuple[str, float, float, float]]] = []
+        # long notices first among the equally complete: a short one may be like a part of another family's long one
+        for x in sorted(every, key=lambda x: (x[2][3] < 0.9, x[0] - x[1] if x[2][3] >= 0.9 else 0, -x[2][3], -x[2][1], x[0])):
             if all(x[1] <= k[0] or x[0] >= k[1] for k in kept):
                 kept.append(x)
         first = {x[2][0]: x for x in sorted(kept, key=lambda x: -x[0])}
-        return [(x[0], x[2]) for x in first.values()]
+        return [(x[0], x[2][:3]) for x in first.values()]
 
     def found(self, lines: list[str]) -> list[tuple[int, tuple[str, float, float]]]:
         """(number of the line, hit), in order."""
