@@ -140,3 +140,19 @@ def test_parts_of_a_growing_file(tmp_path, monkeypatch):
         middle = {f: want[100][0] for f in end}
         assert [v for p in files.stretches(middle, end) for b in files.read(p) for v in b["value"].to_pylist()] == lines[100:]
     assert tail.Files(f"file://{tmp_path}/none", "").sizes() == {}
+
+
+def test_calibration_grows_by_new_sessions_only(spark, tmp_path, monkeypatch):
+    from tracelake.operators import detectors as d
+
+    rows = [(s, i, "patch" if (s + i) % 4 == 0 else "read_file", f'{{"path":"{i % (s + 2)}"}}', (s + i) % 4 == 0, i * s, i % 3, i % 5 == 0) for s in range(9) for i in range(30)]
+    log = spark.createDataFrame(rows, "session long, seq long, tool string, arguments string, mutating boolean, output_bytes long, errors long, blank boolean")
+    outcomes = spark.createDataFrame([(s, f"m{s % 2}", "complete" if s % 3 else "hard_fail") for s in range(9)], "session long, model string, outcome string")
+    at, seen, real = str(tmp_path / "counts"), [], d.samples
+    monkeypatch.setattr(d, "samples", lambda log, **k: seen.append(log.select("session").distinct().count()) or real(log, **k))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    d.calibrate_on(at, log, outcomes.where("session < 4"))
+    d.calibrate_on(at, log, outcomes.where("session < 8"))
+    got = rows_of(d.calibrate_on(at, log, outcomes, min_runs=2))
+    assert seen == [4, 4, 1] and rows_of(d.calibrate_on(at, log, outcomes, min_runs=2)) == got
+    assert got == rows_of(d.calibrate(log, outcomes, min_runs=2)) and got

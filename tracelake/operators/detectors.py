@@ -116,25 +116,57 @@ def samples(log: DataFrame, *, window: int = 8, flood_window: int = 6, novelty_w
     return wide.unionByName(persistence(log).select(F.lit("persistence").alias("signal"), "session", F.col("value").cast("long").alias("value")))
 
 
-def calibrate(log: DataFrame, outcomes: DataFrame, min_runs: int = 0) -> DataFrame:
-    """Percentiles by nearest rank of every signal by (model, outcome), and over all models as '(all)'. outcomes: session, model, outcome.
-    runs counts sessions, n samples; the least number of runs applies to the rows of one model only.
-
-    Ranks come from how often each value occurs, so no group's samples are gathered in one row."""
-    s = samples(log).join(outcomes, "session")
-    both = s.withColumn("model", F.explode(F.array("model", F.lit("(all)"))))
-    of = ["signal", "model", "outcome"]
-    runs = both.groupBy(*of, "session").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("*").alias("runs"), F.sum("n").alias("n"))
-    counts = both.groupBy(*of, "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*of).orderBy("value"))
+_GROUP = ["signal", "model", "outcome"]
+
+
+def value_counts(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What calibration needs of sessions: signal, model, outcome, value, n (samples of the value), and rows of null value with runs, the
+    number of sessions that gave a sample. Over all models as '(all)' too. Counts of different sessions add up."""
+    both = samples(log).join(outcomes, "session").withColumn("model", F.explode(F.array("model", F.lit("(all)"))))
+    counts = both.groupBy(*_GROUP, "value").agg(F.count("*").alias("n")).withColumn("runs", F.lit(0).cast("bigint"))
+    runs = both.select(*_GROUP, "session").distinct().groupBy(*_GROUP).agg(F.count("*").alias("runs"))
+    return counts.unionByName(runs.select(*_GROUP, F.lit(None).cast("bigint").alias("value"), F.lit(0).cast("bigint").alias("n"), "runs"))
+
+
+def percentiles(counts: DataFrame, min_runs: int = 0) -> DataFrame:
+    """Percentiles by nearest rank from value_counts(), whose rows may be of many batches. Ranks come from how often each value
+    occurs, so no group's samples are gathered in one row."""
+    per_value = counts.where("value is not null").groupBy(*_GROUP, "value").agg(F.sum("n").alias("c"))
+    runs = counts.groupBy(*_GROUP).agg(F.sum("runs").alias("runs"), F.sum("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*_GROUP).orderBy("value"))
     low = F.col("signal") == "oscillation"
-    ranked = counts.withColumn("upto", upto).join(runs, of)
+    ranked = per_value.withColumn("upto", upto).join(runs, _GROUP)
     pick = lambda p: F.min(F.when(F.col("upto") > F.round(p * (F.col("n") - 1)), F.col("value")))
     two = lambda a, b: F.when(low, F.lit(a)).otherwise(F.lit(b))
-    g = ranked.groupBy(*of).agg(F.first("runs").alias("runs"), F.first("n").alias("n"), pick(F.lit(0.5)).alias("p50"), pick(two(0.1, 0.9)).alias("near_tail"), pick(two(0.01, 0.99)).alias("far_tail"))
+    g = ranked.groupBy(*_GROUP).agg(F.first("runs").alias("runs"), F.first("n").alias("n"), pick(F.lit(0.5)).alias("p50"), pick(two(0.1, 0.9)).alias("near_tail"), pick(two(0.01, 0.99)).alias("far_tail"))
     return g.where((F.col("model") == "(all)") | (F.col("runs") >= min_runs))
 
 
+def calibrate(log: DataFrame, outcomes: DataFrame, min_runs: int = 0) -> DataFrame:
+    """Percentiles by nearest rank of every signal by (model, outcome), and over all models as '(all)'. outcomes: session, model, outcome.
+    runs counts sessions, n samples; the least number of runs applies to the rows of one model only."""
+    return percentiles(value_counts(log, outcomes), min_runs)
+
+
+def calibrate_on(path: str, log: DataFrame, outcomes: DataFrame, min_runs: int = 0) -> DataFrame:
+    """As calibrate(), over a corpus that grows: the counts of sessions counted before are in the table at path, and only those of
+    new sessions of the log are worked out, and added in one write together with the sessions' names. A write that is lost has
+    added nothing. A session is counted once, so only ended sessions should be given."""
+    spark, kind = log.sparkSession, log.schema["session"].dataType
+    stored = f"signal string, model string, outcome string, value bigint, n bigint, runs bigint, session {kind.simpleString()}"
+    try:
+        known = spark.read.schema(stored).parquet(path).where("session is not null").select("session")
+    except Exception as e:  # nothing is stored before the first time
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = spark.createDataFrame([], f"session {kind.simpleString()}")
+    new = outcomes.join(known, "session", "left_anti")
+    own = log.join(new.select("session"), "session", "left_semi")
+    names = new.select(*[F.lit(None).cast(t).alias(c) for c, t in (("signal", "string"), ("model", "string"), ("outcome", "string"), ("value", "bigint"), ("n", "bigint"), ("runs", "bigint"))], "session")
+    value_counts(own, new).withColumn("session", F.lit(None).cast(kind)).unionByName(names).write.mode("append").parquet(path)
+    return percentiles(spark.read.schema(stored).parquet(path).where("signal is not null").drop("session"), min_runs)
+
+
 def live(log: DataFrame, *, terminate_on_novelty: bool = False, **limits: int) -> DataFrame:
     """session, seq, detector of every step at which a live detector fires; of several the one listed first. limits: as in
     DEFAULTS. A stall or a novelty window of 0 is off; low novelty fires only if it is to terminate."""

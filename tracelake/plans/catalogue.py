@@ -327,6 +327,18 @@ def calibrate(spark, d):
     return detectors.calibrate(log, outcomes, min_runs=3)
 
 
+@query("& s as (" + " union all ".join(f"select '{k}' as signal, session, value from ({v})" for k, v in SIG.items()) + """), o as (select signal, session, value, 'm' || (cast(session as bigint) % 3) as model, case when cast(session as bigint) % 2 = 0 then 'complete' else 'hard_fail' end as outcome from s), b as (select * from o union all select signal, session, value, '(all)', outcome from o)
+select signal, model, outcome, count(distinct session) as runs, count(*) as n, """ + f"{_RANK.format(p=0.5)} as p50, case when signal = 'oscillation' then {_RANK.format(p=0.1)} else {_RANK.format(p=0.9)} end as near_tail, case when signal = 'oscillation' then {_RANK.format(p=0.01)} else {_RANK.format(p=0.99)} end as far_tail from b group by 1, 2, 3 having model = '(all)' or count(distinct session) >= 3", "session")
+def calibrate_stored(spark, d):
+    """The same in two steps: two thirds of the sessions are counted first, the rest is added to what was stored."""
+    log = a.session(spark, d)
+    who = F.col("session").cast("bigint")
+    outcomes = log.select("session").distinct().select("session", F.concat(F.lit("m"), who % 3).alias("model"), F.when(who % 2 == 0, "complete").otherwise("hard_fail").alias("outcome"))
+    at = _folder(spark, "calibration")
+    detectors.calibrate_on(at, log, outcomes.where(who % 3 > 0))
+    return detectors.calibrate_on(at, log, outcomes, min_runs=3)
+
+
 LIVE = """& n as (select *, row_number() over p as n, lag(errors) over p as before, coalesce(feedback <> lag(feedback) over p, true) as fresh from steps window p as (partition by session order by seq)),
 w as (select *, count(distinct tool || '|' || arguments) over w3 as d3, bool_or(mutating) over w3 as m3, count(distinct tool || '|' || arguments) over w8 as d8, bool_or(mutating) over w8 as m8, sum(output_bytes) over w6 as s6,
  n - coalesce(max(case when mutating then n end) over p, 0) as since, n - coalesce(max(case when not blank then n end) over p, 0) as blanks, n - max(case when fresh then n end) over p + 1 as repeats,
