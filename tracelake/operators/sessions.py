@@ -121,17 +121,24 @@ def run_rates(counts: DataFrame) -> DataFrame:
     })
 
 
-def run_record(log: DataFrame) -> DataFrame:
-    """One run per ended session from its log alone: rates from its events, context efficiency, tokens of its last metrics."""
+#: What the one who ran a session counts beside its log.
+COUNTED = "repairs bigint, finishes bigint, length_finishes bigint, verifier_retries bigint, gen_time_s double, gates struct<fmt:boolean,build:boolean,lint:boolean,test:boolean>, tags array<string>"
+
+
+def run_record(log: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One run per ended session: rates from its events, context efficiency, tokens of its last metrics, and what counted
+    (session and the columns of COUNTED, a row a session) tells. A session that is not counted has no repairs, retries or
+    finishes, thus no share of length-limited ones, and unknown gates."""
+    counted = log.sparkSession.createDataFrame([], f"session {log.schema['session'].dataType.simpleString()}, {COUNTED}") if counted is None else counted
     counts = log.groupBy("session").agg(
         F.count_if(_is("tool_result") & F.col("event.succeeded")).alias("successes"), F.count_if(_is("tool_result")).alias("calls"), F.count_if(_is("parse_failed")).alias("parse_failures"), F.count_if(_is("parsed") | _is("parse_failed")).alias("parse_attempts"),
-        F.lit(0).cast("bigint").alias("repairs"), F.lit(0).cast("bigint").alias("length_finishes"), F.lit(0).cast("bigint").alias("finishes"),
     )
+    counts = counts.join(counted, "session", "left").fillna(0, ["repairs", "finishes", "length_finishes", "verifier_retries"]).fillna(0.0, ["gen_time_s"])
     s = status(log).where("ended is not null")
     r = s.join(run_rates(counts), "session").join(context_efficiency(log), "session")
     return r.select(
         "session", F.col("last_ts").alias("ts"), "model", F.col("phase").alias("phase_id"), F.col("ended").alias("status"), (F.col("ended") != "complete").alias("escalated"), F.col("latest_turn").alias("turns"),
-        ((F.col("last_ts") - F.col("started_at")) / 1000).alias("wall_clock_s"), "tool_success_rate", F.col("parse_failure_rate"), "repairs_per_call", "length_finish_rate", F.coalesce("input_tokens", F.lit(0).cast("bigint")).alias("input_tokens"),
+        ((F.col("last_ts") - F.col("started_at")) / 1000).alias("wall_clock_s"), "tool_success_rate", F.col("parse_failure_rate"), "repairs_per_call", "length_finish_rate", "verifier_retries", "gen_time_s", "gates", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("input_tokens", F.lit(0).cast("bigint")).alias("input_tokens"),
         F.coalesce("output_tokens", F.lit(0).cast("bigint")).alias("output_tokens"), "peak_context_pct", "compaction_count", "compaction_tokens_reclaimed", "output_filtered_tokens", "read_evicted_tokens", "read_deduped_tokens",
     )
 
