@@ -97,3 +97,25 @@ def test_compaction_equals_the_fold(spark, ceiling):
         seen = [seen[0] + report[2], seen[1] + report[3]]
     assert seen[0] > 20 and (seen[1] > 20 or ceiling == 400)
     assert context.compacted(df.limit(0), 10).count() == 0
+
+
+def test_paths_meet_however_they_are_written(spark):
+    import posixpath
+
+    from pyspark.sql import functions as F
+
+    paths = ["a/b", "./a/b", "/r/a/b", "/r/./a//b", "a/c/../b", "../a", "/r/../a", "/../x", "a/../../b", "", ".", "/r", "/rest/a", "a/b/", None]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", context.one_path(F.col("p"), None).alias("n"), context.one_path(F.col("p"), "/r").alias("o")).collect()
+    for r in got:
+        if r["p"] is None:
+            assert r["n"] is None
+            continue
+        want = posixpath.normpath(r["p"])
+        assert r["n"] == ("" if want == "." else want), r["p"]
+        assert r["o"] == (want[3:] if want.startswith("/r/") else r["n"])
+    m = "conv long, idx long, role string, turn long, tool string, path string, ranged boolean, tokens long"
+    call = lambda i, p: [(1, i, "assistant", i, "read_file", p, False, 1), (1, i + 1, "tool", i, "read_file", None, None, 100)]
+    messages = spark.createDataFrame(call(1, "a/b") + call(3, "/r/a/b") + call(7, "./a/b"), m)
+    edits = spark.createDataFrame([(1, 5, 5, "/r/a/../a/b")], "conv long, idx long, turn long, path string")
+    assert sorted(tuple(x) for x in context.superseded(messages, edits, root="/r").collect()) == [(1, 2, "a/b", 5, 76), (1, 4, "a/b", 5, 76)]
+    assert [tuple(x) for x in context.repeated(messages, edits, root="/r").collect()] == [(1, 4, "a/b", 1, 64)]

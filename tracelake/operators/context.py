@@ -14,6 +14,18 @@ from tracelake.functions.text import token_estimate
 TARGET, PROTECTED = 0.75, 3
 
 
+def one_path(path: Column, root: str | None) -> Column:
+    """A path as one name, however it is written: below root relative to it, without `.`, doubled slashes and what `..` takes
+    back. Without a root absolute paths stay absolute."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    back = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    climbs = lambda a: (F.size(a) == 0) | (F.element_at(a, -1) == "..")
+    absolute = path.startswith("/")
+    step = lambda a, x: F.when(x != "..", F.concat(a, F.array(x))).when(~climbs(a), back(a)).when(absolute, a).otherwise(F.concat(a, F.array(x)))
+    flat = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return flat if root is None else F.when(flat.startswith(root.rstrip("/") + "/"), F.substr(flat, F.lit(len(root.rstrip("/")) + 2))).otherwise(flat)
+
+
 def reads(messages: DataFrame) -> DataFrame:
     """Whole-file reads: conv, idx (of the result), turn, path, tokens."""
     w = Window.partitionBy("conv").orderBy("idx")
@@ -22,22 +34,23 @@ def reads(messages: DataFrame) -> DataFrame:
     return own.select("conv", F.col("next_idx").alias("idx"), "turn", "path", F.coalesce("ranged", F.lit(False)).alias("ranged"), F.col("next_tokens").alias("tokens"))
 
 
-def superseded(messages: DataFrame, edits: DataFrame, note_tokens: int = 24) -> DataFrame:
+def superseded(messages: DataFrame, edits: DataFrame, note_tokens: int = 24, root: str | None = None) -> DataFrame:
     """Reads (ranged ones too) that a later edit of their path makes stale: conv, idx, path, turn of the first such edit and the
-    tokens that a note of note_tokens in their place frees. edits: conv, idx, turn, path."""
-    e = edits.select(F.col("conv").alias("__c"), F.col("path").alias("__p"), F.col("idx").alias("__i"), F.col("turn").alias("__t"))
-    r = reads(messages)
+    tokens that a note of note_tokens in their place frees. edits: conv, idx, turn, path. Paths meet as one_path() has them."""
+    e = edits.select(F.col("conv").alias("__c"), one_path(F.col("path"), root).alias("__p"), F.col("idx").alias("__i"), F.col("turn").alias("__t"))
+    r = reads(messages).withColumn("path", one_path(F.col("path"), root))
     j = r.join(e, (F.col("conv") == F.col("__c")) & (F.col("path") == F.col("__p")) & (F.col("__i") > F.col("idx")))
     g = j.groupBy("conv", "idx", "path", "tokens").agg(F.min_by("__t", "__i").alias("turn"))
     return g.select("conv", "idx", "path", "turn", F.greatest(F.col("tokens") - note_tokens, F.lit(0)).alias("reclaimed"))
 
 
-def repeated(messages: DataFrame, edits: DataFrame, note_tokens: int = 36) -> DataFrame:
+def repeated(messages: DataFrame, edits: DataFrame, note_tokens: int = 36, root: str | None = None) -> DataFrame:
     """Whole-file reads of a path that was read whole before and not edited since: conv, idx, path, prior_turn and the tokens of
     the prior read that a note in place of this one saves."""
     w = Window.partitionBy("conv", "path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    r = reads(messages).where("not ranged").select("conv", "path", "idx", "turn", "tokens", F.lit(True).alias("read"))
-    e = edits.select("conv", "path", "idx", "turn", F.lit(0).cast("bigint").alias("tokens"), F.lit(False).alias("read"))
+    one = one_path(F.col("path"), root).alias("path")
+    r = reads(messages).where("not ranged").select("conv", one, "idx", "turn", "tokens", F.lit(True).alias("read"))
+    e = edits.select("conv", one, "idx", "turn", F.lit(0).cast("bigint").alias("tokens"), F.lit(False).alias("read"))
     last = F.last(F.struct("read", "turn", "tokens")).over(w)
     d = r.unionByName(e).select("*", last.alias("before")).where(F.col("read") & F.col("before.read"))
     return d.select("conv", "idx", "path", F.col("before.turn").alias("prior_turn"), F.greatest(F.col("before.tokens") - note_tokens, F.lit(0)).alias("saved"))
