@@ -150,12 +150,20 @@ def assist_count(spark, d):
     return costs.assists(a.activities(spark, d), "p1")
 
 
-@query("select model, round(i, 6) as input_rate, round(o, 6) as output_rate from (values ('claude-opus-4-6', 5.0, 25.0), ('claude-haiku-4-5', 9.0, 9.5), ('A', 3.0, 15.0)) v(model, i, o)")
+_PRICED = "list_extract(['claude-opus-4-6', 'claude-haiku-4-5', 'A', 'none such'], cast(l_orderkey % 4 + 1 as int))"
+
+
+@query(f"""with l as (select {_PRICED} as model, count(*) as n, sum(cast(l_quantity as bigint)) as q from lineitem group by 1),
+v as (select * from (values ('claude-opus-4-6', 5.0, 25.0), ('claude-haiku-4-5', 9.0, 9.5), ('A', 3.0, 15.0)) v(model, i, o))
+select l.model, n, round(i::double, 6) as input_rate, round(o::double, 6) as output_rate, round(q * i::double / 1000000, 6) as cost from l left join v on l.model = v.model""")
 def rate_lookup(spark, d):
-    """The caller's prices win over the built-in ones."""
+    """Order lines as calls of four models, one of them without a price. The caller's prices win over the built-in ones."""
     from tracelake.functions import rates as price
 
-    return price.rate_table(spark, {"A": (3.0, 15.0), "claude-haiku-4-5": (9.0, 9.5)}).where(F.col("model").isin("A", "claude-opus-4-6", "claude-haiku-4-5"))
+    own = price.rate_table(spark, {"A": (3.0, 15.0), "claude-haiku-4-5": (9.0, 9.5)})
+    names = F.array(*map(F.lit, ("claude-opus-4-6", "claude-haiku-4-5", "A", "none such")))
+    used = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.element_at(names, (F.col("l_orderkey") % 4 + 1).cast("int")).alias("model")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    return used.join(own, "model", "left").select("model", "n", "input_rate", "output_rate", F.round(F.col("q") * F.col("input_rate") / 1_000_000, 6).alias("cost"))
 
 
 @query("select session, seq, ts, tool from (select *, row_number() over (partition by arguments order by session, seq) as k from session) where k = 1", "session")
