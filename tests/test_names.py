@@ -22,3 +22,16 @@ def test_near_names_equal_all_pairs(spark, most):
         best[n] = min(best.get(n, (d, o)), (d, o))
     assert {(x["name"], x["distance"], x["nearest"]) for x in names.closest(a, b, most).collect()} == {(n, *v) for n, v in best.items()}
     assert names.near(a.limit(0), b).count() == 0
+
+
+def test_settings_from_the_environment(spark):
+    from tracelake.sources import backends
+
+    pair = "name string, value string"
+    settings = spark.createDataFrame([("model", "a"), ("provider", "p"), ("seed", "1")], pair)
+    variables = spark.createDataFrame([("LAKE_MODEL", "b"), ("LAKE_PROVIDER", None), ("LAKE_API_KEY", ""), ("LAKE_SEED", "2"), ("lake_base_url", "x"), ("MODEL", "c")], pair)
+    found = backends.with_environment(settings, variables, "LAKE")
+    assert sorted(map(tuple, found.collect())) == [("api_key", ""), ("model", "b"), ("provider", "p"), ("seed", "1")]
+    over = spark.createDataFrame([("b", "seed", "9")], "model string, name string, value string")
+    assert {r["name"]: r["value"] for r in backends.resolved(found, over, "b").collect()}["seed"] == "9"
+    assert backends.with_environment(settings, variables.limit(0), "LAKE").count() == 3

@@ -24,3 +24,17 @@ def resolved(settings: DataFrame, overrides: DataFrame, model: str) -> DataFrame
     override nothing."""
     own = overrides.where((F.col("model") == model) & F.col("value").isNotNull()).select("name", F.col("value").alias("own"))
     return settings.join(own, "name", "left").select("name", F.coalesce("own", "value").alias("value"))
+
+
+#: Settings that variables of the environment may give.
+FROM_ENVIRONMENT = ["provider", "model", "base_url", "api_key"]
+
+
+def with_environment(settings: DataFrame, variables: DataFrame, prefix: str) -> DataFrame:
+    """name, value of settings with what variables (name, value) named `<prefix>_<SETTING>` say of the four settings above; a
+    setting that is only there is added. An empty value counts, a null one does not. What is overridden per model comes
+    after this: resolved(with_environment(...), ...)."""
+    short = F.lower(F.expr(f"substring(name, {len(prefix) + 2})"))
+    own = variables.where(F.col("name").isin([f"{prefix}_{n.upper()}" for n in FROM_ENVIRONMENT]) & F.col("value").isNotNull())
+    own = own.groupBy(short.alias("name")).agg(F.max("value").alias("own"))
+    return settings.join(own, "name", "full").select("name", F.coalesce("own", "value").alias("value"))
