@@ -487,3 +487,17 @@ def test_pipeline_stages(spark, sf):
         kept = stage(spark, docs, sf)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
     assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_postings_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A group of the index's rows, which a reader holds whole, does not grow with the shards of a task."""
+    import pyarrow.parquet as pq
+
+    from tracelake.llm import decontaminate
+
+    monkeypatch.setitem(decontaminate._NARROW, "parquet.block.size", str(1 << 16))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9000))) for i in range(12)], "doc_id long, text string").coalesce(1)
+    decontaminate.build(docs, str(tmp_path / "index"), keep=("doc_id", "text"), most_chars=50_000)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 12
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 2

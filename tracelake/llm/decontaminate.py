@@ -174,6 +174,9 @@ def _hits(shard: Shard, queries: Queries, slop: int | None) -> tuple[list[list[l
     return spans, [sorted(x) for x in exact], [sorted(x) for x in close]
 
 
+#: A row holds megabytes, and Parquet looks at the size of a group of rows only once it has 100 of them, which a reader then holds
+#: whole: here it looks after each row, so that a group is a row or two, however many shards a task writes.
+_NARROW = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 _INDEX = "terms binary, bounds binary, positions binary, starts binary, n_words binary"
 
 
@@ -212,7 +215,7 @@ def build(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), mo
         if parts:
             yield made(parts)
 
-    source.mapInArrow(run, schema).write.parquet(path)
+    source.mapInArrow(run, schema).write.options(**_NARROW).parquet(path)
 
 
 def frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
