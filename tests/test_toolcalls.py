@@ -57,3 +57,20 @@ def test_deep_and_long_modules(spark):
     rows = documents.symbols(spark.createDataFrame([(total,), ("(" * 5000,), ("x = " + "-" * 20_000 + "1",), ("def f():\n  pass",)], "text string")).collect()
     assert sum(s["name"] == "y" for s in rows[0]["symbols"]) in (0, 5000)  # 0 where the tree is too deep for the parser itself
     assert rows[1]["symbols"] == [] and [s["name"] for s in rows[3]["symbols"]] == ["f"]
+
+
+def test_a_repeated_reply_is_read_once_a_batch(spark, tmp_path):
+    """Nulls and repeats each keep their row; what is the same is computed once."""
+    from tracelake.operators.privacy import _by_text
+
+    rows = [(i, [None, "a", "b", "a"][i % 4]) for i in range(400)]
+    log = str(tmp_path / "log")
+
+    def f(text):
+        with open(log, "a") as out:
+            out.write("x")
+        return None if text is None else text * 2
+
+    got = _by_text(spark.createDataFrame(rows, "i long, text string").coalesce(1), f, "text", out="twice", kind="string").collect()
+    assert sorted((r["i"], r["twice"]) for r in got) == [(i, None if t is None else t * 2) for i, t in rows]
+    assert len(open(log).read()) <= 3 * 8

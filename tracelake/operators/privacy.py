@@ -66,7 +66,7 @@ def kind_of_label(label: Column) -> Column:
 
 
 def _by_text(df: DataFrame, f, *columns: str, out: str = "spans", kind: str = SPANS) -> DataFrame:
-    """df with out = f(values of columns), a row at a time in Arrow batches."""
+    """df with out = f(values of columns), in Arrow batches. Where f takes one column, a value that a batch repeats is computed once."""
     from pyspark.sql.types import StructField, StructType
     from pyspark.sql.types import _parse_datatype_string as datatype
 
@@ -79,8 +79,13 @@ def _by_text(df: DataFrame, f, *columns: str, out: str = "spans", kind: str = SP
 
         t = to_arrow_type(schema[out].dataType)
         for b in batches:
-            rows = zip(*[b.column(i).to_pylist() for i in at])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f(*r) for r in rows], t)], names=schema.names)
+            if len(at) == 1:
+                own = b.column(at[0]).dictionary_encode("encode")
+                made = pa.array([f(v) for v in own.dictionary.to_pylist()], t)
+                new = made if len(made) == b.num_rows else made.take(own.indices)
+            else:
+                new = pa.array([f(*r) for r in zip(*[b.column(i).to_pylist() for i in at])], t)
+            yield pa.RecordBatch.from_arrays([*b.columns, new], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
