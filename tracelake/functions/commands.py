@@ -127,7 +127,7 @@ def preview(text: Column) -> Column:
 
 def line_preview(text: Column) -> Column:
     """On one line, cut with an ellipsis."""
-    flat = F.translate(text, "\n\t", "  ")
+    flat = F.translate(F.left(text, F.lit(LINE_PREVIEW + 1)), "\n\t", "  ")  # what is cut off is not looked at
     return F.when(F.length(flat) > LINE_PREVIEW, F.concat(F.left(flat, F.lit(LINE_PREVIEW)), F.lit("…"))).otherwise(flat)
 
 
