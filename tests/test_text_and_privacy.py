@@ -287,3 +287,14 @@ def test_repository_scan_symbols_and_vault(spark, tmp_path):
     privacy.save(vault, folder, key)
     path = privacy.save(vault.unionByName(vault.selectExpr("'Email_2' as token", "'c@d.com' as original", "kind")), folder, key)
     assert privacy.load(spark, folder, key, schema).count() == 2 and "a@b.com" not in "".join(r["value"] for r in spark.read.text(path).collect())
+
+
+def test_detectors_left_out_would_have_found_nothing():
+    import random
+
+    r = random.Random(5)
+    parts = ["a@b.co", "123-45-6789", "(123) 456-7890", "123.456.7890", "10.0.0.1", "aa:bb:cc:dd:ee:ff", "00-11-22-33-44-55", "4111 1111 1111 1111", "٣٤٥-٦٧٨-٩٠١٢", "12", "-", ".", ":", "@", " x "]
+    texts = ["".join(r.choices(parts, k=r.randrange(4))) for _ in range(3000)]
+    for t in texts:
+        assert {k for k in privacy.ORDER if privacy._PATTERNS[k].search(t)} <= set(privacy._possible(t))
+    assert privacy._possible("no such data, at all; see p. 12") == []
