@@ -169,6 +169,33 @@ def test_deduplicated_keeps_one_row_of_a_group(spark, hot):
     assert sorted(x["doc_id"] for x in got.collect()) == [0, 13]
 
 
+def test_deduplicated_links_by_fingerprints_first(spark, monkeypatch):
+    """Near copies within op5's radius go without the exact step, which then leaves them out; others need it. Shared bits alone
+    are no link."""
+    r, texts = random.Random(21), []
+    for i in range(24):
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        copy = w[:]
+        for at in r.sample(range(300), 1 + i % 5):
+            copy[at] = f"v{r.randrange(10**6)}"
+        texts += [w, copy]
+    texts += [["a", "b", "c", "d"], ["a", "b", "c", "e"]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    far = [bin(simhash.fingerprint(" ".join(texts[k])) ^ simhash.fingerprint(" ".join(texts[k + 1]))).count("1") > simhash.RADIUS for k in range(0, 48, 2)]
+    sets = [shingled(" ".join(w)) for w in texts]
+    assert 4 < sum(far) < 20 and all(len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) >= 0.8 for k in range(0, 48, 2))
+    met, groups = [], simhash.candidate_groups
+    monkeypatch.setattr(simhash, "candidate_groups", lambda *a: met.append(groups(*a)) or met[-1])
+    assert sorted(x["doc_id"] for x in simhash.deduplicated(d).collect()) == [*range(0, 48, 2), 48, 49]
+    assert met[0].count() == 2 * sum(far)
+    posted = simhash._posted
+    monkeypatch.setattr(simhash, "_posted", lambda *a: lambda batches: (b.slice(0, 0) for b in posted(*a)(batches)))
+    want = [k + j for k, f in zip(range(0, 48, 2), far) for j in range(1 + f)]
+    assert sorted(x["doc_id"] for x in simhash.deduplicated(d).collect()) == [*want, 48, 49]
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: docs.selectExpr("doc_id", "0L as component_id"))
+    assert sorted(x["doc_id"] for x in simhash.deduplicated(d).collect()) == [*range(0, 48, 2), 48, 49]
+
+
 def test_decontamination_edges(spark, edge):
     bench = spark.createDataFrame([(1, " ".join(["word"] * 14)), (2, "ONE"), (3, None), (4, "!!")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.search(edge, bench)).collect()}

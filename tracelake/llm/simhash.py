@@ -341,8 +341,9 @@ def _and_end(batches):
     yield None
 
 
-def candidate_groups(posts: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """(node, grp) of the nodes that are candidates, connected by all pairs of Jaccard index `similarity` or more.
+def candidate_groups(posts: DataFrame, similarity: float, hot: int, linked: DataFrame | None = None) -> DataFrame:
+    """(node, grp) of the nodes that are candidates, connected by all pairs of Jaccard index `similarity` or more, but for
+    pairs that are linked already: linked has (node, root) of nodes that are connected with another, their root.
 
     Similar texts share a known number of posted shingles (_needed()). Pairs are counted over the shingles that at most `hot`
     nodes post. Of the others, the common ones, no pairs are made: a node's number of them is what they could add at most
@@ -353,9 +354,11 @@ def candidate_groups(posts: DataFrame, similarity: float, hot: int) -> DataFrame
     has = met.where("need = 0").select(F.col("a").alias("node"), F.col("b").alias("s"), "n")
     of = has.groupBy("node").agg(F.count("*").alias("h"), F.max("n").alias("n")).checkpoint()
     pairs = met.where("need > 0").select("a", "b", "k", "need")
+    about = of.withColumn("root", F.col("node")) if linked is None else of.join(linked, "node", "full").checkpoint()
     for c in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("h").alias(f"h{c}")), c, "left")
-    pairs = pairs.where(F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need")).select("a", "b")
+        pairs = pairs.join(about.select(F.col("node").alias(c), F.col("h").alias(f"h{c}"), F.col("root").alias(f"root{c}")), c, "left")
+    apart = F.coalesce("roota", "a") != F.coalesce("rootb", "b")
+    pairs = pairs.where(apart & (F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need"))).select("a", "b")
     enough = of.where(F.col("h") >= F.least(1 + F.ceil(MORE * F.col("n")), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)).select("node")
     heavy = has.join(enough, "node").select("s", "node").checkpoint()
     least = heavy.groupBy("s").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1").select("s", "least").checkpoint()
@@ -363,8 +366,9 @@ def candidate_groups(posts: DataFrame, similarity: float, hot: int) -> DataFrame
     return rooted(pairs.union(links_).distinct().checkpoint()).select("node", F.col("root").alias("grp"))
 
 
-def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """(id, least id of its component) of the similar pairs of sets of different sides (side -1: of any two)."""
+def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """(id, least id of its component) of the similar pairs of sets of different sides (side -1: of any two). What has one
+    class is connected already."""
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -383,7 +387,7 @@ def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similar
     first = [x[: _least(len(x), similarity)] for x in own]
     few, few_at = posting(np.concatenate(first), np.repeat(np.arange(len(sets)), [len(x) for x in first]))
     all_, all_at = posting(at, owner)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if classes is None else np.unique(classes, return_inverse=True)[1]
     for i in range(len(sets)):
         c = np.concatenate([few[few_at[r] : few_at[r + 1]] for r in first[i].tolist()])
         c = c[(c < i) & (label[c] != label[i])]
@@ -403,40 +407,41 @@ def _spanning(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], similar
 
 
 def tiled(members: DataFrame, texts, similarity: float, shingle: int, *, most: int = 2048, chars: int = 6_000_000) -> DataFrame:
-    """Links (a, b) that connect what the similar pairs inside each grp connect. members: grp, node, size (of the text);
-    texts(members) adds the texts.
+    """Links (a, b) that connect what the similar pairs inside each grp connect. members: grp, node, root (nodes of one root
+    are connected already), size (of the text); texts(members) adds the texts.
 
     A grp is cut into tiles of some `most` rows and `chars` characters; every two tiles meet in a task of their own, so
     no task grows with a grp.
     """
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / chars)).alias("t"), F.count("*").alias("n")).where("n > 1").drop("n").checkpoint()
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / chars)).alias("t"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp", "t").checkpoint()
     each = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(i == j, -1).otherwise((F.col("own") == i).cast("int"))
     each = texts(each.withColumns({"i": i, "j": j, "side": side}).drop("own", "other", "t", "size"))
-    placed = each.select("grp", "i", "j", "side", "node", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+    placed = each.select("grp", "i", "j", "side", "node", "text", "root").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
 
     def run(batches):
         import pyarrow as pa
 
-        at, ids, sides, sets = None, [], [], []
+        at, ids, sides, sets, roots = None, [], [], [], []
 
         def done():
-            found = _spanning(ids, np.array(sides), sets, similarity) if len(ids) > 1 else []
+            found = _spanning(ids, np.array(sides), sets, similarity, roots) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(5)]
+            cols = [b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)]
             for r in range(b.num_rows):
                 if (group := (cols[0][r], cols[1][r], cols[2][r])) != at:
                     yield done()
-                    at, ids, sides, sets = group, [], [], []
+                    at, ids, sides, sets, roots = group, [], [], [], []
                 ids.append(cols[4][r])
                 sides.append(cols[3][r])
+                roots.append(cols[5][r])
                 sets.append(shingle_hashes(b.column(5)[r].as_py(), shingle))
         yield done()
-        at, ids, sides, sets = None, [], [], []
+        at, ids, sides, sets, roots = None, [], [], [], []
         give_back()
 
     return placed.mapInArrow(run, "a long, b long")
@@ -448,12 +453,14 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
     near-duplicates if the Jaccard index of their word shingles is at least `similarity`; a group is a connected component.
 
     1. Texts with the same words (A-Z lower-cased) are copies and one node, named by 64 bits of a hash of the words.
-    2. Each node posts its first shingles; candidate_groups() connects all that may be similar and misses no similar pair.
-    3. tiled() compares the texts of each group of candidates exactly.
-    4. Of each component of these links one row stays, as in op5: a text that goes still links its neighbours.
-
-    Fingerprints of 64 bits and covering tables cannot replace step 2: texts of Jaccard index 0.8 differ in some ten bits
-    and often in twenty, so that tables that miss none would be 2^21.
+    2. near_duplicates() gives the nodes' components by SimHash and covering tables, with op5's shingles and radius; tiled()
+       compares the texts of each exactly. The links that hold are found.
+    3. What they leave apart: each node posts its first shingles; candidate_groups() connects all that may be similar and
+       misses no similar pair but those linked already. tiled() compares the texts of each group exactly, but for those.
+    4. Of each component of both kinds of links one row stays, as in op5: a text that goes still links its neighbours.
+
+    Step 3 is there since texts of Jaccard index 0.8 differ in some ten bits of 64 and often in twenty: tables that miss none
+    would be 2^21.
     """
     spark = docs.sparkSession
     ensure_shared(spark)
@@ -466,13 +473,18 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
         posts = d.select(F.col(node).alias("node"), "text").mapInArrow(_posted(shingle, similarity, hot, often), "s long, node long, n int")
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.col(row).alias("r"))
         nodes = d.groupBy(F.col(key).alias("key"), F.col(node).alias("node")).agg(F.min(order).alias("o"), F.max(F.length("text")).alias("size")).checkpoint()
-        groups = candidate_groups(posts, similarity, hot).join(nodes, "node").select("node", "grp", F.col("o.doc_id").alias("keep"), F.col("o.r").alias("r"), F.coalesce("size", F.lit(0)).alias("size")).checkpoint()
+        of = nodes.select("node", F.col("o.doc_id").alias("keep"), F.col("o.r").alias("r"), F.coalesce("size", F.lit(0)).alias("size"))
 
         def texts(members: DataFrame) -> DataFrame:
             some = d.select(F.col(node).alias("k"), F.col("doc_id").alias("k2"), F.col(row).alias("k3"), "text")
             return members.join(some, (F.col("node") == F.col("k")) & F.col("keep").eqNullSafe(F.col("k2")) & (F.col("r") == F.col("k3"))).dropDuplicates(["grp", "i", "j", "node"])
 
-        comp = components(tiled(groups, texts, similarity, shingle).distinct())
+        near = near_duplicates(d.select(F.col(node).alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), F.col("component_id").alias("grp")).distinct()
+        found = tiled(near.join(of, "node").withColumn("root", F.col("node")).checkpoint(), texts, similarity, shingle).distinct().checkpoint()
+        linked = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).checkpoint()  # a group of one tile whole, others in part
+        give_back()
+        groups = candidate_groups(posts, similarity, hot, linked).join(of, "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
+        comp = components(found.union(tiled(groups, texts, similarity, shingle)).distinct())
         named = nodes.join(comp, "node", "left").select("key", "o", F.coalesce("root", "node").alias("comp"))
         kept = named.groupBy("comp").agg(F.min(F.struct("o", "key")).alias("k")).select(F.col("k.key").alias("k1"), F.col("k.o.doc_id").alias("k2"), F.col("k.o.r").alias("k3")).checkpoint()
     kept = kept.toDF(*[unused(docs, f"kept{i}") for i in range(3)])
