@@ -98,6 +98,18 @@ def test_simhash_components(spark, hot):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_components_do_not_multiply_the_estimated_size(spark):
+    """Components of components: the planner's estimate stays that of the tables, as its digits take the driver's memory."""
+    way = list(range(300))
+    random.Random(3).shuffle(way)
+    e = spark.createDataFrame(list(zip(way, way[1:])), "a long, b long")
+    for _ in range(2):
+        got = simhash.components(e)
+        e = got.selectExpr("node AS a", "root AS b")
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(1, 300)]
+    assert int(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
+
+
 def test_simhash_edges(edge, spark):
     got = simhash.near_duplicates(edge).collect()
     assert len(got) == 7

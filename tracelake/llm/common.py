@@ -40,6 +40,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stored(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """rows as a new table in the folder all executors share, and its path. A checkpoint keeps the planner's estimate of its size,
+    and that of a join is the product of its sides': over the rounds of a loop the number's digits multiply, until they fill
+    the driver's memory. A table has the size of its files."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
 @contextlib.contextmanager
 def nothing_broadcast(spark: SparkSession):
     """Joins planned inside are between shuffled sides: for tables that all grow with the documents, so that the driver

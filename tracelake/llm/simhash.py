@@ -12,7 +12,7 @@ its members are dealt again by all tables of the next level, whose vectors are a
 Each level fixes half of the bits still free, and members are distinct, so at the fourth level a group has some sixteen
 members: no cap is needed and none is set. A compared group gives a spanning forest of its links, not all pairs.
 
-Components: repeated hooking to the least neighbour with pointer jumping, all in DataFrames, checkpointed every round.
+Components: repeated hooking to the least neighbour with pointer jumping, all in DataFrames, stored every round.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; rows with a null doc_id get a fingerprint and a null component unless others
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ensure_shared, give_back, nothing_broadcast, table, unused, with_text_columns
+from tracelake.llm.common import ensure_shared, give_back, nothing_broadcast, remove, stored, table, unused, with_text_columns
 
 SHINGLE, RADIUS, HOT = 3, 3, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -156,9 +156,11 @@ def links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, levels: int
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that can be reached, for every node of an edge but the roots. Alternates large-star and small-star.
-    Both sides of a join are tables of their own, so that the neighbours of a hub, under one key, are split over tasks."""
-    ensure_shared(edges.sparkSession)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    Both sides of a join are tables of their own, so that the neighbours of a hub, under one key, are split over tasks. Each
+    round stores its edges, so that the estimate of their size begins anew."""
+    spark = edges.sparkSession
+    ensure_shared(spark)
+    e, at = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = digest(e)
     while before[0]:
@@ -167,12 +169,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
         low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        last, (e, at) = at, stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        remove(spark, last)
         after = digest(e)
         if before == after:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).checkpoint()
+    remove(spark, at)
+    return out
 
 
 def rooted(edges: DataFrame) -> DataFrame:
