@@ -85,6 +85,25 @@ def test_repeats_are_ignored_and_silent_sessions_forgotten(spark, tmp_path):
         live.detected(spark.readStream.schema(STEP).json(src), odd=1)
 
 
+def test_streamed_hits_number_the_steps_once(spark, sf, monkeypatch):
+    """The three batches are cut from one pass over the events, and a step takes one column into Python."""
+    from tracelake.plans import catalogue
+
+    seen, whole, narrow, real = spark.sparkContext.accumulator(0), catalogue.a.steps(spark, sf), [], live.detected
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(catalogue.a, "steps", lambda *_: whole.mapInArrow(counted, whole.schema))
+    monkeypatch.setattr(live, "detected", lambda *a, **k: narrow.append(real(*a, **k)) or narrow[-1])
+    hits = catalogue.QUERIES["streamed_hits"](spark, sf)
+    assert seen.value == whole.count() > 0
+    assert sorted(map(tuple, hits.collect())) == sorted(tuple(r) for r in detectors.live(whole, terminate_on_novelty=True, **catalogue._LIMITS).select("session", "seq", "detector").collect())
+    assert all("step#" in n._jdf.queryExecution().analyzed().toString() for n in narrow) and len(narrow) == 3
+
+
 def test_growing_files_are_read_once(spark, tmp_path):
     """Appends in the middle of a line and of a character, new, replaced and removed files, restarts between all of them."""
     from tracelake.sources import tail

@@ -386,9 +386,10 @@ def streamed_hits(spark, d):
     from tracelake.streaming import live
 
     steps, at = a.steps(spark, d), _folder(spark, "steps")
-    for low, high in ((0, 40), (40, 120), (120, None)):
-        part = steps.where(F.col("seq") > low) if high is None else steps.where(F.col("seq").between(low + 1, high))
-        part.write.mode("append").parquet(f"{at}/in")
+    parts = steps.withColumn("part", F.when(F.col("seq") <= 40, 0).when(F.col("seq") <= 120, 1).otherwise(2))
+    parts.write.partitionBy("part").parquet(f"{at}/all")  # once: numbering the steps sorts them all
+    for part in range(3):
+        spark.read.schema(parts.schema).parquet(f"{at}/all").where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/in")
         live.live_detectors(spark.readStream.schema(steps.schema).parquet(f"{at}/in"), f"{at}/state", f"{at}/hits", terminate_on_novelty=True, **_LIMITS).awaitTermination()
     return spark.read.schema("session string, seq bigint, detector string").parquet(f"{at}/hits")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -80,6 +80,21 @@ class Session:
         return "feedback" if feedback is not None and self.repeats >= x["feedback"] else None
 
 
+_FLAGS = {"true": True, "false": False, "": None}
+
+
+def _packed(*columns) -> Column:
+    """A step in one string: a row's way into Python costs by its columns. None of the values has a comma; null is empty."""
+    return F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+
+
+def _unpacked(step: str) -> tuple:
+    """seq, at and what Session.step() takes after seq."""
+    seq, at, call, target, mutating, output, errors, blank, feedback = step.split(",")
+    number = lambda v: int(v) if v else None
+    return number(seq), number(at), call or None, target or None, _FLAGS[mutating], number(output), number(errors), _FLAGS[blank], feedback or None
+
+
 class _Processor(StatefulProcessor):
     def __init__(self, limits: dict[str, int], terminate_on_novelty: bool, keep_ms: int, timed: bool):
         self.limits, self.terminate, self.keep_ms, self.timed = limits, terminate_on_novelty, keep_ms, timed
@@ -88,15 +103,15 @@ class _Processor(StatefulProcessor):
         self.handle, self.held = handle, handle.getValueState("session", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        session, newest = Session(self.limits, self.terminate, tuple(self.held.get()) if self.held.exists() else None), None
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            if session.seq is not None and r["seq"] <= session.seq:
+        session, newest = Session(self.limits, self.terminate, self.held.get()), None
+        for seq, at, *values in sorted((_unpacked(r["step"]) for r in rows), key=lambda s: s[0]):
+            if session.seq is not None and seq <= session.seq:
                 continue
-            if self.timed and r["at"] is not None:
-                newest = max(r["at"], newest or r["at"])
-            hit = session.step(r["seq"], r["call"], r["target"], r["mutating"], r["output_bytes"], r["errors"], r["blank"], r["feedback"])
+            if self.timed and at is not None:
+                newest = max(at, newest or at)
+            hit = session.step(seq, *values)
             if hit is not None:
-                yield Row(session=key[0], seq=r["seq"], detector=hit)
+                yield Row(session=key[0], seq=seq, detector=hit)
         self.held.update(session.state())
         if newest is not None:
             for at in list(self.handle.listTimers()):
@@ -118,11 +133,11 @@ def detected(steps: DataFrame, *, terminate_on_novelty: bool = False, time: str
     digest = lambda c: F.md5(c.cast("binary"))
     if time is not None:
         steps = steps.withWatermark(time, delay)
-    own = [] if time is None else [F.col(time).alias("time"), F.unix_millis(time).alias("at")]
-    narrow = steps.select(
-        *own, "session", F.col("seq").cast("bigint").alias("seq"), digest(detectors.call_key()).alias("call"), digest(detectors.read_target()).alias("target"), "mutating",
-        F.col("output_bytes").cast("bigint").alias("output_bytes"), F.col("errors").cast("bigint").alias("errors"), "blank", digest(F.col("feedback")).alias("feedback"),
-    )
+    own = [] if time is None else [F.col(time).alias("time")]
+    whole, flag = (lambda c: F.col(c).cast("bigint")), (lambda c: F.col(c).cast("boolean"))
+    at = F.lit(None) if time is None else F.unix_millis(time)
+    step = _packed(whole("seq"), at, digest(detectors.call_key()), digest(detectors.read_target()), flag("mutating"), whole("output_bytes"), whole("errors"), flag("blank"), digest(F.col("feedback")))
+    narrow = steps.select(*own, "session", step.alias("step"))
     kind = steps.schema["session"].dataType.simpleString()
     return narrow.groupBy("session").transformWithState(_Processor(x, terminate_on_novelty, keep_ms, time is not None), f"session {kind}, seq bigint, detector string", "append", "none" if time is None else "eventTime")
 
